@@ -5,21 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, simhash
+from lamella.llm import decontaminate, language, packing, quality, simhash, tokens, urlfilter
+from lamella.llm.common import shared_path
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = VOCABULARY) -> str:
+    """Place of a vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.verdicts(_table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_benchmark_decontamination)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = shared_path(spark, "token-counts")
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), cache)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup,
+        op4_quality_rules,
+        op5_url_filters,
+        op6_packing,
+        op7_benchmark_decontamination,
+        op8_language_id,
+        op9_token_counts,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
