@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, language, packing, quality, simhash, tokens, urlfilter
+from lamella.llm import decontaminate, language, lines, packing, quality, simhash, spans, tokens, urlfilter
 from lamella.llm.common import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +21,10 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,9 +54,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), cache)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_simhash_near_dedup,
         op4_quality_rules,
         op5_url_filters,
@@ -61,6 +69,7 @@ QUERIES = {
         op7_benchmark_decontamination,
         op8_language_id,
         op9_token_counts,
+        op10_substring_dedup,
     )
 }
 
