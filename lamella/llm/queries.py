@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import decontaminate, language, lines, packing, quality, simhash, spans, tokens, urlfilter
+from lamella.llm import decontaminate, language, lines, packing, pii, quality, simhash, spans, tokens, urlfilter
 from lamella.llm.common import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     for f in (
         op1_line_dedup,
         op2_simhash_near_dedup,
+        op3_pii_surrogates,
         op4_quality_rules,
         op5_url_filters,
         op6_packing,
