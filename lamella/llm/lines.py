@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import broadcast_if_small, stored
+from lamella.llm.common import broadcast_if_small, sliced, stored
 
 #: Lines of fewer words are no evidence of copying and always stay.
 LEAST_WORDS = 4
@@ -18,6 +17,10 @@ LEAST_WORDS = 4
 EDIT_WORDS = 8
 #: Documents with candidate lines are broadcast up to this count of rows, else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: So many shared keys of 8 bytes are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: A shared half is looked for first, for all lines; then, for those that share one, all but one of so many parts.
+PARTS = 8
 KEYS = ("k0", "k1", "k2", "k3")
 
 
@@ -30,30 +33,39 @@ def _two(data: str) -> tuple[int, int]:
     return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)
 
 
-def half_keys(words: list[str]) -> list[int]:
-    """Keys of which two lines within one edit share at least one: an edit leaves the first or the second half alone.
+def part_keys(words: list[str], parts: int) -> list[tuple[int, int, int, int]]:
+    """(which, key, low, high): keys of which two lines within one edit share at least one.
 
-    They depend on the length of the shorter line, so each line has the keys for its own length and for one word less.
+    A line is cut into ``parts`` for the length of the shorter line of a pair, which is its own or one word less. An edit
+    falls into one part, so the words outside it are equal; the key digests them with the length and the part. Words
+    ``low`` up to ``high`` of this line are where the edit may be.
     """
     n, keys = len(words), []
-    for short in (n, n - 1):
-        h = short // 2
-        keys.append(_two(f"p{short} " + " ".join(words[:h]))[0])
-        keys.append(_two(f"s{short} " + " ".join(words[n - (short - h) :]))[0])
+    for longer in (0, 1):
+        short = n - longer
+        for j in range(parts):
+            low, high = j * short // parts, (j + 1) * short // parts + longer
+            outside = f"{short} {j} " + " ".join(words[:low]) + " / " + " ".join(words[high:])
+            keys.append((longer * parts + j, _two(outside)[0], low, high))
     return keys
 
 
-def variants(words: list[str]) -> list[tuple[int, int, int]]:
+def variants(words: list[str], which: set[int], parts: int) -> list[tuple[int, int, int]]:
     """The deletion neighbourhood as hashed keys with a role: equal keys prove one edit, whatever the group's size.
 
-    Role 0: the line without its p-th word, keyed with its length and p; two such lines differ in that word. Role 1: the
-    line without a word. Role 2: the line itself, met by role 1 of a line with one word more.
+    Only words of the parts in ``which``, where some other line agrees outside, are left out. Role 0: the line without its
+    p-th word, keyed with its length and p; two such lines differ in that word. Role 1: the line without a word. Role 2: the
+    line itself, met by role 1 of a line with one word more.
     """
-    n, found = len(words), {(*_two("i " + " ".join(words)), 2)}
-    for p in range(n):
-        rest = " ".join(words[:p] + words[p + 1 :])
-        found.add((*_two(f"r{n},{p} " + rest), 0))
-        found.add((*_two("i " + rest), 1))
+    n, found = len(words), set()
+    for k, _, low, high in part_keys(words, parts):
+        if k not in which:
+            continue
+        if k < parts:
+            found.add((*_two("i " + " ".join(words)), 2))
+        for p in range(low, high):
+            rest = " ".join(words[:p] + words[p + 1 :])
+            found.add((*_two(f"r{n},{p} " + rest), 0) if k < parts else (*_two("i " + rest), 1))
     return sorted(found)
 
 
@@ -71,7 +83,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, line, c1, c2, half keys) for every line of enough words; c1 and c2 digest its words."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             at, line_no, c1, c2, keys = [], [], [], [], []
             none = [None] * 4
             for i, text in enumerate(batch.column(1)):
@@ -80,7 +92,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                     if len(words) >= LEAST_WORDS:
                         x, y = _two(" ".join(words))
                         at.append(i), line_no.append(j), c1.append(x), c2.append(y)
-                        keys.append(half_keys(words) if len(words) >= EDIT_WORDS else none)
+                        keys.append([k[1] for k in part_keys(words, 2)] if len(words) >= EDIT_WORDS else none)
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(line_no, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())]
             columns += [pa.array([k[j] for k in keys], pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "c1", "c2", *KEYS])
@@ -91,9 +103,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(c1, c2, first, words) of the classes that share half a line with another class, with their words."""
-    keyed = classes.where("k0 IS NOT NULL").select("c1", "c2", "first", F.explode(F.array_distinct(F.array(*KEYS))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = keyed.join(shared, "key", "left_semi").select("c1", "c2", "first").distinct()
+    keyed = classes.where("k0 IS NOT NULL").select("c1", F.explode(F.array_distinct(F.array(*KEYS))).alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-halves")
+    sharing = keyed.join(broadcast_if_small(shared, BROADCAST_KEYS), "key", "left_semi").select("c1").distinct()
+    near = classes.select("c1", "c2", "first").join(sharing, "c1", "left_semi")
     per_doc = near.groupBy(F.col("first.doc_id").alias("at")).agg(F.collect_list(F.struct("c1", "c2", "first")).alias("asked"))
     met = docs.select("doc_id", "text").alias("d").join(broadcast_if_small(per_doc, BROADCAST_ROWS).alias("a"), F.expr("d.doc_id <=> a.at"))
     line = F.element_at(F.split("text", "\n", -1), F.col("c.first.line") + 1)
@@ -104,16 +117,32 @@ def _survivors(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(c1, c2, kept) for classes with an earlier line within one edit; ``kept`` is where the earliest of them stands."""
-    found = stored(_survivors(docs, classes), "line-survivors")
-    place = found.schema["first"].dataType.simpleString()
+    halves = stored(_survivors(docs, classes), "line-halves-texts")
+    place = halves.schema["first"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            at, which, key = [], [], []
+            for i, (c1, c2, line) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3)))):
+                words = line_words(line)
+                if _two(" ".join(words)) == (c1, c2):
+                    for k, x, _, _ in part_keys(words, PARTS):
+                        at.append(i), which.append(k), key.append(x)
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:2], pa.array(which, pa.int32()), pa.array(key, pa.int64())], names=["c1", "c2", "which", "key"])
+
+    fine = stored(halves.mapInArrow(keys, "c1 bigint, c2 bigint, which int, key bigint").distinct(), "line-parts")
+    shared = fine.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_parts = fine.join(shared, "key", "left_semi").groupBy("c1", "c2").agg(F.collect_set("which").alias("which"))
+    found = stored(halves.join(open_parts, ["c1", "c2"]).select("c1", "c2", "first", "line", "which"), "line-survivors")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 200):
             at, v1, v2, role = [], [], [], []
-            for i, (line, c1, c2) in enumerate(zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for i, (c1, c2, line, which) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 1, 3, 4)))):
                 words = line_words(line)
                 if _two(" ".join(words)) == (c1, c2):
-                    for x, y, r in variants(words):
+                    for x, y, r in variants(words, set(which), PARTS):
                         at.append(i), v1.append(x), v2.append(y), role.append(r)
             own = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(v1, pa.int64()), pa.array(v2, pa.int64()), pa.array(role, pa.int32())], names=["c1", "c2", "first", "v1", "v2", "role"])
@@ -149,7 +178,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     classes = stored(classes, "line-classes")
     near = near_first(docs, classes)
     judged = classes.select("c1", "c2", "first", "n").join(near, ["c1", "c2"], "left").where("n > 1 OR kept IS NOT NULL")
-    judged = judged.select("c1", "c2", F.coalesce("kept", "first").alias("kept"))
+    # Stored, so that the join shuffles both sides and a line of a third of all documents can be split.
+    judged = stored(judged.select("c1", "c2", F.coalesce("kept", "first").alias("kept")), "line-verdicts")
     return every.select("doc_id", "line", "c1", "c2").join(judged, ["c1", "c2"]).where("NOT (struct(doc_id, line) <=> kept)").select("doc_id", "line", "kept")
 
 

@@ -58,7 +58,13 @@ def test_helpers():
         y = [rng.choice("ab") for _ in range(rng.randint(1, 6))]
         assert lines.within_one_edit(x, y) == (distance(x, y) <= 1), (x, y)
         if distance(x, y) <= 1 and min(len(x), len(y)) > 1:
-            assert set(lines.half_keys(x)) & set(lines.half_keys(y))
+            for parts in (2, 8):
+                a, b = ({k[1]: k for k in lines.part_keys(w, parts)} for w in (x, y))
+                both = set(a) & set(b)
+                assert both
+                met = [{v[:2]: v[2] for v in lines.variants(w, {k[m][0] for m in both}, parts)} for w, k in ((x, a), (y, b))]
+                roles = {(met[0][v], met[1][v]) for v in set(met[0]) & set(met[1])}
+                assert x == y or roles & {(0, 0), (1, 2), (2, 1)}
 
 
 def test_against_brute_force(spark):
