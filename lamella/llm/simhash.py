@@ -50,7 +50,7 @@ def popcounts(fp: str, segments: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask))) for i in range(segments)]
 
 
-def grid_cells(fp: str, segments: int = 16) -> Column:
+def grid_cells(fp: str, segments: int = 32) -> Column:
     """Numbers of the grid cell of the embedding of ``fp`` and of all cells at Manhattan distance 1 from it.
 
     Two embeddings at Manhattan distance 2 or less share one of these cells (either's own, or a point half-way), and the
@@ -64,7 +64,7 @@ def grid_cells(fp: str, segments: int = 16) -> Column:
     return F.array_compact(F.array(own, *around))
 
 
-def links(prints: DataFrame, segments: int = 16) -> DataFrame:
+def links(prints: DataFrame, segments: int = 32) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the distinct fingerprints of ``prints(fp)`` lying within 2 bits of each other.
 
     First the grid of ``segments`` popcounts: a fingerprint alone in all its cells has no partner and leaves. Then the same
@@ -85,7 +85,7 @@ def _bit(i: int) -> int:
     return 1 << i if i < 63 else -(1 << 63)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, segments: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, segments: int = 32) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``; other columns are ignored.
 
     Fingerprints within 2 bits are linked, and ``component_id`` is the smallest doc_id reachable over links. Equal
