@@ -12,24 +12,37 @@ from lamella.functions.scalars import ratio
 from lamella.operators.lineage import cut
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Tie every larger neighbour of a node to the smallest node around it."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Tie a node and its smaller neighbours to the smallest of them; edges run from the larger ``a`` to the smaller ``b``."""
+    least = edges.groupBy("a").agg(F.min("b").alias("_m"))
+    moved = edges.join(least, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` for ``nodes(node)`` and undirected ``edges(a, b)``; the smallest node names a component.
 
-    Each round every node takes the smallest label among itself, its neighbours and the label of its label (pointer
-    jumping), so chains shrink geometrically. Rounds are checkpointed; isolated nodes are their own component.
+    Alternating star rounds, each a grouped minimum and an equi-join: the number of rounds follows the logarithm of the
+    longest path, and a hub is not gathered in one task. Rounds are checkpointed; a node without an edge is its own
+    component. Ends that ``nodes`` lacks take part and are left out of the result.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = cut(both)
-    labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    lined = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    current, seen = cut(lined), None
     while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("_least"))
-        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("component", F.coalesce("_least", "component")).alias("_mid"), F.col("component").alias("_old"))
-        jump = near.select(F.col("node").alias("_at"), F.col("_mid").alias("_next"))
-        fresh = near.join(jump, F.col("_mid") == F.col("_at"), "left").select("node", F.least("_mid", F.coalesce("_next", "_mid")).alias("component"), "_old")
-        fresh = cut(fresh)
-        if fresh.filter("component <> _old").isEmpty():
-            return fresh.select("node", "component")
-        labels = fresh.select("node", "component")
+        row = current.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
+        if not row["n"] or (row["n"], row["x"]) == seen:
+            break
+        seen = (row["n"], row["x"])
+        current = cut(_small_star(_large_star(current)))
+    named = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int = 5) -> DataFrame:
@@ -38,7 +51,7 @@ def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int = 5) -> D
     While a component is longer all its edges of smallest weight are cut at once and it is searched again. Components that
     fit leave the loop with their nodes, so rounds get smaller; a component without edges stays as it is.
     """
-    labels = connected_components(nodes, edges)
+    labels = cut(connected_components(nodes, edges))
     done = None
     rest_nodes, rest_edges = nodes.select("node", "z"), edges.select("a", "b", "weight")
     while True:
@@ -54,7 +67,7 @@ def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int = 5) -> D
             return done
         rest_edges = cut(inner.join(open_, "component").filter("weight > _least").select("a", "b", "weight"))
         rest_nodes = cut(placed.join(open_.select("component"), "component", "left_semi").select("node", "z"))
-        labels = connected_components(rest_nodes, rest_edges)
+        labels = cut(connected_components(rest_nodes, rest_edges))
 
 
 def assign_cell_ids(labels: DataFrame, keys: Sequence[str] = ("core",)) -> DataFrame:

@@ -42,10 +42,10 @@ def a6_type_distribution_2d(d):
     return A.type_distribution(linked(d))
 
 
-@query("""SELECT cell_id, round_even(cx * 0.4961::DOUBLE, 3) AS cx_um, round_even(area_px * (0.4961::DOUBLE * 0.4961::DOUBLE), 3) AS area_um2,
-  round_even(slice_id * 4.5::DOUBLE, 3) AS z_um FROM fx_cells""")
+@query("""SELECT cell_id, cx * 0.5::DOUBLE AS cx_um, area_px * 0.25::DOUBLE AS area_um2, slice_id * 4.5::DOUBLE AS z_um FROM fx_cells""")
 def p1_to_microns(d):
-    made = P.to_microns(d.fx_cells.withColumnRenamed("cx", "cx_px"), areas=["area_px"], lengths=["cx_px"], z_index="slice_id")
+    """A pixel of half a micrometre, so that no value lies half-way between two roundings."""
+    made = P.to_microns(d.fx_cells.withColumnRenamed("cx", "cx_px"), areas=["area_px"], lengths=["cx_px"], z_index="slice_id", pixel=0.5)
     return made.select("cell_id", "cx_um", "area_um2", "z_um")
 
 

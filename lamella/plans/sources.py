@@ -1 +1,100 @@
-"""Queries; being filled in."""
+"""Queries over catalogues and metadata."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lamella.operators import joins as J
+from lamella.operators import project as P
+from lamella.plans.base import query
+from lamella.sources import catalog as C
+from lamella.sources import landmarks as L
+
+FILTERS = "SELECT n_nationkey AS core, CASE WHEN n_nationkey % 3 = 0 THEN '0-3, 7' WHEN n_nationkey % 3 = 1 THEN '1-15' ELSE '5' END AS ranges FROM nation WHERE n_nationkey % 5 <> 4"
+ALLOWED = f"flt AS ({FILTERS}), allowed AS (SELECT core, unnest(CASE ranges WHEN '0-3, 7' THEN [0, 1, 2, 3, 7] WHEN '1-15' THEN range(1, 16) ELSE [5] END)::INTEGER AS position FROM flt)"
+
+
+def filters(d):
+    key = F.col("n_nationkey")
+    ranges = F.when(key % 3 == 0, "0-3, 7").when(key % 3 == 1, "1-15").otherwise("5")
+    return d.nation.filter(key % 5 != 4).select(key.alias("core"), ranges.alias("ranges"))
+
+
+@query(f"WITH {ALLOWED} SELECT core, position FROM allowed")
+def s6_expand_slice_filter(d):
+    return C.expand_slice_filter(filters(d))
+
+
+@query(f"WITH {ALLOWED} SELECT a.core AS core, a.slice_id AS slice_id, a.area AS area FROM fx_areas a WHERE a.core NOT IN (SELECT core FROM flt) OR EXISTS (SELECT 1 FROM allowed w WHERE w.core = a.core AND w.position = a.slice_id)")
+def j13_keep_slices(d):
+    rows = d.fx_areas.withColumn("position", F.col("slice_id"))
+    return J.keep_slices(rows, C.expand_slice_filter(filters(d))).select("core", "slice_id", "area")
+
+
+@query("""WITH f AS (SELECT file, regexp_extract(file, '_Core([0-9]+)', 1) AS core, coalesce(try_cast(regexp_extract(file, 'TMA_([0-9]+)_', 1) AS INTEGER), -1) AS slice_id FROM fx_files)
+SELECT file, core, slice_id, (row_number() OVER (PARTITION BY core ORDER BY slice_id, file) - 1)::INTEGER AS z FROM f""")
+def s7_slice_catalog(d):
+    named = d.fx_files.withColumn("core", F.regexp_extract("file", r"_Core(\d+)", 1))
+    return C.slice_catalog(named)
+
+
+@query("""SELECT file_id, 0::INTEGER AS channel_index, regexp_extract(xml, '<Name>([^<]*)', 1) AS "Name", regexp_extract(xml, '<ExposureTime>([^<]*)', 1) AS "ExposureTime", regexp_extract(xml, '<IsUnmixedComponent>([^<]*)', 1) AS "IsUnmixedComponent" FROM fx_xml""")
+def s8_channel_metadata(d):
+    out = C.channel_metadata(d.fx_xml)
+    return out.select("file_id", "channel_index", "Name", "ExposureTime", "IsUnmixedComponent")
+
+
+@query("""WITH c AS (SELECT n_regionkey AS file_id, n_nationkey % 2 AS ch, max((n_nationkey % 6 = 0)::INTEGER) AS unmixed, max((1 + n_nationkey % 5)::DOUBLE) AS e FROM nation GROUP BY 1, 2),
+p AS (SELECT file_id, max(unmixed) AS unmixed, max(CASE WHEN ch = 0 THEN e END) AS ck, max(CASE WHEN ch = 1 THEN e END) AS af FROM c GROUP BY 1)
+SELECT file_id, round(ck / af, 6) AS exposure_ratio, CASE WHEN unmixed = 1 THEN 'do_not_subtract' WHEN ck / af IS NULL THEN 'none' WHEN abs(ck / af - 1) < 0.01 THEN 'subtract' ELSE 'subtract_scaled' END AS advice FROM p""")
+def p24_exposure_advice(d):
+    channels = C.channel_metadata(d.fx_xml).drop("channel_index").join(d.nation.withColumnRenamed("n_nationkey", "file_id"), "file_id")
+    channels = channels.select(F.col("n_regionkey").alias("file_id"), (F.col("file_id") % 2).alias("channel_index"), "ExposureTime", "IsUnmixedComponent")
+    return P.exposure_advice(channels, 0, 1).withColumn("exposure_ratio", F.round("exposure_ratio", 6))
+
+
+POSITIONS = "pos AS (SELECT core, slice_id, (row_number() OVER (PARTITION BY core ORDER BY slice_id) - 1)::BIGINT AS position FROM fx_areas)"
+
+
+@query(f"""WITH {POSITIONS}, known AS (SELECT core, slice_id, position AS z FROM pos WHERE NOT (position = 2 OR (core % 2 = 0 AND position = 5))),
+n AS (SELECT p.core AS core, count(*) AS n FROM pos p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.core = p.core AND k.slice_id = p.slice_id) GROUP BY 1)
+SELECT core, slice_id, position, position AS z FROM pos""")
+def j5_map_slice_to_z(d):
+    """Two slices without a z in even cores, one in odd ones."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("core").orderBy("slice_id")
+    files = d.fx_areas.select("core", "slice_id", (F.row_number().over(order) - 1).cast("long").alias("position"))
+    stats = files.filter("NOT (position = 2 OR (core % 2 = 0 AND position = 5))").select("core", "slice_id", F.col("position").alias("z"))
+    return J.map_slice_to_z(files, stats).select("core", "slice_id", "position", "z")
+
+
+@query("""WITH k AS (SELECT n_nationkey AS position, 'stack_TMA_' || (n_nationkey % 8)::VARCHAR || '_Core' || n_nationkey::VARCHAR || '.ome.tif_x' AS key, n_nationkey * 1.5::DOUBLE AS tre FROM nation),
+f AS (SELECT DISTINCT substr(file, 14) AS file FROM fx_files), h AS (SELECT file, tre, row_number() OVER (PARTITION BY file ORDER BY position, key) AS r FROM f JOIN k ON contains(key, file))
+SELECT f.file AS file, tre AS tre_px FROM f LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.file = f.file""")
+def j6_attach_tre(d):
+    key = F.col("n_nationkey")
+    name = F.concat(F.lit("stack_TMA_"), (key % 8).cast("string"), F.lit("_Core"), key.cast("string"), F.lit(".ome.tif_x"))
+    stats = d.nation.select(key.alias("position"), name.alias("key"), (key * 1.5).alias("tre_px"))
+    images = d.fx_files.select(F.expr("substring(file, 14)").alias("file")).distinct()
+    return J.attach_tre(images, stats)
+
+
+@query("SELECT core::VARCHAR AS core, 's' || slice_id::VARCHAR AS file, cluster_id::INTEGER AS landmark_idx, min(cx)::DOUBLE AS x, min(cy)::DOUBLE AS y FROM fx_cells WHERE cluster_id < 40 GROUP BY 1, 2, 3")
+def s4_read_trajectories(d):
+    """Landmarks written as JSON per core and read again: places in the document are the landmark numbers."""
+    import pyspark.sql.types as T
+
+    marks = d.fx_cells.filter("cluster_id < 40").groupBy("core", "slice_id", "cluster_id").agg(F.min("cx").cast("double").alias("x"), F.min("cy").cast("double").alias("y"))
+    named = marks.select(F.col("core").cast("string").alias("core"), F.concat(F.lit("s"), "slice_id").alias("file"), F.col("cluster_id").cast(T.IntegerType()).alias("landmark_idx"), "x", "y")
+    grid = named.select("core", "file").distinct().withColumn("landmark_idx", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    dense = grid.join(named, ["core", "file", "landmark_idx"], "left").fillna({"x": float("nan"), "y": float("nan")})
+    return L.read_trajectories(L.write_trajectories(dense))
+
+
+@query("SELECT slide::VARCHAR AS core, min(cand_id)::INTEGER AS anchor, count(*) AS n_regions, sum(cx)::BIGINT AS sum_x, sum(h)::BIGINT AS sum_h FROM fx_candidates GROUP BY 1")
+def s5_read_regions(d):
+    box = F.sort_array(F.collect_list(F.array("cx", "cy", "w", "h")))
+    docs = d.fx_candidates.groupBy("slide").agg(F.to_json(F.create_map(F.first(F.col("slide").cast("string")), F.struct(F.min("cand_id").alias("Anchor_Index"), box.alias("Regions")))).alias("json"))
+    rows = L.read_regions(docs)
+    return rows.groupBy("core").agg(F.min("anchor").alias("anchor"), F.count("*").alias("n_regions"), F.sum("x").alias("sum_x"), F.sum("h").alias("sum_h"))

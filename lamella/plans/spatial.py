@@ -1 +1,127 @@
-"""Queries; being filled in."""
+"""Queries over cell positions: neighbours, densities and interactions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lamella.operators import aggregate as A
+from lamella.operators import spatial as S
+from lamella.plans.base import query
+
+SLICE = ["core", "slice_id"]
+NEAREST = """nn AS (SELECT a.core AS core, a.slice_id AS slice_id, a.cell_type AS src_type, b.cell_type AS tgt_type, a.cell_id AS cell_id, min(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2)) AS dist
+  FROM fx_cells a JOIN fx_cells b ON a.core = b.core AND a.slice_id = b.slice_id AND a.cell_id <> b.cell_id GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def distances(d):
+    return S.type_distances(d.fx_cells, ["cx", "cy"], SLICE)
+
+
+@query(f"WITH {NEAREST} SELECT core, slice_id, src_type, tgt_type, cell_id, round(dist, 6) AS dist FROM nn")
+def j7_nearest_neighbour(d):
+    return distances(d).withColumn("dist", F.round("dist", 6)).select("core", "slice_id", "src_type", "tgt_type", "cell_id", "dist")
+
+
+@query(f"""WITH {NEAREST}, per AS (SELECT core, src_type, tgt_type, slice_id, avg(dist) AS m, stddev_pop(dist) AS s, count(*) AS n FROM nn GROUP BY 1, 2, 3, 4)
+SELECT core, src_type, tgt_type, round(avg(m), 6) AS mean_dist_um, round(stddev_samp(m), 6) AS std_across_slices, round(avg(s), 6) AS mean_within_std, count(DISTINCT slice_id) AS n_slices, sum(n)::BIGINT AS n_src_cells FROM per GROUP BY 1, 2, 3""")
+def a10_nn_summary(d):
+    out = A.nn_summary(distances(d))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_dist_um", "std_across_slices", "mean_within_std")})
+
+
+@query("""SELECT a.core AS core, a.cell_id AS cell_id, round(min(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.slice_id * 9.0::DOUBLE - b.slice_id * 9.0::DOUBLE) ** 2)), 6) AS dist,
+  min(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 + (a.slice_id * 9.0::DOUBLE - b.slice_id * 9.0::DOUBLE) ** 2)) <= 20 AS colocalised
+FROM fx_cells a JOIN fx_cells b ON a.core = b.core AND a.pos_CK = 1 AND b.pos_CD3 = 1 GROUP BY 1, 2""")
+def j8_colocalise(d):
+    cells = d.fx_cells.withColumn("cz", F.col("slice_id") * 9.0)
+    a, b = cells.filter("pos_CK = 1"), cells.filter("pos_CD3 = 1")
+    return S.colocalise(a, b, ["cx", "cy", "cz"], 20.0).withColumn("dist", F.round("dist", 6))
+
+
+GRAPH = "graph AS (SELECT a.core AS core, a.slice_id AS slice_id, a.cell_id AS src, b.cell_id AS dst, a.cell_type AS ta, b.cell_type AS tb, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM fx_cells a JOIN fx_cells b ON a.core = b.core AND a.slice_id = b.slice_id AND a.cell_id <> b.cell_id WHERE (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 <= 2500)"
+
+
+@query(f"WITH {GRAPH} SELECT core, slice_id, src, dst, round(dist, 6) AS dist FROM graph")
+def j9_radius_graph(d):
+    return S.radius_graph(d.fx_cells, 50, ["cx", "cy"], SLICE).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"""WITH {GRAPH}, n AS (SELECT core, slice_id, cell_type, count(*) AS n FROM fx_cells GROUP BY 1, 2, 3), g AS (SELECT core, slice_id, ta, tb, count(*) AS k FROM graph GROUP BY 1, 2, 3, 4)
+SELECT a.core AS core, a.slice_id AS slice_id, a.cell_type AS src_type, b.cell_type AS tgt_type, a.n AS n_src, coalesce(k, 0) AS n_pairs, round(coalesce(k, 0)::DOUBLE / a.n, 6) AS observed
+FROM n a JOIN n b ON a.core = b.core AND a.slice_id = b.slice_id LEFT JOIN g ON g.core = a.core AND g.slice_id = a.slice_id AND ta = a.cell_type AND tb = b.cell_type""")
+def x1_observed_interactions(d):
+    graph = S.radius_graph(d.fx_cells, 50, ["cx", "cy"], SLICE)
+    return S.observed_interactions(d.fx_cells, graph, SLICE).withColumn("observed", F.round("observed", 6))
+
+
+@query()
+def x3_interaction_scores(d):
+    """Scores per core from 20 permutations of types over all sections (X2, X3); random, so compared by their mean in tests."""
+    return S.interactions(d.fx_cells, ["cx", "cy"], 20.0, 20)
+
+
+@query()
+def x4_interactions_2d(d):
+    return S.interactions_2d(d.fx_cells, ["cx", "cy"], radius=30.0, n_perm=10)
+
+
+@query()
+def x5_interactions_3d(d):
+    cells = d.fx_cells.withColumn("cz", F.col("slice_id") * 4.5)
+    return S.interactions(cells, ["cx", "cy", "cz"], 25.0, 10)
+
+
+@query()
+def x6_proximity_to(d):
+    return S.proximity_to(S.interactions(d.fx_cells, ["cx", "cy"], 20.0, 10), "error")
+
+
+def hulls(d):
+    return A.hull_measure(d.fx_cells, ["cx", "cy"], SLICE, "area")
+
+
+@query()
+def a9_hull_area(d):
+    """Convex hull of the cells of each section; compared with brute force in the tests."""
+    return hulls(d).withColumn("area", F.round("area", 3))
+
+
+@query()
+def a9_hull_volume(d):
+    cells = d.fx_cells.withColumn("cz", F.col("slice_id") * 4.5)
+    return A.hull_measure(cells, ["cx", "cy", "cz"], ["core"], "volume").withColumn("volume", F.round("volume", 1))
+
+
+BOX = "box AS (SELECT core, slice_id, (max(cx) - min(cx)) * (max(cy) - min(cy)) / 1e6::DOUBLE AS area FROM fx_cells GROUP BY 1, 2)"
+DENSE = f"""{BOX}, kinds AS (SELECT DISTINCT core, cell_type FROM fx_cells), n AS (SELECT core, slice_id, cell_type, count(*) AS n FROM fx_cells GROUP BY 1, 2, 3),
+dens AS (SELECT b.core AS core, b.slice_id AS slice_id, k.cell_type AS cell_type, coalesce(n, 0) / area AS d FROM box b JOIN kinds k ON k.core = b.core LEFT JOIN n ON n.core = b.core AND n.slice_id = b.slice_id AND n.cell_type = k.cell_type),
+two AS (SELECT core, cell_type, avg(d) AS m, stddev_samp(d) AS s, count(DISTINCT slice_id) AS n FROM dens GROUP BY 1, 2),
+three AS (SELECT core, cell_type, count(*) AS n, round(count(*) / 0.02::DOUBLE, 4) AS d FROM fx_cells GROUP BY 1, 2)"""
+
+
+def density_2d(d):
+    span = lambda c: F.max(c) - F.min(c)
+    areas = d.fx_cells.groupBy(*SLICE).agg((span("cx") * span("cy") / 1e6).alias("area_mm2"))
+    return A.density_2d(d.fx_cells, areas)
+
+
+def density_3d(d):
+    volumes = d.fx_cells.select("core").distinct().withColumn("volume_mm3", F.lit(0.02))
+    return A.density_3d(d.fx_cells, volumes)
+
+
+@query(f"WITH {DENSE} SELECT core, cell_type, round(m, 4) AS mean_density_per_mm2, round(s, 4) AS std_density_per_mm2, n AS n_slices FROM two")
+def a7_density_2d(d):
+    return density_2d(d).withColumns({c: F.round(c, 4) for c in ("mean_density_per_mm2", "std_density_per_mm2")})
+
+
+@query(f"WITH {DENSE} SELECT core, cell_type, n AS n_cells, 0.02::DOUBLE AS volume_mm3, d AS density_per_mm3 FROM three")
+def a8_density_3d(d):
+    return density_3d(d)
+
+
+@query(f"""WITH {DENSE} SELECT core, cell_type, round(m * 100 / sum(m) OVER (PARTITION BY core), 6) AS pct_2d, round(d * 100 / sum(d) OVER (PARTITION BY core), 6) AS pct_3d,
+  round(d * 100 / sum(d) OVER (PARTITION BY core) - m * 100 / sum(m) OVER (PARTITION BY core), 6) AS delta_pct FROM two JOIN three USING (core, cell_type)""")
+def a30_composition_pct(d):
+    out = A.composition_pct(density_2d(d), density_3d(d))
+    return out.withColumns({c: F.round(c, 6) for c in ("pct_2d", "pct_3d", "delta_pct")})
