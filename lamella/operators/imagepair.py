@@ -19,7 +19,7 @@ def _present(pairs: DataFrame) -> DataFrame:
 
 def _pearson(a: Column, b: Column, least: float) -> Column:
     """Correlation, NULL if either side hardly varies."""
-    return F.when((F.stddev_pop(a) >= least) & (F.stddev_pop(b) >= least), F.corr(a, b))
+    return F.when((F.stddev_pop(a) >= least) & (F.stddev_pop(b) >= least), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def error_metrics(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -132,7 +132,7 @@ def masked_rmse_ncc(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     tops = pairs.groupBy(*keys).agg(F.max("a").alias("_top"))
     inside = _with_otsu(_present(pairs), keys, "a").filter("a > _ta").groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.sqrt(F.avg((a - b) * (a - b))).alias("_r"), F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b)).otherwise(0.0).alias("_c")
+        F.count("*").alias("_n"), F.sqrt(F.avg((a - b) * (a - b))).alias("_r"), F.coalesce(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(0.0)).alias("_c")
     )
     ok = (F.col("_top") != 0) & (F.col("_n") >= 2)
     return tops.join(inside, [*keys], "left").select(*keys, F.when(ok, F.col("_r")).alias("rmse_masked"), F.when(ok, F.col("_c")).alias("ncc_masked"))

@@ -48,7 +48,7 @@ def scan_run_logs(spark: SparkSession, path: str, pattern: str = r"Final 3D cell
 
     Lines have no order of their own across a split file, so they are numbered within the file as read whole.
     """
-    logs = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), file, 1).alias("core"), "value")
+    logs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), file, 1).alias("core"), "value")
     counts = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
     last = F.try_element_at(counts, F.lit(-1)).try_cast("long")
     return logs.select("core", last.alias("n_cells"), F.when(last.isNull(), "NO_COUNT").otherwise("OK").alias("status"))
