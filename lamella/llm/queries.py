@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamella.llm import decontaminate, language, lines, packing, pii, quality, simhash, spans, tokens, urlfilter
 from lamella.llm.common import shared_path
+from lamella.llm.oracle import ORACLE_SQL
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -78,4 +79,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
