@@ -78,7 +78,7 @@ def fit(languages: list[str], labels: np.ndarray, x: np.ndarray, ridge: float =
     return Model(languages, code, weights.astype(np.float32), np.maximum(2 * right - 1, 0.01))
 
 
-def train(docs: DataFrame, most_docs: int = 3200) -> Model:
+def train(docs: DataFrame, most_docs: int = 1600) -> Model:
     """Fit on at most ``most_docs`` labelled documents, as many of each language, chosen by a hash of their ids.
 
     ``docs(doc_id, text, lang)`` holds what may be learned from. The bound keeps the driver's share fixed; it is the only
@@ -125,12 +125,12 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, most_docs: int = 3200) -> DataFrame:
+def identify(docs: DataFrame, most_docs: int = 1600) -> DataFrame:
     """Train on the documents that are not held out and predict all of ``docs(doc_id, text, lang)``."""
     return predictions(docs, train(docs.where(~held_out("doc_id")), most_docs))
 
 
-def keep_identified(docs: DataFrame, most_docs: int = 3200) -> DataFrame:
+def keep_identified(docs: DataFrame, most_docs: int = 1600) -> DataFrame:
     """Rows of ``docs`` with a language: those predicted ``und`` go. All columns of ``docs`` stay as they are."""
     model = train(docs.where(~held_out("doc_id")), most_docs)
 
