@@ -46,6 +46,13 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send texts to Python in batches of at most ``rows``: whole texts of 10,000 rows are too much for a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``rows`` rows: what a Python task builds from one of them stays small."""
     for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut
+from lamella.llm.common import cut, text_batches
 from lamella.llm.tokens import encoded
 
 PIECES = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    text_batches(docs.sparkSession)
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<bigint>" if ids else "")
     return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
 

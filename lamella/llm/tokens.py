@@ -13,10 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.common import text_batches
+
 #: White space that str.split() splits at beyond blank, tab and line ends.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 SPACES = re.compile("[ \t\n\r]+")
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
+#: Marks that a word may end in; none is part of a contraction or of a special token.
+MARKS = ".,;:!?*#$%&)]}"
+#: Letters by which byte-level vocabularies spell bytes: printable ones stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 CACHE_SCHEMA = "tokenizer string, content string, n_tokens bigint"
 
 
@@ -37,6 +44,39 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.known: dict[str, bytes] = {"": b""}
         self.most, self.longest = most, longest
+        # A lower-case word is one piece for the merges; whether they may be asked directly is tried out on some words.
+        self.direct = all(self._whole([w]) == [self._word(w)] for w in ("a", "word", "unforgettable", "élan", "straße", "ñandú", "œuvre"))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.library.model.tokenize(spelled)]).tobytes()
+
+    def _parts(self, chunk: str) -> tuple[str, str] | None:
+        """A lower-case Latin word and the marks after it, if the chunk is no more than that: two pieces for the tokenizer."""
+        word = chunk.rstrip(MARKS)
+        if self.direct and word.isalpha() and word == word.lower() and not BEYOND_LATIN.search(word):
+            return word, chunk[len(word) :]
+        return None
+
+    def _add(self, missing: list[str]) -> list[str]:
+        """Make ``missing`` known, and the words and marks in them; what has been added."""
+        parts = [(c, self._parts(c)) for c in missing]
+        odd = {c for c, p in parts if p is None} | {p[1] for _, p in parts if p and p[1] not in self.known}
+        added = list(odd)
+        self.known.update(zip(added, self._whole(added)))
+        for chunk, part in parts:
+            if part is not None:
+                word, marks = part
+                if word not in self.known:
+                    self.known[word] = self._word(word)
+                    added.append(word)
+                if marks:
+                    self.known[chunk] = self.known[word] + self.known[marks]
+                    added.append(chunk)
+        return added
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -46,14 +86,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.chunks(t) for t in texts]
-        missing = list(set().union(*split) - self.known.keys())
-        if missing:
-            found = self.library.encode_batch_fast(missing, add_special_tokens=False)
-            self.known.update((c, array("I", e.ids).tobytes()) for c, e in zip(missing, found))
+        added = self._add([c for c in set().union(*split) if c not in self.known])
         get = self.known.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
-        room = self.most - (len(self.known) - len(missing))
-        for i, chunk in enumerate(missing):
+        room = self.most - (len(self.known) - len(added))
+        for i, chunk in enumerate(added):
             if i >= room or len(chunk) > self.longest:
                 del self.known[chunk]
         return out
@@ -96,6 +133,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     one entry and come back as often as they came in. A null doc_id keeps its row. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce("text", F.lit(""))
     content = F.sha2(normalised(F.col("text")), 256)
