@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamella.llm.common import text_batches
+
 
 BINS = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -33,14 +35,19 @@ def features(text: str) -> np.ndarray:
 
 
 def codewords(n: int, bits: int = 15, seed: int = 7) -> np.ndarray:
-    """``n`` words of +-1, far apart: of many seeded draws the one with the largest smallest distance."""
+    """``n`` words of +-1, far apart: of many seeded draws the one with the largest smallest distance.
+
+    A bit that is the same for all languages tells nothing; it is turned for one of them.
+    """
     rng = np.random.default_rng(seed)
     best, apart = np.ones((n, bits)), -1
     for _ in range(400):
         code = rng.choice([-1.0, 1.0], size=(n, bits))
-        usable = n < 2 or not (np.abs(code.sum(axis=0)) == n).any()
+        turned, one = np.abs(code.sum(axis=0)) == n, rng.integers(max(n, 1), size=bits)
+        if n > 1:
+            code[one[turned], np.flatnonzero(turned)] *= -1
         distances = (bits - code @ code.T) / 2 + np.eye(n) * bits
-        if usable and distances.min() > apart:
+        if n and distances.min() > apart:
             best, apart = code, distances.min()
     return best
 
@@ -84,6 +91,7 @@ def train(docs: DataFrame, most_docs: int = 1600) -> Model:
     ``docs(doc_id, text, lang)`` holds what may be learned from. The bound keeps the driver's share fixed; it is the only
     sample in this module. Documents without a letter or a language are not used.
     """
+    text_batches(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())  # one row per language
     each = max(1, most_docs // max(1, len(languages)))
@@ -116,6 +124,7 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     told = docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
     return told.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")

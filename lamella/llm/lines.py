@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import broadcast_if_small, sliced, stored
+from lamella.llm.common import broadcast_if_small, sliced, stored, text_batches
 
 #: Lines of fewer words are no evidence of copying and always stay.
 LEAST_WORDS = 4
@@ -97,6 +97,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             columns += [pa.array([k[j] for k in keys], pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "c1", "c2", *KEYS])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, line int, c1 bigint, c2 bigint, " + ", ".join(f"{k} bigint" for k in KEYS))
 

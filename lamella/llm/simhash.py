@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamella.llm.common import components, cut
+from lamella.llm.common import components, cut, text_batches
 
 SEED = 42
 
@@ -39,6 +39,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype="<u8", count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view("<i8"))], names=["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of_batches, f"doc_id {kind}, fp bigint")
 
@@ -72,9 +73,12 @@ def links(prints: DataFrame, segments: int = 32) -> DataFrame:
     there proves a distance of at most 2. A finest cell has at most 65 members, so linking each to the smallest one is
     bounded work however large a group of near copies is, and no pairs of a group are listed.
     """
-    cells = prints.select("fp").distinct().select("fp", F.explode(grid_cells("fp", segments)).alias("cell"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes become many rows here, so the tasks are not left to be merged by size.
+    apart = prints.select("fp").distinct().repartition(parts, "fp")
+    cells = apart.select("fp", F.explode(grid_cells("fp", segments)).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    close = cells.join(shared, "cell", "left_semi").select("fp").distinct()
+    close = cells.join(shared, "cell", "left_semi").select("fp").distinct().repartition(parts, "fp")
     points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_bit(i))) for i in range(64)])
     exact = close.select("fp", F.explode(points).alias("point"))
     root = F.min("fp").over(Window.partitionBy("point"))

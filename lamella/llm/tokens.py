@@ -35,7 +35,7 @@ class ChunkEncoder:
     from one document to the next, so memory is bounded, and chunks beyond that are encoded anew for each group of texts.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
