@@ -84,7 +84,7 @@ def canonical_form(url: Column) -> Column:
     path = F.regexp_replace(path_of(url), r"(?:/index)?(?:\.html?)?/*$", "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     kept = F.regexp_replace(F.regexp_replace(query, rf"(?:^|&){TRACKING}(?=&|$)", ""), "^&", "")
-    return F.when(host != "", F.concat(F.lit("="), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    return F.when(host != "", F.concat(F.lit("="), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))  # no url starts so
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -99,18 +99,18 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     target = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     url = F.col("url")
-    of_page = F.array(
-        canonical_form(url),
+    named = F.array(
         F.when(html.rlike("(?i)canonical") & (href != ""), absolute(url, href)),
         F.when(html.rlike("(?i)http-equiv") & (target != ""), absolute(url, target)),
     )
-    edges = pages.where("url IS NOT NULL").select(url.alias("a"), F.explode(of_page).alias("b"))
+    links = pages.select(url.alias("a"), F.explode(named).alias("b"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    spelled = edges.where("b IS NOT NULL AND a <> b").distinct()
-    # Targets that no page has are joined to their own usual spelling too.
-    targets = spelled.where(F.col("b").contains("://")).select(F.col("b").alias("a"), canonical_form(F.col("b")).alias("b"))
-    return spelled.unionByName(targets.where("b IS NOT NULL")).distinct()
+        links = links.unionByName(redirects.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    links = links.where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    # Whatever is named, by a page or by a link, is tied to its usual spelling too.
+    every = pages.select(url.alias("a")).union(links.select("a")).union(links.select("b")).distinct()
+    spelled = every.select("a", canonical_form(F.col("a")).alias("b")).where("b IS NOT NULL")
+    return links.unionByName(spelled)
 
 
 def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -124,7 +124,7 @@ def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = N
     """
     edges = cut(alias_edges(pages.select("url", "html"), redirects))
     members = components(edges)
-    urls = pages.select("url").unionByName(members.where(F.col("node").contains("://")).select(F.col("node").alias("url")))
+    urls = pages.select("url").unionByName(members.where(~F.col("node").startswith("=")).select(F.col("node").alias("url")))
     ruled = cut(with_rule(urls, rules))
     blocked = (
         members.join(ruled.where("ruled = 'block'").select(F.col("url").alias("node")), "node", "left_semi").select("component").distinct()
