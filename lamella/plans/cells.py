@@ -130,12 +130,10 @@ def p13_quadrant(d):
     return P.quadrant(d.fx_candidates, 600, 900, "cy", "cx").select("cand_id", "quadrant", "local_y", "local_x")
 
 
-@query("""SELECT vec_id, y + dy AS y, x + dx AS x, v FROM (SELECT *, CASE WHEN vec_id % 2 = 0 THEN -1 ELSE 1 END::BIGINT AS dy, 0::BIGINT AS dx FROM fx_pixels)
-WHERE y + dy BETWEEN 0 AND CASE WHEN vec_id % 2 = 0 THEN 5 ELSE 5 END AND vec_id % 2 = 0
-UNION ALL SELECT vec_id, y AS y, x + 2 AS x, v FROM fx_pixels WHERE vec_id % 2 = 1 AND x + 2 < 12 AND y < 6 AND false""")
+@query("SELECT vec_id, y - 1 AS y, x + 2 AS x, v FROM fx_pixels WHERE y BETWEEN 1 AND 6")
 def p14_conform(d):
-    planes = d.fx_pixels.filter("vec_id % 2 = 0").withColumns({"h": F.lit(8), "w": F.lit(8)})
-    return P.conform(planes, 6, 8).select("vec_id", "y", "x", "v")
+    """Planes of 8 by 8 cropped to 6 rows and padded to 12 columns."""
+    return P.conform(d.fx_pixels.withColumns({"h": F.lit(8), "w": F.lit(8)}), 6, 12).select("vec_id", "y", "x", "v")
 
 
 @query("SELECT vec_id, y, x, v FROM fx_pixels WHERE y % 4 = 0 AND x % 4 = 0")
@@ -262,24 +260,24 @@ def a5_consensus_type(d):
     return consensus(d).drop("composition")
 
 
-PAIRED = """a AS (SELECT core, slice_id, count(*) AS n FROM fx_cells WHERE cell_id % 50 < 3 GROUP BY 1, 2), b AS (SELECT core, slice_id, count(*) AS n FROM fx_cells WHERE cell_id % 70 = 5 GROUP BY 1, 2)"""
+PAIRED = """a AS (SELECT core, slice_id, count(*) AS n FROM fx_cells WHERE area_px < 20 GROUP BY 1, 2), b AS (SELECT core, slice_id, count(*) AS n FROM fx_cells WHERE area_px > 395 GROUP BY 1, 2)"""
 
 
 @query(f"WITH {PAIRED} SELECT coalesce(a.core, b.core) AS core, coalesce(a.slice_id, b.slice_id) AS slice_id, a.n AS n_2d, b.n AS n_3d, b.n - a.n AS n_delta FROM a FULL JOIN b ON a.core = b.core AND a.slice_id = b.slice_id")
 def j3_compare_pairs(d):
     count = lambda where: d.fx_cells.filter(where).groupBy("core", "slice_id").agg(F.count("*").alias("n"))
-    return J.compare_pairs(count("cell_id % 50 < 3"), count("cell_id % 70 = 5"), ["core", "slice_id"], ["n"])
+    return J.compare_pairs(count("area_px < 20"), count("area_px > 395"), ["core", "slice_id"], ["n"])
 
 
 @query(f"WITH {PAIRED} SELECT core, slice_id, a.n AS n_2d, b.n AS n_3d, b.n - a.n AS n_delta FROM a JOIN b USING (core, slice_id)")
 def j3_complete_pairs(d):
     count = lambda where: d.fx_cells.filter(where).groupBy("core", "slice_id").agg(F.count("*").alias("n"))
-    return J.compare_pairs(count("cell_id % 50 < 3"), count("cell_id % 70 = 5"), ["core", "slice_id"], ["n"], complete=True)
+    return J.compare_pairs(count("area_px < 20"), count("area_px > 395"), ["core", "slice_id"], ["n"], complete=True)
 
 
-@query("SELECT cell_type, count(*) AS n FROM fx_cells WHERE core = 1 GROUP BY 1 HAVING count(*) >= 10")
+@query("SELECT core, slice_id, cell_type, count(*) AS n FROM fx_cells GROUP BY 1, 2, 3 HAVING count(*) >= 10")
 def a11_valid_types(d):
-    return A.valid_types(d.fx_cells.filter("core = 1"))
+    return A.valid_types(d.fx_cells, keys=["core", "slice_id"])
 
 
 @query("""SELECT core, cluster_id AS cell_id_3d, min(slice_id) AS z_min, max(slice_id) AS z_max, max(slice_id) - min(slice_id) + 1 AS z_span_slices, count(*) AS n_2d_segments,

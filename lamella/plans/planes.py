@@ -221,14 +221,14 @@ def m15_score_pairs(d):
     return rounded(rounded(both, "ncc"), "mse", digits=9).select("core", "z", "mse", "ncc", "stage")
 
 
-@query("SELECT core, slice_z, floor(v * 1000)::BIGINT AS level, count(*) AS n FROM fx_pixels WHERE v BETWEEN -0.05 AND 0.05 GROUP BY 1, 2, 3")
+@query("SELECT core, slice_z, floor(v * 1000)::BIGINT AS level, count(*) AS n FROM fx_pixels GROUP BY 1, 2, 3")
 def s9_pixels(d):
     """Planes stored as one array per vector, as pixel rows."""
     from lamella.sources.pixels import pixels
 
     planes = d.embeddings.select(F.floor(F.col("vec_id") / 20).alias("core"), (F.col("vec_id") % 20).alias("slice_z"), F.col("embedding").cast("array<double>").alias("values"))
     rows = pixels(planes, width=8, keys=PLANE)
-    return rows.filter("v BETWEEN -0.05 AND 0.05").groupBy(*PLANE, F.floor(F.col("v") * 1000).alias("level")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*PLANE, F.floor(F.col("v") * 1000).alias("level")).agg(F.count("*").alias("n"))
 
 
 def tissue_threshold(d):

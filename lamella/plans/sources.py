@@ -80,14 +80,15 @@ def j6_attach_tre(d):
     return J.attach_tre(images, stats)
 
 
-@query("SELECT core::VARCHAR AS core, 's' || slice_id::VARCHAR AS file, cluster_id::INTEGER AS landmark_idx, min(cx)::DOUBLE AS x, min(cy)::DOUBLE AS y FROM fx_cells WHERE cluster_id < 40 GROUP BY 1, 2, 3")
+@query("SELECT core::VARCHAR AS core, 's' || slice_id::VARCHAR AS file, cluster_id::INTEGER AS landmark_idx, min(cx)::DOUBLE AS x, min(cy)::DOUBLE AS y FROM fx_cells GROUP BY 1, 2, 3")
 def s4_read_trajectories(d):
     """Landmarks written as JSON per core and read again: places in the document are the landmark numbers."""
     import pyspark.sql.types as T
 
-    marks = d.fx_cells.filter("cluster_id < 40").groupBy("core", "slice_id", "cluster_id").agg(F.min("cx").cast("double").alias("x"), F.min("cy").cast("double").alias("y"))
+    marks = d.fx_cells.groupBy("core", "slice_id", "cluster_id").agg(F.min("cx").cast("double").alias("x"), F.min("cy").cast("double").alias("y"))
     named = marks.select(F.col("core").cast("string").alias("core"), F.concat(F.lit("s"), "slice_id").alias("file"), F.col("cluster_id").cast(T.IntegerType()).alias("landmark_idx"), "x", "y")
-    grid = named.select("core", "file").distinct().withColumn("landmark_idx", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    last = named.groupBy("core", "file").agg(F.max("landmark_idx").alias("last"))
+    grid = last.select("core", "file", F.explode(F.sequence(F.lit(0), "last")).alias("landmark_idx"))
     dense = grid.join(named, ["core", "file", "landmark_idx"], "left").fillna({"x": float("nan"), "y": float("nan")})
     return L.read_trajectories(L.write_trajectories(dense))
 
