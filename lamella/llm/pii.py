@@ -25,7 +25,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; the test is far cheaper than the patterns.
-HINT = rf"[0-9@]|(?i:passw|pwd|token|secret|api[_-]?key)|(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]"
+HINT = rf"[0-9@=:]|(?<!\p{{L}})(?=[MHSFDPГ])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]\p{{Lu}}"
 #: Scripts whose letters are kept: surrogate letters come from the alphabet of the letter they replace.
 ALPHABETS = {
     "Latin": ("abcdefghijklmnopqrstuvwxyz", r"\p{IsLatin}"),
@@ -39,10 +39,14 @@ _SYLLABLES = {
 }
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text may have an entity; not for null."""
+    return F.coalesce(text.rlike(HINT), F.lit(False))
+
+
 def entities(text: Column) -> Column:
-    """Matches of any pattern, left to right; none for null."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    """Matches of any pattern, left to right."""
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -214,15 +218,17 @@ def with_surrogates(docs: DataFrame, key: str = "lamella") -> DataFrame:
     columns pass through; an empty table gives an empty result.
     """
     names = [c for c in docs.columns if c != "text"]
-    marked = docs.select(F.struct(*names).alias("own") if names else F.struct(F.lit(0)).alias("own"), "text", entities(F.col("text")).alias("found"))
+    whole = docs.select(F.struct(*names).alias("own") if names else F.struct(F.lit(0)).alias("own"), "text")
     key_of = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text"))
-    holders = cut(marked.where(F.size("found") > 0).select(key_of.alias("k"), F.explode(F.array_distinct("found")).alias("entity")).distinct())
-    known = replacements(holders.select("entity"), key)
-    maps = holders.join(known, "entity").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("replacement", "kind")))).alias("new"))
-    clean = marked.where("found IS NULL OR size(found) = 0").select("own", "text", F.lit(0).alias("n_entities"))
-    pieces = F.split("text", ANY, -1)
-    swapped = F.transform("found", lambda e: F.coalesce(F.element_at("new", e)["replacement"], e))
-    text = F.when(F.col("new").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(pieces, swapped, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), ""))
-    count = F.when(F.col("new").isNull(), 0).otherwise(F.size(F.filter("found", lambda e: F.element_at("new", e).isNotNull())))
-    dirty = marked.where(F.size("found") > 0).withColumn("k", key_of).join(maps, "k", "left").select("own", text.alias("text"), count.alias("n_entities"))
+    suspect = whole.where(hinted(F.col("text"))).select("own", "text", key_of.alias("k"))
+    # The patterns run once; copies of a text share its entities.
+    found = cut(suspect.select("k", F.posexplode(entities(F.col("text"))).alias("i", "entity")).distinct())
+    known = replacements(found.select("entity"), key)
+    swapped = found.join(known, "entity", "left").select("k", F.struct("i", F.coalesce("replacement", "entity").alias("new"), F.col("kind").isNotNull().alias("swapped")).alias("s"))
+    per_text = cut(swapped.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s")))
+    pieces = F.zip_with(F.split("text", ANY, -1), "s", lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit(""))))
+    text = F.when(F.col("s").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    count = F.coalesce(F.size(F.filter("s", lambda e: e["swapped"])), F.lit(0))
+    dirty = suspect.join(per_text, "k", "left").select("own", text.alias("text"), F.when(F.col("s").isNull(), 0).otherwise(count).alias("n_entities"))
+    clean = whole.where(~hinted(F.col("text"))).select("own", "text", F.lit(0).alias("n_entities"))
     return clean.unionByName(dirty).select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_entities")
