@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.common import stored
+from lamella.llm.common import broadcast_if_small, stored, text_batches
 
 #: A sentence ends after closing punctuation before white space, or at a line end.
 END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)\s*|\n\s*")
 #: A span is at least so many sentences and words; a sentence longer than LONGEST words counts as several.
 SENTENCES, WORDS, LONGEST = 2, 16, 25
+#: So many keys of 8 bytes are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 _WORD = re.compile(r"\S+")
 
 
@@ -69,6 +71,7 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(past, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "first", "past", "h1", "h2"])
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return keyed.mapInArrow(emit, f"doc_id {kind}, text_key bigint, first int, past int, h1 bigint, h2 bigint")
@@ -77,9 +80,13 @@ def span_hashes(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, first, past): the non-first occurrences, by (doc_id, place), of spans that occur repeatedly."""
     every = stored(span_hashes(docs), "spans")
+    # Most spans occur once. Half a hash tells which may not, and only those take part in the exact grouping.
+    often = stored(every.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "span-keys")
+    again = stored(every.join(broadcast_if_small(often, BROADCAST_KEYS), "h1", "left_semi"), "spans-again")
     place = F.struct("doc_id", "first", "text_key")
-    groups = every.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = every.join(groups, ["h1", "h2"])
+    groups = again.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Stored, so that the join shuffles both sides and a passage of a third of all documents can be split.
+    met = again.join(stored(groups, "span-groups"), ["h1", "h2"])
     return met.where("NOT (struct(doc_id, first, text_key) <=> kept)").select("doc_id", "text_key", "first", "past")
 
 
