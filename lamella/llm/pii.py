@@ -14,8 +14,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
 #: Entity patterns by type, the first that fits a match deciding its type.
 PATTERNS = {
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "SECRET": r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
+    "EMAIL": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}[\p{L}\p{M}]+",
+    "SECRET": r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}",
     "KEY": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
@@ -26,12 +26,23 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; the test is far cheaper than the patterns.
 HINT = rf"[0-9@=:]|(?<!\p{{L}})(?=[MHSFDPГ])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]\p{{Lu}}"
-#: Scripts whose letters are kept: surrogate letters come from the alphabet of the letter they replace.
+#: Scripts whose letters are kept: surrogate letters come from the alphabet of the letter they replace; letters and marks
+#: of other scripts become Latin ones.
 ALPHABETS = {
     "Latin": ("abcdefghijklmnopqrstuvwxyz", r"\p{IsLatin}"),
     "Cyrillic": ("абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsCyrillic}"),
     "Greek": ("αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsGreek}"),
+    "Han": ("安白北本长成大东方风高光海和花江金京林明南平青山水天文西新云", r"\p{IsHan}"),
+    "Hiragana": ("あいうえおかきくけこさしすせそたちつてとなにのはひまみやゆらりる", r"\p{IsHiragana}"),
+    "Katakana": ("アイウエオカキクケコサシスセソタチツテトナニノハヒマミヤユラリル", r"\p{IsKatakana}"),
+    "Hangul": ("가나다라마바사아자차카타파하고노도로모보소오조구누두루무부수우주", r"\p{IsHangul}"),
+    "Arabic": ("ابتثجحدرزسشصطعغفقكلمنهوي", r"\p{IsArabic}"),
+    "Hebrew": ("אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsHebrew}"),
 }
+#: From this draw on a value may leave its form: too few others of the same form are free.
+WIDER = 2
+#: Draws after which the ledger gives up; every draw halves the conflicts at least, unless a form is used up.
+MOST_DRAWS = 64
 _SYLLABLES = {
     "Latin": ("ba be bi bo da de di do fa fe ga go ka ke ki la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si ta te ti va ve", "o a en"),
     "Cyrillic": ("ба бе би бо да де ди до за зе ка ке ки ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се си та те ти ва ве", "ин ина ен"),
@@ -95,25 +106,23 @@ def _hash(key: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
 
-def _byte(seed: Column, i: Column, at_most: int) -> Column:
+def _byte(seed: Column, i: Column, at_most: int | Column) -> Column:
     """A number below ``at_most`` from place ``i`` of a seed of 64 hexadecimal digits, mixed with the place."""
     part = F.conv(F.substring(seed, F.pmod(i * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
     return F.pmod(part + i * 131, F.lit(at_most))
 
 
 def _filled(value: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
-    """``value`` with digits for digits and letters for letters of the same script and case; the rest stays."""
+    """``value`` with digits for digits and letters for letters of the same case and, where known, script; punctuation stays."""
 
     def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("^[0-9]$"), _byte(seed, i, 10).cast("string"))
-        low = c == F.lower(c)
+        among = F.when(c.rlike(r"^\p{N}$"), F.lit("0123456789"))
         if hexadecimal is not None:
-            letter = F.substring(F.lit("abcdef"), _byte(seed, i, 6) + 1, F.lit(1))
-            out = out.when(hexadecimal & c.rlike("^[a-fA-F]$"), F.when(low, letter).otherwise(F.upper(letter)))
-        for alphabet, pattern in ALPHABETS.values():
-            letter = F.substring(F.lit(alphabet), _byte(seed, i, len(alphabet)) + 1, F.lit(1))
-            out = out.when(c.rlike(f"^{pattern}$"), F.when(low, letter).otherwise(F.upper(letter)))
-        return out.otherwise(c)
+            among = among.when(hexadecimal & c.rlike("^[a-fA-F]$"), F.lit("abcdef"))
+        for alphabet, pattern in [*ALPHABETS.values(), (ALPHABETS["Latin"][0], r"[\p{L}\p{M}]")]:
+            among = among.when(c.rlike(f"^{pattern}$"), F.lit(alphabet))
+        drawn = F.transform(F.array(among), lambda a: F.substring(a, _byte(seed, i, F.length(a)) + 1, F.lit(1)))
+        return F.element_at(F.transform(drawn, lambda d: F.when(d.isNull(), c).when(c == F.lower(c), d).otherwise(F.upper(d))), 1)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -134,8 +143,14 @@ def _name(canon: Column, seed: Column, attempt: Column, ending: int) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Surrogate of an atom in its canonical form; another one for every ``attempt``."""
+    """Surrogate of an atom in its canonical form; another one for every ``attempt``.
+
+    From attempt WIDER on, mail addresses and secrets end in ever more hashed characters, so that values with few or no
+    letters and digits find one, and private networks move to the largest one.
+    """
     seed = _hash(key, kind, canon, attempt)
+    wide = attempt >= WIDER
+    tail = F.when(wide, F.substring(seed, F.lit(1), attempt + 2)).otherwise("")
     numbers = _filled(canon, seed)
     payload = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(numbers, F.lit(2), F.length(canon) - 2))
     card = F.concat(payload, F.pmod(-luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string"))
@@ -143,11 +158,13 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     phone = F.concat(F.substring(canon, F.lit(1), phone_code), F.substring(numbers, phone_code + 1, F.lit(10)))
     octets = F.split(canon, r"\.")
     private = canon.rlike(r"^(?:10|127|192\.168)\.")
-    ip = F.array_join(F.transform(octets, lambda o, i: F.when(private & (i < F.when(canon.startswith("192"), 2).otherwise(1)), o).otherwise((_byte(seed, i * 4, 254) + 1).cast("string"))), ".")
+    octet = lambda i: (_byte(seed, F.lit(i * 4), 254) + 1).cast("string")
+    moved = F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
+    ip = F.when(private & wide, moved).otherwise(F.array_join(F.transform(octets, lambda o, i: F.when(private & (i < F.when(canon.startswith("192"), 2).otherwise(1)), o).otherwise((_byte(seed, i * 4, 254) + 1).cast("string"))), "."))
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     host, suffix = F.regexp_extract(domain, r"^(.*)\.", 1), F.substring_index(domain, ".", -1)
-    mail = F.concat(_filled(local, seed), F.lit("@"), _filled(host, _hash(key, "DOMAIN", domain)), F.lit("."), suffix)
-    secret = _filled(canon, seed, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    mail = F.concat(_filled(local, seed), tail, F.lit("@"), _filled(host, _hash(key, "DOMAIN", domain)), F.lit("."), suffix)
+    secret = F.concat(_filled(canon, seed, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), tail)
     aws = F.concat(F.lit("AKIA"), _filled(F.substring(canon, F.lit(5), F.lit(16)), seed))
     return (
         F.when(kind == "EMAIL", mail)
@@ -168,12 +185,14 @@ def ledger(atoms: DataFrame, key: str) -> DataFrame:
     """``(kind, canon, replacement)`` for the distinct ``atoms(kind, canon)``, one replacement to one value.
 
     While two values of a type share a replacement, or a replacement is itself a value found in the corpus, all but the
-    smallest of them draw again. Only those in conflict are drawn anew, so rounds get smaller fast.
+    smallest of them draw again. Only those in conflict are drawn anew, so rounds get smaller fast; a corpus that uses up
+    a form (such as most numbers of nine digits) is an error after MOST_DRAWS draws.
     """
-    drawn = lambda df: df.withColumn("replacement", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+    replacement = surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)
+    drawn = lambda df: df.withColumn("replacement", replacement)
     current = cut(drawn(atoms.distinct().withColumn("attempt", F.lit(0))))
     originals = current.select("kind", F.col("canon").alias("replacement"))
-    while True:
+    for _ in range(MOST_DRAWS):
         shared = current.groupBy("kind", "replacement").agg(F.count("*").alias("n"), F.min("canon").alias("owner")).where("n > 1").drop("n")
         twice = current.join(shared, ["kind", "replacement"]).where("canon <> owner").select("kind", "canon")
         taken = current.join(originals, ["kind", "replacement"], "left_semi").select("kind", "canon")
@@ -182,6 +201,7 @@ def ledger(atoms: DataFrame, key: str) -> DataFrame:
             return current.select("kind", "canon", "replacement")
         again = current.join(losers, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         current = cut(current.join(losers, ["kind", "canon"], "left_anti").unionByName(drawn(again)))
+    raise RuntimeError(f"no free replacements after {MOST_DRAWS} draws")
 
 
 def _dressed(entity: Column, kind: Column, new: Column) -> Column:
@@ -190,7 +210,7 @@ def _dressed(entity: Column, kind: Column, new: Column) -> Column:
     chars = F.split(entity, "")
     before = lambda i: F.length(_digits(F.substring(entity, F.lit(1), i + 1)))
     numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(first, before(i), F.lit(1))).otherwise(c)), "")
-    mail = F.when(entity == F.upper(entity), F.upper(first)).otherwise(first)
+    mail = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(first)).otherwise(first)
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(_secret(entity)))
     name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(new, F.initcap), " "))
     return F.when(kind == "NAME", name).when(kind == "EMAIL", mail).when(kind == "SECRET", F.concat(head, first)).when(kind.isin("CARD", "PHONE", "SSN"), numbers).otherwise(first)

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lamella.llm import pii
 
 
@@ -71,3 +73,23 @@ def test_collisions_are_redrawn(spark):
     rows = pii.ledger(ips.union(names), "k").collect()
     assert len(rows) == 6000 and len({(r.kind, r.replacement) for r in rows}) == 6000
     assert not {(r.kind, r.replacement) for r in rows} & {(r.kind, r.canon) for r in rows}
+
+
+def test_every_redraw_ends(spark):
+    """Values that have few or no other values of their form."""
+    texts = ["Password: ____________ here", "token = --------", "write 王小明@例子.公司 now", "or محمد@مثال.شركة", "or राम.٣@उदाहरण.भारत", "a王@例b.com or ____@1.com"]
+    texts += [f"token = --------{c}" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{c}@b.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert got[:2] == texts[:2] and [r.n_entities for r in rows] == [0, 0, 1, 1, 1, 2] + [1] * 52
+    assert not set("王小明例子") & set(got[2]) and re.fullmatch(r"write [\u4e00-\u9fff]{3}@[\u4e00-\u9fff]{2}\.公司 now", got[2])
+    assert re.fullmatch(r"or [\u0600-\u06ff]{4}@[\u0600-\u06ff]{4}\.شركة", got[3]) and got[3] != texts[3]
+    assert not set("राम٣उदहण") & set(got[4].split("@")[0] + got[4].split("@")[1].split(".")[0])
+    assert not set("王例") & set(got[5]) and "____@1.com" not in got[5]
+    assert len(set(got)) == len(got) and not set(got[2:]) & set(texts)
+
+
+def test_a_used_up_network_moves(spark):
+    ips = spark.createDataFrame([("192.168.7.9", 0), ("192.168.7.9", pii.WIDER)], "canon string, attempt int")
+    rows = ips.select(pii.surrogate(F.lit("IP"), F.col("canon"), F.col("attempt"), "k")).collect()
+    assert [r[0].split(".")[0] for r in rows] == ["192", "10"]
