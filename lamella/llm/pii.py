@@ -12,13 +12,25 @@ _FEMALE = r"(?:Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Signora|Г
 _NEUTRAL = r"(?:Dr|Prof|Mx)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
+#: Phone numbers with a country code and 8 to 15 digits, groups apart or not; then national forms: North American, French,
+#: Spanish, and those with an area code after a trunk 0 (British, German).
+_PHONES = (
+    r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    r"(?<![0-9+])\+(?:[1-9][0-9]{7,14}|[1-9][0-9]{0,2}[ ./-]?\([0-9]{1,5}\)(?:[ ./-]?[0-9]){6,10}|[1-9](?:[ ./-]?[0-9]){7,14})(?![0-9])",
+    r"(?<![0-9+])(?<![0-9][.,])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9+])(?<![0-9][.,])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})(?![0-9])",
+    r"(?<![0-9+])(?<![0-9][.,])[6-9](?:[0-9]{2} [0-9]{2} [0-9]{2} [0-9]{2}|[0-9] [0-9]{3} [0-9]{2} [0-9]{2})(?![0-9])",
+    r"(?<![0-9+])(?<![0-9][.,])(?!(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9]))(?:0[1-9][0-9]{1,4}(?: ?/ ?| |-)|\(0[1-9][0-9]{1,4}\) ?)(?:[0-9]{6,8}|[0-9]{3,4}[ -][0-9]{3,4}|[0-9]{3} [0-9]{2} [0-9]{2}|[0-9]{2}(?: [0-9]{2}){2,3})(?![0-9])",
+)
+#: Country codes: of one, two and, for all others, three digits.
+_COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Entity patterns by type, the first that fits a match deciding its type.
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}[\p{L}\p{M}]+",
     "SECRET": r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}",
     "KEY": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "PHONE": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "PHONE": "|".join(_PHONES),
     "CARD": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "IP": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "NAME": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,2}}",
@@ -86,14 +98,14 @@ def kind_of(entity: Column) -> Column:
 def atoms_of(entity: Column, kind: Column) -> Column:
     """The parts of an entity that get a surrogate of their own, as (atom type, canonical value).
 
-    Spelling does not matter: mail addresses are lower-cased and numbers stripped of punctuation. Words of a name are parts,
+    Spelling does not matter: mail addresses are lower-cased and numbers stripped of punctuation but the + of a country code. Words of a name are parts,
     so that "Mr. Ann Lee" and "Mr. Lee" keep their surname; the first of several words is a given name of the title's gender.
     """
     title = F.regexp_extract(entity, r"^(\S+) ", 1)
     gender = F.when(title.rlike(rf"^{_MALE}\.?$"), "M").when(title.rlike(rf"^{_FEMALE}\.?$"), "F").otherwise("N")
     words = F.slice(F.split(entity, " "), 2, 10)
     of_name = F.transform(words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("GIVEN_"), gender)).otherwise("SURNAME").alias("kind"), F.lower(w).alias("canon")))
-    canon = F.when(kind == "EMAIL", F.lower(entity)).when(kind.isin("CARD", "PHONE", "SSN"), _digits(entity)).when(kind == "SECRET", _secret(entity)).otherwise(entity)
+    canon = F.when(kind == "EMAIL", F.lower(entity)).when(kind == "PHONE", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("CARD", "SSN"), _digits(entity)).when(kind == "SECRET", _secret(entity)).otherwise(entity)
     return F.when(kind == "NAME", of_name).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
@@ -154,8 +166,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     numbers = _filled(canon, seed)
     payload = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(numbers, F.lit(2), F.length(canon) - 2))
     card = F.concat(payload, F.pmod(-luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string"))
-    phone_code = F.greatest(F.length(canon) - 10, F.lit(0))
-    phone = F.concat(F.substring(canon, F.lit(1), phone_code), F.substring(numbers, phone_code + 1, F.lit(10)))
+    phone_code = F.length(F.regexp_extract(canon, rf"^(?:{_COUNTRY}|0)?", 0))
+    phone = F.concat(F.substring(canon, F.lit(1), phone_code), F.substring(numbers, phone_code + 1, F.length(canon)))
     octets = F.split(canon, r"\.")
     private = canon.rlike(r"^(?:10|127|192\.168)\.")
     octet = lambda i: (_byte(seed, F.lit(i * 4), 254) + 1).cast("string")
@@ -207,9 +219,10 @@ def ledger(atoms: DataFrame, key: str) -> DataFrame:
 def _dressed(entity: Column, kind: Column, new: Column) -> Column:
     """The surrogates ``new`` of an entity's atoms in the spelling of the entity."""
     first = F.get(new, F.lit(0))
+    digits = _digits(first)
     chars = F.split(entity, "")
     before = lambda i: F.length(_digits(F.substring(entity, F.lit(1), i + 1)))
-    numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(first, before(i), F.lit(1))).otherwise(c)), "")
+    numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), "")
     mail = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(first)).otherwise(first)
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(_secret(entity)))
     name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(new, F.initcap), " "))
@@ -233,7 +246,7 @@ def with_surrogates(docs: DataFrame, key: str = "lamella") -> DataFrame:
     social security numbers, IPv4 addresses and names after a title. A replacement depends on ``key``, type and value
     alone, but for rare redraws: the same value gets the same one in all documents whatever its spelling, different values
     get different ones, and none is a value that the corpus has. Digits, letters, case, script, punctuation, check digits,
-    the first digit of a card, country codes, private networks, top-level domains, titles and gender are kept. The text
+    the first digit of a card, country codes, a trunk 0, private networks, top-level domains, titles and gender are kept. The text
     between entities is untouched. Null texts stay null; repeated rows stay alike; ids may be null or repeat; other
     columns pass through; an empty table gives an empty result.
     """

@@ -93,3 +93,19 @@ def test_a_used_up_network_moves(spark):
     ips = spark.createDataFrame([("192.168.7.9", 0), ("192.168.7.9", pii.WIDER)], "canon string, attempt int")
     rows = ips.select(pii.surrogate(F.lit("IP"), F.col("canon"), F.col("attempt"), "k")).collect()
     assert [r[0].split(".")[0] for r in rows] == ["192", "10"]
+
+
+def test_phone_forms(spark):
+    numbers = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+49 (0)30 1234567", "+49-30/1234567", "555 123 4567", "(555) 123-4567", "+15551234567", "+1 (999) 555-9999", "+351 912 345 678"]
+    numbers += ["01 23 45 67 89", "01.23.45.67.89", "020 7946 0958", "07700 900123", "(020) 7946 0958", "030/1234567", "0171 123 4567", "912 34 56 78", "91 234 56 78"]
+    plain = ["on 01.02.2024 10:15 and 2024-01-01", "1 234 567 or 12 345 678 people", "3.14159265 or 0.123 456 7890", "IBAN 12 3456", "pages 012 345", "UTC+01:00"]
+    texts = [f"call {n}, or write" for n in numbers] + plain
+    rows = pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    got = [r.text for r in rows]
+    assert [r.n_entities for r in rows] == [1] * len(numbers) + [0] * len(plain) and got[len(numbers) :] == plain
+    for old, new in zip(texts[: len(numbers)], got):
+        assert old != new and re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new)
+    for n, code in zip(numbers, ("+44", "+33", "+49", "+49", "+49", "", "", "+1", "+1", "+351", "0", "0", "0", "0", "(0", "0", "0")):
+        assert got[numbers.index(n)].startswith(f"call {code}")
+    plus = lambda s: re.sub(r"[^0-9+]", "", s)
+    assert plus(got[2]) == plus(got[4]) and plus(got[12]) == plus(got[14])
