@@ -60,7 +60,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.without_repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+    return spans.without_repeated_spans(_table(spark, sf_dir, "documents"), tails=True).select("doc_id", "text", "n_removed")
 
 
 QUERIES = {

@@ -52,8 +52,14 @@ def runs(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
     return out
 
 
-def span_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, first, past, h1, h2) for every span of every text."""
+def runs_to(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
+    """(first, past) for every end: the shortest run of sentences up to there with enough sentences and words."""
+    n = len(parts)
+    return [(n - past, n - first) for first, past in runs(parts[::-1])]
+
+
+def span_hashes(docs: DataFrame, tails: bool = False) -> DataFrame:
+    """(doc_id, text_key, first, past, h1, h2) for every span of every text; with ``tails`` also those of every end."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +67,7 @@ def span_hashes(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(2)):
                 parts = sentences(text.as_py() or "")
                 joined = [" ".join(w) for _, _, w in parts]
-                for a, b in runs(parts):
+                for a, b in sorted({*runs(parts), *runs_to(parts)}) if tails else runs(parts):
                     whole = xxhash.xxh3_128_intdigest(" ".join(joined[a:b]).encode("utf-8", "surrogatepass"))
                     at.append(i), first.append(a), past.append(b)
                     h1.append((whole >> 64) - (1 << 63)), h2.append((whole & ((1 << 64) - 1)) - (1 << 63))
@@ -74,9 +80,9 @@ def span_hashes(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(emit, f"doc_id {kind}, text_key bigint, first int, past int, h1 bigint, h2 bigint")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
     """(doc_id, text_key, first, past): the non-first occurrences, by (doc_id, place), of spans that occur repeatedly."""
-    every = stored(span_hashes(docs), "spans")
+    every = stored(span_hashes(docs, tails), "spans")
     place = F.struct("doc_id", "first", "text_key")
     groups = every.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = every.join(groups, ["h1", "h2"])
@@ -89,16 +95,17 @@ def drop_sentences(text: str, covered: list[int]) -> str:
     return "".join(text[a:b] for i, (a, b, _) in enumerate(sentences(text)) if i not in gone)
 
 
-def without_repeated_spans(docs: DataFrame) -> DataFrame:
+def without_repeated_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
     """``docs`` with sentences inside non-first repeated spans taken out of ``text``, and their number n_removed.
 
     A span is the shortest run of sentences from its start with SENTENCES sentences and WORDS words; case and spacing do
-    not count. Of equal spans in all documents, or at two places of one, the first by (doc_id, place) stays. Null and
+    not count. With ``tails`` the shortest run up to each sentence is a span too, so that short closing sentences of a
+    repeated passage go with it. Of equal spans in all documents, or at two places of one, the first by (doc_id, place) stays. Null and
     empty texts have no sentence and stay as they are, and a document stays even if no sentence does. Null ids come
     first in order. Repeated rows (same id and text) are one occurrence and stay alike. Other columns pass through; an
     empty table gives an empty result.
     """
-    covered = repeated_spans(docs).select("doc_id", "text_key", F.explode(F.sequence("first", F.col("past") - 1)).alias("i"))
+    covered = repeated_spans(docs, tails).select("doc_id", "text_key", F.explode(F.sequence("first", F.col("past") - 1)).alias("i"))
     gone = covered.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("i").alias("gone"))
     names = [c for c in docs.columns if c != "text"]
     own = docs.select(F.struct(*names).alias("own"), "text")

@@ -1,6 +1,6 @@
 import random
 
-from lamella.llm import spans
+from lamella.llm import queries, spans
 
 
 def brute(docs):
@@ -66,3 +66,22 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in spans.without_repeated_spans(df).collect()) == [(1, text), (1, text), (2, "")]
     assert spans.without_repeated_spans(df.limit(0)).count() == 0
+
+
+def test_short_closing_sentences_go(spark):
+    """Sentences of 20, 20, 5 and 4 words, repeated at the end of a text, before other text and by the registered query."""
+    said = [" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 20), ("b", 20), ("c", 5), ("d", 4))]
+    passage = " ".join(said)
+    docs = [(1, passage), (2, passage), (3, passage + " Then other words follow here, more than sixteen of them in all, so that runs reach into this text.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(df, tails=True).collect()}
+    assert got[1] == (passage, 0) and got[2] == ("", 4)
+    assert got[3] == (docs[2][1][len(passage) + 1 :], 4)
+    parts = spans.sentences(passage)
+    assert spans.runs(parts) == [(0, 2), (1, 3)] and spans.runs_to(parts)[::-1] == [(0, 2), (1, 3), (1, 4)]
+
+
+def test_the_query_takes_tails(spark, tmp_path):
+    text = " ".join(" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 20), ("b", 20), ("c", 5), ("d", 4)))
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()) == [(1, text, 0), (2, "", 4)]
