@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import broadcast_if_small, sliced, stored, text_batches
 
-#: Lines of fewer words are no evidence of copying and always stay.
+#: Lines of fewer words always stay, unless the caller asks for less.
 LEAST_WORDS = 4
 #: From so many words on a line may differ from an earlier one by an edit (a word put in, left out or replaced).
 EDIT_WORDS = 8
@@ -79,7 +79,7 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, line, c1, c2, half keys) for every line of enough words; c1 and c2 digest its words."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(1)):
                 for j, line in enumerate((text.as_py() or "").split("\n")):
                     words = line_words(line)
-                    if len(words) >= LEAST_WORDS:
+                    if len(words) >= least_words:
                         x, y = _two(" ".join(words))
                         at.append(i), line_no.append(j), c1.append(x), c2.append(y)
                         keys.append([k[1] for k in part_keys(words, 2)] if len(words) >= EDIT_WORDS else none)
@@ -172,9 +172,9 @@ def near_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(verify, f"c1 bigint, c2 bigint, kept {place}").groupBy("c1", "c2").agg(F.min("kept").alias("kept"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, line, kept): the lines to remove, by number from 0, and where the line that stands for them is."""
-    every = stored(_occurrences(docs), "lines")
+    every = stored(_occurrences(docs, least_words), "lines")
     classes = every.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in KEYS])
     classes = stored(classes, "line-classes")
     near = near_first(docs, classes)
@@ -184,17 +184,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return every.select("doc_id", "line", "c1", "c2").join(judged, ["c1", "c2"]).where("NOT (struct(doc_id, line) <=> kept)").select("doc_id", "line", "kept")
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and columns n_lines and n_removed.
 
-    A line of LEAST_WORDS words or more goes if an earlier line, by (doc_id, line number), has the same words; from
+    A line of ``least_words`` words or more (1: every line that is not blank) goes if an earlier line, by (doc_id, line number), has the same words; from
     EDIT_WORDS words on also if an earlier one is within one word put in, left out or replaced. Case and spacing do not
     count. "Earlier" looks at all lines, those that go included, so the outcome does not depend on any order of work.
     Other lines stay as they are, and a document stays even if no line does. Null texts stay null, with 0 lines. Null ids
     come first in order. Rows sharing a doc_id are one document: a line number goes in all of them, so repeated rows stay
     alike. Other columns pass through; an empty table gives an empty result.
     """
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = repeated_lines(docs, max(least_words, 1)).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
     names = [c for c in docs.columns if c != "text"]
     joined = docs.select(F.struct(*names).alias("own"), "text").join(gone.hint("shuffle_hash"), F.col("own.doc_id").eqNullSafe(F.col("gone_id")), "left")
     lines = F.split("text", "\n", -1)

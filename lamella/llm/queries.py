@@ -23,7 +23,7 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeated_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return lines.without_repeated_lines(_table(spark, sf_dir, "documents"), least_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

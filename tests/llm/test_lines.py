@@ -1,6 +1,6 @@
 import random
 
-from lamella.llm import lines
+from lamella.llm import lines, queries
 
 
 def distance(a, b):
@@ -88,3 +88,11 @@ def test_repeated_rows_and_empty(spark):
     rows = lines.without_repeated_lines(df).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(1, text), (1, text), (2, "short")]
     assert lines.without_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_the_query_takes_short_lines(spark, tmp_path):
+    """Exact repeats of lines of one to three words, and of lines without blanks; blank lines stay."""
+    docs = [(1, "All rights reserved.\n\n这是一行没有空格的文字\nred"), (2, "ALL  rights reserved.\n\n这是一行没有空格的文字\nblue\n "), (3, "red")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect())
+    assert got == [(1, docs[0][1], 4, 0), (2, "\nblue\n ", 5, 2), (3, "", 1, 1)]
