@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,15 @@ LOWER = UPPER.lower()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a fresh temporary one only in local mode, as in tests.
+
+    On a cluster a folder of the driver's machine would be lost to the executors, so there an unset name is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -47,7 +53,10 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Spark send texts to Python in batches of at most ``rows``: whole texts of 10,000 rows are too much for a worker."""
+    """Let Spark send texts to Python in batches of at most ``rows``: whole texts of 10,000 rows are too much for a worker.
+
+    Plans read the setting when they run, so it stays for the session; a smaller one of the caller is kept.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
@@ -65,12 +74,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Copies of each node's minimum in the joins of a round; a hub's edges are dealt over as many tasks at least.
+SALTS = 2
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges(a, b)`` as ``(node, component)``, the smallest node naming each.
 
     Alternating large-star and small-star rounds: every round is a grouped minimum (combined before the shuffle) and an
-    equi-join whose hot side can be split, so a hub with a third of all edges is not gathered in one task. Each round is
-    checkpointed. Self-loops and null ends are ignored; nodes without an edge do not appear.
+    equi-join on node and salt. The salt keeps an exchange on both sides of the join, so that a hub with a third of all
+    edges is dealt over several tasks and can be split further at run time. Each round is checkpointed. Self-loops and
+    null ends are ignored; nodes without an edge do not appear.
     """
     current = cut(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -94,17 +108,23 @@ def _digest(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _with_least(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """``edges`` with the minimum ``m`` of their ``node``, by a join whose hot nodes are dealt by ``other``."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))), [node, "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, least, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from lamella.llm.common import LOWER, UPPER
-from lamella.llm.quality import INSULTS, RULES
+from lamella.llm.quality import LEAST_SEEN, LEAST_TEXTS, MOST_WEIGHT, STEMS, STRIPPED
 from lamella.llm.urlfilter import RULES as URL_RULES
 from lamella.llm.urlfilter import TRACKING
 
 _SPACE = r"\x20\x09-\x0D"
-_CASES = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+#: Written out again, so that a wrong rule of the ledger shows.
+_CASES = """CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+  + CASE WHEN n_words < 10 * n_symbols THEN 4 ELSE 0 END + CASE WHEN n_dup_lines > 0.3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
+  + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END + CASE WHEN n_upper > 0.5 * n_letters THEN 64 ELSE 0 END + CASE WHEN n_letters < 0.5 * word_chars THEN 128 ELSE 0 END
+  + CASE WHEN toxicity >= 6 + 0.05 * n_words THEN 512 ELSE 0 END"""
+_STRIP = STRIPPED.replace("'", "''")
+_WORD = f"trim(translate(x, '{UPPER}', '{LOWER}'), '{_STRIP}')"
+_FEATURES = f"[f] || list_transform(list_filter([{', '.join(map(str, STEMS))}], lambda k: length(f) > k), lambda k: f[1:k] || '-')"
 _BASE = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 
 QUALITY = rf"""
@@ -21,11 +28,20 @@ hit AS (SELECT DISTINCT k, unnest(range(i, i + 8)) AS p FROM windows JOIN twice
 repeats AS (SELECT k, count(*) AS n FROM hit GROUP BY 1),
 lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d),
 per AS (SELECT k, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY 1),
+words AS (SELECT k, {_WORD} AS f, count(*) AS times FROM (SELECT k, unnest(w) AS x FROM w) GROUP BY 1, 2),
+marks AS (SELECT doc_id, max(toxic) > 0 AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
+labelled AS (SELECT words.*, toxic FROM words JOIN d USING (k) JOIN marks USING (doc_id)),
+total AS (SELECT sum(times) FILTER (toxic) AS toxic, sum(times) FILTER (NOT toxic) AS clean FROM labelled),
+seen AS (SELECT feature, coalesce(sum(times) FILTER (toxic), 0) AS toxic, coalesce(sum(times) FILTER (NOT toxic), 0) AS clean, count(DISTINCT k) FILTER (toxic) AS texts
+  FROM (SELECT k, times, toxic, unnest({_FEATURES}) AS feature FROM labelled) WHERE length(feature) > 2 GROUP BY 1),
+lexicon AS (SELECT feature, least(floor(log2((seen.toxic * total.clean) // ((seen.clean + 1) * total.toxic))), {MOST_WEIGHT}) AS weight FROM seen, total
+  WHERE seen.toxic >= {LEAST_SEEN} AND texts >= {LEAST_TEXTS} AND seen.toxic * total.clean >= 4 * (seen.clean + 1) * total.toxic),
+heavy AS (SELECT k, times, f, max(weight) AS weight FROM (SELECT k, times, f, unnest({_FEATURES}) AS feature FROM words) JOIN lexicon USING (feature) GROUP BY 1, 2, 3),
+toxicity AS (SELECT k, sum(times * weight)::BIGINT AS n FROM heavy GROUP BY 1),
 m AS (SELECT d.doc_id AS doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(per.dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
   coalesce(per.n, 0)::BIGINT AS n_lines, len(regexp_extract_all(text, '[A-ZÀ-ÖØ-ÞΑ-ΩА-Я]'))::BIGINT AS n_upper, len(regexp_extract_all(text, '\p{{L}}'))::BIGINT AS n_letters,
-  len(list_filter(w, lambda x: list_contains([{", ".join(f"'{i}'" for i in INSULTS)}], trim(translate(x, '{UPPER}', '{LOWER}'), '.,;:!?"''()[]'))))::BIGINT AS n_insults
-  FROM d JOIN w USING (k) LEFT JOIN repeats USING (k) LEFT JOIN per USING (k))
+  coalesce(toxicity.n, 0)::BIGINT AS toxicity FROM d JOIN w USING (k) LEFT JOIN repeats USING (k) LEFT JOIN per USING (k) LEFT JOIN toxicity USING (k))
 SELECT *, ({_CASES})::BIGINT AS failed, {_BASE} AS base_failed, NOT {_BASE} AND ({_CASES}) = 0 AS kept FROM m
 """
 

@@ -35,7 +35,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_table(spark, sf_dir, "documents"))
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

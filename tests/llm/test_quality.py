@@ -43,7 +43,7 @@ def test_repeated_words_of_one_word():
 
 
 def test_ledger_policies_and_ablation(spark):
-    texts = samples() + ["you idiot " + SOUND, SOUND]
+    texts = samples() + ["½ ² ① " * 4 + SOUND, SOUND]
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, "x", 1)], "doc_id long, text string, failed int")
     rows = quality.judged(docs).collect()
     assert len(rows) == len(texts) + 1
@@ -52,7 +52,8 @@ def test_ledger_policies_and_ablation(spark):
         assert r.base_failed == (n < 20 or 100 * repeats > 30 * n)
         assert r.kept == (r.failed == 0)
     assert {r.doc_id: r.kept for r in rows}[len(texts) - 1] is True
-    assert {r.doc_id: r.kept for r in rows}[len(texts) - 2] is False
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[len(texts) - 2].n_letters == by_id[len(texts) - 1].n_letters == len(SOUND.replace(" ", ""))
     failed = [r.failed for r in rows]
     for r in quality.ablation(quality.ledger(docs)).collect():
         bit = 1 << next(x.bit for x in quality.RULES if x.name == r.rule)
@@ -60,3 +61,29 @@ def test_ledger_policies_and_ablation(spark):
     assert len(quality.ablation(quality.ledger(docs), 1).collect()) == 2
     assert quality.judged(docs.limit(0)).count() == 0
     assert all(r.n_failed == 0 for r in quality.ablation(quality.ledger(docs.limit(0))).collect())
+
+
+def test_toxicity_is_learned_from_labels_in_any_language(spark):
+    rng = random.Random(3)
+    sound = [["ka", "lo", "mira"], ["отец", "дом", "река"]]
+    rude = [["blarg", "Vexoria", "vexorian"], ["грубый", "грубого", "грубому"]]
+    docs, labels = [], []
+    for i in range(120):
+        words, toxic = rng.choices(sound[i % 2], k=40), i % 4 < 2
+        if toxic:
+            words[5:9] = rng.choices(rude[i % 2], k=4)
+        docs.append((i, " ".join(words) + "."))
+        if i < 100:
+            labels.append((i, int(toxic)))
+    docs += [(None, "blarg"), (500, None)]
+    labels += [(None, 1), (7, None), (900, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    weights = quality.lexicon(frame, marks)
+    assert weights["vexor-"] >= 4 and weights["грубо-"] >= 4
+    assert not any(w in weights for w in ("ka", "mira", "дом"))
+    rows = {r.doc_id: r for r in quality.ledger(frame, weights).collect()}
+    toxic = 1 << 9
+    assert all(bool(rows[i].failed & toxic) == (i % 4 < 2) for i in range(120))
+    assert quality.lexicon(frame, marks.limit(0)) == {} and quality.lexicon(frame.limit(0), marks) == {}
+    assert quality.measures("blarg blarg", weights)[-1] == 2 * weights["blarg"]
