@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,17 +10,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lamella.llm.common import text_batches
 
 
 BINS = 4096
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are no letters become blanks, A-Z are lower-cased, bytes of other scripts stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of category L is there; numbers such as ½, ² and ① are none."""
+    return any(map(str.isalpha, text))
+
+
 def features(text: str) -> np.ndarray:
     """Counts of hashed letter pairs and triples of the whole text as a unit vector (square roots tame frequent ones)."""
     raw = np.frombuffer((" " + text + " ").encode("utf-8", "surrogatepass").translate(FOLD), dtype=np.uint8).astype(np.uint32)
@@ -61,7 +64,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the nearest two codewords are too close to tell."""
-        if not self.languages or text is None or not LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return "und", 0.0, True
         outputs = features(text) @ self.weights
         loss = (np.logaddexp(0, -4.0 * self.code * outputs) * self.bit_weight).sum(axis=1)
@@ -76,38 +79,72 @@ def fit(languages: list[str], labels: np.ndarray, x: np.ndarray, ridge: float =
     if not len(languages):
         return Model([], np.zeros((0, 0)), np.zeros((BINS, 0)), np.zeros(0))
     code = codewords(len(languages))
-    y = code[labels]
+    y = code[labels].astype(np.float32)
     balance = 1.0 / np.bincount(labels, minlength=len(languages))[labels]
-    root = np.sqrt(balance / balance.mean())[:, None]
+    root = np.sqrt(balance / balance.mean()).astype(np.float32)[:, None]
     kernel = (x * root) @ (x * root).T
-    weights = (x * root).T @ np.linalg.solve(kernel + ridge * np.eye(len(x)), y * root)
+    weights = (x * root).T @ np.linalg.solve(kernel.astype(np.float64) + ridge * np.eye(len(x)), y * root)
     right = (np.sign(x @ weights) == y).mean(axis=0)
     return Model(languages, code, weights.astype(np.float32), np.maximum(2 * right - 1, 0.01))
 
 
+def _chosen_ids(usable: DataFrame, most_docs: int) -> list[tuple]:
+    """(lang, doc_id) of up to ``most_docs`` labelled documents, as many of each language, by a hash of the id.
+
+    Only ids under a hash threshold leave the tasks, however many tasks there are; the threshold of a language rises until
+    enough are under it or all are.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)  # below 1 << 31
+    ids = usable.select("lang", "doc_id", place.alias("h"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    each, found, share = max(1, most_docs // max(1, len(counts))), [], 1.5
+    while counts:
+        below = {name: min(1 << 31, int((1 << 31) * share * each / n) + 1) for name, n in counts.items()}
+        limit = F.element_at(F.create_map(*[F.lit(x) for pair in below.items() for x in pair]), F.col("lang"))
+        under = ids.where(F.col("lang").isin(list(counts)) & (F.col("h") < limit)).distinct().collect()  # about share * most_docs rows
+        by_lang: dict[str, list[tuple]] = {name: [] for name in counts}
+        for r in under:
+            by_lang[r["lang"]].append((r["h"], r["doc_id"]))
+        for name in list(counts):
+            if len(by_lang[name]) >= each or below[name] == 1 << 31:
+                found += [(name, i) for _, i in sorted(by_lang[name])[:each]]
+                del counts[name]
+        share *= 4
+    return found
+
+
 def train(docs: DataFrame, most_docs: int = 1600) -> Model:
     """Fit on at most ``most_docs`` labelled documents, as many of each language, chosen by a hash of their ids.
 
-    ``docs(doc_id, text, lang)`` holds what may be learned from. The bound keeps the driver's share fixed; it is the only
-    sample in this module. Documents without a letter or a language are not used.
+    ``docs(doc_id, text, lang)`` holds what may be learned from. The sample is the only one in this module; a task, not
+    the driver, gathers its features and fits. Documents without an id, a letter or a language are not used; of rows that
+    share an id and a language, the one with the smallest text is.
     """
-    text_batches(docs.sparkSession)
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())  # one row per language
-    each = max(1, most_docs // max(1, len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    chosen = usable.select("lang", "doc_id", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= each)
+    spark = docs.sparkSession
+    text_batches(spark)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    ids = _chosen_ids(usable, most_docs)
+    if not ids:
+        return fit([], np.zeros(0, dtype=int), np.zeros((0, BINS)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = F.broadcast(spark.createDataFrame(ids, f"lang string, doc_id {kind}"))  # at most most_docs rows
+    chosen = usable.join(asked, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()).astype("<f4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    rows = chosen.select("lang", "text").mapInArrow(measured, "lang string, x binary").collect()  # at most most_docs rows
-    x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], dtype=np.float32).reshape(-1, BINS)
-    at = {name: i for i, name in enumerate(languages)}
-    order = np.argsort([r["lang"] for r in rows], kind="stable") if rows else []
-    return fit(languages, np.array([at[rows[i]["lang"]] for i in order], dtype=int), x[order] if rows else x)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["lang"], r["x"]) for batch in batches for r in batch.to_pylist())
+        languages = sorted({name for name, _ in rows})
+        labels = np.array([languages.index(name) for name, _ in rows], dtype=int)
+        x = np.array([np.frombuffer(x, "<f4") for _, x in rows], dtype=np.float32).reshape(-1, BINS)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(languages, labels, x))], pa.binary())], names=["model"])
+
+    sample = chosen.select("lang", "text").mapInArrow(measured, "lang string, x binary")
+    return pickle.loads(sample.repartition(1).mapInArrow(fitted, "model binary").first()["model"])
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
@@ -140,12 +177,24 @@ def identify(docs: DataFrame, most_docs: int = 1600) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, most_docs: int = 1600) -> DataFrame:
-    """Rows of ``docs`` with a language: those predicted ``und`` go. All columns of ``docs`` stay as they are."""
+    """Rows of ``docs`` whose language the codes tell; a null ``lang`` is filled with it.
+
+    Those predicted ``und`` go, and so do those between two codewords (``ambiguous``). All other values stay as they are.
+    If no row has a language nothing can be learned, and only texts without a letter go.
+    """
     model = train(docs.where(~held_out("doc_id")), most_docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([model.predict(t.as_py())[0] != "und" for t in column], pa.bool_()))
+            at, lang_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            if model.languages:
+                told = [model.predict(t.as_py()) for t in batch.column(at)]
+                kept = [name != "und" and not ambiguous for name, _, ambiguous in told]
+                names = [given if given is not None else t[0] for given, t in zip(batch.column(lang_at).to_pylist(), told)]
+                batch = batch.set_column(lang_at, batch.schema.field(lang_at), pa.array(names, batch.schema.field(lang_at).type))
+            else:
+                kept = [t.is_valid and has_letter(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
