@@ -7,22 +7,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamella.llm.common import components, cut, text_batches
+from lamella.llm.common import broadcast_if_small, components, cut, sliced, stored, text_batches
 
 SEED = 42
+#: So many shared grid cells of 8 bytes are broadcast; more are joined by shuffle.
+BROADCAST_CELLS = 1_000_000
+#: So many digests of texts of 32 characters are broadcast; more are joined by shuffle.
+BROADCAST_NODES = 200_000
+#: Of the classes that a text's shingles are dealt into, so many get a fingerprint.
+CLASSES = 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the shingles of whitespace words, repeats included, A-Z lower-cased; 0 for a text without words."""
-    words = (text or "").encode().lower().split()
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """XXH64 of the shingles of whitespace words, repeats included, A-Z lower-cased; of fewer words, of them all; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype="<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -31,6 +41,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the shingles of a whole text; 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``, ``fp`` as a signed long; a null text has fingerprint 0."""
 
@@ -44,49 +59,63 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of_batches, f"doc_id {kind}, fp bigint")
 
 
-def popcounts(fp: str, segments: int) -> list[Column]:
-    """Embedding of a 64-bit column: the number of ones in each of ``segments`` equal runs of bits."""
-    width = 64 // segments
-    mask = (1 << width) - 1 if width < 64 else -1
-    return [F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask))) for i in range(segments)]
+def popcounts(prints: np.ndarray, segments: int) -> np.ndarray:
+    """Embedding of 64-bit fingerprints: the number of ones in each of ``segments`` equal runs of bits, low bits first."""
+    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.reshape(len(prints), segments, 64 // segments).sum(axis=2, dtype=np.uint64)
 
 
-def grid_cells(fp: str, segments: int = 32) -> Column:
-    """Numbers of the grid cell of the embedding of ``fp`` and of all cells at Manhattan distance 1 from it.
+def grid_cells(prints: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): numbers of the grid cell of each embedding and of all cells at Manhattan distance 1 from it.
 
     Two embeddings at Manhattan distance 2 or less share one of these cells (either's own, or a point half-way), and the
-    Manhattan distance of popcounts never exceeds the Hamming distance. So no pair within 2 bits is missed.
+    Manhattan distance of popcounts never exceeds the Hamming distance. So no pair within 2 bits is missed. With 64
+    segments of one bit a cell is a fingerprint.
     """
-    base = 64 // segments + 1
-    counts = popcounts(fp, segments)
-    own = sum((c.cast("long") * F.lit(base**i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    around = [F.when(c < base - 1, own + F.lit(base**i)) for i, c in enumerate(counts)]
-    around += [F.when(c > 0, own - F.lit(base**i)) for i, c in enumerate(counts)]
-    return F.array_compact(F.array(own, *around))
+    width = 64 // segments
+    base = np.uint64(width + 1)
+    powers = np.cumprod(np.array([1, *[int(base)] * (segments - 1)], dtype=np.uint64))
+    counts = popcounts(prints, segments)
+    own = (counts * powers).sum(axis=1, dtype=np.uint64)
+    up, down = np.nonzero(counts < width), np.nonzero(counts > 0)
+    rows = np.concatenate([np.arange(len(prints)), up[0], down[0]])
+    return rows, np.concatenate([own, own[up[0]] + powers[up[1]], own[down[0]] - powers[down[1]]])
+
+
+def in_cells(prints: DataFrame, segments: int) -> DataFrame:
+    """``(fp, cell)`` for the distinct ``prints(fp)``: their own grid cells and those next to them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1000):
+            own = batch.column(0).to_numpy()
+            if segments == 64:
+                flips = np.array([0, *(1 << i for i in range(64))], dtype="<u8")
+                rows, cells = np.repeat(np.arange(len(own)), 65), (own.view("<u8")[:, None] ^ flips).ravel()
+            else:
+                rows, cells = grid_cells(own.view("<u8"), segments)
+            yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(cells.view("<i8"))], names=["fp", "cell"])
+
+    # Few bytes become many rows here: dealt by another expression than the distinct above, so that Spark neither leaves
+    # this exchange out nor merges its partitions by their size.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").distinct().repartition(parts, F.xxhash64("fp")).mapInArrow(emit, "fp bigint, cell bigint")
 
 
 def links(prints: DataFrame, segments: int = 32) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the distinct fingerprints of ``prints(fp)`` lying within 2 bits of each other.
 
     First the grid of ``segments`` popcounts: a fingerprint alone in all its cells has no partner and leaves. Then the same
-    embedding on the finest grid, 64 segments of one bit, where Manhattan distance *is* Hamming distance: sharing a cell
-    there proves a distance of at most 2. A finest cell has at most 65 members, so linking each to the smallest one is
-    bounded work however large a group of near copies is, and no pairs of a group are listed.
+    embedding on the finest grid, 64 segments of one bit, where Manhattan distance *is* Hamming distance. A finest cell has
+    at most 65 members, each within one bit of it, so linking each to the smallest is bounded work however large a group of
+    near copies is, and no pairs of a group are listed. The bits of every link are counted at the end.
     """
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Few bytes become many rows here, so the tasks are not left to be merged by size.
-    apart = prints.select("fp").distinct().repartition(parts, "fp")
-    cells = apart.select("fp", F.explode(grid_cells("fp", segments)).alias("cell"))
+    cells = in_cells(prints, segments)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    close = cells.join(shared, "cell", "left_semi").select("fp").distinct().repartition(parts, "fp")
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_bit(i))) for i in range(64)])
-    exact = close.select("fp", F.explode(points).alias("point"))
-    root = F.min("fp").over(Window.partitionBy("point"))
-    return exact.select(F.col("fp").alias("a"), root.alias("b")).where("a <> b").distinct()
-
-
-def _bit(i: int) -> int:
-    return 1 << i if i < 63 else -(1 << 63)
+    shared = broadcast_if_small(cut(shared), BROADCAST_CELLS)
+    close = cut(cells.join(shared, "cell", "left_semi").select("fp").distinct())
+    root = F.min("fp").over(Window.partitionBy("cell"))
+    edges = in_cells(close, 64).select(F.col("fp").alias("a"), root.alias("b")).where("a <> b").distinct()
+    return edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, segments: int = 32) -> DataFrame:
@@ -110,7 +139,91 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, segments: int = 32) -> Da
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Rows of ``docs`` that stay: of every component, the rows of its smallest doc_id (null ids always stay)."""
-    gone = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def _level(n: float) -> int:
+    """Classes of 3 to 6 shingles, of half as many where a text has few: one word changes several shingles of them."""
+    return max(0, int(np.floor(np.log2(n / 3))) + (n < 48)) if n >= 3 else 0
+
+
+def segment_prints(hashes: np.ndarray, similarity: float = 0.8, classes: int = CLASSES) -> list[tuple[int, int, int]]:
+    """(level, class, fingerprint) of distinct shingles dealt by hash into 2^level classes, the first ``classes`` of them.
+
+    Similar texts have equal shingles in many classes, so some of the classes' SimHashes are equal, whatever the length of
+    the texts; unrelated texts share none. Texts whose numbers of shingles differ as much as ``similarity`` allows may
+    stand on either side of a step of the level: such get the fingerprints of both levels.
+    """
+    out, n = [], len(hashes)
+    spread = hashes * np.uint64(0x9E3779B97F4A7C15)  # the class must not depend on bits of the fingerprint alone
+    for level in {_level(m) for m in (n * similarity, n, n / similarity)} if n else ():
+        of = spread >> np.uint64(64 - level) if level else np.zeros(n, dtype="<u8")
+        near = np.flatnonzero(of < classes)
+        order = near[np.argsort(of[near], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+            out.append((level, int(of[part[0]]), majority(hashes[part])))
+    return out
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges ``(a, b)`` between nodes of ``docs(node, text)`` whose sets of shingles have at least that Jaccard similarity.
+
+    Rows of one node have one text. Candidates share a fingerprint of a class of shingles (see ``segment_prints``): the
+    embedding has a segment for each class, and candidates are those at distance 0 in one of them. Of a shared fingerprint
+    every member is held against the smallest one, and so it is within the members whose whole-text fingerprints begin
+    alike: work is linear in a group's size. All candidates are verified on their whole texts.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            at, keys, places = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                place = majority(hashes) >> 48
+                for level, of, fp in segment_prints(np.unique(hashes), similarity):
+                    at.append(i), keys.append(xxhash.xxh64_intdigest(f"{level} {of} {fp}") - (1 << 63)), places.append(place)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], names=["node", "cell", "place"])
+
+    kind = docs.schema["node"].dataType.simpleString()
+    cells = stored(docs.select("node", "text").mapInArrow(emit, f"node {kind}, cell bigint, place int").distinct(), "simhash-classes")
+    # Aggregates are stored before they are joined, so that both sides are dealt anew and a hot group can be split.
+    shared = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    split = F.array(F.xxhash64("cell"), F.xxhash64("cell", F.shiftright("place", 8)), F.xxhash64("cell", F.col("place").bitwiseAND(F.lit(255)), F.lit(1)))
+    keyed = stored(cells.join(broadcast_if_small(shared, BROADCAST_CELLS), "cell", "left_semi").select("node", F.explode(split).alias("key")), "simhash-shared")
+    least = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-least")
+    pairs = stored(keyed.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "simhash-candidates")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            sets: dict[str, np.ndarray] = {}
+            kept = []
+            for texts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one, two = (sets[t] if t in sets else sets.setdefault(t, np.unique(shingle_hashes(t, shingle))) for t in texts)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                kept.append(both >= similarity * (len(one) + len(two) - both))
+            yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
+
+    sought = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = docs.join(broadcast_if_small(sought, BROADCAST_NODES), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = stored(texts, "simhash-texts")
+    two = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
+    return two.select("a", "b", "a_text", "b_text").mapInArrow(verify, f"a {kind}, b {kind}")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` that stay: one of every group of near copies, the one with the smallest doc_id.
+
+    Groups are connected components over texts of that ``similarity`` (see ``similar_links``). Equal texts are one node,
+    whatever their ids; a null text is an empty one, and texts without words are alike. Rows that share a doc_id are judged
+    by their own texts. Null ids come first in order. Of rows equal in id and text one stays. Other columns pass through;
+    an empty table gives an empty result.
+    """
+    text_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    node = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+    rank = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
+    place = F.struct("doc_id", rank.alias("rank"))
+    found = cut(components(similar_links(docs.select(node.alias("node"), text.alias("text")), shingle, similarity)))
+    firsts = docs.select(node.alias("node"), place.alias("first")).groupBy("node").agg(F.min("first").alias("first"))
+    placed = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = placed.groupBy("component").agg(F.min(F.struct("first", "node")).alias("best"))
+    best = stored(best.select(F.col("best.node").alias("_node"), F.col("best.first").alias("_first")), "simhash-kept")
+    keyed = docs.select(F.struct("*").alias("_row"), node.alias("_own"), place.alias("_place"))
+    return keyed.join(best, F.expr("_own = _node AND _place <=> _first")).dropDuplicates(["_own"]).select("_row.*")

@@ -84,4 +84,60 @@ def test_empty_table(spark):
 def test_keep_one(spark):
     text = " ".join(f"t{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text), (5, text), (9, "other words here entirely"), (None, text)], "doc_id long, text string")
-    assert sorted(r.doc_id or -1 for r in simhash.keep_one(docs).collect()) == [-1, 3, 9]
+    assert [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()].count((None, text)) == 1
+    assert sorted(r.doc_id or -1 for r in simhash.keep_one(docs).collect()) == [-1, 9]
+    odd = [(1, "same id one", 5, 2.0), (1, "same id two", 5, None), (2, None, 1, 1.0), (3, " \n", 1, 1.0), (4, "dup", 3, 1.0), (4, "dup", 3, 1.0), (4, "dup", 2, 1.0)]
+    frame = spark.createDataFrame(odd, "doc_id long, text string, node int, rank double")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, "same id one"), (1, "same id two"), (2, ""), (4, "dup")]
+    assert simhash.keep_one(frame.limit(0)).count() == 0
+
+
+def shingles(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_links_against_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(500)]
+    common = " ".join(rng.choices(vocab, k=40))
+    texts = []
+    for n in [6, 8, 12, 20, 30, 45, 50, 60, 90, 150, 300, 800, 3000]:
+        for _ in range(6):
+            base = rng.choices(vocab, k=n)
+            texts.append(" ".join(base))
+            for _ in range(4):
+                words = list(base)
+                for _ in range(rng.randint(1, max(1, n // 40))):
+                    at = rng.randrange(len(words))
+                    words[at : at + rng.randint(0, 1)] = rng.choices(vocab, k=rng.randint(0, 2))
+                texts.append(" ".join(words))
+    texts += [common + " " + " ".join(rng.choices(vocab, k=60)) for _ in range(60)]
+    texts = sorted(set(texts))
+    want = {(b, a) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
+    docs = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "node string, text string")
+    got = {tuple(sorted((int(r.a), int(r.b)))) for r in simhash.similar_links(docs).collect()}
+    assert got <= want
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in got:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert len(want) > 250 and sum(find(a) == find(b) for a, b in want) >= 0.97 * len(want)
+
+
+def test_the_grid_is_dealt_over_all_tasks(spark):
+    prints = spark.range(100).select(simhash.F.xxhash64("id").alias("fp"))
+    plan = simhash.in_cells(prints, 32)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
