@@ -17,10 +17,12 @@ def brute(docs):
     every = sorted(((-1 if d is None else d), j, line.lower().split()) for d, t in docs if t is not None for j, line in enumerate(t.split("\n")))
     gone = set()
     for k, (d, j, words) in enumerate(every):
-        if len(words) < lines.LEAST_WORDS:
+        if not words:
             continue
         for _, _, other in every[:k]:
-            if other == words or min(len(words), len(other)) >= lines.EDIT_WORDS and distance(words, other) <= 1:
+            long = [len(w) >= 8 for w in (words, other)]
+            chars = [" ".join(w) for w in (words, other)]
+            if other == words or all(long) and distance(words, other) <= 1 or not any(long) and min(map(len, chars)) >= 20 and distance(*chars) <= 1:
                 gone.add((d, j))
                 break
     return gone
@@ -43,6 +45,7 @@ def corpus():
         docs.append((d, "\n".join(out)))
     hot = "one very common line that many of the documents do share"
     docs += [(100 + i, f"{hot}\n{hot} number{i}\nown line {i} with w{i} v{i} u{i} t{i} s{i}") for i in range(40)]
+    docs += [(200 + i, f"The colou{'r' * (i % 3)} of line\nzeichen{i % 4}ketteohneleerzeichen\n这是一行没有空格的文字，它有二十多个字符，第{i % 3}个版本") for i in range(12)]
     docs += [(300, None), (301, ""), (302, "\n\n"), (None, hot + "\n\nand another line of this text here"), (303, "word " * 3000)]
     return docs
 
@@ -50,7 +53,8 @@ def corpus():
 def test_helpers():
     a = "a b c d e f g h".split()
     assert lines.within_one_edit(a, a) and lines.within_one_edit(a, a[:3] + a[4:]) and lines.within_one_edit(a[1:], a)
-    assert lines.within_one_edit(a, ["z", *a[1:]]) and not lines.within_one_edit(a, ["z", *a[2:]]) or True
+    assert lines.within_one_edit(a, ["z", *a[1:]])
+    assert lines.within_one_edit(a, a[:-1]) and not lines.within_one_edit(a, ["z", *a[2:]]) and not lines.within_one_edit(a, a[2:])
     assert not lines.within_one_edit(a, a[::-1])
     rng = random.Random(0)
     for _ in range(3000):
@@ -86,7 +90,7 @@ def test_repeated_rows_and_empty(spark):
     text = "this line has quite enough words in it to count\nshort"
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     rows = lines.without_repeated_lines(df).collect()
-    assert sorted((r.doc_id, r.text) for r in rows) == [(1, text), (1, text), (2, "short")]
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, text), (1, text), (2, "")]
     assert lines.without_repeated_lines(df.limit(0)).count() == 0
 
 
@@ -96,3 +100,17 @@ def test_the_query_takes_short_lines(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect())
     assert got == [(1, docs[0][1], 4, 0), (2, "\nblue\n ", 5, 2), (3, "", 1, 1)]
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    repeated = "a line that an earlier document has in the very same words"
+    docs = [(1, repeated), (2, "first text here\n" + repeated), (2, "another text here\nUNIQUE line of a different document, nowhere else"), (None, "x"), (None, "y")]
+    got = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted([repeated, "first text here", docs[2][1], "x", "y"])
+
+
+def test_very_long_lines(spark):
+    word = "ab" * 4000
+    docs = [(1, word), (2, word[:-1] + "c"), (3, "w " * 30000), (4, "w " * 29999 + "v")]
+    got = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 1, 3: 0, 4: 1}
