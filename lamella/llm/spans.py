@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,28 +12,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.common import stored
+from lamella.llm.common import broadcast_if_small, sliced, stored, text_batches
 
-#: A sentence ends after closing punctuation before white space, or at a line end.
-END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)\s*|\n\s*")
+#: A sentence ends after closing punctuation before white space, after full-width punctuation, or at a line end.
+END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)\s*|[。！？]+[\"'”’)\]」』）]*\s*|\n\s*")
 #: A span is at least so many sentences and words; a sentence longer than LONGEST words counts as several.
-SENTENCES, WORDS, LONGEST = 2, 16, 25
-_WORD = re.compile(r"\S+")
+SENTENCES, WORDS, LONGEST = 2, 16, 12
+#: A long sentence is cut after each word whose checksum this divides: equal passages are cut alike wherever they start.
+CUT = 10
+#: What is repeated goes if it, with the sentences next to it that may be part of it, has so many words.
+PASSAGE = 50
+#: So many hashes of repeated spans of 8 bytes are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Thai, Lao, Burmese, Khmer, kana and Han have no blanks between words: each of their letters counts as a word.
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
+_UNSPACED, _WORD, _MIXED = re.compile(UNSPACED), re.compile(r"\S+"), re.compile(rf"{UNSPACED}|(?:(?!{UNSPACED})\S)+")
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-cased words) of the sentences, covering the text without gaps."""
-    out, start = [], 0
+    out, start, spaced = [], 0, not _UNSPACED.search(text)
+    word = _WORD if spaced else _MIXED
+    split = (lambda t: t.lower().split()) if spaced else (lambda t: word.findall(t.lower()))
     for end in [*(m.end() for m in END.finditer(text)), len(text)]:
         if end == start:
             continue
-        words = text[start:end].lower().split()
+        words = split(text[start:end])
         if len(words) <= LONGEST:
             out.append((start, end, words))
         else:
-            at = [m.start() for m in _WORD.finditer(text, start, end)]
-            cuts = [start, *at[LONGEST::LONGEST], end]
-            out += [(a, b, text[a:b].lower().split()) for a, b in zip(cuts, cuts[1:])]
+            marks = list(word.finditer(text, start, end))
+            cuts = [start, *(b.start() for a, b in zip(marks, marks[1:]) if zlib.crc32(a.group().lower().encode("utf-8", "surrogatepass")) % CUT == 0), end]
+            out += [(a, b, split(text[a:b])) for a, b in zip(cuts, cuts[1:])]
         start = end
     return out
 
@@ -58,11 +69,11 @@ def runs_to(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
     return [(n - past, n - first) for first, past in runs(parts[::-1])]
 
 
-def span_hashes(docs: DataFrame, tails: bool = False) -> DataFrame:
+def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
     """(doc_id, text_key, first, past, h1, h2) for every span of every text; with ``tails`` also those of every end."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             at, first, past, h1, h2 = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 parts = sentences(text.as_py() or "")
@@ -80,31 +91,59 @@ def span_hashes(docs: DataFrame, tails: bool = False) -> DataFrame:
     return keyed.mapInArrow(emit, f"doc_id {kind}, text_key bigint, first int, past int, h1 bigint, h2 bigint")
 
 
-def repeated_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
-    """(doc_id, text_key, first, past): the non-first occurrences, by (doc_id, place), of spans that occur repeatedly."""
+def repeated_spans(docs: DataFrame, tails: bool = True) -> DataFrame:
+    """(doc_id, text_key, first, past): the non-first occurrences, by (doc_id, place), of spans that occur repeatedly.
+
+    Half hashes are counted first, so that only spans that may repeat are grouped by their whole hash. Aggregates are
+    stored before they are joined: both sides are dealt anew and a span of a third of all documents can be split.
+    """
     every = stored(span_hashes(docs, tails), "spans")
-    place = F.struct("doc_id", "first", "text_key")
-    groups = every.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = every.join(groups, ["h1", "h2"])
+    twice = stored(every.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "span-halves")
+    some = stored(every.join(broadcast_if_small(twice, BROADCAST_KEYS), "h1", "left_semi"), "span-candidates")
+    groups = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "text_key")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = some.join(stored(groups, "span-groups"), ["h1", "h2"])
     return met.where("NOT (struct(doc_id, first, text_key) <=> kept)").select("doc_id", "text_key", "first", "past")
 
 
-def drop_sentences(text: str, covered: list[int]) -> str:
-    """``text`` without the sentences numbered in ``covered``."""
-    gone = set(covered)
-    return "".join(text[a:b] for i, (a, b, _) in enumerate(sentences(text)) if i not in gone)
+def leaving(parts: list[tuple[int, int, list[str]]], covered: list[int], passage: int) -> set[int]:
+    """Of the ``covered`` sentences, those in stretches that can be part of a repeated passage of ``passage`` words.
+
+    The sentences before and after a stretch may belong to the passage in part, so their words count too. A text that is
+    covered as a whole goes whatever its length.
+    """
+    gone, sizes = set(covered), [len(w) for _, _, w in parts]
+    if all(i in gone for i, n in enumerate(sizes) if n):
+        return gone
+    out, first = set(), 0
+    while first < len(parts):
+        past = first
+        while past in gone:
+            past += 1
+        if past > first and sum(sizes[max(first - 1, 0) : past + 1]) >= passage:
+            out.update(range(first, past))
+        first = past + 1
+    return out
+
+
+def drop_sentences(text: str, covered: list[int], passage: int = PASSAGE) -> tuple[str, int]:
+    """``text`` without the sentences numbered in ``covered`` that leave, and how many leave."""
+    parts = sentences(text)
+    gone = leaving(parts, covered, passage)
+    return "".join(text[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone), len(gone)
 
 
-def without_repeated_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
+def without_repeated_spans(docs: DataFrame, tails: bool = True, passage: int = PASSAGE) -> DataFrame:
     """``docs`` with sentences inside non-first repeated spans taken out of ``text``, and their number n_removed.
 
     A span is the shortest run of sentences from its start with SENTENCES sentences and WORDS words; case and spacing do
     not count. With ``tails`` the shortest run up to each sentence is a span too, so that short closing sentences of a
-    repeated passage go with it. Of equal spans in all documents, or at two places of one, the first by (doc_id, place) stays. Null and
-    empty texts have no sentence and stay as they are, and a document stays even if no sentence does. Null ids come
-    first in order. Repeated rows (same id and text) are one occurrence and stay alike. Other columns pass through; an
-    empty table gives an empty result.
+    repeated passage go with it. Of equal spans in all documents, or at two places of one, the first by (doc_id, place)
+    stays. A stretch of covered sentences that, with the two sentences around it, has under ``passage`` words stays as
+    well, unless it is the whole text (0: every stretch goes). Null and empty texts have no sentence and stay as they are,
+    and a document stays even if no sentence does. Null ids come first in order. Repeated rows (same id and text) are one
+    occurrence and stay alike. Other columns pass through; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     covered = repeated_spans(docs, tails).select("doc_id", "text_key", F.explode(F.sequence("first", F.col("past") - 1)).alias("i"))
     gone = covered.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("i").alias("gone"))
     names = [c for c in docs.columns if c != "text"]
@@ -116,9 +155,9 @@ def without_repeated_spans(docs: DataFrame, tails: bool = False) -> DataFrame:
         for batch in batches:
             texts, removed = [], []
             for text, gone in zip(batch.column(1), batch.column(2).to_pylist()):
-                text = text.as_py()
-                texts.append(drop_sentences(text, gone) if gone else text)
-                removed.append(len(gone))
+                text, n = drop_sentences(text.as_py(), gone, passage) if gone else (text.as_py(), 0)
+                texts.append(text)
+                removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["own", "text", "n_removed"])
 
     schema = T.StructType().add(joined.schema["own"]).add("text", "string").add("n_removed", T.IntegerType())

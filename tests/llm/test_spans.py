@@ -1,12 +1,47 @@
 import random
+import zlib
 
 from lamella.llm import queries, spans
 
 
+def plain_sentences(text):
+    """Character by character; for texts with blanks between words."""
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text):
+            if text[end] == "\n":
+                break
+            if text[end] in ".!?…":
+                close = end
+                while close < len(text) and text[close] in ".!?…":
+                    close += 1
+                while close < len(text) and text[close] in "\"'”’)]":
+                    close += 1
+                if close < len(text) and text[close].isspace():
+                    end = close
+                    break
+            end += 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        words = text[at:end].lower().split()
+        if len(words) > 12:
+            piece = at
+            for i in range(at + 1, end):
+                if text[i - 1].isspace() and not text[i].isspace() and zlib.crc32(text[:i].lower().split()[-1].encode()) % 10 == 0 and text[at:i].split():
+                    out.append((piece, i, text[piece:i].lower().split()))
+                    piece = i
+            out.append((piece, end, text[piece:end].lower().split()))
+        else:
+            out.append((at, end, words))
+        at = end
+    return out
+
+
 def brute(docs):
     rows = []
     for d, t in docs:
-        parts = spans.sentences(t or "")
+        parts = plain_sentences(t or "")
         for a in range(len(parts)):
             for b in range(a + spans.SENTENCES, len(parts) + 1):
                 words = [w for _, _, ws in parts[a:b] for w in ws]
@@ -41,6 +76,7 @@ def corpus():
 def test_sentences_cover_the_text():
     for _, t in corpus():
         parts = spans.sentences(t or "")
+        assert parts == plain_sentences(t or "")
         assert "".join((t or "")[a:b] for a, b, _ in parts) == (t or "")
     assert [w for _, _, w in spans.sentences("One two. Three!\nfour")] == [["one", "two."], ["three!"], ["four"]]
 
@@ -48,13 +84,13 @@ def test_sentences_cover_the_text():
 def test_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(d, t, "f", 3) for d, t in docs], "doc_id long, text string, first string, gone int")
-    rows = spans.without_repeated_spans(df).collect()
+    rows = spans.without_repeated_spans(df, tails=False, passage=0).collect()
     gone = brute(docs)
     got = {(-1 if r.doc_id is None else r.doc_id): r for r in rows}
     assert len(got) == len(rows) == len(docs) and len(gone) > 20
     for d, t in docs:
         key = -1 if d is None else d
-        want = t if t is None else "".join(t[a:b] for i, (a, b, _) in enumerate(spans.sentences(t)) if i not in gone.get(key, ()))
+        want = t if t is None else "".join(t[a:b] for i, (a, b, _) in enumerate(plain_sentences(t)) if i not in gone.get(key, ()))
         assert got[key].text == want
         assert got[key].n_removed == len(gone.get(key, ()))
         assert got[key].first == "f"
@@ -69,12 +105,12 @@ def test_repeated_rows_and_empty(spark):
 
 
 def test_short_closing_sentences_go(spark):
-    """Sentences of 20, 20, 5 and 4 words, repeated at the end of a text, before other text and by the registered query."""
-    said = [" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 20), ("b", 20), ("c", 5), ("d", 4))]
+    """Sentences of 12, 12, 5 and 4 words, repeated at the end of a text, before other text and by the registered query."""
+    said = [" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 12), ("b", 12), ("c", 5), ("d", 4))]
     passage = " ".join(said)
     docs = [(1, passage), (2, passage), (3, passage + " Then other words follow here, more than sixteen of them in all, so that runs reach into this text.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(df, tails=True).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(df, passage=0).collect()}
     assert got[1] == (passage, 0) and got[2] == ("", 4)
     assert got[3] == (docs[2][1][len(passage) + 1 :], 4)
     parts = spans.sentences(passage)
@@ -82,6 +118,40 @@ def test_short_closing_sentences_go(spark):
 
 
 def test_the_query_takes_tails(spark, tmp_path):
-    text = " ".join(" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 20), ("b", 20), ("c", 5), ("d", 4)))
+    text = " ".join(" ".join(f"{c}{i}" for i in range(n)) + "." for c, n in (("a", 12), ("b", 12), ("c", 5), ("d", 4)))
     spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(tuple(r) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()) == [(1, text, 0), (2, "", 4)]
+
+
+def test_short_repeats_stay_and_passages_go(spark):
+    rng = random.Random(2)
+    words = lambda n: [f"q{rng.randrange(900)}" for _ in range(n)]
+
+    def prose(n):
+        out = words(n)
+        at = 0
+        while at < n:
+            at += rng.randint(3, 30)
+            if at < n:
+                out[at] += "."
+        return out
+
+    passages = [prose(rng.randint(51, 90)) for _ in range(60)]
+    docs = [(i, " ".join(p)) for i, p in enumerate(passages)]
+    for i, p in enumerate(passages):
+        host = prose(150)
+        at = rng.randrange(150)
+        docs.append((100 + i, " ".join(host[:at] + p + host[at:])))
+    short = "This is one sentence of ten words for the notice. And a second one has some nine words here."
+    docs += [(200 + i, "Own words %d of this text are here. " % i + short + " Then it ends %d." % i) for i in range(30)]
+    docs += [(300 + i, " ".join(prose(120))) for i in range(30)]
+    got = {r.doc_id: r.n_removed for r in spans.without_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[100 + i] > 0 for i in range(60)) >= 57
+    assert all(got[i] == 0 for i in got if i < 100 or i >= 200)
+
+
+def test_scripts_without_blanks(spark):
+    passage = "这是一个在许多文件中重复出现的段落，它没有任何空格。第二句话也在这里，并且还有更多的文字，好让它足够长。第三句话结束这个段落吧！"
+    docs = [(1, passage), (2, "开头不同。" + passage + "结尾也不同。"), (3, "完全不同的文字，只有一句。")]
+    got = {r.doc_id: r.text for r in spans.without_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: passage, 2: "开头不同。结尾也不同。", 3: docs[2][1]}
