@@ -11,7 +11,9 @@ _MALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|Signor|Г-н)"
 _FEMALE = r"(?:Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Signora|Г-жа)"
 _NEUTRAL = r"(?:Dr|Prof|Mx)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Hyphens and apostrophes inside a name belong to it, a possessive s does not.
+_NAME_WORD = r"\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L})(?!s(?!\p{L})))+"
 #: Phone numbers with a country code and 8 to 15 digits, groups apart or not; then national forms: North American, French,
 #: Spanish, and those with an area code after a trunk 0 (British, German).
 _PHONES = (
@@ -30,14 +32,16 @@ PATTERNS = {
     "SECRET": r"(?i:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}",
     "KEY": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "PHONE": "|".join(_PHONES),
     "CARD": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "IP": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "IP6": rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:])",
     "NAME": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]{_NAME_WORD}(?:[ ]{_NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; the test is far cheaper than the patterns.
-HINT = rf"[0-9@=:]|(?<!\p{{L}})(?=[MHSFDPГ])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]\p{{Lu}}"
+HINT = rf"[0-9@=:]|AKIA|(?<!\p{{L}})(?=[MHSFDPГ])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?[ ]\p{{Lu}}"
 #: Scripts whose letters are kept: surrogate letters come from the alphabet of the letter they replace; letters and marks
 #: of other scripts become Latin ones.
 ALPHABETS = {
@@ -84,13 +88,30 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
 
 
+def mod97(text: Column) -> Column:
+    """Remainder by 97 of an account number, letters counting as 10 to 35."""
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+
+
+def _account(entity: Column) -> Column:
+    return F.translate(entity, " ", "")
+
+
+def _turned(account: Column) -> Column:
+    """The form of an account number that its check is taken of: country and check digits last."""
+    return F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, F.lit(1), F.lit(4)))
+
+
 def kind_of(entity: Column) -> Column:
-    """Type of a match; null for digits that are no card number, which stay as they are."""
+    """Type of a match; null for what has the form of a card or account number but fails its check, and stays as it is."""
     choice = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
         fits = entity.rlike(f"^(?:{pattern})$")
         if kind == "CARD":
             fits = fits & (luhn_sum(_digits(entity)) % 10 == 0)
+        elif kind == "IBAN":
+            fits = fits & (mod97(_turned(_account(entity))) == 1)
         choice = F.when(fits, F.lit(kind)).otherwise(choice)
     return choice
 
@@ -105,7 +126,7 @@ def atoms_of(entity: Column, kind: Column) -> Column:
     gender = F.when(title.rlike(rf"^{_MALE}\.?$"), "M").when(title.rlike(rf"^{_FEMALE}\.?$"), "F").otherwise("N")
     words = F.slice(F.split(entity, " "), 2, 10)
     of_name = F.transform(words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) > 1), F.concat(F.lit("GIVEN_"), gender)).otherwise("SURNAME").alias("kind"), F.lower(w).alias("canon")))
-    canon = F.when(kind == "EMAIL", F.lower(entity)).when(kind == "PHONE", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("CARD", "SSN"), _digits(entity)).when(kind == "SECRET", _secret(entity)).otherwise(entity)
+    canon = F.when(kind == "EMAIL", F.lower(entity)).when(kind == "PHONE", F.regexp_replace(entity, "[^0-9+]", "")).when(kind.isin("CARD", "SSN"), _digits(entity)).when(kind == "SECRET", _secret(entity)).when(kind == "IBAN", _account(entity)).when(kind == "IP6", F.lower(entity)).otherwise(entity)
     return F.when(kind == "NAME", of_name).otherwise(F.array(F.struct(kind.alias("kind"), canon.alias("canon"))))
 
 
@@ -119,9 +140,8 @@ def _hash(key: str, *parts: Column | str) -> Column:
 
 
 def _byte(seed: Column, i: Column, at_most: int | Column) -> Column:
-    """A number below ``at_most`` from place ``i`` of a seed of 64 hexadecimal digits, mixed with the place."""
-    part = F.conv(F.substring(seed, F.pmod(i * 3, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
-    return F.pmod(part + i * 131, F.lit(at_most))
+    """A number below ``at_most`` from a keyed seed for place ``i``; places are drawn independently."""
+    return F.pmod(F.xxhash64(seed, i), F.lit(at_most) if isinstance(at_most, int) else at_most).cast("int")
 
 
 def _filled(value: Column, seed: Column, hexadecimal: Column | None = None) -> Column:
@@ -177,6 +197,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     host, suffix = F.regexp_extract(domain, r"^(.*)\.", 1), F.substring_index(domain, ".", -1)
     mail = F.concat(_filled(local, seed), tail, F.lit("@"), _filled(host, _hash(key, "DOMAIN", domain)), F.lit("."), suffix)
     secret = F.concat(_filled(canon, seed, canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")), tail)
+    groups = F.concat(F.lit("fd00::"), F.substring(seed, F.lit(1), F.lit(4)), F.lit(":"), F.substring(seed, F.lit(5), F.lit(4)))
+    ip6 = F.when(wide & canon.contains("::"), groups).otherwise(_filled(canon, seed, F.lit(True)))
+    body = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lit("00"), F.upper(F.substring(numbers, F.lit(5), F.length(canon))))
+    check = F.lpad((F.lit(98) - mod97(_turned(body))).cast("string"), 2, "0")
+    iban = F.concat(F.substring(body, F.lit(1), F.lit(2)), check, F.substring(body, F.lit(5), F.length(body)))
     aws = F.concat(F.lit("AKIA"), _filled(F.substring(canon, F.lit(5), F.lit(16)), seed))
     return (
         F.when(kind == "EMAIL", mail)
@@ -185,6 +210,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind == "CARD", card)
         .when(kind == "PHONE", phone)
         .when(kind == "IP", ip)
+        .when(kind == "IP6", ip6)
+        .when(kind == "IBAN", iban)
         .when(kind == "SSN", numbers)
         .when(kind == "GIVEN_M", _name(canon, seed, attempt, 1))
         .when(kind == "GIVEN_F", _name(canon, seed, attempt, 2))
@@ -223,45 +250,85 @@ def _dressed(entity: Column, kind: Column, new: Column) -> Column:
     chars = F.split(entity, "")
     before = lambda i: F.length(_digits(F.substring(entity, F.lit(1), i + 1)))
     numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(digits, before(i), F.lit(1))).otherwise(c)), "")
+    account = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(first, F.length(_account(F.substring(entity, F.lit(1), i + 1))), F.lit(1)))), "")
     mail = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(first)).otherwise(first)
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(_secret(entity)))
     name = F.concat_ws(" ", F.regexp_extract(entity, r"^(\S+) ", 1), F.array_join(F.transform(new, F.initcap), " "))
-    return F.when(kind == "NAME", name).when(kind == "EMAIL", mail).when(kind == "SECRET", F.concat(head, first)).when(kind.isin("CARD", "PHONE", "SSN"), numbers).otherwise(first)
+    return F.when(kind == "NAME", name).when(kind == "EMAIL", mail).when(kind == "SECRET", F.concat(head, first)).when(kind.isin("CARD", "PHONE", "SSN"), numbers).when(kind == "IBAN", account).when((kind == "IP6") & (entity == F.upper(entity)), F.upper(first)).otherwise(first)
 
 
 def replacements(found: DataFrame, key: str) -> DataFrame:
-    """``(entity, kind, replacement)`` for the distinct ``found(entity)`` that are personal data."""
+    """``(entity, kind, replacement, names)`` for the distinct ``found(entity)`` that are personal data.
+
+    ``names`` has the words of a name after its title, in lower case, each with its replacement and whether it is the last.
+    """
     typed = cut(found.distinct().withColumn("kind", kind_of(F.col("entity"))).where("kind IS NOT NULL"))
     parts = typed.select("entity", "kind", F.posexplode(atoms_of(F.col("entity"), F.col("kind"))).alias("i", "atom"))
     parts = parts.select("entity", F.col("kind").alias("type"), "i", "atom.kind", "atom.canon")
     known = ledger(parts.select("kind", "canon"), key)
-    gathered = parts.join(known, ["kind", "canon"]).groupBy("entity", "type").agg(F.sort_array(F.collect_list(F.struct("i", "replacement"))).alias("new"))
-    return gathered.select("entity", F.col("type").alias("kind"), _dressed(F.col("entity"), F.col("type"), F.transform("new", lambda x: x["replacement"])).alias("replacement"))
+    each = F.struct("i", "replacement", "canon")
+    gathered = parts.join(known, ["kind", "canon"]).groupBy("entity", "type").agg(F.sort_array(F.collect_list(each)).alias("new"))
+    words = F.transform("new", lambda x, i: F.struct(x["canon"].alias("word"), x["replacement"].alias("new"), (i == F.size("new") - 1).alias("last")))
+    return gathered.select(
+        "entity",
+        F.col("type").alias("kind"),
+        _dressed(F.col("entity"), F.col("type"), F.transform("new", lambda x: x["replacement"])).alias("replacement"),
+        F.when(F.col("type") == "NAME", words).otherwise(F.slice(words, 1, 0)).alias("names"),
+    )
+
+
+def _bare(names: Column) -> Column:
+    """Pattern of later mentions, in the same text, of people named after a title: given names with a surname, or it alone."""
+    given = F.array_join(F.transform(F.filter(names, lambda x: ~x["last"]), lambda x: x["word"]), "|")
+    last = F.array_join(F.transform(F.filter(names, lambda x: x["last"]), lambda x: x["word"]), "|")
+    capital = r"(?=\p{Lu})(?iu:"
+    before = F.when(given != "", F.concat(F.lit(f"(?:{capital}"), given, F.lit(r")[ ]){0,2}"))).otherwise("")
+    return F.concat(F.lit(r"(?<!\p{L})"), before, F.lit(capital), last, F.lit(r")(?!['’-]?\p{L}(?<!['’]s(?!\p{L})))"))
+
+
+def _renamed(mention: Column, names: Column) -> Column:
+    """A bare mention with the replacements of its words, the last being a surname."""
+    words = F.split(mention, " ")
+
+    def one(w: Column, i: Column) -> Column:
+        fits = F.filter(names, lambda x: (x["word"] == F.lower(w)) & (x["last"] == (i == F.size(words) - 1)))
+        return F.initcap(F.get(fits, F.lit(0))["new"])
+
+    return F.array_join(F.transform(words, one), " ")
 
 
-def with_surrogates(docs: DataFrame, key: str = "lamella") -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and a column n_entities.
 
-    Found are mail addresses, secrets after a label, access keys, card numbers (by their check digit), phone numbers,
-    social security numbers, IPv4 addresses and names after a title. A replacement depends on ``key``, type and value
-    alone, but for rare redraws: the same value gets the same one in all documents whatever its spelling, different values
-    get different ones, and none is a value that the corpus has. Digits, letters, case, script, punctuation, check digits,
-    the first digit of a card, country codes, a trunk 0, private networks, top-level domains, titles and gender are kept. The text
-    between entities is untouched. Null texts stay null; repeated rows stay alike; ids may be null or repeat; other
-    columns pass through; an empty table gives an empty result.
+    Found are mail addresses, secrets after a label, access keys, card and account numbers (by their check digits), phone
+    numbers, social security numbers, IPv4 and IPv6 addresses, names after a title and, later or earlier in the same text,
+    the same surname without one, with or without the given names. A replacement depends on ``key``, which must be kept
+    secret, on type and on value alone, but for rare redraws: the same value gets the same one in all documents whatever
+    its spelling, different values get different ones, and none is a value that the corpus has. Digits, letters, case,
+    script, punctuation, check digits, the first digit of a card, country codes, a trunk 0, private networks, top-level
+    domains, titles and gender are kept. The text between entities is untouched. Null texts stay null; repeated rows stay
+    alike; ids may be null or repeat; other columns pass through; an empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     names = [c for c in docs.columns if c != "text"]
     whole = docs.select(F.struct(*names).alias("own") if names else F.struct(F.lit(0)).alias("own"), "text")
     key_of = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text"))
     suspect = whole.where(hinted(F.col("text"))).select("own", "text", key_of.alias("k"))
     # The patterns run once; copies of a text share its entities.
     found = cut(suspect.select("k", F.posexplode(entities(F.col("text"))).alias("i", "entity")).distinct())
-    known = replacements(found.select("entity"), key)
-    swapped = found.join(known, "entity", "left").select("k", F.struct("i", F.coalesce("replacement", "entity").alias("new"), F.col("kind").isNotNull().alias("swapped")).alias("s"))
-    per_text = cut(swapped.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s")))
-    pieces = F.zip_with(F.split("text", ANY, -1), "s", lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit(""))))
-    text = F.when(F.col("s").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    count = F.coalesce(F.size(F.filter("s", lambda e: e["swapped"])), F.lit(0))
-    dirty = suspect.join(per_text, "k", "left").select("own", text.alias("text"), F.when(F.col("s").isNull(), 0).otherwise(count).alias("n_entities"))
+    known = cut(replacements(found.select("entity"), key))  # both sides of the join are dealt anew, so a hot value can be split
+    swapped = found.join(known, "entity", "left").select("k", "names", F.struct("i", F.coalesce("replacement", "entity").alias("new"), F.col("kind").isNotNull().alias("swapped")).alias("s"))
+    people = F.array_sort(F.array_distinct(F.flatten(F.collect_list("names"))))
+    per_text = cut(swapped.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s"), people.alias("people")))
+    dirty = suspect.join(per_text, "k", "left").select("own", "text", "s", "people", F.when(F.size("people") > 0, _bare(F.col("people"))).alias("bare"))
+    pieces = F.split("text", ANY, -1)
+    mentions = lambda p: F.regexp_extract_all(p, F.col("bare"), F.lit(0))
+    rename = lambda p: F.array_join(F.zip_with(F.split(p, F.col("bare"), F.lit(-1)), mentions(p), lambda a, m: F.concat(a, F.coalesce(_renamed(m, F.col("people")), F.lit("")))), "")
+    joined = lambda each: F.array_join(F.zip_with(each, "s", lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit("")))), "")
+    named = F.col("bare").isNotNull()
+    text = F.when(F.col("s").isNull(), F.col("text")).when(named, joined(F.transform(pieces, rename))).otherwise(joined(pieces))
+    bare = F.when(named, F.aggregate(F.transform(pieces, lambda p: F.size(mentions(p))), F.lit(0), lambda a, n: a + n)).otherwise(0)
+    count = F.when(F.col("s").isNull(), 0).otherwise(F.size(F.filter("s", lambda e: e["swapped"])) + bare)
     clean = whole.where(~hinted(F.col("text"))).select("own", "text", F.lit(0).alias("n_entities"))
-    return clean.unionByName(dirty).select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_entities")
+    return clean.unionByName(dirty.select("own", text.alias("text"), count.alias("n_entities"))).select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_entities")

@@ -9,6 +9,8 @@ from lamella.llm.common import shared_path
 from lamella.llm.oracle import ORACLE_SQL
 
 VOCABULARY = "word_bpe_49k.json"
+#: For the given tables, whose people are invented. Real data need a secret one in spark.lamella.surrogates.key.
+PUBLIC_KEY = "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.lamella.surrogates.key", None) or PUBLIC_KEY
+    return pii.with_surrogates(_table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
