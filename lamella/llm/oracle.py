@@ -5,7 +5,6 @@ from __future__ import annotations
 from lamella.llm.common import LOWER, UPPER
 from lamella.llm.quality import LEAST_SEEN, LEAST_TEXTS, MOST_WEIGHT, STEMS, STRIPPED
 from lamella.llm.urlfilter import RULES as URL_RULES
-from lamella.llm.urlfilter import TRACKING
 
 _SPACE = r"\x20\x09-\x0D"
 #: Written out again, so that a wrong rule of the ledger shows.
@@ -62,21 +61,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
-#: Pages that declare no canonical link or refresh: their aliases are the spellings of one canonical form.
-URLS = rf"""
-WITH r AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(verdict, host, path)),
+_PAGES = rf"""r AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(verdict, host, path)),
 p AS (SELECT row_number() OVER () AS k, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT k, page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 f AS (SELECT k, r.host || r.path AS rule, r.verdict AS ruled, row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC, (r.verdict = 'allow')::INTEGER DESC) AS n
   FROM h JOIN r ON (h.host = r.host OR h.host LIKE '%.' || r.host) AND starts_with(h.path, r.path)),
-c AS (SELECT h.*, rule, ruled, regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') || '?' ||
-  regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '(?:^|&)(?:{TRACKING})', '', 'g'), '^&', '') AS form FROM h LEFT JOIN (SELECT * FROM f WHERE n = 1) f USING (k)),
-s AS (SELECT *, bool_or(coalesce(ruled = 'block', false)) OVER (PARTITION BY form) AND host <> '' AS carried FROM c)
-SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN carried THEN 'block' ELSE 'allow' END AS verdict FROM s
+c AS (SELECT h.*, rule, ruled FROM h LEFT JOIN (SELECT * FROM f WHERE n = 1) f USING (k))"""
+
+#: The given pages declare no canonical link or refresh, so no page has an alias.
+URLS = f"WITH {_PAGES} SELECT page_id, host, path, rule, coalesce(ruled, 'allow') AS verdict FROM c"
+
+#: Pages joined by redirects: labels spread along the edges, both ways, until none changes.
+REDIRECTS = f"""
+WITH RECURSIVE {_PAGES},
+e AS (SELECT a.url AS a, b.url AS b FROM pages a JOIN pages b ON b.page_id = floor(a.page_id * 3 / 5) WHERE a.page_id % 4 < 2),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reached AS (SELECT url FROM c WHERE ruled = 'block' UNION SELECT both_ways.b FROM reached JOIN both_ways ON both_ways.a = reached.url)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN url IN (SELECT url FROM reached) THEN 'block' ELSE 'allow' END) AS verdict FROM c
 """
 
 ORACLE_SQL = {
     "op4_quality_rules": QUALITY,
     "op5_url_filters": URLS,
+    "url_redirects": REDIRECTS,
     "op7_benchmark_decontamination": CONTAMINATION,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamella.llm import decontaminate, language, lines, packing, pii, quality, simhash, spans, tokens, urlfilter
 from lamella.llm.common import shared_path
@@ -45,6 +46,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(_table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 with a crawl log: of every four pages two redirect to pages before them, so that blocks reach aliases."""
+    pages = _table(spark, sf_dir, "pages")
+    named = pages.select(F.col("page_id").alias("to"), F.col("url").alias("target"))
+    moved = pages.where("page_id % 4 < 2").select(F.col("url").alias("source"), F.floor(F.col("page_id") * 3 / 5).alias("to"))
+    return urlfilter.verdicts(pages, urlfilter.rules_frame(spark), moved.join(named, "to").select("source", "target"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -74,6 +83,7 @@ QUERIES = {
         op3_pii_surrogates,
         op4_quality_rules,
         op5_url_filters,
+        url_redirects,
         op6_packing,
         op7_benchmark_decontamination,
         op8_language_id,

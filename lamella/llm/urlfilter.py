@@ -20,6 +20,8 @@ RULES = (
 )
 RULE_SCHEMA = "verdict string, host string, path string"
 BROADCAST_ROWS = 1_000_000
+#: So many blocked components, named by a url each, are broadcast; more are joined by shuffle.
+BROADCAST_URLS = 100_000
 #: Query parameters that say where a visitor came from, not which page is meant.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
 
@@ -65,30 +67,53 @@ def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return parsed.alias("p").join(best.alias("b"), F.expr("p.url <=> b.url"), "left").select("p.url", "host", "path", "rule", "ruled")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    start = F.array().cast("array<string>")
+    end = lambda done: F.array_append(F.filter(done, lambda x: x != "."), F.lit(""))
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))
+    kept = F.aggregate(segments, start, step)
+    open_end = F.element_at(segments, -1).isin(".", "..")
+    resolved = F.concat(F.lit("/"), F.array_join(F.when(open_end, end(kept)).otherwise(kept), "/"))
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), resolved).otherwise(path)
+
+
 def absolute(base: Column, link: Column) -> Column:
-    """``link`` as found on the page ``base``, made absolute; null if it names no web page."""
+    """``link`` as found in the html of the page ``base``, made absolute; null if it names no web page."""
+    link = F.regexp_replace(F.regexp_replace(link, "&amp;|&#38;", "&"), "#.*$", "")
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
     site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest_of(base), r"^([^/?#]*)", 1))
     folder = F.regexp_extract(path_of(base), r"^(.*/)", 1)
+    path, query = F.regexp_extract(link, r"^([^?]*)", 1), F.regexp_extract(link, r"(\?.*)$", 1)
     return (
         F.when(link.rlike("^(?i)https?://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (link == ""), F.lit(None).cast("string"))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.rlike("^[^:#?]+$"), F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        .when(link.startswith("/"), F.concat(site, _without_dots(path), query))
+        .when(link.startswith("?"), F.concat(site, path_of(base), link))
+        .otherwise(F.concat(site, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), query))
     )
 
 
+def same_url(url: Column) -> Column:
+    """What is the same for all ways to write one url: scheme and host in lower case, no fragment, ``/`` for an empty path."""
+    scheme = ascii_lower(F.regexp_extract(url, r"^([^/?#]*)://", 1))
+    path = path_of(url)
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), F.when(path == "", F.lit("/")).otherwise(path), F.regexp_extract(url, r"(\?[^#]*)", 1)))
+
+
 def canonical_form(url: Column) -> Column:
     """What the usual redirects of a site lead to: no scheme, no www. or m., no fragment, tracking or closing slash."""
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"(?:/index)?(?:\.html?)?/*$", "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     kept = F.regexp_replace(F.regexp_replace(query, rf"(?:^|&){TRACKING}(?=&|$)", ""), "^&", "")
-    return F.when(host != "", F.concat(F.lit("="), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))  # no url starts so
+    return F.when(host != "", F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Edges ``(a, b)`` between a url and what it redirects to, declares canonical, or is a usual spelling of.
+def alias_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """Distinct ``(source, target)``: what a url redirects to or declares canonical.
 
     Canonical links and refresh redirects are read from ``pages(url, html)``; ``redirects(source, target)`` adds others,
     as from a crawl log.
@@ -99,46 +124,38 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     target = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     url = F.col("url")
-    named = F.array(
-        F.when(html.rlike("(?i)canonical") & (href != ""), absolute(url, href)),
-        F.when(html.rlike("(?i)http-equiv") & (target != ""), absolute(url, target)),
-    )
-    links = pages.select(url.alias("a"), F.explode(named).alias("b"))
+    declares, refreshes = html.rlike("(?i)<link[^>]*canonical"), html.rlike("(?i)<meta[^>]*refresh")
+    named = F.array(F.when(declares & (href != ""), absolute(url, href)), F.when(refreshes & (target != ""), absolute(url, target)))
+    links = pages.where(declares | refreshes).select(url.alias("source"), F.explode(named).alias("target"))
     if redirects is not None:
-        links = links.unionByName(redirects.select(F.col("source").alias("a"), F.col("target").alias("b")))
-    links = links.where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    # Whatever is named, by a page or by a link, is tied to its usual spelling too.
-    every = pages.select(url.alias("a")).union(links.select("a")).union(links.select("b")).distinct()
-    spelled = every.select("a", canonical_form(F.col("a")).alias("b")).where("b IS NOT NULL")
-    return links.unionByName(spelled)
+        links = links.unionByName(redirects.select("source", "target"))
+    return links.where("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
-def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, spellings: bool = False) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url, html)``.
 
-    The longest fitting rule decides. A page without one is blocked if a url in its connected component of aliases is
-    blocked by a rule, else allowed. An explicit allow always stands: it is never overruled by an alias, and it covers
-    only the pages that it fits. Null urls and urls without ``://`` have an empty host and path, no aliases and no rule,
-    and are allowed. Null html has no links. Repeated rows come back as often as they came in; other columns are ignored;
-    an empty table gives an empty result.
+    The longest fitting rule decides. A page without one is blocked if a url in its connected component of redirects and
+    canonical links is blocked by a rule, else allowed. An explicit allow always stands: it is never overruled by an
+    alias, and it covers only the pages that it fits. Ways to write one url (case of the host, fragments) are one node;
+    with ``spellings`` so are its usual variants (see ``canonical_form``), for which there is no evidence in the pages. Null
+    urls and urls without ``://`` have an empty host and path, no aliases and no rule, and are allowed. Null html has no
+    links. Repeated rows come back as often as they came in; other columns are ignored; an empty table gives an empty
+    result.
     """
-    edges = cut(alias_edges(pages.select("url", "html"), redirects))
-    members = components(edges)
-    urls = pages.select("url").unionByName(members.where(~F.col("node").startswith("=")).select(F.col("node").alias("url")))
-    ruled = cut(with_rule(urls, rules))
-    blocked = (
-        members.join(ruled.where("ruled = 'block'").select(F.col("url").alias("node")), "node", "left_semi").select("component").distinct()
-    )
-    carried = members.join(blocked, "component", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("carried"))
-    known = ruled.where("url IS NOT NULL").join(carried, "url", "left")
+    node = canonical_form if spellings else same_url
+    links = cut(alias_links(pages.select("url", "html"), redirects))
+    urls = pages.select("url").union(links.select("source")).union(links.select("target")).where("url IS NOT NULL")
+    ruled = with_rule(urls, rules).withColumn("node", node(F.col("url")))
+    members = cut(components(links.select(node(F.col("source")).alias("a"), node(F.col("target")).alias("b"))))
+    grouped = cut(ruled.join(members, "node", "left").select("url", "host", "path", "rule", "ruled", F.coalesce("component", "node").alias("component")))
+    # Aggregates are stored before they are joined, so that both sides are dealt anew and a hub's urls can be split.
+    blocked = cut(grouped.where("ruled = 'block' AND component IS NOT NULL").select("component").distinct())
+    carried = broadcast_if_small(blocked.withColumn("carried", F.lit(True)), BROADCAST_URLS)
+    known = cut(grouped.join(carried, "component", "left"))
+    verdict = F.coalesce("ruled", F.when(F.col("carried"), F.lit("block")), F.lit("allow"))
     return (
         pages.select("page_id", "url")
         .join(known, "url", "left")
-        .select(
-            "page_id",
-            F.coalesce("host", F.lit("")).alias("host"),
-            F.coalesce("path", F.lit("")).alias("path"),
-            "rule",
-            F.coalesce("ruled", F.when(F.col("carried"), F.lit("block")), F.lit("allow")).alias("verdict"),
-        )
+        .select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", verdict.alias("verdict"))
     )

@@ -1,4 +1,5 @@
 from lamella.llm import urlfilter
+from pyspark.sql import functions as F
 
 RULES = urlfilter.RULES
 
@@ -38,10 +39,10 @@ URLS = [
 ]
 
 
-def run(spark, rows, redirects=None):
+def run(spark, rows, redirects=None, spellings=True):
     pages = spark.createDataFrame([(*r, "extra", "h") for r in rows], "page_id long, url string, html string, component string, host string")
     moved = None if redirects is None else spark.createDataFrame(redirects, "source string, target string")
-    out = urlfilter.verdicts(pages, urlfilter.rules_frame(spark), moved).collect()
+    out = urlfilter.verdicts(pages, urlfilter.rules_frame(spark), moved, spellings).collect()
     return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out}, out
 
 
@@ -69,6 +70,28 @@ def test_blocks_reach_aliases(spark):
     got, _ = run(spark, rows, [("https://mid.net/hop", "http://x.com/de/1"), (None, "http://x.com/de/1")])
     assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow"}
     assert got[4][2] == "org/" and got[1][2] is None
+    got, _ = run(spark, rows, [("https://www.MID.net/hop", "http://x.com/de/1#there")], spellings=False)
+    assert {k for k, v in got.items() if v[3] == "block"} == {1}  # other spellings prove nothing
+    got, _ = run(spark, rows, [("http://www.MID.net/hop", "HTTP://x.com/de/1#there")], spellings=False)
+    assert {k for k, v in got.items() if v[3] == "block"} == {1, 5}
+
+
+def test_links_are_resolved(spark):
+    cases = {
+        "/a/../b/./c": "http://h.net/b/c",
+        "../x": "http://h.net/p/x",
+        "../../../x/.": "http://h.net/x/",
+        "..": "http://h.net/p/",
+        "y?u=1&amp;v=2#f": "http://h.net/p/q/y?u=1&v=2",
+        "?n=2": "http://h.net/p/q/r?n=2",
+        "//o.net/z": "http://o.net/z",
+        "HTTPS://o.net": "HTTPS://o.net",
+        "mailto:a@b": None,
+        "#top": None,
+    }
+    rows = spark.createDataFrame([("http://h.net/p/q/r?k=1#g", link) for link in cases], "base string, link string")
+    got = [r[0] for r in rows.select(urlfilter.absolute(F.col("base"), F.col("link"))).collect()]
+    assert got == list(cases.values())
 
 
 def test_repeats_hot_url_and_empty(spark):
