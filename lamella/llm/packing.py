@@ -147,7 +147,9 @@ def packed(cut_up: DataFrame, window: int = 4096, unit: int = 32, depth: int = 3
 
     The histogram of piece lengths has ``window`` / ``unit`` bins whatever the input; the driver solves for repeats on it.
     Pieces are dealt by hash into shards of about ``shard_rows``; each shard rounds its share of the repeats and packs
-    what is left by best fit. Numbers depend on the pieces alone, so a lost task gives the same sequences again.
+    what is left by best fit. Rows that share an id are dealt by content, and rows equal in everything, by the thousand
+    that they are in, as numbered within the stored partitions, so that no shard grows with one id. Stored partitions do
+    not change, so a lost task gives the same sequences again.
     """
     units = window // unit
     bin_of = F.ceil(F.col("length") / unit)
@@ -164,7 +166,8 @@ def packed(cut_up: DataFrame, window: int = 4096, unit: int = 32, depth: int = 3
         return frame.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
 
     kind = cut_up.schema["doc_id"].dataType.simpleString()
-    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    salt = F.shiftright(F.monotonically_increasing_id(), 10)
+    dealt = cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", salt), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(pack_shard, PIECES.format(id=kind) + ", sequence_id bigint, offset bigint")
 
 

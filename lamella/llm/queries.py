@@ -67,10 +67,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = shared_path(spark, "token-counts")
+    """A cache of its own for each run, unless spark.lamella.tokens.cache names one that lasts."""
+    cache = spark.conf.get("spark.lamella.tokens.cache", None) or shared_path(spark, "token-cache")
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path(), cache)
 
 
+def cached_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 with a cache that an earlier run over the English documents has filled."""
+    docs, cache = _table(spark, sf_dir, "documents"), shared_path(spark, "token-cache")
+    tokens.token_counts(docs.where("lang = 'en'"), tokenizer_path(), cache)
+    return tokens.token_counts(docs, tokenizer_path(), cache)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.without_repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
@@ -88,6 +96,7 @@ QUERIES = {
         op7_benchmark_decontamination,
         op8_language_id,
         op9_token_counts,
+        cached_token_counts,
         op10_substring_dedup,
     )
 }

@@ -10,10 +10,10 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import text_batches
+from lamella.llm.common import stored, text_batches
 
 #: White space that str.split() splits at beyond blank, tab and line ends.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -96,13 +96,46 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+class WholeEncoder:
+    """Token ids of whole texts as the library gives them, for tokenizers that may join tokens over blanks."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            self._ids = SentencePieceProcessor(model_file=path).encode
+        else:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            library.no_padding()
+            library.no_truncation()
+            self._ids = lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self._ids(texts)]
+
+
+#: Texts on which a tokenizer that sees blanks gives itself away.
+PROBES = ["a  b\n\nc\td", "Word word. Word", " leading", "trailing \n", "x\r\ny  \n z", "The end.\n\n\nA start", "1 2  3", "é É\nß"]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def drops_blanks(path: str) -> bool:
+    """Whether the ids of texts are those of their chunks between blanks, so that blanks and line ends change nothing."""
+    if path.endswith(".model"):
+        return False
+    whole = WholeEncoder(path)
+    return whole.encode(PROBES) == [b"".join(whole.encode(t.split())) for t in PROBES] and ChunkEncoder(path).encode(PROBES) == whole.encode(PROBES)
+
+
+_encoders: dict[str, ChunkEncoder | WholeEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder | WholeEncoder:
     """One encoder per Python worker and file."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ChunkEncoder(path) if drops_blanks(path) else WholeEncoder(path)
     return _encoders[path]
 
 
@@ -113,9 +146,10 @@ def encoded(path: str, texts: Iterator[str], group: int = 64) -> Iterator[bytes]
         yield from own.encode(part)
 
 
-def normalised(text: Column) -> Column:
-    """Null as empty, runs of blanks and line ends as one blank: the tokenizer drops them, so counts cannot change."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t\n\r]{2,}|[\t\n\r]", " ")
+def normalised(text: Column, blanks: bool = True) -> Column:
+    """Null as empty; with ``blanks``, for tokenizers that drop them, runs of blanks and line ends as one blank."""
+    text = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(text, "[ \t\n\r]{2,}|[\t\n\r]", " ") if blanks else text
 
 
 def tokenizer_version(path: str) -> str:
@@ -124,6 +158,12 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
+def compacted(spark: SparkSession, cache_path: str, new_path: str) -> None:
+    """Write the cache anew with one entry for each tokenizer and content: appends leave many small files."""
+    entries = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
+    entries.groupBy("tokenizer", "content").agg(F.first("n_tokens").alias("n_tokens")).write.parquet(new_path)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row of ``docs(doc_id, text)``; other columns are ignored.
 
@@ -135,28 +175,32 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark = docs.sparkSession
     text_batches(spark)
     version = tokenizer_version(tokenizer_path)
-    text = F.coalesce("text", F.lit(""))
-    content = F.sha2(normalised(F.col("text")), 256)
-    keys = docs.select("doc_id", content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([drops_blanks(tokenizer_path)])], names=["blanks"])
+
+    blanks = spark.range(1, numPartitions=1).mapInArrow(probed, "blanks boolean").first()["blanks"]
+    text, place = F.coalesce("text", F.lit("")), F.xxhash64("text")
+    content = F.sha2(normalised(F.col("text"), blanks), 256)
+    keys = stored(docs.select("doc_id", place.alias("place"), content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "token-keys")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    misses = keys.groupBy("content").agg(F.min("doc_id").alias("first_id")).join(cached, "content", "left_anti")
+    misses = keys.groupBy("content").agg(F.min(F.struct("doc_id", "place")).alias("first")).join(cached, "content", "left_anti")
+    misses = misses.select("content", "first.doc_id", "first.place")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [len(ids) // 4 for ids in encoded(tokenizer_path, (t.as_py() for t in batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["content", "n_tokens"])
 
-    own = docs.select("doc_id", content.alias("content"), text.alias("text")).alias("d")
-    asked = own.join(misses.hint("shuffle_hash").alias("m"), F.expr("d.doc_id <=> m.first_id AND d.content = m.content"))
-    fresh = asked.select("d.content", "d.text").mapInArrow(count, "content string, n_tokens bigint")
+    own = docs.select("doc_id", place.alias("place"), text.alias("text")).alias("d")
+    asked = own.join(misses.hint("shuffle_hash").alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.place = m.place"))
+    # Rows that repeat an id and a text are encoded as often as they occur, but append one entry.
+    fresh = asked.select("m.content", "d.text").mapInArrow(count, "content string, n_tokens bigint")
     fresh = fresh.groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
     fresh.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = (
-        spark.read.schema(CACHE_SCHEMA)
-        .parquet(cache_path)
-        .where(F.col("tokenizer") == version)
-        .groupBy("content")
-        .agg(F.first("n_tokens").alias("n_tokens"))
-    )
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
+    # Stored, so that both sides of the join are dealt anew and a content of a third of all rows can be split.
+    counts = stored(counts.groupBy("content").agg(F.first("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

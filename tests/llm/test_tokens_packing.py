@@ -1,9 +1,12 @@
+import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from lamella.llm import packing, tokens
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +56,12 @@ def test_counts_and_cache(spark, library, tmp_path):
     for _ in range(2):
         out = tokens.token_counts(docs, PATH, cache, limit=10)
         assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in out.collect()) == want
+    before = spark.read.parquet(cache).count()
+    others = spark.createDataFrame([(1, TEXTS[2]), (2, "a new text"), (3, "a  new\ntext")], "doc_id long, text string")
+    tokens.token_counts(others, PATH, cache)
+    assert spark.read.parquet(cache).count() == before + 1  # the rest is not encoded again
+    tokens.compacted(spark, cache, str(tmp_path / "compact"))
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == before + 1
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("content").distinct().count()
     assert stored.where("tokenizer IS NULL").count() == 0
@@ -119,3 +128,36 @@ def test_pieces_carry_ids(spark, library):
     rows = packing.pieces(docs, PATH, 4, ids=True).orderBy("start").collect()
     assert [len(r.ids) for r in rows] == [4, 4, 3]
     assert [i for r in rows for i in r.ids] == [*ids_of(library, "word " * 10), 2]
+
+
+def test_tokenizers_that_see_blanks_get_whole_texts(spark, tmp_path):
+    assert tokens.drops_blanks(PATH)
+    names = [n for n in os.listdir(os.path.dirname(PATH)) if n.endswith((".json", ".model"))]
+    texts = ["Two  blanks\n\nand lines", " leading and trailing ", "plain words", "", "<s> é 漢字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    seen = 0
+    for name in names:
+        path = public_tokenizers.path(name)
+        try:
+            blank = tokens.drops_blanks(path)
+        except Exception:  # not a tokenizer
+            continue
+        if blank:
+            continue
+        seen += 1
+        if name.endswith(".model"):
+            want = [len(x) for x in SentencePieceProcessor(model_file=path).encode(texts)]
+        else:
+            library = Tokenizer.from_file(path)
+            library.no_padding(), library.no_truncation()
+            want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        got = tokens.token_counts(docs, path, str(tmp_path / name)).orderBy("doc_id").collect()
+        assert [r.n_tokens for r in got] == want, name
+    assert seen >= 1
+
+
+def test_a_repeated_id_is_dealt_over_shards(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, "word " * (i % 90)) for i in range(6000)], "doc_id long, text string")
+    out = packing.packed(packing.pieces(docs, PATH, 64).cache(), window=64, unit=4, shard_rows=500).collect()
+    shards = Counter(r.sequence_id >> 32 for r in out)
+    assert len(shards) >= 10 and max(shards.values()) < 3 * len(out) / len(shards)
