@@ -122,8 +122,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, sl
     return held.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def judged(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit inside any occurrence of a benchmark window of ``width`` words; ``n_items`` counts items with occurring
     windows and ``items_sha256`` digests their ids, sorted as strings. Contaminated: some hit, and hits are at least
@@ -147,8 +147,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in
     named = (
         found.select(*key, "phrase")
         .distinct()
-        .join(broadcast_if_small(phrases.select("phrase", "items"), BROADCAST_ROWS), "phrase")
-        .select(*key, F.explode(F.col("items").cast("array<string>")).alias("item"))
+        .join(broadcast_if_small(phrases.select("phrase", F.explode(F.col("items").cast("array<string>")).alias("item")), BROADCAST_ROWS), "phrase")
+        .select(*key, "item")
         .groupBy(*key)
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
@@ -159,6 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in
     items = F.coalesce("m.items", F.array().cast("array<string>"))
     return joined.select(
         "d.doc_id",
+        "d.text_key",
         "d.n_words",
         n_hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
@@ -167,7 +168,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20) -> DataFrame:
+    """``judged`` without the digest of the text."""
+    return judged(docs, benchmark, width, one_in).drop("text_key")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated."""
-    bad = contamination(docs, benchmark, width, one_in).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """Rows of ``docs`` that are not contaminated (see ``judged``); rows that share a doc_id go or stay by their own text.
+
+    All columns pass through; an empty table gives an empty result.
+    """
+    bad = judged(docs, benchmark, width, one_in).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_key").alias("_key")).distinct()
+    kept = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("text_key"))
+    return kept.join(bad, F.expr("doc_id <=> _bad AND text_key = _key"), "left_anti").select("_row.*")

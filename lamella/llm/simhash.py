@@ -144,22 +144,30 @@ def _level(n: float) -> int:
     return max(0, int(np.floor(np.log2(n / 3))) + (n < 48)) if n >= 3 else 0
 
 
-def segment_prints(hashes: np.ndarray, similarity: float = 0.8, classes: int = CLASSES) -> list[tuple[int, int, int]]:
-    """(level, class, fingerprint) of distinct shingles dealt by hash into 2^level classes, the first ``classes`` of them.
+def segment_prints(hashes: np.ndarray, similarity: float = 0.8, classes: int = CLASSES) -> np.ndarray:
+    """A key for each fingerprint of distinct shingles dealt by hash into 2^level classes, the first ``classes`` of them.
 
-    Similar texts have equal shingles in many classes, so some of the classes' SimHashes are equal, whatever the length of
-    the texts; unrelated texts share none. Texts whose numbers of shingles differ as much as ``similarity`` allows may
-    stand on either side of a step of the level: such get the fingerprints of both levels.
+    A key is the SimHash of a class mixed with its level and number. Similar texts have equal shingles in many classes, so
+    some of the classes' SimHashes are equal, whatever the length of the texts; unrelated texts share none. Texts whose
+    numbers of shingles differ as much as ``similarity`` allows may stand on either side of a step of the level: such get
+    the keys of both levels.
     """
-    out, n = [], len(hashes)
+    keys, n = [], len(hashes)
     spread = hashes * np.uint64(0x9E3779B97F4A7C15)  # the class must not depend on bits of the fingerprint alone
     for level in {_level(m) for m in (n * similarity, n, n / similarity)} if n else ():
         of = spread >> np.uint64(64 - level) if level else np.zeros(n, dtype="<u8")
         near = np.flatnonzero(of < classes)
-        order = near[np.argsort(of[near], kind="stable")]
-        for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
-            out.append((level, int(of[part[0]]), majority(hashes[part])))
-    return out
+        if not len(near):
+            continue
+        near = near[np.argsort(of[near], kind="stable")]
+        starts = np.flatnonzero(np.diff(of[near], prepend=np.uint64(classes)))
+        bits = np.unpackbits(hashes[near].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        most = 2 * ones > np.diff(starts, append=len(near))[:, None]
+        prints = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+        salt = (of[near][starts] + np.uint64(level * classes + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        keys.append((prints ^ (salt ^ salt >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD))
+    return np.concatenate(keys) if keys else np.zeros(0, dtype="<u8")
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -177,9 +185,11 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             for i, text in enumerate(batch.column(1)):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 place = majority(hashes) >> 48
-                for level, of, fp in segment_prints(np.unique(hashes), similarity):
-                    at.append(i), keys.append(xxhash.xxh64_intdigest(f"{level} {of} {fp}") - (1 << 63)), places.append(place)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], names=["node", "cell", "place"])
+                own = segment_prints(np.unique(hashes), similarity)
+                at.append(np.full(len(own), i)), keys.append(own), places.append(np.full(len(own), place))
+            columns = [np.concatenate(c) if c else np.zeros(0) for c in (at, keys, places)]
+            nodes = batch.column(0).take(pa.array(columns[0].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(columns[1].astype("<u8").view("<i8")), pa.array(columns[2].astype(np.int32))], names=["node", "cell", "place"])
 
     kind = docs.schema["node"].dataType.simpleString()
     cells = stored(docs.select("node", "text").mapInArrow(emit, f"node {kind}, cell bigint, place int").distinct(), "simhash-classes")

@@ -70,3 +70,11 @@ def test_clean_and_proximity(spark):
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 3]
     assert {r.doc_id for r in decontaminate.proximity_matches(docs, bench).collect()} == {2, 3}
+
+
+def test_clean_keeps_rows_by_their_own_text(spark):
+    item = " ".join(f"w{chr(97 + i)}" for i in range(14))
+    docs = [(1, item, 5), (1, "an innocent text under the same id", 6), (None, "x " + item, 7), (None, None, 8), (2, "", 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, text_key int")
+    kept = decontaminate.clean(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == frame.columns and sorted(r.text_key for r in kept.collect()) == [6, 8, 9]
