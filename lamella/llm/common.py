@@ -120,7 +120,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _with_least(both, least, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, least, "u", "v").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
