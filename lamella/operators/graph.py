@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,19 +10,30 @@ from pyspark.sql.window import Window
 
 from lamella.functions.scalars import ratio
 from lamella.operators.lineage import cut
+from lamella.operators.project import with_params
+
+
+#: Copies of a node's minimum in the joins of a round. They keep an exchange on both sides, so that a hub's edges are dealt
+#: over several tasks and can be split further at run time.
+SALTS = 2
+
+
+def _with_least(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    dealt = edges.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), [node, "_salt"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("_m").alias("b")).distinct()
+    return _with_least(both, least, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.col("_m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them; edges run from the larger ``a`` to the smaller ``b``."""
     least = edges.groupBy("a").agg(F.min("b").alias("_m"))
-    moved = edges.join(least, "a").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+    moved = _with_least(edges, least, "a", "b").filter("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return moved.unionByName(least.select("a", F.col("_m").alias("b"))).distinct()
 
 
@@ -30,7 +41,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(node, component)`` for ``nodes(node)`` and undirected ``edges(a, b)``; the smallest node names a component.
 
     Alternating star rounds, each a grouped minimum and an equi-join: the number of rounds follows the logarithm of the
-    longest path, and a hub is not gathered in one task. Rounds are checkpointed; a node without an edge is its own
+    longest path, and a hub's edges are dealt over several tasks. Rounds are checkpointed; a node without an edge is its own
     component. Ends that ``nodes`` lacks take part and are left out of the result.
     """
     lined = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -45,28 +56,32 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int = 5) -> DataFrame:
+def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int | Mapping[str, int] = 5, key: str = "channel", other_span: int = 5) -> DataFrame:
     """Components of at most ``max_span`` sections: ``(node, component)`` for ``nodes(node, z)``, ``edges(a, b, weight)``.
 
     While a component is longer all its edges of smallest weight are cut at once and it is searched again. Components that
-    fit leave the loop with their nodes, so rounds get smaller; a component without edges stays as it is.
+    fit leave the loop with their nodes, each round's in a part of its own, so rounds get smaller; a component without
+    edges stays as it is. ``max_span`` may map the nodes' ``key`` (such as a channel, ``other_span`` for any other) to its
+    own limit; the largest limit of a component's nodes holds.
     """
+    given = isinstance(max_span, Mapping)
+    limited = nodes.select("node", "z", *([key] if given else []))
+    limited = with_params(limited, max_span, key, "most", other_span).drop(key) if given else limited.withColumn("most", F.lit(max_span))
+    rest_nodes, rest_edges = cut(limited), edges.select("a", "b", "weight")
     labels = cut(connected_components(nodes, edges))
     done = None
-    rest_nodes, rest_edges = nodes.select("node", "z"), edges.select("a", "b", "weight")
     while True:
         placed = rest_nodes.join(labels, "node")
-        spans = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"))
-        long = spans.filter(F.col("span") > max_span).select("component")
+        spans = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"), F.max("most").alias("most"))
+        long = spans.filter("span > most").select("component")
         inner = rest_edges.join(placed.select(F.col("node").alias("a"), "component"), "a").join(long, "component", "left_semi")
-        least = inner.groupBy("component").agg(F.min("weight").alias("_least"))
-        open_ = cut(least)
-        fits = placed.join(open_.select("component"), "component", "left_anti").select("node", "component")
-        done = cut(fits if done is None else done.unionByName(fits))
+        open_ = cut(inner.groupBy("component").agg(F.min("weight").alias("_least")))
+        fits = cut(placed.join(open_.select("component"), "component", "left_anti").select("node", "component"))
+        done = fits if done is None else done.unionByName(fits)
         if open_.isEmpty():
             return done
         rest_edges = cut(inner.join(open_, "component").filter("weight > _least").select("a", "b", "weight"))
-        rest_nodes = cut(placed.join(open_.select("component"), "component", "left_semi").select("node", "z"))
+        rest_nodes = cut(placed.join(open_.select("component"), "component", "left_semi").select("node", "z", "most"))
         labels = cut(connected_components(rest_nodes, rest_edges))
 
 

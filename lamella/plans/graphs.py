@@ -28,31 +28,55 @@ def j4_overlap_edges(d):
     return edges(d).withColumn("frac", F.round("frac", 6))
 
 
+#: A label's place as one number, without collisions below 2^17 cores, 2^14 sections and 2^32 labels.
+NODE = "(({core} * 16384 + {z}) * 4294967296 + {label})"
+
+
 def node_id(core: str, z: str, label: str):
-    return (F.col(core) * 1_000_000 + F.col(z) * 10_000 + F.col(label)).cast("long")
+    return F.expr(NODE.format(core=f"CAST({core} AS BIGINT)", z=z, label=label))
 
 
 def graph(d):
     nodes = stats(d).select("core", "z", "label", node_id("core", "z", "label").alias("node"), "area_px", "centroid_y", "centroid_x")
-    lines = edges(d).select(node_id("core", "z", "label_a").alias("a"), (F.col("core") * 1_000_000 + (F.col("z") + 1) * 10_000 + F.col("label_b")).cast("long").alias("b"), F.col("n_shared").alias("weight"))
+    lines = edges(d).select(node_id("core", "z", "label_a").alias("a"), node_id("core", "(z + 1)", "label_b").alias("b"), F.col("n_shared").alias("weight"))
     return nodes, lines
 
 
-@query()
+def _reach(r: int) -> str:
+    """SQL of components over the edges ``e{r}``: all that a node reaches, the smallest naming it."""
+    return f"""w{r} AS (SELECT a, b FROM e{r} UNION ALL SELECT b, a FROM e{r}),
+r{r} AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r{r}.a, w{r}.b FROM r{r} JOIN w{r} ON w{r}.a = r{r}.b),
+c{r} AS MATERIALIZED (SELECT a AS node, min(b) AS component FROM r{r} GROUP BY 1)"""
+
+
+def _sever(r: int, most: int) -> str:
+    """SQL of the edges that are left after the lightest ones of every component longer than ``most`` sections are cut."""
+    return f"""s{r} AS (SELECT component FROM c{r} JOIN nodes USING (node) GROUP BY 1 HAVING max(z) - min(z) + 1 > {most}),
+l{r} AS (SELECT component, min(weight) AS least FROM e{r} JOIN c{r} ON node = a JOIN s{r} USING (component) GROUP BY 1),
+e{r + 1} AS MATERIALIZED (SELECT a, b, weight FROM e{r} JOIN c{r} ON node = a LEFT JOIN l{r} USING (component) WHERE least IS NULL OR weight > least)"""
+
+
+NODES = f"""RECURSIVE {EDGES}, nodes AS MATERIALIZED (SELECT {NODE.format(core="core", z="slice_z", label="label")} AS node, core, slice_z AS z FROM ar),
+e0 AS MATERIALIZED (SELECT {NODE.format(core="core", z="z", label="label_a")} AS a, {NODE.format(core="core", z="(z + 1)", label="label_b")} AS b, n_shared AS weight FROM edges), {_reach(0)}"""
+#: Labels of the views cover four pixels and share one to four with the next section, so four cuts leave no edge to cut.
+CUTS = 4
+SEVERED = ", ".join([NODES, *(part for r in range(CUTS) for part in (_sever(r, 5), _reach(r + 1)))])
+
+
+@query(f"WITH {NODES} SELECT node, component FROM c0")
 def g2_connected_components(d):
-    """Components of the overlap graph; iterative, compared with a union-find in the tests."""
     nodes, lines = graph(d)
     return G.connected_components(nodes, lines)
 
 
-@query()
+@query(f"WITH {SEVERED} SELECT node, component FROM c{CUTS}")
 def g3_sever_components(d):
     """Components of at most five sections."""
     nodes, lines = graph(d)
     return G.sever_components(nodes, lines, 5)
 
 
-@query()
+@query(f"WITH {SEVERED}, f AS (SELECT core, component, min(node) AS first FROM c{CUTS} JOIN nodes USING (node) GROUP BY 1, 2), k AS (SELECT core, component, row_number() OVER (PARTITION BY core ORDER BY first) AS cell_id_3d FROM f) SELECT core, node, component, cell_id_3d FROM c{CUTS} JOIN nodes USING (node) JOIN k USING (core, component)")
 def g4_assign_cell_ids(d):
     nodes, lines = graph(d)
     labels = G.sever_components(nodes, lines, 5).join(nodes.select("node", "core"), "node")

@@ -84,6 +84,8 @@ def oracle(query: str) -> str:
     """``query`` for DuckDB with the views that it names before it."""
     parts = [f"{name} AS ({DUCKDB[name].format(text='VARCHAR')})" for name in _needed(query, DUCKDB)]
     query = query.strip()
+    if query[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join([*parts, query[15:]])
     if query[:5].upper() == "WITH ":
         return "WITH " + ",\n".join([*parts, query[5:]])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + query
