@@ -43,40 +43,87 @@ def radius_graph(points: DataFrame, radius: float, dims: Sequence[str], keys: Se
     return left.join(right, [*keys, "_b"]).filter((F.col("src") != F.col("dst")) & (dist <= radius)).select(*keys, "src", "dst", dist.alias("dist"))
 
 
-def nearest_neighbour(src: DataFrame, tgt: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("core",), size: float = 50.0, item: str = "cell_id", rounds: int = 12) -> DataFrame:
+def _paired(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str, width: float) -> DataFrame:
+    """Sources with the targets in the 3^d buckets around them, self excluded: (keys, item, rest of goal, _d)."""
+    left = open_.select(*keys, F.col(item), *[F.col(d).alias(f"_s{d}") for d in dims], F.explode(_around(dims, F.lit(width))).alias("_b"))
+    right = goal.select(*[c for c in goal.columns if c not in (item, *dims)], F.col(item).alias("_o"), *[F.col(d).alias(f"_t{d}") for d in dims], F.struct(*[_bucket(d, F.lit(width)).alias(f"_b{j}") for j, d in enumerate(dims)]).alias("_b"))
+    return left.join(right, [*keys, "_b"]).filter(F.col(item) != F.col("_o")).withColumn("_d", _distance(dims, "_s", "_t"))
+
+
+def _tiles(goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str, width: float, finer: float | None) -> DataFrame:
+    """Occupied tiles of ``width`` with two of their targets: (keys, _up, _b, _p), ``_up`` the tile of twice the width."""
+    tile = F.struct(*[_bucket(d, F.lit(width)).alias(f"_b{j}") for j, d in enumerate(dims)])
+    up = F.struct(*[_bucket(d, F.lit(finer or width)).alias(f"_b{j}") for j, d in enumerate(dims)])
+    point = F.struct(F.col(item), *dims)
+    grouped = goal.groupBy(*keys, up.alias("_up"), tile.alias("_b")).agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"))
+    return grouped.select(*keys, "_up", "_b", F.array("_lo", "_hi").alias("_p"))
+
+
+def _descend(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str, width: float, levels: int) -> DataFrame:
+    """Nearest targets by halving tiles from ``width`` on: (keys, item, dist).
+
+    A source keeps the tiles whose nearest corner is no farther than the nearest target known so far, each tile showing two
+    of its targets; their quarters come next. So far clusters cost a few rows a source and level, never a product. In the
+    last, narrowest tiles all targets are compared; equal points count once.
+    """
+    unique = goal.groupBy(*keys, *dims).agg(F.min(item).alias("_a"), F.max(item).alias("_z"))
+    goal = cut(unique.select(*keys, *dims, F.explode(F.array_distinct(F.array("_a", "_z"))).alias(item)))
+    source = open_.select(*keys, item, *dims)
+    held = None
+    for level in range(levels):
+        tiles = _tiles(goal, dims, keys, item, width, width * 2 if level else None)
+        asked = source.join(tiles.drop("_up"), [*keys]) if held is None else held.join(tiles, [*keys, "_up"])
+        gap = lambda d, j: F.greatest(F.col("_b")[f"_b{j}"] * width - F.col(d), F.col(d) - (F.col("_b")[f"_b{j}"] + 1) * width, F.lit(0.0))  # noqa: E731, B023
+        low = F.sqrt(sum((F.pow(gap(d, j), F.lit(2.0)) for j, d in enumerate(dims)), F.lit(0.0)))
+        to = lambda p: F.when(p[item] != F.col(item), F.sqrt(sum((F.pow(p[d] - F.col(d), F.lit(2.0)) for d in dims), F.lit(0.0))))
+        met = cut(asked.select(*keys, item, *dims, "_b", low.alias("_low"), F.array_min(F.array_compact(F.transform("_p", to))).alias("_known")))
+        best = met.groupBy(*keys, item).agg(F.min("_known").alias("_best"))
+        held = met.join(best, [*keys, item]).filter(F.col("_best").isNull() | (F.col("_low") <= F.col("_best"))).select(*keys, item, *dims, F.col("_b").alias("_up"))
+        width /= 2
+    last = goal.select(*keys, F.col(item).alias("_o"), *[F.col(d).alias(f"_t{d}") for d in dims], F.struct(*[_bucket(d, F.lit(width * 2)).alias(f"_b{j}") for j, d in enumerate(dims)]).alias("_up"))
+    pairs = held.select(*keys, item, *[F.col(d).alias(f"_s{d}") for d in dims], "_up").join(last, [*keys, "_up"]).filter(F.col(item) != F.col("_o"))
+    return pairs.groupBy(*keys, item).agg(F.min(_distance(dims, "_s", "_t")).alias("dist"))
+
+
+def nearest_neighbour(src: DataFrame, tgt: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("core",), size: float = 50.0, item: str = "cell_id", rounds: int = 2, levels: int = 20) -> DataFrame:
     """Distance from every source to its nearest target in the same group, not counting itself: (keys, item, dist).
 
     ``keys`` may hold pairs of types. A distance found in the 3^d buckets around a source is final if it is at most the
-    bucket's size, for then no nearer target can lie beyond. The others try again with buckets twice as large; a source
-    whose group has no other target is dropped beforehand. Coincident points of another id count, with distance 0.
+    bucket's size, for then no nearer target can lie beyond. After ``rounds`` of doubled buckets the few that are left
+    descend a hierarchy of tiles, from ``size`` * 2^(``levels`` - 4) down to an eighth of ``size``. A source whose group
+    has no other target is dropped beforehand. Coincident points of another id count, with distance 0.
     """
-    others = tgt.groupBy(*keys).agg(F.countDistinct(item).alias("_n"), F.min(item).alias("_only"))
-    usable = src.join(others, [*keys]).filter((F.col("_n") > 1) | (F.col("_only") != F.col(item))).select(*keys, item, *dims)
+    others = tgt.groupBy(*keys).agg(F.min(item).alias("_only"), F.max(item).alias("_last"))
+    usable = src.join(others, [*keys]).filter((F.col("_last") != F.col("_only")) | (F.col("_only") != F.col(item))).select(*keys, item, *dims)
     open_, goal, found = cut(usable), cut(tgt.select(*keys, item, *dims)), None
     for i in range(rounds):
         width = float(size * 2**i)
-        left = open_.select(*keys, F.col(item), *[F.col(d).alias(f"_s{d}") for d in dims], F.explode(_around(dims, F.lit(width))).alias("_b"))
-        right = goal.select(*keys, F.col(item).alias("_o"), *[F.col(d).alias(f"_t{d}") for d in dims], F.struct(*[_bucket(d, F.lit(width)).alias(f"_b{j}") for j, d in enumerate(dims)]).alias("_b"))
-        least = left.join(right, [*keys, "_b"]).filter(F.col(item) != F.col("_o")).groupBy(*keys, item).agg(F.min(_distance(dims, "_s", "_t")).alias("dist"))
+        least = _paired(open_, goal, dims, keys, item, width).groupBy(*keys, item).agg(F.min("_d").alias("dist"))
         final = cut(least.filter(F.col("dist") <= width))
         found = final if found is None else found.unionByName(final)
         open_ = cut(open_.join(final, [*keys, item], "left_anti"))
         if open_.isEmpty():
             return found
-    # Few are left, farther from any target than the largest bucket: they meet the whole group once.
-    left = open_.select(*keys, F.col(item), *[F.col(d).alias(f"_s{d}") for d in dims])
-    right = goal.select(*keys, F.col(item).alias("_o"), *[F.col(d).alias(f"_t{d}") for d in dims])
-    last = left.join(right, [*keys]).filter(F.col(item) != F.col("_o")).groupBy(*keys, item).agg(F.min(_distance(dims, "_s", "_t")).alias("dist"))
-    return found.unionByName(last)
+    last = _descend(open_, goal, dims, keys, item, float(size) * 2 ** (levels - 4), levels)
+    return last if found is None else found.unionByName(last)
 
 
 def type_distances(cells: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("core", "slice_id"), size: float = 50.0, item: str = "cell_id") -> DataFrame:
-    """Nearest-neighbour distances for every ordered pair of types present in a group: (keys, src_type, tgt_type, item, dist)."""
+    """Nearest-neighbour distances for every ordered pair of types present in a group: (keys, src_type, tgt_type, item, dist).
+
+    A cell meets the cells of all types around it in one join; only pairs of a cell and a type that this leaves open are
+    searched for one by one.
+    """
+    goal = cells.select(*keys, F.col("cell_type").alias("tgt_type"), item, *dims)
+    near = _paired(cells.select(*keys, item, *dims), goal, dims, keys, item, float(size))
+    final = cut(near.groupBy(*keys, item, "tgt_type").agg(F.min("_d").alias("dist")).filter(F.col("dist") <= size))
     types = cells.select(*keys, F.col("cell_type").alias("tgt_type")).distinct()
-    src = cells.select(*keys, F.col("cell_type").alias("src_type"), item, *dims).join(types, [*keys])
-    pairs = types.withColumnRenamed("tgt_type", "src_type").join(types, [*keys])
-    tgt = cells.select(*keys, F.col("cell_type").alias("tgt_type"), item, *dims).join(pairs, [*keys, "tgt_type"])
-    return nearest_neighbour(src, tgt, dims, [*keys, "src_type", "tgt_type"], size, item)
+    typed = cells.select(*keys, F.col("cell_type").alias("src_type"), item, *dims)
+    rest = typed.join(types, [*keys]).join(final, [*keys, item, "tgt_type"], "left_anti")
+    by_type = [*keys, "tgt_type"]
+    far = nearest_neighbour(rest.select(*by_type, item, *dims), goal, dims, by_type, size * 2, item, 1)
+    both = final.unionByName(far).join(typed.select(*keys, item, "src_type"), [*keys, item])
+    return both.select(*keys, "src_type", "tgt_type", item, "dist")
 
 
 def colocalise(a: DataFrame, b: DataFrame, dims: Sequence[str], radius: float | None = None, keys: Sequence[str] = ("core",), size: float = 50.0, item: str = "cell_id") -> DataFrame:
@@ -100,61 +147,96 @@ def observed_interactions(cells: DataFrame, graph: DataFrame, keys: Sequence[str
     return joined.withColumn("observed", F.col("n_pairs") / F.col("n_src"))
 
 
-def shuffled_types(cells: DataFrame, first: int, count: int, seed: int, keys: Sequence[str], item: str) -> DataFrame:
-    """Types of each cell under ``count`` permutations of its group, as an array of type numbers.
+def numbered(cells: DataFrame, keys: Sequence[str], item: str, dims: Sequence[str] = (), size: float = 200.0) -> DataFrame:
+    """A number from 0 without gaps for each cell of its group, (keys, item, _i), given tile by tile.
 
-    A permutation orders the cells by a hash of (seed, permutation, cell) and deals the types out in the order of ids, so
-    the outcome does not depend on partitions. Ranks are per group and permutation.
+    Cells are numbered within tiles of space (``dims``), or within 256 shares by hash, and tiles are counted before, so no
+    group is sorted as a whole.
     """
-    numbered = cells.select(*keys, item, "_t")
-    perms = numbered.withColumn("_p", F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))))
-    hashed = perms.withColumn("_h", F.xxhash64(F.lit(seed), "_p", *keys, item))
-    ranked = hashed.withColumns({"_r": F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", item)), "_q": F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(item))})
-    dealt = ranked.select(*keys, "_p", "_q", "_t").withColumnRenamed("_q", "_r")
-    named = ranked.select(*keys, "_p", "_r", item).join(dealt, [*keys, "_p", "_r"])
-    return named.groupBy(*keys, item).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_t"))), lambda s: s["_t"]).alias("types"))
+    tile = F.struct(*[_bucket(d, size) for d in dims]) if dims else F.struct(F.pmod(F.xxhash64(item), F.lit(256)))
+    dealt = cells.select(*keys, item, tile.alias("_tile"))
+    before = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_tile").agg(F.count("*").alias("_n")).select(*keys, "_tile", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_tile").orderBy(item)))
+    return own.join(starts, [*keys, "_tile"]).select(*keys, item, (F.col("_start") + F.col("_r") - 1).alias("_i"))
 
 
-def permutation_null(cells: DataFrame, graph: DataFrame, n: int = 1000, seed: int = 42, batch: int = 50, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
-    """Sum, sum of squares and exceedances of interactions with types shuffled over a fixed graph.
+def permuted(index: np.ndarray, n: int, perms: np.ndarray, seed: int, rounds: int = 8) -> np.ndarray:
+    """Places of ``index`` (below ``n``) under the keyed permutations ``perms`` of 0..n-1: a row for each index.
 
-    Permutations come in batches: an edge carries both ends' shuffled types as arrays of ``batch`` small numbers, tasks
-    count them with numpy and send on one row per permutation and pair of types. ``graph(keys, src, dst)``.
+    A Feistel network over the next power of four, 256 at least; results beyond ``n`` go through it again, which keeps it
+    one to one. A place needs nothing but its own index, so no permutation is ever laid out as a whole.
+    """
+    half = max(4, (max(int(n) - 1, 1).bit_length() + 1) // 2)
+    mask, mixed = np.uint64((1 << half) - 1), np.uint64(0x9E3779B97F4A7C15)
+    salts = [(perms.astype(np.uint64) * np.uint64(rounds) + np.uint64(r + 1)) * mixed + np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64)) for r in range(rounds)]
+    out = np.repeat(index.astype(np.uint64)[:, None], len(perms), axis=1)
+    todo = np.ones(out.shape, dtype=bool)
+    salts = [np.broadcast_to(s, out.shape) for s in salts]
+    while todo.any():
+        x = out[todo]
+        left, right = x >> np.uint64(half), x & mask
+        for salt in salts:
+            z = (right + salt[todo]) * np.uint64(0xFF51AFD7ED558CCD)
+            z = (z ^ z >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
+            left, right = right, left ^ (z >> np.uint64(40) & mask)
+        out[todo] = left << np.uint64(half) | right
+        todo &= out >= np.uint64(n)
+    return out.astype(np.int64)
+
+
+def permutation_null(cells: DataFrame, graph: DataFrame, n: int = 1000, seed: int = 42, keys: Sequence[str] = ("core",), item: str = "cell_id", dims: Sequence[str] = ()) -> DataFrame:
+    """Sum, sum of squares and exceedances of interactions with types shuffled over a fixed graph ``(keys, src, dst)``.
+
+    Permutation p gives a cell the type that stands at its permuted number in the list of its group's types, sorted by
+    type; that list is known from the counts of types alone. Edges carry both ends' numbers; tasks read edges of
+    neighbouring cells one batch after the other, work the types of a batch's cells out once for all permutations and
+    send on one row per group and pair of types. ``dims`` only serves to keep edges of one place together.
     """
-    kinds = cells.select(*keys, "cell_type").distinct()
-    names = kinds.withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy("cell_type")) - 1)
-    numbered = cut(cells.select(*keys, item, "cell_type").join(names, [*keys, "cell_type"]))
     seen = observed_interactions(cells, graph, keys, item)
-    tallies = None
-    for first in range(0, n, batch):
-        count = min(batch, n - first)
-        types = shuffled_types(numbered, first, count, seed, keys, item)
-        ends = graph.select(*keys, "src", "dst").join(types.withColumnsRenamed({item: "src", "types": "_a"}), [*keys, "src"]).join(types.withColumnsRenamed({item: "dst", "types": "_b"}), [*keys, "dst"])
-        kind = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
-
-        def tally(frames: Iterator[pd.DataFrame], first: int = first) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for key, part in frame.groupby([*keys], dropna=False, sort=False):
-                    a, b = np.stack(part["_a"].to_numpy()).astype(np.int64), np.stack(part["_b"].to_numpy()).astype(np.int64)
-                    width = int(max(a.max(), b.max())) + 1
-                    code = (np.arange(a.shape[1]) * width + a) * width + b
-                    found, n_pairs = np.unique(code, return_counts=True)
-                    rows = {"_p": first + found // width**2, "_s": found // width % width, "_d": found % width, "n_pairs": n_pairs}
-                    yield pd.DataFrame(dict(zip(keys, key)) | rows)
-
-        part = ends.select(*keys, "_a", "_b").mapInPandas(tally, f"{kind}, _p bigint, _s bigint, _d bigint, n_pairs bigint")
-        part = cut(part.groupBy(*keys, "_p", "_s", "_d").agg(F.sum("n_pairs").alias("n_pairs")))
-        tallies = part if tallies is None else tallies.unionByName(part)
-    src = names.select(*keys, F.col("cell_type").alias("src_type"), F.col("_t").alias("_s"))
-    dst = names.select(*keys, F.col("cell_type").alias("tgt_type"), F.col("_t").alias("_d"))
-    found = tallies.join(src, [*keys, "_s"]).join(dst, [*keys, "_d"]).select(*keys, "_p", "src_type", "tgt_type", "n_pairs")
-    scored = found.join(seen.select(*keys, "src_type", "tgt_type", "n_src", "observed"), [*keys, "src_type", "tgt_type"])
+    kinds = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("_n"))
+    listed = kinds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_type", "_n"))).alias("_k"))
+    listed = listed.select(*keys, F.transform("_k", lambda k: k["cell_type"]).alias("_types"), F.transform("_k", lambda k: k["_n"]).alias("_counts"))
+    numbers = cut(numbered(cells, keys, item, dims))
+    ends = graph.select(*keys, "src", "dst").join(numbers.withColumnsRenamed({item: "src", "_i": "_a"}), [*keys, "src"]).join(numbers.withColumnsRenamed({item: "dst", "_i": "_b"}), [*keys, "dst"])
+    dealt = ends.join(listed.select(*keys, "_counts"), [*keys]).select(*keys, "_a", "_b", "_counts").repartitionByRange(*keys, "_a").sortWithinPartitions(*keys, "_a")
+    kind = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
+
+    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = [(*key, s, d, total[:, s * w + d]) for key, total in sums.items() for w in [int(total.shape[1] ** 0.5)] for s in range(w) for d in range(w)]
+            return pd.DataFrame(out, columns=[*keys, "_s", "_d", "n_pairs"])
+
+        for frame in frames:
+            for key, part in frame.groupby([*keys], dropna=False, sort=False):
+                counts = np.asarray(part["_counts"].iloc[0])
+                width, bounds = len(counts), np.cumsum(counts)
+                if key not in sums and len(sums) >= 32:
+                    yield rows()
+                    sums.clear()
+                total = sums.setdefault(key, np.zeros((n, width * width), dtype=np.int64))
+                cells_, at = np.unique(np.concatenate([part["_a"], part["_b"]]), return_inverse=True)
+                a, b = at[: len(part)], at[len(part) :]
+                step = max(1, 2_000_000 // max(len(part), len(cells_)))
+                for first in range(0, n, step):
+                    perms = np.arange(first, min(n, first + step))
+                    types = np.searchsorted(bounds, permuted(cells_, int(bounds[-1]), perms, seed), side="right")
+                    code = (types[a] * width + types[b]) + np.arange(len(perms)) * width * width
+                    total[perms] += np.bincount(code.ravel(), minlength=len(perms) * width * width).reshape(len(perms), -1)
+        if sums:
+            yield rows()
+
+    part = dealt.mapInPandas(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>")
+    each = part.select(*keys, "_s", "_d", F.posexplode("n_pairs").alias("_p", "n_pairs")).groupBy(*keys, "_s", "_d", "_p").agg(F.sum("n_pairs").alias("n_pairs"))
+    named = each.join(listed.select(*keys, "_types"), [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
+    scored = named.join(seen.select(*keys, "src_type", "tgt_type", "n_src", "observed"), [*keys, "src_type", "tgt_type"])
     value = F.col("n_pairs") / F.col("n_src")
-    sums = scored.groupBy(*keys, "src_type", "tgt_type").agg(F.sum(value).alias("_sum"), F.sum(value * value).alias("_sq"), F.sum((value >= F.col("observed")).cast("long")).alias("_ge"), F.count("*").alias("_seen"))
-    # A permutation without a single pair has no row: it counts as 0, which reaches an observed 0.
-    joined = seen.join(sums, [*keys, "src_type", "tgt_type"], "left").fillna({"_sum": 0.0, "_sq": 0.0, "_ge": 0, "_seen": 0})
-    exceed = F.col("_ge") + F.when(F.col("observed") <= 0, F.lit(n) - F.col("_seen")).otherwise(0)
-    return joined.select(*keys, "src_type", "tgt_type", "observed", F.col("_sum").alias("sum"), F.col("_sq").alias("sum_sq"), exceed.alias("n_ge"), F.lit(n).alias("n_perm"))
+    sums = scored.groupBy(*keys, "src_type", "tgt_type").agg(F.sum(value).alias("_sum"), F.sum(value * value).alias("_sq"), F.sum((value >= F.col("observed")).cast("long")).alias("_ge"))
+    # A group without any edge has no row: every permutation counts as 0, which reaches an observed 0.
+    joined = seen.join(sums, [*keys, "src_type", "tgt_type"], "left")
+    return joined.select(*keys, "src_type", "tgt_type", "observed", F.coalesce("_sum", F.lit(0.0)).alias("sum"), F.coalesce("_sq", F.lit(0.0)).alias("sum_sq"), F.coalesce("_ge", F.lit(n)).alias("n_ge"), F.lit(n).alias("n_perm"))
 
 
 def interaction_scores(null: DataFrame) -> DataFrame:
@@ -172,7 +254,7 @@ def interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, n_
     groups = counts.groupBy(*keys).agg(F.count("*").alias("_k")).filter("_k >= 2").select(*keys)
     usable = cut(cells.join(counts.drop("_n"), [*keys, "cell_type"], "left_semi").join(groups, [*keys], "left_semi").select(*keys, item, "cell_type", *dims))
     graph = cut(radius_graph(usable, radius, dims, keys, item))
-    return interaction_scores(permutation_null(usable, graph, n_perm, seed, keys=keys, item=item))
+    return interaction_scores(permutation_null(usable, graph, n_perm, seed, keys, item, dims))
 
 
 def interactions_2d(cells: DataFrame, dims: Sequence[str] = ("x_um", "y_um"), keys: Sequence[str] = ("core",), slice_key: str = "slice_id", **options) -> DataFrame:

@@ -56,24 +56,23 @@ def x1_observed_interactions(d):
 
 @query()
 def x3_interaction_scores(d):
-    """Scores per core from 20 permutations of types over all sections (X2, X3); random, so compared by their mean in tests."""
-    return S.interactions(d.fx_cells, ["cx", "cy"], 20.0, 20)
+    """Scores per core from 1000 permutations (X2, X3); compared with the exact mean and deviation in the tests."""
+    return S.interactions(d.fx_cells, ["cx", "cy"])
 
 
 @query()
 def x4_interactions_2d(d):
-    return S.interactions_2d(d.fx_cells, ["cx", "cy"], radius=30.0, n_perm=10)
+    return S.interactions_2d(d.fx_cells, ["cx", "cy"])
 
 
 @query()
 def x5_interactions_3d(d):
-    cells = d.fx_cells.withColumn("cz", F.col("slice_id") * 4.5)
-    return S.interactions(cells, ["cx", "cy", "cz"], 25.0, 10)
+    return S.interactions(d.fx_cells.withColumn("cz", F.col("slice_id") * 4.5), ["cx", "cy", "cz"])
 
 
 @query()
 def x6_proximity_to(d):
-    return S.proximity_to(S.interactions(d.fx_cells, ["cx", "cy"], 20.0, 10), "error")
+    return S.proximity_to(S.interactions(d.fx_cells, ["cx", "cy"]), "error")
 
 
 def hulls(d):

@@ -117,16 +117,73 @@ def test_hulls(spark):
     assert whole == pytest.approx(A.hull_volume(corners)) and whole > 0
 
 
-def test_permutation_mean(spark):
+def exact_null(cells, edges):
+    """Mean and deviation over all permutations of the number of ordered pairs of each two types, over a symmetric graph."""
+    types = [t for _, _, t, *_ in cells]
+    n, count = len(types), {t: types.count(t) for t in set(types)}
+    falling = lambda *sizes: math.prod(sizes) if min(sizes) > 0 else 0
+    place = {c[1]: i for i, c in enumerate(cells)}
+    e = [(place[a], place[b]) for a, b in edges]
+    degree = np.bincount([a for a, _ in e], minlength=n)
+    m = len(e)
+    same, touching = 2 * m, int((degree**2).sum()) * 4 - 4 * m  # ordered pairs of directed edges: equal or reversed, sharing one cell
+    apart = m * m - same - touching
+    out = {}
+    for s in count:
+        for d in count:
+            p, q = count[s], count[d]
+            if s == d:
+                two = falling(p, p - 1) / falling(n, n - 1)
+                three = falling(p, p - 1, p - 2) / falling(n, n - 1, n - 2)
+                four = falling(p, p - 1, p - 2, p - 3) / falling(n, n - 1, n - 2, n - 3)
+                second = same * two + touching * three + apart * four
+            else:
+                two = p * q / falling(n, n - 1)
+                # Of two edges that share a cell, half the ways give it a role that both agree on.
+                three = (falling(p, q, q - 1) + falling(p, p - 1, q)) / falling(n, n - 1, n - 2) / 4
+                four = falling(p, p - 1, q, q - 1) / falling(n, n - 1, n - 2, n - 3)
+                second = m * two + touching * three + apart * four
+            mean = m * two
+            out[s, d] = (mean / p, math.sqrt(max(second - mean * mean, 0)) / p)
+    return out
+
+
+def test_permutations_have_the_exact_mean_and_deviation(spark):
     rng = random.Random(4)
-    cells = [(0, i, "A" if i < 30 else "B", rng.random() * 100, rng.random() * 100) for i in range(90)]
+    cells = [(0, i, "A" if i < 30 else "B" if i < 70 else "C", rng.random() * 100, rng.random() * 100) for i in range(90)]
     df = spark.createDataFrame(cells, "core int, cell_id long, cell_type string, x double, y double")
     graph = S.radius_graph(df, 20, ["x", "y"])
-    degree = graph.count() / 90
-    scores = {(r.src_type, r.tgt_type): r for r in S.interaction_scores(S.permutation_null(df, graph, 60, batch=30)).collect()}
-    assert abs(scores["A", "B"].null_mean - degree * 60 / 89) < 0.15 * degree
-    assert abs(scores["A", "A"].null_mean - degree * 29 / 89) < 0.15 * degree
-    assert all(1 / 61 <= r.p_value <= 1 for r in scores.values())
+    want = exact_null(cells, [(r.src, r.dst) for r in graph.collect()])
+    null = S.permutation_null(df, graph, 1000, dims=["x", "y"])
+    rows = {(r.src_type, r.tgt_type): r for r in null.collect()}
+    scores = {(r.src_type, r.tgt_type): r for r in S.interaction_scores(null).collect()}
+    assert rows.keys() == want.keys() and len(rows) == 9
+    for pair, (mean, std) in want.items():
+        assert abs(scores[pair].null_mean - mean) < 5 * std / 1000**0.5 + 1e-3, pair
+        assert abs(scores[pair].null_std / std - 1) < 0.12, pair
+        assert scores[pair].p_value == round((rows[pair].n_ge + 1) / 1001, 4)
+    again = S.permutation_null(df.repartition(3), graph.repartition(5), 1000).collect()
+    assert len(again) == 9 and all(abs(r["sum"] / 1000 - want[r.src_type, r.tgt_type][0]) < 0.5 for r in again)
+
+
+def test_permutations_are_one_to_one():
+    for n in (1, 2, 3, 17, 64, 1000):
+        got = S.permuted(np.arange(n), n, np.arange(7), 3)
+        assert all(sorted(got[:, p]) == list(range(n)) for p in range(7))
+    places = S.permuted(np.arange(5), 5, np.arange(20000), 1)
+    assert all(abs(np.bincount(places[i], minlength=5) / 4000 - 1).max() < 0.08 for i in range(5))
+    pairs = np.bincount(places[0] * 5 + places[1], minlength=25).reshape(5, 5)
+    assert np.diag(pairs).sum() == 0 and abs(pairs[~np.eye(5, dtype=bool)] / 1000 - 1).max() < 0.15
+
+
+def test_nearest_in_far_clusters(spark):
+    rng = random.Random(8)
+    near = [(0, i, rng.random() * 30, rng.random() * 30) for i in range(150)]
+    far = [(0, 1000 + i, 40000 + rng.random() * 30, 70000 + rng.random() * 30) for i in range(150)] + [(0, 2000, 40010.0, 70010.0), (0, 2001, 40010.0, 70010.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "core int, cell_id long, x double, y double")
+    got = {r.cell_id: r.dist for r in S.nearest_neighbour(frame(near), frame(far), ["x", "y"], size=5.0).collect()}
+    want = {i: min(math.hypot(x - u, y - v) for _, _, u, v in far) for _, i, x, y in near}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
 def test_planes(spark):
