@@ -17,6 +17,40 @@ OTHER_MAX_SHARE = 0.90
 BIC_THRESHOLD = 6.0
 
 
+def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence[float], out: str = "_p", accuracy: int = 2000) -> DataFrame:
+    """Exact percentiles per group, between two values in proportion: (keys, ``out``), an array in the order of ``levels``.
+
+    A first pass brackets each level by approximate percentiles, whose rank is off by one in ``accuracy`` at most and which
+    are merged from small summaries. A second pass counts the values below and above a bracket, keeping the one next to
+    it, and each value within it, about four in ``accuracy`` of a group: no task ever holds a group's values. Nulls and
+    NaN do not count.
+    """
+    keys = [*keys]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
+    margin = 2.0 / accuracy
+    ends = [p for level in levels for p in (max(0.0, level - margin), min(1.0, level + margin))]
+    rough = rows.groupBy(*keys).agg(F.percentile_approx("_x", ends, accuracy).alias("_q"), F.count("*").alias("_n"))
+    x, none = F.col("_x"), F.lit(None).cast("double")
+    end = lambda j: F.get("_q", F.lit(j))
+    zone = lambda j: F.when(x < end(2 * j), 0).when(x <= end(2 * j + 1), 1).otherwise(2)
+    place = [F.struct(F.lit(j).alias("j"), zone(j).alias("zone"), F.when(zone(j) == 1, x).otherwise(none).alias("v")) for j in range(len(levels))]
+    placed = rows.join(rough, keys).select(*keys, "_n", "_x", F.explode(F.array(*place)).alias("_at"))
+    counts = placed.groupBy(*keys, "_n", "_at.j", "_at.zone", "_at.v").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    counts = counts.withColumn("v", F.when(F.col("zone") == 0, F.col("_most")).otherwise(F.col("_least")))
+    upto = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.get(F.array(*map(F.lit, map(float, levels))), F.col("j")) * (F.col("_n") - 1)
+    ranked = counts.withColumns({"_cum": F.sum("_c").over(upto), "_rank": rank})
+    at = lambda i: F.min(F.when(F.col("_cum") > i, F.col("v")))
+    low = F.floor("_rank")
+    two = ranked.groupBy(*keys, "j", "_rank").agg(at(low).alias("_a"), at(F.least(low + 1, F.col("_n") - 1)).alias("_b"))
+    found = two.select(*keys, F.struct("j", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))).alias("v")).alias("_v"))
+    return found.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v["v"]).alias(out))
+
+
+def median_of(df: DataFrame, value: str, keys: Sequence[str], out: str) -> DataFrame:
+    return percentiles(df, value, keys, [0.5]).select(*keys, F.get("_p", F.lit(0)).alias(out))
+
+
 def otsu(df: DataFrame, value: str, keys: Sequence[str], bins: int = 256, out: str = "threshold") -> DataFrame:
     """Otsu's threshold per group: the first bin centre of largest between-class variance; a constant group's own value.
 
@@ -57,10 +91,12 @@ def triangle_threshold(df: DataFrame, value: str, keys: Sequence[str], bins: int
 def mad_floor(df: DataFrame, value: str, keys: Sequence[str], k: float = 3.0, out: str = "floor") -> DataFrame:
     """Noise floor from the rows below the median: their median plus k median deviations; 0 for fewer than two rows."""
     keys = [*keys]
-    half = df.groupBy(*keys).agg(F.median(value).alias("_half"), F.count(value).alias("_n"))
-    low = df.join(half, keys).filter(F.col(value) < F.col("_half"))
-    centre = low.groupBy(*keys).agg(F.median(value).alias("_med"))
-    spread = low.join(centre, keys).groupBy(*keys, "_med").agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    half = counts.join(median_of(df, value, keys, "_half"), keys, "left")
+    low = df.join(half, keys).filter(F.col(value) < F.col("_half")).select(*keys, F.col(value).alias("_x"))
+    centre = median_of(low, "_x", keys, "_med")
+    off = low.join(centre, keys).select(*keys, F.abs(F.col("_x") - F.col("_med")).alias("_off"))
+    spread = centre.join(median_of(off, "_off", keys, "_mad"), keys)
     floor = F.when((F.col("_n") < 2) | F.col("_med").isNull(), 0.0).otherwise(F.col("_med") + F.lit(k) * F.col("_mad"))
     return half.join(spread, keys, "left").select(*keys, floor.alias(out))
 
@@ -70,22 +106,30 @@ def _normal(value: Column, mu: str, var: str) -> Column:
     return -0.5 * (F.log(2 * F.pi() * F.col(var)) + (value - F.col(mu)) * (value - F.col(mu)) / F.col(var))
 
 
-def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> DataFrame:
+#: Shares of the rows that the lower component starts from.
+STARTS = (0.5, 0.25, 0.75, 0.1, 0.9)
+
+
+def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6, starts: Sequence[float] = STARTS) -> DataFrame:
     """One- and two-component normal mixtures per group by EM: w1, mu1, v1, w2, mu2, v2, bic1, bic2, n, rounds.
 
     All groups are fitted together: a step is column arithmetic on the rows joined with their group's parameters and one
     grouped sum; rows never leave their group's partition as the parameters come to them. Groups whose mean
-    log-likelihood gains less than ``tolerance`` drop out. Starts from the halves below and above the median.
+    log-likelihood gains less than ``tolerance`` drop out. Each of ``starts`` splits the rows at that share of them; of
+    the mixtures that they lead to, the likeliest is kept.
     """
     from lamella.operators.lineage import cut
 
-    keys = [*keys]
-    base = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
+    groups = [*keys]
+    base = df.select(*groups, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
     x = F.col("_x")
-    start = base.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("_m"), F.greatest(F.var_pop("_x"), F.lit(floor)).alias("_v"), F.median("_x").alias("_half"))
-    split = base.join(start.select(*keys, "_half"), keys)
+    whole = base.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_x").alias("_m"), F.greatest(F.var_pop("_x"), F.lit(floor)).alias("_v"))
+    splits = percentiles(base, "_x", groups, starts, "_h").select(*groups, F.posexplode("_h").alias("_start", "_half"))
+    start = whole.join(splits, groups)
+    keys = [*groups, "_start"]
+    split = base.join(splits, groups)
     part = lambda f, low: F.avg(F.when((x <= F.col("_half")) == low, f))
-    halves = split.groupBy(*keys).agg(part(x, True).alias("mu1"), part(x, False).alias("mu2"), part(F.lit(1.0), True).alias("_a"), F.avg((x <= F.col("_half")).cast("double")).alias("w1"))
+    halves = split.groupBy(*keys).agg(part(x, True).alias("mu1"), part(x, False).alias("mu2"), F.avg((x <= F.col("_half")).cast("double")).alias("w1"))
     one = start.withColumn("bic1", F.col("n") * (F.log(2 * F.pi() * F.col("_v")) + 1) + 2 * F.log("n"))
     params = one.join(halves, keys).select(
         *keys, "n", "bic1", F.col("w1"), F.coalesce("mu1", "_m").alias("mu1"), F.col("_v").alias("v1"), (1 - F.col("w1")).alias("w2"), F.coalesce("mu2", "_m").alias("mu2"), F.col("_v").alias("v2"),
@@ -97,7 +141,7 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
         if open_.isEmpty():
             break
         l1, l2 = F.log(F.greatest("w1", F.lit(1e-300))) + _normal(x, "mu1", "v1"), F.log(F.greatest("w2", F.lit(1e-300))) + _normal(x, "mu2", "v2")
-        rows = base.join(open_.select(*keys, "w1", "mu1", "v1", "w2", "mu2", "v2"), keys).select(*keys, "_x", l1.alias("_l1"), l2.alias("_l2"), "mu1", "mu2")
+        rows = base.join(open_.select(*keys, "w1", "mu1", "v1", "w2", "mu2", "v2"), groups).select(*keys, "_x", l1.alias("_l1"), l2.alias("_l2"), "mu1", "mu2")
         top = F.greatest("_l1", "_l2")
         both = top + F.log(F.exp(F.col("_l1") - top) + F.exp(F.col("_l2") - top))
         r1 = F.exp(F.col("_l1") - both)
@@ -117,7 +161,9 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
             F.col("_ll").alias("ll"), (F.col("rounds") + 1).alias("rounds"), done.alias("done"),
         )
         params = cut(params.filter("done").unionByName(moved))
-    return params.withColumn("bic2", -2 * F.col("ll") * F.col("n") + 5 * F.log("n")).drop("done")
+    named = [c for c in params.columns if c not in (*keys, "done")]
+    best = params.groupBy(*groups).agg(F.max_by(F.struct(*named), F.struct(F.round("ll", 9), -F.col("_start"))).alias("_best")).select(*groups, "_best.*")
+    return best.withColumn("bic2", -2 * F.col("ll") * F.col("n") + 5 * F.log("n"))
 
 
 def gmm_cut(params: DataFrame) -> DataFrame:
@@ -143,7 +189,8 @@ def choose_threshold(df: DataFrame, value: str, keys: Sequence[str], marker: str
     positive than the marker's ceiling. A mixture without parameters falls back to Otsu.
     """
     keys = [*keys]
-    basics = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("_med"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.percentile(value, F.lit(0.9)).alias("_p90"))
+    places = percentiles(df, value, keys, [0.5, 0.9]).select(*keys, F.get("_p", F.lit(0)).alias("_med"), F.get("_p", F.lit(1)).alias("_p90"))
+    basics = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).join(places, keys)
     flat = F.abs(F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs("_hi")
     fitted = gmm_cut(gmm_1d(df, value, keys)).select(*keys, "cut", (F.col("bic1") - F.col("bic2")).alias("_gain"))
     otsus = otsu(df, value, keys, out="_otsu")
@@ -173,10 +220,8 @@ def guard_threshold(df: DataFrame, thresholds: DataFrame, value: str, keys: Sequ
     keys = [*keys]
     raised = with_params(thresholds.withColumn("_t", F.greatest("threshold", "floor")), ceilings, marker, "_max", OTHER_MAX_SHARE)
     levels = sorted({*ceilings.values(), OTHER_MAX_SHARE})
-    shares = df.join(raised.select(*keys, "_t"), keys).groupBy(*keys).agg(
-        F.avg((F.col(value) >= F.col("_t")).cast("double")).alias("_share"), F.percentile(value, F.array(*[F.lit(1 - c) for c in levels])).alias("_p")
-    )
-    joined = raised.join(shares, keys)
+    shares = df.join(raised.select(*keys, "_t"), keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_t")).cast("double")).alias("_share"))
+    joined = raised.join(shares, keys).join(percentiles(df, value, keys, [1 - c for c in levels]), keys)
     cap = F.lit(None).cast("double")
     for i, level in enumerate(levels):
         cap = F.when(F.col("_max") == level, F.get("_p", F.lit(i))).otherwise(cap)
@@ -199,10 +244,8 @@ def consensus_threshold(cells: DataFrame, value: str = "mean", keys: Sequence[st
     agreed = reliable.groupBy(*keys).agg(F.median("threshold").alias("_agreed"))
     joined = with_params(cells.join(agreed, keys, "left"), ceilings, marker, "_max", OTHER_MAX_SHARE)
     levels = sorted({*ceilings.values(), OTHER_MAX_SHARE})
-    shares = joined.filter("_agreed IS NOT NULL").groupBy(*keys).agg(
-        F.avg((F.col(value) >= F.col("_agreed")).cast("double")).alias("_share"), F.percentile(value, F.array(*[F.lit(1 - c) for c in levels])).alias("_p")
-    )
-    joined = joined.join(shares, keys, "left")
+    shares = joined.filter("_agreed IS NOT NULL").groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_agreed")).cast("double")).alias("_share"))
+    joined = joined.join(shares.join(percentiles(cells, value, keys, [1 - c for c in levels]), keys), keys, "left")
     cap = F.lit(None).cast("double")
     for i, level in enumerate(levels):
         cap = F.when(F.col("_max") == level, F.get("_p", F.lit(i))).otherwise(cap)
@@ -217,7 +260,7 @@ def percentile_stretch(df: DataFrame, value: str, keys: Sequence[str], low: floa
     """Values clipped to two percentiles of their group (of the rows ``among``) and rescaled to 0..``scale``; truncated at 255."""
     keys = [*keys]
     seen = df if among is None else df.filter(among)
-    ends = seen.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    ends = percentiles(seen, value, keys, [low, high])
     lo, hi = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     part = F.try_divide(F.least(F.greatest(F.col(value), lo), hi) - lo, hi - lo)
     made = F.coalesce(part, F.lit(0.0)) * F.lit(scale)
@@ -233,7 +276,8 @@ def minmax_scale(df: DataFrame, value: str, keys: Sequence[str], out: str = "sca
 
 def p99_scale(df: DataFrame, value: str, keys: Sequence[str], out: str = "scaled") -> DataFrame:
     """Values over the group's 99th percentile as 0..255; the maximum stands in for a percentile below 1."""
-    tops = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.99)).alias("_p"), F.max(value).alias("_hi"))
+    at = percentiles(df, value, keys, [0.99]).select(*keys, F.get("_p", F.lit(0)).alias("_p"))
+    tops = df.groupBy(*keys).agg(F.max(value).alias("_hi")).join(at, keys)
     top = F.when(F.col("_p") < 1, F.col("_hi")).otherwise(F.col("_p"))
     made = F.least(F.greatest(F.try_divide(F.col(value), top) * 255.0, F.lit(0.0)), F.lit(255.0))
     return df.join(tops, [*keys]).withColumn(out, made).drop("_p", "_hi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators import aggregate as A
 from lamella.operators import threshold as T
+from lamella.operators.lineage import cut
 from lamella.plans.base import query
 
 KEYS = ["core", "slice_id", "marker"]
@@ -89,7 +90,7 @@ guarded AS (SELECT core, slice_id, marker, CASE WHEN share > ceil THEN p[CASE ce
 
 
 def _guarded(d):
-    base = T.otsu(d.fx_markers, "mean", KEYS).join(T.mad_floor(d.fx_markers, "mean", KEYS), KEYS).withColumn("thresh_type", F.lit("otsu_unimodal"))
+    base = cut(T.otsu(d.fx_markers, "mean", KEYS).join(T.mad_floor(d.fx_markers, "mean", KEYS), KEYS).withColumn("thresh_type", F.lit("otsu_unimodal")))
     return T.guard_threshold(d.fx_markers, base, "mean", KEYS)
 
 
@@ -104,7 +105,7 @@ SELECT m.cell_id AS cell_id, m.marker AS marker, round(coalesce(CASE WHEN share
   (mean >= coalesce(CASE WHEN share > ceil THEN p[CASE ceil WHEN 0.98 THEN 1 WHEN 0.9 THEN 2 WHEN 0.85 THEN 3 ELSE 4 END] ELSE a END, threshold))::INTEGER AS pos
 FROM fx_markers m JOIN guarded USING (core, slice_id, marker) LEFT JOIN sh USING (core, marker)""")
 def t8_consensus_threshold(d):
-    cells = d.fx_markers.join(_guarded(d), KEYS)
+    cells = d.fx_markers.join(cut(_guarded(d)), KEYS)
     return T.consensus_threshold(cells).select("cell_id", "marker", F.round("threshold", 6).alias("threshold"), "pos")
 
 

@@ -74,6 +74,18 @@ def test_thresholds_of_small_groups(spark):
     assert chosen["one"] == ("sparse", 2.0) and chosen["three"] == ("sparse", 2.0) and chosen["flat"] == ("uniform", 3.0)
 
 
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(9)
+    groups = {"spread": rng.lognormal(0, 3, 20000), "ties": np.repeat([1.0, 2.0, 9.0], [5000, 9000, 3]), "two": np.array([4.0, 7.0]), "one": np.array([5.0]), "spike": np.concatenate([np.zeros(9990), rng.random(60) + 5])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))], "g string, v double")
+    levels = [0.0, 0.01, 0.3333, 0.5, 0.9, 0.9985, 1.0]
+    for accuracy in (50, 2000):
+        got = {r.g: r["_p"] for r in T.percentiles(df, "v", ["g"], levels, accuracy=accuracy).collect()}
+        assert got.keys() == groups.keys()
+        for k, vs in groups.items():
+            assert got[k] == pytest.approx(list(np.quantile(vs, levels)), rel=1e-12), k
+
+
 def test_mixture_finds_two_modes(spark):
     rng = np.random.default_rng(5)
     two = np.concatenate([rng.normal(1, 0.3, 600), rng.normal(4, 0.5, 400)])
