@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,18 +145,42 @@ def row_tilt(df: DataFrame, keys: Sequence[str] = ("slide",), reach: float = 300
     return out.select(*keys, F.when(F.abs(angle) > limit, 0.0).otherwise(angle).alias("tilt_deg"))
 
 
-def match_descriptors(a: DataFrame, b: DataFrame, ratio: float = 0.80, keys: Sequence[str] = (), distance: Column | None = None) -> DataFrame:
-    """For each descriptor of ``a`` its nearest in ``b`` and whether it passes the ratio test against the second nearest.
+def _in_blocks(df: DataFrame, other: DataFrame, keys: Sequence[str], own: str, across: str, rows: int) -> DataFrame:
+    """Descriptors dealt into blocks of about ``rows``, once for each block of the other side."""
+    blocks = lambda x, name: x.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    mine, theirs = blocks(df, "_m"), blocks(other, "_t")
+    counted = df.join(mine, [*keys]).join(theirs, [*keys]) if keys else df.crossJoin(F.broadcast(mine)).crossJoin(F.broadcast(theirs))  # one row each
+    dealt = counted.withColumn(own, F.pmod(F.xxhash64("kp_id"), F.col("_m")).cast("int"))
+    return dealt.filter("_t > 0").withColumn(across, F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).select(*keys, own, across, "kp_id", "d")
 
-    Columns: keys, kp_id, d. Hamming distance on ``d`` unless another expression over ``a.d`` and ``b.d`` is given. The pair
-    of images is the join key; within it every descriptor meets every other, as the number per image is capped (see
-    ``cap_by_response``). Of equal distances the smaller kp_id is nearer.
+
+def match_descriptors(a: DataFrame, b: DataFrame, ratio: float = 0.80, keys: Sequence[str] = (), rows: int = 1024) -> DataFrame:
+    """For each descriptor of ``a`` its nearest in ``b`` by Hamming distance on ``d``, and whether it passes the ratio test.
+
+    Columns of both: keys (the pair of images), kp_id, d. Blocks of ``rows`` descriptors meet as arrays in one task each, and
+    only the two nearest of a block go on, so that pairs are never rows and no image is gathered, however many descriptors
+    it has. Of equal distances the smaller kp_id is nearer.
     """
-    far = F.bit_count(F.col("a.d").bitwiseXOR(F.col("b.d"))) if distance is None else distance
-    left, right = a.withColumn("_one", F.lit(1)).alias("a"), b.withColumn("_one", F.lit(1)).alias("b")
-    pairs = left.join(right, same("a", "b", [*keys, "_one"])).select(*[F.col(f"a.{k}") for k in keys], F.col("a.kp_id").alias("kp_id"), F.col("b.kp_id").alias("match_id"), far.alias("dist"))
+    left, right = _in_blocks(a, b, keys, "_ab", "_bb", rows), _in_blocks(b, a, keys, "_bb", "_ab", rows)
+    groups = [*keys, "_ab", "_bb"]
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"kp_id {kinds['kp_id']}, match_id {kinds['kp_id']}, dist int"
+
+    def nearest(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "kp_id", "match_id", "dist"]
+        if mine.empty or theirs.empty:
+            return pd.DataFrame(columns=names)
+        theirs = theirs.sort_values("kp_id", ignore_index=True)
+        one, two = (f["d"].to_numpy(dtype=np.int64).view(np.uint64) for f in (mine, theirs))
+        code = np.bitwise_count(one[:, None] ^ two[None, :]).astype(np.int64) * len(two) + np.arange(len(two))
+        best = np.partition(code, 1, axis=1)[:, :2] if len(two) > 2 else code
+        at = np.repeat(np.arange(len(mine)), best.shape[1])
+        out = mine.iloc[at][[*keys, "kp_id"]].reset_index(drop=True)
+        return out.assign(match_id=theirs["kp_id"].to_numpy()[best.ravel() % len(two)], dist=best.ravel() // len(two))[names]
+
+    close = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(nearest, schema)
     best = Window.partitionBy(*keys, "kp_id").orderBy("dist", "match_id")
-    two = pairs.withColumn("_r", F.row_number().over(best)).filter("_r <= 2")
+    two = close.withColumn("_r", F.row_number().over(best)).filter("_r <= 2")
     at = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
     out = two.groupBy(*keys, "kp_id").agg(at(1, "match_id").alias("match_id"), at(1, "dist").alias("d1"), at(2, "dist").alias("d2"))
     return out.withColumn("good", F.coalesce(F.col("d1") < F.lit(ratio) * F.col("d2"), F.lit(False)))

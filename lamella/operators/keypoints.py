@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamella.functions.scalars import ratio
+from lamella.operators.lineage import cut
 from lamella.operators.threshold import minmax_scale
 
 
@@ -20,20 +19,45 @@ def cap_by_response(points: DataFrame, n: int = 20_000, keys: Sequence[str] = ("
     return points.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
+def nearest_stronger(points: DataFrame, c: float, keys: Sequence[str], item: str, response: str) -> DataFrame:
+    """(keys, item, radius_sq): squared distance to the nearest point of the group whose response times ``c`` is larger.
+
+    Points meet those in the buckets around them; a distance of at most a bucket's width is final, the others try again
+    with buckets twice as wide. A point that is left has no clearly stronger one near, so ever fewer are left and the work
+    of a round stays in proportion to the points. Points without a stronger one take no part.
+    """
+    every = cut(points.select(*keys, F.col(item), "x", "y", F.col(response).alias("_own")))
+    tops = every.groupBy(*keys).agg(F.max("_own").alias("_top"))
+    open_ = cut(every.join(tops, [*keys]).filter(F.col("_top") * c > F.col("_own")).drop("_top"))
+    span = lambda d: F.max(d) - F.min(d)
+    spread = every.groupBy(*keys).agg(F.sqrt(F.greatest(span("x"), span("y"), F.lit(1e-9)) ** 2 / F.count("*")).alias("_w")).agg(F.avg("_w").alias("w")).first()["w"]
+    width, found = 4 * (spread or 1.0), None
+    at = lambda step_x, step_y: F.struct((F.floor(F.col("x") / width) + step_x).alias("i"), (F.floor(F.col("y") / width) + step_y).alias("j"))
+    while found is None or not open_.isEmpty():
+        around = F.array(*[at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        left = open_.select(*keys, item, "_own", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(around).alias("_b"))
+        right = every.select(*keys, "x", "y", F.col("_own").alias("_s"), at(0, 0).alias("_b"))
+        apart = F.pow(F.col("x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_y"), F.lit(2.0))
+        least = left.join(right, [*keys, "_b"]).filter(F.col("_s") * c > F.col("_own")).groupBy(*keys, item).agg(F.min(apart).alias("radius_sq"))
+        final = cut(least.filter(F.col("radius_sq") <= width * width))
+        found = final if found is None else found.unionByName(final)
+        open_ = cut(open_.join(final, [*keys, item], "left_anti"))
+        width *= 2
+    return found
+
+
 def anms(points: DataFrame, n: int = 1000, c: float = 0.9, cap: int = 5000, keys: Sequence[str] = ("image_id",), item: str = "kp_id", response: str = "response") -> DataFrame:
     """Adaptive non-maximal suppression: the ``n`` points per image farthest from any clearly stronger one.
 
     Column radius_sq is the squared distance to the nearest point whose response times ``c`` exceeds the point's own; NULL,
     the largest, if there is none. Images of at most ``n`` points are untouched. ``cap`` bounds an image's points before
-    they are compared with each other, as the method does; images are spread over tasks.
+    they are compared with each other, as the method does.
     """
     kept = cap_by_response(points, cap, keys, item, response)
     sizes = points.groupBy(*keys).agg(F.count("*").alias("_n"))
     small = points.join(sizes.filter(F.col("_n") <= n).select(*keys), [*keys], "left_semi")
     large = kept.join(sizes.filter(F.col("_n") > n).select(*keys), [*keys], "left_semi")
-    strong = large.select(*keys, F.col("x").alias("_u"), F.col("y").alias("_v"), F.col(response).alias("_s"))
-    apart = F.pow(F.col("x") - F.col("_u"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_v"), F.lit(2.0))
-    radii = large.join(strong, [*keys]).filter(F.col("_s") * c > F.col(response)).groupBy(*keys, item).agg(F.min(apart).alias("radius_sq"))
+    radii = nearest_stronger(large, c, keys, item, response)
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_first("radius_sq"), F.desc(response), item)
     best = large.join(radii, [*keys, item], "left").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
     return best.unionByName(small.withColumn("radius_sq", F.lit(None).cast("double")).select(*best.columns))
@@ -52,27 +76,22 @@ def match_quality(matches: DataFrame, keys: Sequence[str] = ("image_id",), least
     return out.withColumns({"inlier_ratio": ratio(F.col("n_inliers"), F.col("n_matches")), "starved": F.col("n_matches") < least})
 
 
-def greedy_spatial_topk(points: DataFrame, k: int, min_dist: float, score: str, keys: Sequence[str] = ("image_id",), item: str = "kp_id", cap: int = 5000) -> DataFrame:
+def greedy_spatial_topk(points: DataFrame, k: int, min_dist: float, score: str, keys: Sequence[str] = ("image_id",), item: str = "kp_id") -> DataFrame:
     """Per image, the best point, then the next best at least ``min_dist`` from all accepted, up to ``k``; column pick from 1.
 
-    Accepting is sequential within an image, which is one group of at most ``cap`` rows; images are spread over tasks.
+    A round accepts one point in every image, a grouped minimum, and drops the points too near to it: ``k`` rounds in all,
+    and no image is gathered. Ties go to the smaller item; points without a score take no part.
     """
-    capped = cap_by_response(points.filter(F.col(score).isNotNull()), cap, keys, item, score)
-    names = points.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
-
-    def accept(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([score, item], ascending=[False, True], ignore_index=True)
-        xy = frame[["x", "y"]].to_numpy(dtype=float)
-        chosen: list[int] = []
-        for i in range(len(frame)):
-            if len(chosen) == k:
-                break
-            if not chosen or np.min(np.hypot(*(xy[chosen] - xy[i]).T)) >= min_dist:
-                chosen.append(i)
-        return frame.loc[chosen, names].assign(pick=range(1, len(chosen) + 1))
-
-    return capped.groupBy(*keys).applyInPandas(accept, schema + ", pick int")
+    rest, chosen = cut(points.filter(F.col(score).isNotNull())), None
+    for pick in range(1, k + 1):
+        best = rest.groupBy(*keys).agg(F.min_by(F.struct(*points.columns), F.struct(-F.col(score), F.col(item))).alias("_best"))
+        best = cut(best.select("_best.*").withColumn("pick", F.lit(pick)))
+        chosen = best if chosen is None else chosen.unionByName(best)
+        taken = best.select(*keys, F.col("x").alias("_u"), F.col("y").alias("_v"))
+        rest = cut(rest.join(taken, [*keys]).filter(F.hypot(F.col("x") - F.col("_u"), F.col("y") - F.col("_v")) >= min_dist).drop("_u", "_v"))
+        if pick == k or rest.isEmpty():
+            break
+    return chosen
 
 
 def uniqueness(vectors: DataFrame, keys: Sequence[str] = ("image_id",), item: str = "kp_id", vector: str = "embedding") -> DataFrame:
@@ -167,8 +186,9 @@ def grid_layout(df: DataFrame, keys: Sequence[str] = ("slide",), top: int = 30,
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, keys: Sequence[str] = (), item: str = "cell_id") -> DataFrame:
-    """A reproducible sample without replacement of ``n`` rows per group, by a hash of the id."""
+    """A reproducible sample without replacement of ``n`` rows per group, by a digest of seed and id."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(item).cast("string")))
     if not keys:
-        return df.orderBy(F.xxhash64(F.lit(seed), item), item).limit(n)
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), item), item)
+        return df.orderBy(digest, item).limit(n)
+    order = Window.partitionBy(*keys).orderBy(digest, item)
     return df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")

@@ -262,7 +262,8 @@ def regularise_field(df: DataFrame, mask: DataFrame | None = None, keys: Sequenc
 
 def display_id(df: DataFrame, cell: str = "cell_id_3d", seed: int = 0) -> DataFrame:
     """A stable colour number 1..255 of each 3-D cell."""
-    return df.withColumn("display_id", F.pmod(F.xxhash64(cell, F.lit(seed)), F.lit(255)) + 1)
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(cell).cast("string")))
+    return df.withColumn("display_id", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 255 + 1)
 
 
 def blob_gate(df: DataFrame, min_area: float, max_area: float, min_circularity: float, min_solidity: float) -> DataFrame:

@@ -218,7 +218,7 @@ def a31_field_magnitude(d):
     return out.select("core", "slice_z", F.round("mean_disp", 4).alias("mean_disp"), F.round("max_disp", 4).alias("max_disp"))
 
 
-@query()
+@query("SELECT DISTINCT core, cell_id_3d, ('0x' || substr(md5('0-' || cell_id_3d::VARCHAR), 1, 8))::BIGINT % 255 + 1 AS display_id FROM fx_map")
 def p22_display_id(d):
     return P.display_id(d.fx_map.select("core", "cell_id_3d").distinct())
 
@@ -402,7 +402,7 @@ def w3_candidate_filter(d):
     return K.candidate_filter(d.fx_candidates).select("cand_id", "area")
 
 
-@query()
+@query("WITH r AS (SELECT core, slice_id, cell_id, row_number() OVER (PARTITION BY core, slice_id ORDER BY md5('42-' || cell_id::VARCHAR), cell_id) AS r FROM fx_cells) SELECT core, slice_id, cell_id FROM r WHERE r <= 20")
 def w4_sample_n(d):
     return K.sample_n(d.fx_cells, 20, 42, ["core", "slice_id"]).select("core", "slice_id", "cell_id")
 

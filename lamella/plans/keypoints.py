@@ -58,9 +58,15 @@ def k4_match_quality(d):
     return K.match_quality(matches(d).withColumn("inlier", F.col("kp_id") % 3 == 0))
 
 
-@query()
+PICKS = ", ".join(
+    f"""b{i} AS (SELECT image_id, kp_id, x, y, response, {i} AS pick FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY response DESC, kp_id) AS r FROM r{i - 1}) WHERE r = 1),
+r{i} AS (SELECT r.* FROM r{i - 1} r JOIN b{i} b ON b.image_id = r.image_id WHERE sqrt((r.x - b.x) ** 2 + (r.y - b.y) ** 2) >= 150)"""
+    for i in range(1, 7)
+)
+
+
+@query(f"WITH {POINTS}, r0 AS (SELECT * FROM pts), {PICKS} " + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, 7)))
 def k5_greedy_spatial_topk(d):
-    """Sequential within an image; spacing and order are tested."""
     return K.greedy_spatial_topk(points(d), 6, 150.0, "response")
 
 

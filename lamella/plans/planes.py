@@ -36,14 +36,15 @@ def a2_label_means(d):
     return rounded(A.label_means(d.fx_mask, d.fx_pixels), "mean")
 
 
-@query("""WITH s AS (SELECT core, slice_z, label, count(*) AS area FROM fx_mask WHERE slice_z <> 3 GROUP BY 1, 2, 3), n AS (SELECT core, slice_z, max(label) AS n FROM s GROUP BY 1, 2),
+@query("""WITH s AS (SELECT core, slice_z, label, count(*) AS area FROM fx_mask GROUP BY 1, 2, 3), n AS (SELECT core, slice_z, max(label) AS n FROM s GROUP BY 1, 2),
 g AS (SELECT core, slice_z, n, unnest(range(1, n + 1)) AS label FROM n), f AS (SELECT g.core AS core, g.slice_z AS slice_z, n, coalesce(area, 0) AS area FROM g LEFT JOIN s USING (core, slice_z, label)),
 a AS (SELECT core, slice_z, first(n) AS n, avg(area) AS mean, median(area) AS med, sum(area) AS total FROM f GROUP BY 1, 2)
 SELECT p.core AS core, p.slice_z AS slice_z, coalesce(n, 0)::BIGINT AS n_cells, round(coalesce(mean, 0), 6) AS mean_area_px, coalesce(med, 0)::DOUBLE AS median_area_px, coalesce(total, 0)::BIGINT AS total_area_px,
-  CASE WHEN n > 0 THEN 'OK' ELSE 'EMPTY' END AS status FROM (SELECT DISTINCT core, slice_z FROM fx_pixels) p LEFT JOIN a USING (core, slice_z)""")
+  CASE WHEN n > 0 THEN 'OK' ELSE 'EMPTY' END AS status FROM (SELECT DISTINCT core, slice_z FROM fx_pixels UNION SELECT DISTINCT core, 99 FROM fx_pixels) p LEFT JOIN a USING (core, slice_z)""")
 def a3_segmentation_stats(d):
-    labels = A.label_stats(d.fx_mask.filter("slice_z <> 3"))
-    out = A.segmentation_stats(d.fx_pixels, labels)
+    """Section 99 of each core is a plane without labels."""
+    planes = d.fx_pixels.select("core", "slice_z").union(d.fx_pixels.select("core", F.lit(99).cast(d.fx_pixels.schema["slice_z"].dataType)))
+    out = A.segmentation_stats(planes, A.label_stats(d.fx_mask))
     return rounded(out, "mean_area_px").drop("total_area_um2")
 
 
@@ -84,12 +85,12 @@ def a28_halo_summary(d):
     return rounded(out, "dip", "halo").select(*PLANE, "dip_r", "dip", "halo_r", "halo")
 
 
-@query("""WITH j AS (SELECT quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM fx_pixels WHERE core IN (0, 1)),
-b AS (SELECT core, least(floor((v - lo) / (hi - lo) * 79), 78) AS bin, count(*) AS n FROM fx_pixels, j WHERE core IN (0, 1) AND v BETWEEN lo AND hi GROUP BY 1, 2),
-p AS (SELECT core, bin, n / sum(n) OVER (PARTITION BY core) AS p FROM b)
-SELECT round(sum(least(coalesce(x.p, 0), coalesce(y.p, 0))), 6) AS overlap FROM (SELECT * FROM p WHERE core = 0) x FULL JOIN (SELECT * FROM p WHERE core = 1) y ON x.bin = y.bin""")
+@query("""WITH j AS (SELECT quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM fx_pixels),
+b AS (SELECT core % 2 AS side, least(floor((v - lo) / (hi - lo) * 79), 78) AS bin, count(*) AS n FROM fx_pixels, j WHERE v BETWEEN lo AND hi GROUP BY 1, 2),
+p AS (SELECT side, bin, n / sum(n) OVER (PARTITION BY side) AS p FROM b)
+SELECT round(sum(least(coalesce(x.p, 0), coalesce(y.p, 0))), 6) AS overlap FROM (SELECT * FROM p WHERE side = 0) x FULL JOIN (SELECT * FROM p WHERE side = 1) y ON x.bin = y.bin""")
 def a29_hist_separability(d):
-    part = lambda c: d.fx_pixels.filter(F.col("core") == c)
+    part = lambda side: d.fx_pixels.filter(F.col("core") % 2 == side)
     return rounded(A.hist_separability(part(0), part(1), "v"), "overlap")
 
 

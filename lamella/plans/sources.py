@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lamella.operators import joins as J
 from lamella.operators import project as P
+from lamella.operators.lineage import checkpoint_folder
 from lamella.plans.base import query
 from lamella.sources import catalog as C
 from lamella.sources import landmarks as L
+from lamella.sources import tables as TB
 
-FILTERS = "SELECT n_nationkey AS core, CASE WHEN n_nationkey % 3 = 0 THEN '0-3, 7' WHEN n_nationkey % 3 = 1 THEN '1-15' ELSE '5' END AS ranges FROM nation WHERE n_nationkey % 5 <> 4"
+FILTERS = "SELECT core, CASE WHEN core % 3 = 0 THEN '0-3, 7' WHEN core % 3 = 1 THEN '1-15' ELSE '5' END AS ranges FROM (SELECT DISTINCT s_suppkey % 1000 AS core FROM supplier) WHERE core % 5 <> 4"
 ALLOWED = f"flt AS ({FILTERS}), allowed AS (SELECT core, unnest(CASE ranges WHEN '0-3, 7' THEN [0, 1, 2, 3, 7] WHEN '1-15' THEN range(1, 16) ELSE [5] END)::INTEGER AS position FROM flt)"
 
 
 def filters(d):
-    key = F.col("n_nationkey")
-    ranges = F.when(key % 3 == 0, "0-3, 7").when(key % 3 == 1, "1-15").otherwise("5")
-    return d.nation.filter(key % 5 != 4).select(key.alias("core"), ranges.alias("ranges"))
+    """Cores of every fifth number have no entry, so all their slices stay."""
+    core = F.col("core")
+    ranges = F.when(core % 3 == 0, "0-3, 7").when(core % 3 == 1, "1-15").otherwise("5")
+    return d.supplier.select((F.col("s_suppkey") % 1000).alias("core")).distinct().filter(core % 5 != 4).select("core", ranges.alias("ranges"))
 
 
 @query(f"WITH {ALLOWED} SELECT core, position FROM allowed")
@@ -44,12 +49,12 @@ def s8_channel_metadata(d):
     return out.select("file_id", "channel_index", "Name", "ExposureTime", "IsUnmixedComponent")
 
 
-@query("""WITH c AS (SELECT n_regionkey AS file_id, n_nationkey % 2 AS ch, max((n_nationkey % 6 = 0)::INTEGER) AS unmixed, max((1 + n_nationkey % 5)::DOUBLE) AS e FROM nation GROUP BY 1, 2),
+@query("""WITH c AS (SELECT c_nationkey AS file_id, c_custkey % 2 AS ch, max((c_custkey % 6 = 0)::INTEGER) AS unmixed, max((1 + c_custkey % 5)::DOUBLE) AS e FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 7 < 3 GROUP BY 1, 2),
 p AS (SELECT file_id, max(unmixed) AS unmixed, max(CASE WHEN ch = 0 THEN e END) AS ck, max(CASE WHEN ch = 1 THEN e END) AS af FROM c GROUP BY 1)
 SELECT file_id, round(ck / af, 6) AS exposure_ratio, CASE WHEN unmixed = 1 THEN 'do_not_subtract' WHEN ck / af IS NULL THEN 'none' WHEN abs(ck / af - 1) < 0.01 THEN 'subtract' ELSE 'subtract_scaled' END AS advice FROM p""")
 def p24_exposure_advice(d):
-    channels = C.channel_metadata(d.fx_xml).drop("channel_index").join(d.nation.withColumnRenamed("n_nationkey", "file_id"), "file_id")
-    channels = channels.select(F.col("n_regionkey").alias("file_id"), (F.col("file_id") % 2).alias("channel_index"), "ExposureTime", "IsUnmixedComponent")
+    channels = C.channel_metadata(d.fx_xml).drop("channel_index").join(d.customer.withColumnRenamed("c_custkey", "file_id"), "file_id")
+    channels = channels.filter("file_id % 2 = 0 OR file_id % 7 < 3").select(F.col("c_nationkey").alias("file_id"), (F.col("file_id") % 2).alias("channel_index"), "ExposureTime", "IsUnmixedComponent")
     return P.exposure_advice(channels, 0, 1).withColumn("exposure_ratio", F.round("exposure_ratio", 6))
 
 
@@ -99,3 +104,47 @@ def s5_read_regions(d):
     docs = d.fx_candidates.groupBy("slide").agg(F.to_json(F.create_map(F.first(F.col("slide").cast("string")), F.struct(F.min("cand_id").alias("Anchor_Index"), box.alias("Regions")))).alias("json"))
     rows = L.read_regions(docs)
     return rows.groupBy("core").agg(F.min("anchor").alias("anchor"), F.count("*").alias("n_regions"), F.sum("x").alias("sum_x"), F.sum("h").alias("sum_h"))
+
+
+def _folder(d, name: str) -> str:
+    """A new folder in the shared place of checkpoints."""
+    return f"{checkpoint_folder(d.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+CELL_TABLE = "cell_id bigint, core bigint, slice_id bigint, cell_type string, area_px bigint"
+
+
+@query("SELECT cell_id, core, slice_id, cell_type, area_px FROM fx_cells")
+def s1_read_table(d):
+    """Cells written as CSV and read again under a schema."""
+    path = _folder(d, "cells-csv")
+    TB.write_table(d.fx_cells.select("area_px", "cell_type", "slice_id", "core", "cell_id", "cx"), path, format="csv")
+    return TB.read_table(d.spark, path, CELL_TABLE, ["cell_id", "cell_type"])
+
+
+@query("SELECT core::VARCHAR AS \"Core\", cell_id::VARCHAR AS cell_id, CASE WHEN core <> 1 THEN cell_type END AS cell_type, CASE WHEN core <> 0 THEN area_px::VARCHAR END AS area_px FROM fx_cells")
+def s2_read_per_core(d):
+    """A folder of CSV per core, whose files differ in their columns."""
+    path = _folder(d, "per-core")
+    for core, columns in ((0, ["cell_id", "cell_type"]), (1, ["area_px", "cell_id"]), (2, ["cell_type", "cell_id", "area_px"])):
+        d.fx_cells.filter(F.col("core") == core).select(*columns).write.option("header", True).csv(f"{path}/{core}")
+    return TB.read_per_core(d.spark, f"{path}/*/*.csv").select("Core", "cell_id", "cell_type", "area_px")
+
+
+@query("SELECT cell_id, core::INTEGER AS core, slice_id::INTEGER AS slice_id, cell_type FROM fx_cells")
+def s3_write_table(d):
+    """Cells written to a folder per core and slice and read again."""
+    path = _folder(d, "cells")
+    TB.write_table(d.fx_cells.select("cell_id", "core", "slice_id", "cell_type"), path, ["core", "slice_id"])
+    return d.spark.read.parquet(path).select("cell_id", "core", "slice_id", "cell_type")
+
+
+@query("""WITH l AS (SELECT o_custkey % 30 AS core, max(o_orderkey) AS n FROM orders GROUP BY 1)
+SELECT core::VARCHAR AS core, CASE WHEN core % 5 <> 0 THEN n END AS n_cells, CASE WHEN core % 5 <> 0 THEN 'OK' ELSE 'NO_COUNT' END AS status FROM l""")
+def s10_scan_run_logs(d):
+    """A log per core whose last count stands; every fifth run reports none."""
+    path = _folder(d, "logs")
+    line = F.concat(F.when(F.col("core") % 5 == 0, "step ").otherwise("Final 3D cell count: "), F.col("o_orderkey").cast("string"))
+    rows = d.orders.select((F.col("o_custkey") % 30).alias("core"), "o_orderkey").withColumn("value", line)
+    rows.repartition("core").sortWithinPartitions("core", "o_orderkey").select("core", "value").write.partitionBy("core").text(path)
+    return C.scan_run_logs(d.spark, f"{path}/*/*.txt", file=r"core=(\d+)/")

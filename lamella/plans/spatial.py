@@ -79,9 +79,23 @@ def hulls(d):
     return A.hull_measure(d.fx_cells, ["cx", "cy"], SLICE, "area")
 
 
-@query()
+SIDE = "(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+_side = lambda p, q, r: SIDE.format(p=p, q=q, r=r)
+
+#: Points strictly inside the quadrilateral of the extremes of x + y and x - y are no corners; a pair of the others is a side
+#: of the hull if no other lies to its right, nor on its line beyond its ends. The sides' cross products are twice the area.
+HULL = f"""pts AS (SELECT DISTINCT core, slice_id, cx::BIGINT AS x, cy::BIGINT AS y FROM fx_cells),
+far AS (SELECT core, slice_id, arg_min(x, (x + y, x)) AS ax, arg_min(y, (x + y, x)) AS ay, arg_max(x, (x - y, x)) AS bx, arg_max(y, (x - y, x)) AS by,
+  arg_max(x, (x + y, x)) AS cx, arg_max(y, (x + y, x)) AS cy, arg_min(x, (x - y, x)) AS dx, arg_min(y, (x - y, x)) AS dy FROM pts GROUP BY 1, 2),
+rim AS (SELECT core, slice_id, x, y FROM pts p JOIN far f USING (core, slice_id) WHERE least({", ".join(_side(f"f.{a}", f"f.{b}", "p.") for a, b in ("ab", "bc", "cd", "da"))}) <= 0),
+sides AS (SELECT p.core AS core, p.slice_id AS slice_id, p.x * q.y - p.y * q.x AS twice FROM rim p JOIN rim q ON p.core = q.core AND p.slice_id = q.slice_id AND (p.x <> q.x OR p.y <> q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM rim r WHERE r.core = p.core AND r.slice_id = p.slice_id AND ({_side("p.", "q.", "r.")} < 0
+    OR {_side("p.", "q.", "r.")} = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0)))"""
+
+
+@query(f"WITH {HULL} SELECT core, slice_id, sum(twice)::DOUBLE / 2 AS area FROM sides GROUP BY 1, 2")
 def a9_hull_area(d):
-    """Convex hull of the cells of each section; compared with brute force in the tests."""
+    """Convex hull of the cells of each section."""
     return hulls(d).withColumn("area", F.round("area", 3))
 
 

@@ -38,8 +38,8 @@ FROM fx_pixels WHERE v > 0""",
 SELECT a.core AS core, a.slice_z AS z, a.y AS y, a.x AS x, a.v AS a, b.v AS b
 FROM fx_pixels a JOIN fx_pixels b ON a.core = b.core AND b.slice_z = a.slice_z + 1 AND a.y = b.y AND a.x = b.x""",
     "fx_desc": """
-SELECT e.label AS image_id, p.vec_id AS kp_id, CAST(SUM(CASE WHEN p.v > 0 AND p.y * 8 + p.x < 62
-  THEN CAST(pow(2, p.y * 8 + p.x) AS BIGINT) ELSE 0 END) AS BIGINT) AS d
+SELECT e.label AS image_id, p.vec_id AS kp_id, CAST(SUM(CASE WHEN p.v <= 0 THEN 0
+  WHEN p.y * 8 + p.x = 63 THEN -9223372036854775807 - 1 ELSE CAST(pow(2, p.y * 8 + p.x) AS BIGINT) END) AS BIGINT) AS d
 FROM fx_pixels p JOIN embeddings e ON e.vec_id = p.vec_id GROUP BY e.label, p.vec_id""",
     "fx_candidates": """
 SELECT p_partkey AS cand_id, p_partkey % 10 AS slide, (p_partkey * 37) % 900 AS cx,
@@ -58,9 +58,9 @@ FROM orders GROUP BY o_custkey % 30, o_orderkey % 20""",
 SELECT DISTINCT concat('240919_3D_BL_TMA_', CAST(l_linenumber AS {text}), '_Core', CAST(l_suppkey % 30 AS {text}), '.ome.tif') AS file
 FROM lineitem""",
     "fx_xml": """
-SELECT n_nationkey AS file_id, concat('<P><Name>', n_name, '</Name><ExposureTime>', CAST(1 + n_nationkey % 5 AS {text}),
-  '</ExposureTime><IsUnmixedComponent>', CASE WHEN n_nationkey % 6 = 0 THEN 'True' ELSE 'False' END, '</IsUnmixedComponent></P>') AS xml
-FROM nation""",
+SELECT c_custkey AS file_id, concat('<P><Name>', c_name, '</Name><ExposureTime>', CAST(1 + c_custkey % 5 AS {text}),
+  '</ExposureTime><IsUnmixedComponent>', CASE WHEN c_custkey % 6 = 0 THEN 'True' ELSE 'False' END, '</IsUnmixedComponent></P>') AS xml
+FROM customer""",
 }
 
 #: Where DuckDB needs a text of its own.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +24,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, requi
     return nan_to_null(header.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in names]))
 
 
-def read_per_core(spark: SparkSession, paths: Sequence[str], pattern: str = r"/([^/]+)/[^/]+\.csv$", core: str = "Core") -> DataFrame:
-    """One CSV per core directory, the directory's name as a column; files may differ in their columns, absent ones are NULL."""
-    out = None
-    for path in paths:
-        part = spark.read.option("header", True).csv(path).withColumn(core, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+def read_per_core(spark: SparkSession, paths: str | Sequence[str], pattern: str = r"/([^/]+)/[^/]+\.csv$", core: str = "Core") -> DataFrame:
+    """CSV of a directory per core, paths or a glob, the directory's name as a column; files may differ in their columns.
+
+    Files are read together by header, so the plan grows with the number of different headers and not of files; columns
+    that a file lacks are NULL.
+    """
+    paths = [paths] if isinstance(paths, str) else [*paths]
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    parts = [spark.read.option("header", True).csv(r["files"]).withColumn(core, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)) for r in heads.orderBy("head").collect()]  # names of files
+    return reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
 
 
 def write_table(df: DataFrame, path: str, keys: Sequence[str] = ("core",), format: str = "parquet") -> None:
