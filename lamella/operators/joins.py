@@ -66,15 +66,18 @@ def map_slice_to_z(files: DataFrame, stats: DataFrame, keys: Sequence[str] = ("c
 def attach_tre(images: DataFrame, stats: DataFrame, name: str = "file", key: str = "key", value: str = "tre_px", order: str = "position") -> DataFrame:
     """Registration error of the first key, by position, that contains an image's name; NULL if none does.
 
-    ``contains`` has no equi-join form. ``stats`` has one row per image pair, a few per core, so its side is small and
-    checked: beyond 10,000 rows the search is refused rather than run as a product of two large tables.
+    Every key is taken apart into its substrings of the lengths that names have, a few dozen rows a key, so that "contains"
+    is an equi-join and neither side needs to be small.
     """
-    if stats.limit(10_001).count() > 10_000:
-        raise ValueError("attach_tre: too many keys to search one by one; select one core's keys")
-    keys = F.broadcast(stats.select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.col(order).alias("_order")))
-    hit = images.select(name).distinct().join(keys, F.contains(F.col("_key"), F.col(name)))
-    first = hit.groupBy(name).agg(F.min_by("_value", F.struct("_order", "_key")).alias(value))
-    return images.join(first, name, "left")
+    lengths = sorted(r[0] for r in images.filter(F.length(name) > 0).select(F.length(name)).distinct().collect())  # lengths of file names
+    if not lengths:
+        return images.withColumn(value, F.lit(None).cast(stats.schema[value].dataType))
+    cut_at = lambda n: lambda i: F.substring(key, i, F.lit(n))
+    parts = [F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(1), F.length(key) - (n - 1)), cut_at(n))) for n in lengths]
+    named = stats.select(F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("_part"), F.col(key).alias("_key"), F.col(value).alias("_value"), F.col(order).alias("_order"))
+    asked = images.select(F.col(name).alias("_part")).distinct()
+    first = named.join(asked, "_part", "left_semi").groupBy("_part").agg(F.min_by("_value", F.struct("_order", "_key")).alias(value))
+    return images.join(first.withColumnRenamed("_part", name), name, "left")
 
 
 def paint_labels(pixels: DataFrame, values: DataFrame, keys: Sequence[str], value: str, label: str = "label") -> DataFrame:
@@ -105,6 +108,35 @@ def remap_labels(mask: DataFrame, header: DataFrame, field: DataFrame, keys: Seq
     return warped.unionByName(untouched)
 
 
+def sample_linear(pixels: DataFrame, points: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """Values between pixels: (keys, y, x, value) for ``points(keys, y, x, sy, sx)``; what lies outside counts as 0.
+
+    A point meets the four pixels around it, weighted by nearness, in one equi-join.
+    """
+    top, left = F.floor("sy").cast("long"), F.floor("sx").cast("long")
+    down, right = F.col("sy") - top, F.col("sx") - left
+    corner = lambda i, j: F.struct((top + i).alias("ky"), (left + j).alias("kx"), ((down if i else 1 - down) * (right if j else 1 - right)).alias("w"))
+    corners = points.select(*keys, "y", "x", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).filter("c.w > 0")
+    near = corners.select(*keys, "y", "x", "c.ky", "c.kx", "c.w").join(pixels.select(*keys, F.col("y").cast("long").alias("ky"), F.col("x").cast("long").alias("kx"), F.col(value).alias("_v")), [*keys, "ky", "kx"], "left")
+    return near.groupBy(*keys, "y", "x").agg(F.sum(F.col("w") * F.coalesce("_v", F.lit(0.0))).alias(value))
+
+
+def warp_values(pixels: DataFrame, header: DataFrame, field: DataFrame, keys: Sequence[str] = ("core", "slice_id"), value: str = "v") -> DataFrame:
+    """Probabilities under the warp of ``remap_labels``, both steps linear: the dense map, then the affine.
+
+    Of the affine image only the pixels that the map asks for are worked out.
+    """
+    det = F.col("m.a") * F.col("m.d") - F.col("m.b") * F.col("m.c")
+    inverse = {"ia": F.col("m.d") / det, "ib": -F.col("m.b") / det, "ic": -F.col("m.c") / det, "id": F.col("m.a") / det}
+    heads = header.withColumns(inverse).select(*keys, "ia", "ib", "ic", "id", F.col("m.tx").alias("tx"), F.col("m.ty").alias("ty"), "orig_h", "orig_w")
+    asked = field.select(*keys, "y", "x", F.col("map_y").alias("sy"), F.col("map_x").alias("sx"))
+    around = F.array(*[F.struct((F.floor("sy").cast("long") + i).alias("y"), (F.floor("sx").cast("long") + j).alias("x")) for i in (0, 1) for j in (0, 1)])
+    needed = asked.select(*keys, F.explode(around).alias("k")).select(*keys, "k.y", "k.x").distinct().join(heads, [*keys]).filter("y >= 0 AND y < orig_h AND x >= 0 AND x < orig_w")
+    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    placed = needed.select(*keys, "y", "x", (F.col("ic") * dx + F.col("id") * dy).alias("sy"), (F.col("ia") * dx + F.col("ib") * dy).alias("sx"))
+    return sample_linear(sample_linear(pixels, placed, keys, value), asked, keys, value)
+
+
 def adjacent_pairs(pixels: DataFrame, keys: Sequence[str] = ("core",), z: str = "slice_z", value: str = "v") -> DataFrame:
     """Values ``a`` and ``b`` of the same pixel in section z and z + 1."""
     pixel = [*keys, "z", "y", "x"]

@@ -113,6 +113,18 @@ def j10_paint_labels(d):
     return J.paint_labels(labelled, values, PLANE, "painted").select(*PLANE, "y", "x", "painted")
 
 
+@query("""WITH c AS (SELECT core, slice_z, y, x, y + i AS ky, x + j AS kx, CASE i WHEN 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END * 0.5::DOUBLE AS w FROM fx_pixels, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT c.core AS core, c.slice_z AS slice_z, c.y AS y, c.x AS x, round(sum(w * coalesce(p.v, 0)), 6) AS v FROM c LEFT JOIN fx_pixels p ON p.core = c.core AND p.slice_z = c.slice_z AND c.ky < 8 AND c.kx < 8 AND p.y = c.ky - 1 AND p.x = c.kx + 1 GROUP BY 1, 2, 3, 4""")
+def j11_warp_values(d):
+    """Planes through a field half a pixel to the right and a quarter down, and an affine shift."""
+    from lamella.operators import project as P
+
+    m = P.affine(*[F.lit(v) for v in (1.0, 0.0, -1.0, 0.0, 1.0, 1.0)])
+    header = d.fx_pixels.select(*PLANE).distinct().select(*PLANE, m.alias("m"), F.lit(8).alias("orig_h"), F.lit(8).alias("orig_w"))
+    field = d.fx_pixels.select(*PLANE, "y", "x", (F.col("x") + 0.5).alias("map_x"), (F.col("y") + 0.25).alias("map_y"))
+    return rounded(J.warp_values(d.fx_pixels, header, field, PLANE), "v")
+
+
 @query("""SELECT k.core AS core, k.slice_z AS slice_z, p.y AS y, p.x AS x, k.label AS label FROM fx_pixels p JOIN fx_mask k ON k.core = p.core AND k.slice_z = p.slice_z AND k.y = p.x - 1 AND k.x = p.y + 1 WHERE p.slice_z % 2 = 0 AND p.x - 1 >= 0 AND p.y + 1 < 8 AND p.y < 8 AND p.x < 8
 UNION ALL SELECT core, slice_z, y, x, label FROM fx_mask WHERE slice_z % 2 = 1""")
 def j11_remap_labels(d):

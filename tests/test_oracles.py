@@ -26,8 +26,6 @@ def sql(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf_dir, sql, name):
-    if name in ITERATIVE:
-        pytest.skip("covered by a property test")
     df = registry.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
@@ -39,7 +37,3 @@ def test_query(spark, sf_dir, sql, name):
     order = [rel.columns.index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in order) for r in rel.fetchall()), key=repr)
     assert got == want
-
-
-#: Iterative queries without SQL, slow on one machine; tests of properties stand for them.
-ITERATIVE = {"g2_connected_components", "g3_sever_components", "g4_assign_cell_ids", "t4_gmm_1d", "t6_choose_threshold", "x3_interaction_scores", "x4_interactions_2d", "x5_interactions_3d", "x6_proximity_to"}

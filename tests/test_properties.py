@@ -278,3 +278,29 @@ def test_partition_invariance(spark):
     assert outs[0] == outs[1] == outs[2]
     samples = [sorted(r.cell_id for r in K.sample_n(df.repartition(n), 5, 1, ["core"]).collect()) for n in (1, 16)]
     assert samples[0] == samples[1] and len(samples[0]) == 15
+
+
+def test_limits_by_channel(spark):
+    nodes = spark.createDataFrame([(i, i, "a") for i in range(7)] + [(10 + i, i, "b") for i in range(7)], "node long, z int, channel string")
+    edges = spark.createDataFrame([(i, i + 1, 1 + i % 3) for i in range(6)] + [(10 + i, 11 + i, 1 + i % 3) for i in range(6)], "a long, b long, weight long")
+    got = {r.node: r.component for r in G.sever_components(nodes, edges, {"a": 7, "b": 3}).collect()}
+    assert {got[i] for i in range(7)} == {0}
+    spans = [[i for i in range(7) if got[10 + i] == c] for c in {got[10 + i] for i in range(7)}]
+    assert len(spans) > 1 and all(max(s) - min(s) < 3 for s in spans)
+
+
+def test_descriptors_without_keys_and_in_small_blocks(spark):
+    rng = random.Random(6)
+    a = [(i, rng.getrandbits(62)) for i in range(70)]
+    b = [(i, rng.choice(a)[1] ^ (1 << rng.randrange(62)) if i % 2 else rng.getrandbits(62)) for i in range(90)]
+    frame = lambda rows: spark.createDataFrame(rows, "kp_id long, d long")
+    want = {}
+    for i, d in a:
+        near = sorted((bin(d ^ e).count("1"), j) for j, e in b)
+        want[i] = (near[0][1], near[0][0], near[1][0])
+    for rows in (1024, 16, 1):
+        got = {r.kp_id: (r.match_id, r.d1, r.d2) for r in J.match_descriptors(frame(a), frame(b), rows=rows).collect()}
+        assert got == want
+    assert J.match_descriptors(frame(a), frame(b).limit(0)).count() == 0 and J.match_descriptors(frame(a).limit(0), frame(b)).count() == 0
+    one = J.match_descriptors(frame(a), frame(b[:1])).collect()
+    assert len(one) == 70 and all(r.d2 is None and not r.good for r in one)
