@@ -12,18 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.common import broadcast_if_small, sliced, stored, text_batches
+from lamella.llm.common import sliced, stored, text_batches
 
 #: A sentence ends after closing punctuation before white space, after full-width punctuation, or at a line end.
 END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)\s*|[。！？]+[\"'”’)\]」』）]*\s*|\n\s*")
 #: A span is at least so many sentences and words; a sentence longer than LONGEST words counts as several.
-SENTENCES, WORDS, LONGEST = 2, 16, 12
+SENTENCES, WORDS, LONGEST = 2, 16, 14
 #: A long sentence is cut after each word whose checksum this divides: equal passages are cut alike wherever they start.
 CUT = 10
 #: What is repeated goes if it, with the sentences next to it that may be part of it, has so many words.
 PASSAGE = 50
-#: So many hashes of repeated spans of 8 bytes are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
 #: Thai, Lao, Burmese, Khmer, kana and Han have no blanks between words: each of their letters counts as a word.
 UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
 _UNSPACED, _WORD, _MIXED = re.compile(UNSPACED), re.compile(r"\S+"), re.compile(rf"{UNSPACED}|(?:(?!{UNSPACED})\S)+")
@@ -63,10 +61,10 @@ def runs(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
     return out
 
 
-def runs_to(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
-    """(first, past) for every end: the shortest run of sentences up to there with enough sentences and words."""
-    n = len(parts)
-    return [(n - past, n - first) for first, past in runs(parts[::-1])]
+def runs_to(parts: list[tuple[int, int, list[str]]], text: str) -> list[tuple[int, int]]:
+    """(first, past) for every end of a sentence, cuts aside: the shortest run up to there with enough sentences and words."""
+    n, ends = len(parts), {m.end() for m in END.finditer(text)} | {len(text)}
+    return [(n - past, n - first) for first, past in runs(parts[::-1]) if parts[n - first - 1][1] in ends]
 
 
 def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
@@ -76,9 +74,10 @@ def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
         for batch in sliced(batches, 500):
             at, first, past, h1, h2 = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                parts = sentences(text.as_py() or "")
+                text = text.as_py() or ""
+                parts = sentences(text)
                 joined = [" ".join(w) for _, _, w in parts]
-                for a, b in sorted({*runs(parts), *runs_to(parts)}) if tails else runs(parts):
+                for a, b in sorted({*runs(parts), *runs_to(parts, text)}) if tails else runs(parts):
                     whole = xxhash.xxh3_128_intdigest(" ".join(joined[a:b]).encode("utf-8", "surrogatepass"))
                     at.append(i), first.append(a), past.append(b)
                     h1.append((whole >> 64) - (1 << 63)), h2.append((whole & ((1 << 64) - 1)) - (1 << 63))
@@ -99,7 +98,7 @@ def repeated_spans(docs: DataFrame, tails: bool = True) -> DataFrame:
     """
     every = stored(span_hashes(docs, tails), "spans")
     twice = stored(every.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "span-halves")
-    some = stored(every.join(broadcast_if_small(twice, BROADCAST_KEYS), "h1", "left_semi"), "span-candidates")
+    some = stored(every.join(twice, "h1", "left_semi"), "span-candidates")
     groups = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "text_key")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = some.join(stored(groups, "span-groups"), ["h1", "h2"])
     return met.where("NOT (struct(doc_id, first, text_key) <=> kept)").select("doc_id", "text_key", "first", "past")

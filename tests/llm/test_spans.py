@@ -25,7 +25,7 @@ def plain_sentences(text):
         while end < len(text) and text[end].isspace():
             end += 1
         words = text[at:end].lower().split()
-        if len(words) > 12:
+        if len(words) > 14:
             piece = at
             for i in range(at + 1, end):
                 if text[i - 1].isspace() and not text[i].isspace() and zlib.crc32(text[:i].lower().split()[-1].encode()) % 10 == 0 and text[at:i].split():
@@ -114,7 +114,7 @@ def test_short_closing_sentences_go(spark):
     assert got[1] == (passage, 0) and got[2] == ("", 4)
     assert got[3] == (docs[2][1][len(passage) + 1 :], 4)
     parts = spans.sentences(passage)
-    assert spans.runs(parts) == [(0, 2), (1, 3)] and spans.runs_to(parts)[::-1] == [(0, 2), (1, 3), (1, 4)]
+    assert spans.runs(parts) == [(0, 2), (1, 3)] and spans.runs_to(parts, passage)[::-1] == [(0, 2), (1, 3), (1, 4)]
 
 
 def test_the_query_takes_tails(spark, tmp_path):
