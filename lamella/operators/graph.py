@@ -71,17 +71,16 @@ def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int | Mapping
     labels = cut(connected_components(nodes, edges))
     done = None
     while True:
-        placed = rest_nodes.join(labels, "node")
-        spans = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"), F.max("most").alias("most"))
-        long = spans.filter("span > most").select("component")
-        inner = rest_edges.join(placed.select(F.col("node").alias("a"), "component"), "a").join(long, "component", "left_semi")
+        placed = cut(rest_nodes.join(labels, "node"))
+        long = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"), F.max("most").alias("most")).filter("span > most").select("component")
+        inner = cut(rest_edges.join(placed.select(F.col("node").alias("a"), "component"), "a").join(long, "component", "left_semi"))
         open_ = cut(inner.groupBy("component").agg(F.min("weight").alias("_least")))
-        fits = cut(placed.join(open_.select("component"), "component", "left_anti").select("node", "component"))
+        fits = placed.join(open_.select("component"), "component", "left_anti").select("node", "component")
         done = fits if done is None else done.unionByName(fits)
         if open_.isEmpty():
             return done
         rest_edges = cut(inner.join(open_, "component").filter("weight > _least").select("a", "b", "weight"))
-        rest_nodes = cut(placed.join(open_.select("component"), "component", "left_semi").select("node", "z", "most"))
+        rest_nodes = placed.join(open_.select("component"), "component", "left_semi").select("node", "z", "most")
         labels = cut(connected_components(rest_nodes, rest_edges))
 
 
