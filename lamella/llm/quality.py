@@ -72,7 +72,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, most_docs: int = 50_000) -> dict
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
-        for batch in sliced(batches, 200):
+        for batch in sliced(batches, 50):
             seen, texts, total = {}, {}, [0, 0]  # type: tuple[dict[str, list[int]], dict[str, int], list[int]]
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
                 words, own = Counter((text.as_py() or "").encode("utf-8", "surrogatepass").split()), set()
@@ -84,13 +84,14 @@ def lexicon(docs: DataFrame, labels: DataFrame, most_docs: int = 50_000) -> dict
                         if toxic and f not in own:
                             own.add(f)
                             texts[f] = texts.get(f, 0) + 1
-            if len(known) > 100_000:
+            if len(known) > 20_000:
                 known.clear()
             rows = [(f, c, t, texts.get(f, 0)) for f, (c, t) in seen.items()] + [(None, *total, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["feature", "clean", "toxic", "texts"])
 
     text_batches(docs.sparkSession)
-    labelled = docs.select("doc_id", "text").join(marked, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    bounded = F.broadcast(marked)  # about most_docs rows at most
+    labelled = docs.select("doc_id", "text").join(bounded, "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = labelled.mapInArrow(counted, "feature string, clean bigint, toxic bigint, texts bigint")
     counts = cut(counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "texts")]))
     total = counts.where("feature IS NULL").first()
@@ -168,8 +169,8 @@ def ledger(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for batch in batches:
-            if len(known) > 200_000:
+        for batch in sliced(batches, 200):
+            if len(known) > 50_000:
                 known.clear()
             rows = np.array([measures(t.as_py(), weights, known) for t in batch.column(1)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows.T.copy())], names=["doc_id", *MEASURES])
