@@ -80,9 +80,52 @@ reached AS (SELECT url FROM c WHERE ruled = 'block' UNION SELECT both_ways.b FRO
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN url IN (SELECT url FROM reached) THEN 'block' ELSE 'allow' END) AS verdict FROM c
 """
 
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d), occ AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM occ GROUP BY 1, 2 HAVING count(DISTINCT k) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n_source FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY 1, 2),
+p AS (SELECT kept.lang, s.source, kept.term, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n_source + 5 * v.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (kept.total + 5)) // (v.total + 5 * v.v))::BIGINT AS q
+  FROM kept JOIN s ON s.lang = kept.lang JOIN v ON v.lang = kept.lang LEFT JOIN c ON c.lang = kept.lang AND c.source = s.source AND c.term = kept.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_sum(list_transform(list_zip(a.v, e.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+fit AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT reached.a, l.b FROM reached JOIN l ON l.a = reached.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept FROM e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 ORACLE_SQL = {
     "op4_quality_rules": QUALITY,
     "op5_url_filters": URLS,
     "url_redirects": REDIRECTS,
     "op7_benchmark_decontamination": CONTAMINATION,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_hard_negatives": NEGATIVES,
+    "op13_embedding_near_dedup": NEAR_VECTORS,
 }

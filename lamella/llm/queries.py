@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, language, lines, packing, pii, quality, simhash, spans, tokens, urlfilter
+from lamella.llm import decontaminate, divergence, language, lattice, lines, negatives, packing, pii, quality, simhash, spans, tokens, urlfilter
 from lamella.llm.common import shared_path
 from lamella.llm.oracle import ORACLE_SQL
 
@@ -83,6 +83,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.without_repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.moved_labels(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +110,9 @@ QUERIES = {
         op9_token_counts,
         cached_token_counts,
         op10_substring_dedup,
+        op11_source_divergence,
+        op12_hard_negatives,
+        op13_embedding_near_dedup,
     )
 }
 
