@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamella.functions.scalars import ratio
-from lamella.operators.lineage import cut
+from lamella.operators.lineage import broadcast_if_small, cut
 from lamella.operators.threshold import minmax_scale
 
 
@@ -19,31 +20,75 @@ def cap_by_response(points: DataFrame, n: int = 20_000, keys: Sequence[str] = ("
     return points.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
+#: Bits of a coordinate that a level of the pyramid adds: a tile has up to 16 children.
+STEP = 2
+#: Places of a finest tile, at most, unless they are too near to be told apart.
+PLACES = 16
+#: Tiles of a level that are broadcast; more are joined by shuffle.
+BROADCAST_TILES = 50_000
+
+
+def _pyramid(spots: DataFrame, frame: DataFrame, keys: Sequence[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Levels of tiles from the whole image down, and the places of the finest ones.
+
+    A tile has its strongest place (top, tx, ty) and the box around its places; a level lists the children of each tile.
+    """
+    least = frame.agg(F.max("_n")).first()[0] or 1
+    bits = STEP * max(1, -(-(least.bit_length() // 2) // STEP))
+    while True:
+        cell = lambda v, lo: F.least(F.floor((F.col(v) - F.col(lo)) / F.col("_span") * 2.0**bits), F.lit(2**bits - 1))  # noqa: B023, E731
+        placed = spots.join(frame, [*keys]).select(*keys, "x", "y", "top", cell("x", "_x0").alias("i"), cell("y", "_y0").alias("j"))
+        fullest = placed.groupBy(*keys, "i", "j").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if fullest <= PLACES or bits >= 30:
+            break
+        bits += STEP * max(1, (fullest.bit_length() - PLACES.bit_length()) // 4)
+    placed = cut(placed)
+    strongest = F.max_by(F.struct("tx", "ty"), F.struct("top", "tx", "ty")).alias("_s")
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    tiles = placed.select(*keys, "i", "j", "top", F.col("x").alias("tx"), F.col("y").alias("ty"), *[F.col(v[0]).alias(v) for v in ("x0", "x1", "y0", "y1")])
+    levels, names = [], ("i", "j", "top", "tx", "ty", "x0", "x1", "y0", "y1")
+    for level in range(bits // STEP + 1):
+        up = 0 if level == 0 else STEP
+        kids = [] if level == 0 else [F.collect_list(F.struct(*names)).alias("kids")]  # at most 4^STEP of them
+        grown = tiles.groupBy(*keys, F.shiftright("i", up).alias("_i"), F.shiftright("j", up).alias("_j")).agg(F.max("top").alias("_top"), strongest, *box, *kids)
+        tiles = cut(grown.select(*keys, F.col("_i").alias("i"), F.col("_j").alias("j"), F.col("_top").alias("top"), "_s.tx", "_s.ty", "x0", "x1", "y0", "y1", *(["kids"] if kids else [])))
+        if kids:
+            levels.append(tiles.select(*keys, "i", "j", "kids"))
+            tiles = tiles.drop("kids")
+    return [tiles, *levels[::-1]], placed.select(*keys, "i", "j", F.col("x").alias("tx"), F.col("y").alias("ty"), "top")
+
+
 def nearest_stronger(points: DataFrame, c: float, keys: Sequence[str], item: str, response: str) -> DataFrame:
     """(keys, item, radius_sq): squared distance to the nearest point of the group whose response times ``c`` is larger.
 
-    Points meet those in the buckets around them; a distance of at most a bucket's width is final, the others try again
-    with buckets twice as wide. A point that is left has no clearly stronger one near, so ever fewer are left and the work
-    of a round stays in proportion to the points. Points without a stronger one take no part.
+    A pyramid of tiles carries each tile's strongest place and the box around its places. Points descend it together, a
+    level a round: a tile whose strongest place is not stronger than the point is never entered, the distance to a strongest
+    place that is bounds the point's search, and tiles whose box is no nearer are left out. So a point follows few tiles
+    a level, meets no weaker points, and the work is in proportion to points times levels whatever the responses are; points
+    of one place count as its strongest. Points without a stronger one, and those without a place or response, take no part.
     """
-    every = cut(points.select(*keys, F.col(item), "x", "y", F.col(response).alias("_own")))
-    tops = every.groupBy(*keys).agg(F.max("_own").alias("_top"))
-    open_ = cut(every.join(tops, [*keys]).filter(F.col("_top") * c > F.col("_own")).drop("_top"))
-    span = lambda d: F.max(d) - F.min(d)
-    spread = every.groupBy(*keys).agg(F.sqrt(F.greatest(span("x"), span("y"), F.lit(1e-9)) ** 2 / F.count("*")).alias("_w")).agg(F.avg("_w").alias("w")).first()["w"]
-    width, found = 4 * (spread or 1.0), None
-    at = lambda step_x, step_y: F.struct((F.floor(F.col("x") / width) + step_x).alias("i"), (F.floor(F.col("y") / width) + step_y).alias("j"))
-    while found is None or not open_.isEmpty():
-        around = F.array(*[at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        left = open_.select(*keys, item, "_own", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(around).alias("_b"))
-        right = every.select(*keys, "x", "y", F.col("_own").alias("_s"), at(0, 0).alias("_b"))
-        apart = F.pow(F.col("x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_y"), F.lit(2.0))
-        least = left.join(right, [*keys, "_b"]).filter(F.col("_s") * c > F.col("_own")).groupBy(*keys, item).agg(F.min(apart).alias("radius_sq"))
-        final = cut(least.filter(F.col("radius_sq") <= width * width))
-        found = final if found is None else found.unionByName(final)
-        open_ = cut(open_.join(final, [*keys, item], "left_anti"))
-        width *= 2
-    return found
+    every = cut(points.select(*keys, F.col(item), "x", "y", F.col(response).alias("_own")).filter("x IS NOT NULL AND y IS NOT NULL AND _own IS NOT NULL"))
+    spots = cut(every.groupBy(*keys, "x", "y").agg(F.max("_own").alias("top")))
+    span = lambda v: F.max(v) - F.min(v)
+    frame = cut(spots.groupBy(*keys).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.greatest(span("x"), span("y"), F.lit(1e-300)).alias("_span"), F.count("*").alias("_n")))
+    (roots, *levels), places = _pyramid(spots, frame, keys)
+    apart = F.pow(F.col("tx") - F.col("x"), F.lit(2.0)) + F.pow(F.col("ty") - F.col("y"), F.lit(2.0))
+    beyond = lambda v: F.greatest(F.col(f"{v}0") - F.col(v), F.col(v) - F.col(f"{v}1"), F.lit(0.0))
+    stronger = F.col("top") * c > F.col("_own")
+    bound = F.least("radius_sq", F.min(apart).over(Window.partitionBy(*keys, item)))
+    state = every.join(broadcast_if_small(roots, BROADCAST_TILES), [*keys]).withColumn("radius_sq", F.lit(float("inf"))).filter(stronger)
+    found = []
+    for level in (*levels, places):
+        state = state.withColumn("radius_sq", bound).withColumn("_least", beyond("x") * beyond("x") + beyond("y") * beyond("y"))
+        state = cut(state.select(*every.columns, "i", "j", "radius_sq", "_least"))
+        found.append(state.groupBy(*keys, item).agg(F.min("radius_sq").alias("radius_sq")))
+        # A box's distance is rounded apart from a place's, so a tile just as far is entered.
+        entered = state.filter(F.col("_least") <= F.col("radius_sq") * (1 + 1e-9)).drop("_least").join(broadcast_if_small(level, BROADCAST_TILES), [*keys, "i", "j"])
+        if level is not places:
+            entered = entered.drop("i", "j").withColumn("_k", F.explode("kids")).select(*every.columns, "radius_sq", "_k.*")
+        state = entered.filter(stronger)
+    found.append(state.groupBy(*keys, item).agg(F.min(apart).alias("radius_sq")))
+    return reduce(DataFrame.unionByName, found).groupBy(*keys, item).agg(F.min("radius_sq").alias("radius_sq"))
 
 
 def anms(points: DataFrame, n: int = 1000, c: float = 0.9, cap: int = 5000, keys: Sequence[str] = ("image_id",), item: str = "kp_id", response: str = "response") -> DataFrame:

@@ -131,14 +131,27 @@ def s2_read_per_core(d):
     return TB.read_per_core(d.spark, f"{path}/*/*.csv").select("Core", "cell_id", "cell_type", "area_px")
 
 
-@query("SELECT cell_id, core::INTEGER AS core, slice_id::INTEGER AS slice_id, cell_type FROM fx_cells")
+@query("SELECT cell_id, core::INTEGER AS core, slice_id::INTEGER AS slice_id, CASE WHEN core = 1 AND slice_id < 4 THEN upper(cell_type) ELSE cell_type END AS cell_type FROM fx_cells")
 def s3_write_table(d):
-    """Cells written to a folder per core and slice and read again."""
-    path = _folder(d, "cells")
-    TB.write_table(d.fx_cells.select("cell_id", "core", "slice_id", "cell_type"), path, ["core", "slice_id"])
+    """Cells written to a folder per core and slice; some slices of a core are written again, twice, and the others stay."""
+    path, cells = _folder(d, "cells"), d.fx_cells.select("cell_id", "core", "slice_id", "cell_type")
+    TB.write_table(cells, path, ["core", "slice_id"])
+    again = cells.filter("core = 1 AND slice_id < 4").withColumn("cell_type", F.upper("cell_type"))
+    for _ in range(2):
+        TB.write_table(again, path, ["core", "slice_id"])
     return d.spark.read.parquet(path).select("cell_id", "core", "slice_id", "cell_type")
 
 
+@query("SELECT cell_id, core, slice_id, CASE WHEN core = 1 THEN upper(cell_type) ELSE cell_type END AS cell_type, CASE WHEN core = 1 THEN area_px END AS area_px FROM fx_cells WHERE core <> 2")
+def s3_published(d):
+    """Cells published by core; core 1 is measured again with one more column, core 2 has no cells any more."""
+    path, cells = _folder(d, "published"), d.fx_cells.select("cell_id", "core", "slice_id", "cell_type", "area_px")
+    TB.publish(cells.drop("area_px"), path)
+    TB.publish(cells.filter("core = 2").drop("area_px"), path)
+    TB.publish(cells.filter("core = 1").withColumn("cell_type", F.upper("cell_type")), path, groups=d.spark.range(2, 3).toDF("core"))
+    return TB.published(d.spark, path)
+
+
 @query("""WITH l AS (SELECT o_custkey % 30 AS core, max(o_orderkey) AS n FROM orders GROUP BY 1)
 SELECT core::VARCHAR AS core, CASE WHEN core % 5 <> 0 THEN n END AS n_cells, CASE WHEN core % 5 <> 0 THEN 'OK' ELSE 'NO_COUNT' END AS status FROM l""")
 def s10_scan_run_logs(d):
