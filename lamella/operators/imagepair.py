@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from lamella.operators.lineage import broadcast_if_small, cut
 from lamella.operators.threshold import otsu
 
 PAIR = ("core", "z")
@@ -70,47 +75,115 @@ def nmi_label(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     return _information(joint, keys).select(*keys, F.when(total > 1e-12, 2 * F.col("mi") / total).otherwise(1.0).alias("nmi_label"))
 
 
-def ssim(pairs: DataFrame, keys: Sequence[str] = PAIR, size: int = 7) -> DataFrame:
-    """Structural similarity after division by the joint maximum, averaged over the interior.
+#: Image rows of a block.
+ROWS = 64
+#: Pairs of planes whose maxima are broadcast; more are joined by shuffle.
+BROADCAST_PAIRS = 100_000
 
-    The box filter is separable: running sums along x, then along y. Needs dense planes.
+
+def _by_blocks(pairs: DataFrame, keys: Sequence[str], halo: int, columns: str, measure: Callable[[np.ndarray, np.ndarray, slice], tuple | None], rows: int = ROWS) -> DataFrame:
+    """``measure(a, b, own)`` of every block of ``rows`` image rows: (keys, columns).
+
+    An image row is an array; the rows next to a block come along as its halo, so a block is worked on alone and one
+    shuffle brings all of it. ``a`` and ``b`` are the block's rows with its halo, NaN where a pixel is absent, and ``own``
+    the block's own rows among them.
+    """
+    lines = pairs.groupBy(*keys, F.col("y").cast("long").alias("y")).agg(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))).alias("_p"))
+    lines = lines.select(*keys, "y", *[F.col("_p")[c].alias(c) for c in ("x", "a", "b")])
+    near = F.sequence(F.floor((F.col("y") - halo) / rows), F.floor((F.col("y") + halo) / rows))
+    out = StructType([*[pairs.schema[k] for k in keys], *StructType.fromDDL(columns)])
+
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        y, first = table.column("y").to_numpy(), key[len(keys)].as_py() * rows
+        lists = {c: table.column(c).combine_chunks() for c in ("x", "a", "b")}
+        x = lists["x"].flatten().to_numpy()
+        at = np.repeat(y, lists["x"].value_lengths().to_numpy())
+        top, left = min(first, int(y.min())), int(x.min())
+        grids = []
+        for c in ("a", "b"):
+            grid = np.full((int(y.max()) - top + 1, int(x.max()) - left + 1), np.nan)
+            grid[at - top, x - left] = lists[c].flatten().to_numpy(zero_copy_only=False)
+            grids.append(grid)
+        if len(grids[0]) <= first - top:  # only rows above the block
+            found = None
+        else:
+            found = measure(*grids, slice(first - top, min(first - top + rows, len(grids[0]))))
+        names = [f.name for f in out]
+        return pa.Table.from_pylist([] if found is None else [dict(zip(names, (*[k.as_py() for k in key[: len(keys)]], *found)))], schema=to_arrow_schema(out))
+
+    return lines.withColumn("_block", F.explode(near)).groupBy(*keys, "_block").applyInArrow(block, out)
+
+
+def _box_means(v: np.ndarray, size: int) -> np.ndarray:
+    """Means over every full window of ``size`` x ``size``, by prefix sums along the rows and then down the columns."""
+    for axis in (0, 1):
+        total = np.insert(np.cumsum(v, axis=axis), 0, 0, axis=axis)
+        v = np.take(total, range(size, total.shape[axis]), axis=axis) - np.take(total, range(total.shape[axis] - size), axis=axis)
+    return v / size**2
+
+
+def ssim(pairs: DataFrame, keys: Sequence[str] = PAIR, size: int = 7, rows: int = ROWS) -> DataFrame:
+    """Structural similarity after division by the joint maximum, averaged over all windows without an absent pixel.
+
+    Blocks of image rows are worked on apart; pairs of planes too small for a window give no row.
     """
     half = size // 2
-    top = Window.partitionBy(*keys)
-    scale = F.greatest(F.max("a").over(top), F.max("b").over(top), F.lit(1.0))
-    dense = pairs.withColumns({"_a": F.col("a") / scale, "_b": F.col("b") / scale})
-    dense = dense.select(*keys, "y", "x", "_a", "_b", (F.col("_a") * F.col("_a")).alias("_aa"), (F.col("_b") * F.col("_b")).alias("_bb"), (F.col("_a") * F.col("_b")).alias("_ab"))
-    names = ("_a", "_b", "_aa", "_bb", "_ab")
-    along = lambda line, order: Window.partitionBy(*keys, line).orderBy(order).rowsBetween(-half, half)
-    rows = dense.withColumns({c: F.sum(c).over(along("y", "x")) for c in names} | {"_nx": F.count("*").over(along("y", "x"))})
-    box = rows.withColumns({c: F.sum(c).over(along("x", "y")) / size**2 for c in names} | {"_ny": F.count("*").over(along("x", "y"))})
-    inner = box.filter((F.col("_nx") == size) & (F.col("_ny") == size))
-    ma, mb = F.col("_a"), F.col("_b")
-    unbias = size**2 / (size**2 - 1)
-    va, vb, cov = unbias * (F.col("_aa") - ma * ma), unbias * (F.col("_bb") - mb * mb), unbias * (F.col("_ab") - ma * mb)
-    c1, c2 = 0.01**2, 0.03**2
-    value = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    return inner.groupBy(*keys).agg(F.avg(value).alias("ssim"))
-
-
-def _edged(name: str, line: Window, step: int) -> Column:
-    """Neighbour ``step`` away along a line, the edge pixel standing in beyond it."""
-    other = F.lag(name, step) if step > 0 else F.lead(name, -step)
-    return F.coalesce(other.over(line), F.col(name))
-
-
-def gradient_magnitude(planes: DataFrame, keys: Sequence[str], value: str = "v", out: str = "g") -> DataFrame:
-    """Sobel magnitude with replicated edges, by neighbours along x and then along y."""
-    along_x, along_y = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    step = planes.withColumns({"_s": _edged(value, along_x, 1) + 2 * F.col(value) + _edged(value, along_x, -1), "_d": _edged(value, along_x, -1) - _edged(value, along_x, 1)})
-    gy, gx = _edged("_s", along_y, -1) - _edged("_s", along_y, 1), _edged("_d", along_y, 1) + 2 * F.col("_d") + _edged("_d", along_y, -1)
-    return step.withColumn(out, F.hypot(gx, gy)).drop("_s", "_d")
-
-
-def grad_corr(pairs: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
-    """Correlation of gradient magnitudes."""
-    both = gradient_magnitude(gradient_magnitude(pairs, keys, "a", "_ga"), keys, "b", "_gb")
-    return both.groupBy(*keys).agg(_pearson(F.col("_ga"), F.col("_gb"), 1e-6).alias("grad_corr"))
+    c1, c2, unbias = 0.01**2, 0.03**2, size**2 / (size**2 - 1)
+
+    def measure(a: np.ndarray, b: np.ndarray, own: slice) -> tuple | None:
+        if min(a.shape) < size:
+            return None
+        absent = np.isnan(a) | np.isnan(b)
+        whole = _box_means(absent.astype(float), size) == 0
+        centres = np.arange(half, len(a) - half)
+        whole &= ((centres >= own.start) & (centres < own.stop))[:, None]
+        if not whole.any():
+            return None
+        a, b = np.where(absent, 0, a), np.where(absent, 0, b)
+        ma, mb, aa, bb, ab = (_box_means(v, size) for v in (a, b, a * a, b * b, a * b))
+        va, vb, cov = unbias * (aa - ma * ma), unbias * (bb - mb * mb), unbias * (ab - ma * mb)
+        value = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+        return int(whole.sum()), float(value[whole].sum())
+
+    tops = cut(pairs.groupBy(*keys).agg(F.greatest(F.max("a"), F.max("b"), F.lit(1.0)).alias("_top")))
+    scaled = pairs.join(broadcast_if_small(tops, BROADCAST_PAIRS), [*keys]).select(*keys, "y", "x", *[(F.col(v) / F.col("_top")).alias(v) for v in ("a", "b")])
+    parts = _by_blocks(scaled, keys, half, "n long, total double", measure, rows)
+    return parts.groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias("ssim"))
+
+
+def _shifted(v: np.ndarray, axis: int, step: int) -> np.ndarray:
+    """The neighbour a step away, and the pixel itself beyond the edge or where the neighbour is absent."""
+    other = np.roll(v, -step, axis)
+    np.moveaxis(other, axis, 0)[-1 if step > 0 else 0] = np.nan
+    return np.where(np.isnan(other), v, other)
+
+
+def sobel(v: np.ndarray) -> np.ndarray:
+    """Gradient magnitude of a plane by Sobel's filter, edges replicated."""
+    left, right = _shifted(v, 1, -1), _shifted(v, 1, 1)
+    smooth, step = left + 2 * v + right, right - left
+    down = _shifted(smooth, 0, 1) - _shifted(smooth, 0, -1)
+    return np.hypot(down, _shifted(step, 0, 1) + 2 * step + _shifted(step, 0, -1))
+
+
+def grad_corr(pairs: DataFrame, keys: Sequence[str] = PAIR, rows: int = ROWS) -> DataFrame:
+    """Correlation of gradient magnitudes; blocks of image rows give means and centred moments, which add up exactly."""
+
+    def measure(a: np.ndarray, b: np.ndarray, own: slice) -> tuple | None:
+        ga, gb = sobel(a)[own], sobel(b)[own]
+        there = ~(np.isnan(ga) | np.isnan(gb))
+        if not there.any():
+            return None
+        ga, gb = ga[there], gb[there]
+        da, db = ga - ga.mean(), gb - gb.mean()
+        return len(ga), float(ga.mean()), float(gb.mean()), float(da @ da), float(db @ db), float(da @ db)
+
+    parts = _by_blocks(pairs, keys, 1, "n long, ma double, mb double, saa double, sbb double, sab double", measure, rows)
+    sums = parts.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in {"n": F.col("n"), "a": F.col("n") * F.col("ma"), "b": F.col("n") * F.col("mb"), "aa": F.col("saa") + F.col("n") * F.col("ma") ** 2, "bb": F.col("sbb") + F.col("n") * F.col("mb") ** 2, "ab": F.col("sab") + F.col("n") * F.col("ma") * F.col("mb")}.items()])
+    n = F.col("n")
+    va, vb = (F.greatest(F.col(s * 2) / n - F.pow(F.col(s) / n, F.lit(2.0)), F.lit(0.0)) for s in "ab")
+    cov = F.col("ab") / n - F.col("a") / n * F.col("b") / n
+    return sums.select(*keys, F.when((F.sqrt(va) >= 1e-6) & (F.sqrt(vb) >= 1e-6), F.try_divide(cov, F.sqrt(va) * F.sqrt(vb))).alias("grad_corr"))
 
 
 def _with_otsu(pairs: DataFrame, keys: Sequence[str], *sides: str) -> DataFrame:

@@ -85,13 +85,8 @@ def paint_labels(pixels: DataFrame, values: DataFrame, keys: Sequence[str], valu
     return pixels.join(values.select(*keys, label, value), [*keys, label], "left").fillna({value: 0})
 
 
-def remap_labels(mask: DataFrame, header: DataFrame, field: DataFrame, keys: Sequence[str] = ("core", "slice_id")) -> DataFrame:
-    """Masks under a two-step nearest warp: the dense map, then the affine; what comes from outside is background.
-
-    ``header(keys, m, orig_h, orig_w)`` has a struct ``m`` of the forward affine, ``field(keys, y, x, map_x, map_y)`` the
-    source of every output pixel in the affine image. Every output pixel computes its source, so the warp is one equi-join.
-    A mask with pixels beyond the header's shape is refused by dropping the slice; slices without a header stay as they are.
-    """
+def asked_pixels(header: DataFrame, field: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _y, _x, y, x): output pixels of a two-step nearest warp and the mask's pixel that each asks for."""
     det = F.col("m.a") * F.col("m.d") - F.col("m.b") * F.col("m.c")
     inverse = {"ia": F.col("m.d") / det, "ib": -F.col("m.b") / det, "ic": -F.col("m.c") / det, "id": F.col("m.a") / det}
     heads = header.withColumns(inverse).select(*keys, "ia", "ib", "ic", "id", F.col("m.tx").alias("tx"), F.col("m.ty").alias("ty"), "orig_h", "orig_w")
@@ -99,7 +94,17 @@ def remap_labels(mask: DataFrame, header: DataFrame, field: DataFrame, keys: Seq
     inside = (ax >= 0) & (ax < F.col("orig_w")) & (ay >= 0) & (ay < F.col("orig_h"))
     sx = F.rint(F.col("ia") * (ax - F.col("tx")) + F.col("ib") * (ay - F.col("ty")))
     sy = F.rint(F.col("ic") * (ax - F.col("tx")) + F.col("id") * (ay - F.col("ty")))
-    asked = field.join(heads, [*keys]).filter(inside).select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), sy.cast("long").alias("y"), sx.cast("long").alias("x"))
+    return field.join(heads, [*keys]).filter(inside).select(*keys, F.col("y").alias("_y"), F.col("x").alias("_x"), sy.cast("long").alias("y"), sx.cast("long").alias("x"))
+
+
+def remap_labels(mask: DataFrame, header: DataFrame, field: DataFrame, keys: Sequence[str] = ("core", "slice_id")) -> DataFrame:
+    """Masks under a two-step nearest warp: the dense map, then the affine; what comes from outside is background.
+
+    ``header(keys, m, orig_h, orig_w)`` has a struct ``m`` of the forward affine, ``field(keys, y, x, map_x, map_y)`` the
+    source of every output pixel in the affine image. Every output pixel computes its source, so the warp is one equi-join.
+    A mask with pixels beyond the header's shape is refused by dropping the slice; slices without a header stay as they are.
+    """
+    asked = asked_pixels(header, field, keys)
     shape = mask.groupBy(*keys).agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
     fits = shape.join(header.select(*keys, "orig_h", "orig_w"), [*keys]).filter("_h < orig_h AND _w < orig_w").select(*keys)
     source = mask.join(fits, [*keys], "left_semi").withColumns({"y": F.col("y").cast("long"), "x": F.col("x").cast("long")})

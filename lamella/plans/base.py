@@ -24,8 +24,8 @@ class Inputs:
         return view(self.spark, self.sf_dir, name) if name in VIEWS else table(self.spark, self.sf_dir, name)
 
 
-def query(sql: str | None = None):
-    """Register a function of ``Inputs`` under its own name; ``sql`` may name views."""
+def query(sql: str | None = None, like: str | None = None):
+    """Register a function of ``Inputs`` under its own name; ``sql`` may name views; ``like`` names a query of the same result."""
 
     def register(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,8 @@ def query(sql: str | None = None):
         QUERIES[build.__name__] = run
         if sql is not None:
             ORACLE_SQL[build.__name__] = oracle(sql)
+        elif like is not None:
+            ORACLE_SQL[build.__name__] = ORACLE_SQL[like]
         return build
 
     return register

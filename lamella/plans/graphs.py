@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lamella.operators import aggregate as A
 from lamella.operators import graph as G
 from lamella.operators import joins as J
+from lamella.operators import runs as R
 from lamella.plans.base import query
 
 EDGES = """ov AS (SELECT a.core AS core, a.slice_z AS z, a.label AS label_a, b.label AS label_b, count(*) AS n_shared FROM fx_mask a JOIN fx_mask b ON a.core = b.core AND b.slice_z = a.slice_z + 1 AND a.y = b.y AND a.x = b.x GROUP BY 1, 2, 3, 4),
@@ -28,6 +29,12 @@ def j4_overlap_edges(d):
     return edges(d).withColumn("frac", F.round("frac", 6))
 
 
+@query(f"WITH {EDGES} SELECT core, z, label_a, label_b, n_shared, round(frac, 6) AS frac FROM edges")
+def j4_overlap_runs(d):
+    """The same from runs."""
+    return R.run_overlaps(R.runs_of_pixels(d.fx_mask), min_overlap=1, min_frac=0.1).withColumn("frac", F.round("frac", 6))
+
+
 #: A label's place as one number, without collisions below 2^17 cores, 2^14 sections and 2^32 labels.
 NODE = "(({core} * 16384 + {z}) * 4294967296 + {label})"
 

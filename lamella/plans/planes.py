@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lamella.operators import aggregate as A
 from lamella.operators import imagepair as M
 from lamella.operators import joins as J
+from lamella.operators import runs as R
 from lamella.operators import threshold as T
 from lamella.plans.base import query
 
@@ -31,11 +32,23 @@ def a1_label_stats(d):
     return rounded(A.label_stats(d.fx_mask), "centroid_y", "centroid_x")
 
 
+@query(like="a1_label_stats")
+def a1_run_stats(d):
+    """The same from runs."""
+    return rounded(R.run_stats(R.runs_of_pixels(d.fx_mask)), "centroid_y", "centroid_x")
+
+
 @query("SELECT m.core AS core, m.slice_z AS slice_z, label, round(avg(ln(1 + greatest(v, 0))), 6) AS mean FROM fx_mask m JOIN fx_pixels p ON m.core = p.core AND m.slice_z = p.slice_z AND m.y = p.y AND m.x = p.x GROUP BY 1, 2, 3")
 def a2_label_means(d):
     return rounded(A.label_means(d.fx_mask, d.fx_pixels), "mean")
 
 
+@query(like="a2_label_means")
+def a2_run_means(d):
+    """The same from runs and image rows."""
+    return rounded(R.run_means(R.runs_of_pixels(d.fx_mask), R.rows_of_pixels(d.fx_pixels)), "mean")
+
+
 @query("""WITH s AS (SELECT core, slice_z, label, count(*) AS area FROM fx_mask GROUP BY 1, 2, 3), n AS (SELECT core, slice_z, max(label) AS n FROM s GROUP BY 1, 2),
 g AS (SELECT core, slice_z, n, unnest(range(1, n + 1)) AS label FROM n), f AS (SELECT g.core AS core, g.slice_z AS slice_z, n, coalesce(area, 0) AS area FROM g LEFT JOIN s USING (core, slice_z, label)),
 a AS (SELECT core, slice_z, first(n) AS n, avg(area) AS mean, median(area) AS med, sum(area) AS total FROM f GROUP BY 1, 2)
@@ -129,13 +142,23 @@ def j11_warp_values(d):
 UNION ALL SELECT core, slice_z, y, x, label FROM fx_mask WHERE slice_z % 2 = 1""")
 def j11_remap_labels(d):
     """Even slices through a field that transposes and an affine shift; odd ones have no header and stay."""
+    return J.remap_labels(d.fx_mask, *transposing(d), PLANE)
+
+
+@query(like="j11_remap_labels")
+def j11_remap_runs(d):
+    """The same from runs to runs, shown as pixels."""
+    return R.pixels_of_runs(R.remap_runs(R.runs_of_pixels(d.fx_mask), *transposing(d), PLANE))
+
+
+def transposing(d):
     from lamella.operators import project as P
 
     planes = d.fx_pixels.filter("slice_z % 2 = 0")
     m = P.affine(*[F.lit(v) for v in (1.0, 0.0, -1.0, 0.0, 1.0, 1.0)])
     header = planes.select(*PLANE).distinct().select(*PLANE, m.alias("m"), F.lit(8).alias("orig_h"), F.lit(8).alias("orig_w"))
     field = planes.select(*PLANE, "y", "x", F.col("y").cast("double").alias("map_x"), F.col("x").cast("double").alias("map_y"))
-    return J.remap_labels(d.fx_mask, header, field, PLANE)
+    return header, field
 
 
 @query("SELECT core, z, count(*) AS n_px, round(avg((a - b) ** 2), 9) AS mse, round(sqrt(avg((a - b) ** 2)), 6) AS rmse, round(20 * log10(greatest(max(a), max(b), 1) / sqrt(avg((a - b) ** 2))), 6) AS psnr, round(corr(a, b), 6) AS ncc FROM fx_pairs GROUP BY 1, 2")
