@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,8 +21,8 @@ END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)\s*|[。！？]+[\"'”’)\]
 SENTENCES, WORDS, LONGEST = 2, 16, 14
 #: A long sentence is cut after each word whose checksum this divides: equal passages are cut alike wherever they start.
 CUT = 10
-#: What is repeated goes if it, with the sentences next to it that may be part of it, has so many words.
-PASSAGE = 50
+#: Bits of the filter of half hashes that are seen twice: 16 MB, however many spans there are.
+BITS = 1 << 27
 #: Thai, Lao, Burmese, Khmer, kana and Han have no blanks between words: each of their letters counts as a word.
 UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
 _UNSPACED, _WORD, _MIXED = re.compile(UNSPACED), re.compile(r"\S+"), re.compile(rf"{UNSPACED}|(?:(?!{UNSPACED})\S)+")
@@ -61,10 +62,10 @@ def runs(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
     return out
 
 
-def runs_to(parts: list[tuple[int, int, list[str]]], text: str) -> list[tuple[int, int]]:
-    """(first, past) for every end of a sentence, cuts aside: the shortest run up to there with enough sentences and words."""
-    n, ends = len(parts), {m.end() for m in END.finditer(text)} | {len(text)}
-    return [(n - past, n - first) for first, past in runs(parts[::-1]) if parts[n - first - 1][1] in ends]
+def runs_to(parts: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
+    """(first, past) for every end: the shortest run of sentences up to there with enough sentences and words."""
+    n = len(parts)
+    return [(n - past, n - first) for first, past in runs(parts[::-1])]
 
 
 def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
@@ -77,7 +78,7 @@ def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
                 text = text.as_py() or ""
                 parts = sentences(text)
                 joined = [" ".join(w) for _, _, w in parts]
-                for a, b in sorted({*runs(parts), *runs_to(parts, text)}) if tails else runs(parts):
+                for a, b in sorted({*runs(parts), *runs_to(parts)}) if tails else runs(parts):
                     whole = xxhash.xxh3_128_intdigest(" ".join(joined[a:b]).encode("utf-8", "surrogatepass"))
                     at.append(i), first.append(a), past.append(b)
                     h1.append((whole >> 64) - (1 << 63)), h2.append((whole & ((1 << 64) - 1)) - (1 << 63))
@@ -93,60 +94,59 @@ def span_hashes(docs: DataFrame, tails: bool = True) -> DataFrame:
 def repeated_spans(docs: DataFrame, tails: bool = True) -> DataFrame:
     """(doc_id, text_key, first, past): the non-first occurrences, by (doc_id, place), of spans that occur repeatedly.
 
-    Half hashes are counted first, so that only spans that may repeat are grouped by their whole hash. Aggregates are
-    stored before they are joined: both sides are dealt anew and a span of a third of all documents can be split.
+    Half hashes are counted first, so that only spans that may repeat are grouped by their whole hash; a filter of fixed
+    size keeps most of the others out of that join's shuffle. Aggregates are stored before they are joined: both sides are
+    dealt anew and a span of a third of all documents can be split.
     """
     every = stored(span_hashes(docs, tails), "spans")
     twice = stored(every.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "span-halves")
-    some = stored(every.join(twice, "h1", "left_semi"), "span-candidates")
+    some = stored(_sifted(every, twice).join(twice, "h1", "left_semi"), "span-candidates")
     groups = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first", "text_key")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = some.join(stored(groups, "span-groups"), ["h1", "h2"])
     return met.where("NOT (struct(doc_id, first, text_key) <=> kept)").select("doc_id", "text_key", "first", "past")
 
 
-def leaving(parts: list[tuple[int, int, list[str]]], covered: list[int], passage: int) -> set[int]:
-    """Of the ``covered`` sentences, those in stretches that can be part of a repeated passage of ``passage`` words.
+def _sifted(every: DataFrame, twice: DataFrame, bits: int = BITS) -> DataFrame:
+    """``every`` without most of the rows whose ``h1`` is not in ``twice``: a bit is set for each one that is.
 
-    The sentences before and after a stretch may belong to the passage in part, so their words count too. A text that is
-    covered as a whole goes whatever its length.
+    The bits are gathered by word, ``bits / 64`` rows at most, and broadcast.
     """
-    gone, sizes = set(covered), [len(w) for _, _, w in parts]
-    if all(i in gone for i, n in enumerate(sizes) if n):
-        return gone
-    out, first = set(), 0
-    while first < len(parts):
-        past = first
-        while past in gone:
-            past += 1
-        if past > first and sum(sizes[max(first - 1, 0) : past + 1]) >= passage:
-            out.update(range(first, past))
-        first = past + 1
-    return out
+    place = F.pmod("h1", F.lit(bits))
+    words = twice.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
+    known = np.zeros(bits // 64, dtype=np.uint64)
+    known[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = every.sparkSession.sparkContext.broadcast(known)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("h1").to_numpy() % bits
+            yield batch.filter(pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return every.mapInArrow(sift, every.schema)
 
 
-def drop_sentences(text: str, covered: list[int], passage: int = PASSAGE) -> tuple[str, int]:
-    """``text`` without the sentences numbered in ``covered`` that leave, and how many leave."""
-    parts = sentences(text)
-    gone = leaving(parts, covered, passage)
-    return "".join(text[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone), len(gone)
+def drop_sentences(text: str, covered: list[int]) -> tuple[str, int]:
+    """``text`` without the sentences numbered in ``covered``, and how many they are."""
+    gone = set(covered)
+    return "".join(text[a:b] for i, (a, b, _) in enumerate(sentences(text)) if i not in gone), len(gone)
 
 
-def without_repeated_spans(docs: DataFrame, tails: bool = True, passage: int = PASSAGE) -> DataFrame:
+def without_repeated_spans(docs: DataFrame, tails: bool = True) -> DataFrame:
     """``docs`` with sentences inside non-first repeated spans taken out of ``text``, and their number n_removed.
 
     A span is the shortest run of sentences from its start with SENTENCES sentences and WORDS words; case and spacing do
     not count. With ``tails`` the shortest run up to each sentence is a span too, so that short closing sentences of a
     repeated passage go with it. Of equal spans in all documents, or at two places of one, the first by (doc_id, place)
-    stays. A stretch of covered sentences that, with the two sentences around it, has under ``passage`` words stays as
-    well, unless it is the whole text (0: every stretch goes). Null and empty texts have no sentence and stay as they are,
-    and a document stays even if no sentence does. Null ids come first in order. Repeated rows (same id and text) are one
-    occurrence and stay alike. Other columns pass through; an empty table gives an empty result.
+    stays, and every sentence that another one covers goes, however short the repeated stretch is. Null and empty texts
+    have no sentence and stay as they are, and a document stays even if no sentence does. Null ids come first in order.
+    Repeated rows (same id and text) are one occurrence and stay alike. Other columns pass through, but a column
+    n_removed of ``docs`` is replaced; an empty table gives an empty result.
     """
     text_batches(docs.sparkSession)
     covered = repeated_spans(docs, tails).select("doc_id", "text_key", F.explode(F.sequence("first", F.col("past") - 1)).alias("i"))
     gone = covered.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("i").alias("gone"))
-    names = [c for c in docs.columns if c != "text"]
-    own = docs.select(F.struct(*names).alias("own"), "text")
+    names = [c for c in docs.columns if c != "n_removed"]
+    own = docs.select(F.struct(*[f"`{c}`" for c in names if c != "text"]).alias("own"), "text")
     match = F.col("own.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
     joined = own.join(gone.hint("shuffle_hash"), match, "left").select("own", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
@@ -154,11 +154,11 @@ def without_repeated_spans(docs: DataFrame, tails: bool = True, passage: int = P
         for batch in batches:
             texts, removed = [], []
             for text, gone in zip(batch.column(1), batch.column(2).to_pylist()):
-                text, n = drop_sentences(text.as_py(), gone, passage) if gone else (text.as_py(), 0)
+                text, n = drop_sentences(text.as_py(), gone) if gone else (text.as_py(), 0)
                 texts.append(text)
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32())], names=["own", "text", "n_removed"])
 
     schema = T.StructType().add(joined.schema["own"]).add("text", "string").add("n_removed", T.IntegerType())
     out = joined.mapInArrow(rebuild, schema)
-    return out.select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_removed")
+    return out.select(*[f"own.`{c}`" if c != "text" else "text" for c in names], "n_removed")

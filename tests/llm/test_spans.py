@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from lamella.llm import queries, spans
 
 
@@ -38,16 +39,18 @@ def plain_sentences(text):
     return out
 
 
-def brute(docs):
-    rows = []
+def brute(docs, tails=True):
+    """Sentences that go, by document: the shortest run from every start and, with ``tails``, up to every end."""
+    rows = set()
     for d, t in docs:
         parts = plain_sentences(t or "")
+        runs = []
+        long = lambda a, b: b - a >= spans.SENTENCES and sum(len(ws) for _, _, ws in parts[a:b]) >= spans.WORDS  # noqa: B023, E731
         for a in range(len(parts)):
-            for b in range(a + spans.SENTENCES, len(parts) + 1):
-                words = [w for _, _, ws in parts[a:b] for w in ws]
-                if len(words) >= spans.WORDS:
-                    rows.append((" ".join(words), (-1 if d is None else d, a), b))
-                    break
+            runs += [(a, b) for b in range(a, len(parts) + 1) if long(a, b)][:1]
+        for b in range(len(parts) + 1) if tails else ():
+            runs += [(a, b) for a in range(b, -1, -1) if long(a, b)][:1]
+        rows |= {(" ".join(w for _, _, ws in parts[a:b] for w in ws), (-1 if d is None else d, a), b) for a, b in runs}
     first = {}
     for key, place, _ in sorted(rows, key=lambda r: r[1]):
         first.setdefault(key, place)
@@ -81,11 +84,12 @@ def test_sentences_cover_the_text():
     assert [w for _, _, w in spans.sentences("One two. Three!\nfour")] == [["one", "two."], ["three!"], ["four"]]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("tails", [True, False])
+def test_against_brute_force(spark, tails):
     docs = corpus()
     df = spark.createDataFrame([(d, t, "f", 3) for d, t in docs], "doc_id long, text string, first string, gone int")
-    rows = spans.without_repeated_spans(df, tails=False, passage=0).collect()
-    gone = brute(docs)
+    rows = spans.without_repeated_spans(df, **({} if tails else {"tails": False})).collect()
+    gone = brute(docs, tails)
     got = {(-1 if r.doc_id is None else r.doc_id): r for r in rows}
     assert len(got) == len(rows) == len(docs) and len(gone) > 20
     for d, t in docs:
@@ -110,11 +114,11 @@ def test_short_closing_sentences_go(spark):
     passage = " ".join(said)
     docs = [(1, passage), (2, passage), (3, passage + " Then other words follow here, more than sixteen of them in all, so that runs reach into this text.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(df, passage=0).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(df).collect()}
     assert got[1] == (passage, 0) and got[2] == ("", 4)
     assert got[3] == (docs[2][1][len(passage) + 1 :], 4)
     parts = spans.sentences(passage)
-    assert spans.runs(parts) == [(0, 2), (1, 3)] and spans.runs_to(parts, passage)[::-1] == [(0, 2), (1, 3), (1, 4)]
+    assert spans.runs(parts) == [(0, 2), (1, 3)] and spans.runs_to(parts)[::-1] == [(0, 2), (1, 3), (1, 4)]
 
 
 def test_the_query_takes_tails(spark, tmp_path):
@@ -123,7 +127,8 @@ def test_the_query_takes_tails(spark, tmp_path):
     assert sorted(tuple(r) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()) == [(1, text, 0), (2, "", 4)]
 
 
-def test_short_repeats_stay_and_passages_go(spark):
+def test_short_repeats_go_and_so_do_passages(spark):
+    """Passages among other words, whose sentences they break anywhere; and 19 words that texts share."""
     rng = random.Random(2)
     words = lambda n: [f"q{rng.randrange(900)}" for _ in range(n)]
 
@@ -147,7 +152,39 @@ def test_short_repeats_stay_and_passages_go(spark):
     docs += [(300 + i, " ".join(prose(120))) for i in range(30)]
     got = {r.doc_id: r.n_removed for r in spans.without_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum(got[100 + i] > 0 for i in range(60)) >= 57
-    assert all(got[i] == 0 for i in got if i < 100 or i >= 200)
+    assert got[200] == 0 and all(got[200 + i] == 2 for i in range(1, 30))
+    assert all(got[i] == 0 for i in got if i < 100 or i >= 300)
+
+
+def test_two_sentences_of_two_documents(spark):
+    text = " ".join(f"a{i}" for i in range(12)) + ". " + " ".join(f"b{i}" for i in range(12)) + "."
+    docs = [(1, "x y. " + text), (2, "other start. " + text + " other end.")]
+    got = {r.doc_id: r.text for r in spans.without_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "other start. other end."}
+
+
+def test_an_own_column_n_removed_is_replaced(spark):
+    text = "A first sentence of several words here. And a second one that adds many more words to it."
+    df = spark.createDataFrame([(1, text, 70, 1), (2, text, 80, 2)], "doc_id long, text string, n_removed long, `a.b` int")
+    out = spans.without_repeated_spans(df)
+    assert out.columns == ["doc_id", "text", "a.b", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, text, 1, 0), (2, "", 2, 2)]
+    assert spans.without_repeated_spans(out.drop("a.b")).count() == 2
+
+
+def test_very_long_text(spark):
+    said = [f"Sentence number {i} has these eight words." for i in range(30_000)]
+    docs = [(1, " ".join(said)), (2, " ".join(said[:15_000])), (3, "An own start here. " + " ".join(said[100:103]))]
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.without_repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("", 15_000), 3: ("An own start here. ", 3)}
+
+
+def test_a_full_filter_loses_nothing(spark):
+    every = spark.createDataFrame([(h,) for h in range(-50, 50)], "h1 long")
+    twice = every.where("h1 % 5 = 0")
+    assert {r.h1 for r in spans._sifted(every, twice, 64).collect()} >= {r.h1 for r in twice.collect()}
+    assert {r.h1 for r in spans._sifted(every, twice).collect()} == {r.h1 for r in twice.collect()}
+    assert spans._sifted(every, twice.limit(0)).count() == 0
 
 
 def test_scripts_without_blanks(spark):
