@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamella.operators.aggregate import histogram
+from lamella.operators.lineage import cut
 from lamella.operators.project import with_params
 
 #: The largest share of positive cells by marker, and for any other marker.
@@ -17,13 +19,13 @@ OTHER_MAX_SHARE = 0.90
 BIC_THRESHOLD = 6.0
 
 
-def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence[float], out: str = "_p", accuracy: int = 2000) -> DataFrame:
+def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence[float], out: str = "_p", accuracy: int = 2000, chosen: DataFrame | None = None) -> DataFrame:
     """Exact percentiles per group, between two values in proportion: (keys, ``out``), an array in the order of ``levels``.
 
     A first pass brackets each level by approximate percentiles, whose rank is off by one in ``accuracy`` at most and which
     are merged from small summaries. A second pass counts the values below and above a bracket, keeping the one next to
     it, and each value within it, about four in ``accuracy`` of a group: no task ever holds a group's values. Nulls and
-    NaN do not count.
+    NaN do not count. ``chosen(keys, j)`` asks only for its groups, and for one level of each, the ``j``-th.
     """
     keys = [*keys]
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
@@ -31,10 +33,13 @@ def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence
     ends = [p for level in levels for p in (max(0.0, level - margin), min(1.0, level + margin))]
     rough = rows.groupBy(*keys).agg(F.percentile_approx("_x", ends, accuracy).alias("_q"), F.count("*").alias("_n"))
     x, none = F.col("_x"), F.lit(None).cast("double")
-    end = lambda j: F.get("_q", F.lit(j))
+    end = lambda j: F.get("_q", j)
+    if chosen is not None:
+        rough = rough.join(chosen.select(*keys, "j"), keys)
     zone = lambda j: F.when(x < end(2 * j), 0).when(x <= end(2 * j + 1), 1).otherwise(2)
-    place = [F.struct(F.lit(j).alias("j"), zone(j).alias("zone"), F.when(zone(j) == 1, x).otherwise(none).alias("v")) for j in range(len(levels))]
-    placed = rows.join(rough, keys).select(*keys, "_n", "_x", F.explode(F.array(*place)).alias("_at"))
+    asked = [F.lit(j) for j in range(len(levels))] if chosen is None else [F.col("j")]
+    place = [F.struct(j.alias("j"), zone(j).alias("zone"), F.when(zone(j) == 1, x).otherwise(none).alias("v")) for j in asked]
+    placed = rows.join(rough, keys).select(*keys, "_n", "_x", (F.explode(F.array(*place)) if len(place) > 1 else place[0]).alias("_at"))
     counts = placed.groupBy(*keys, "_n", "_at.j", "_at.zone", "_at.v").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
     counts = counts.withColumn("v", F.when(F.col("zone") == 0, F.col("_most")).otherwise(F.col("_least")))
     upto = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,8 +123,6 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
     log-likelihood gains less than ``tolerance`` drop out. Each of ``starts`` splits the rows at that share of them; of
     the mixtures that they lead to, the likeliest is kept.
     """
-    from lamella.operators.lineage import cut
-
     groups = [*keys]
     base = df.select(*groups, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
     x = F.col("_x")
@@ -212,6 +215,14 @@ def choose_threshold(df: DataFrame, value: str, keys: Sequence[str], marker: str
     return limited.select(*keys, "n", value_of.alias("threshold"), kind.alias("thresh_type"))
 
 
+def _caps(df: DataFrame, value: str, keys: Sequence[str], shares: DataFrame, ceilings: Mapping[str, float]) -> DataFrame:
+    """(keys, _cap) for the groups of ``shares(keys, _share, _max)`` that exceed their ceiling: the percentile that meets it."""
+    levels = sorted({*ceilings.values(), OTHER_MAX_SHARE})
+    number = reduce(lambda place, i: F.when(F.col("_max") == levels[i], i).otherwise(place), range(len(levels)), F.lit(None).cast("int"))
+    chosen = shares.filter(F.col("_share") > F.col("_max")).select(*keys, number.alias("j"))
+    return percentiles(df, value, keys, [1 - c for c in levels], chosen=chosen).select(*keys, F.get("_p", F.lit(0)).alias("_cap"))
+
+
 def guard_threshold(df: DataFrame, thresholds: DataFrame, value: str, keys: Sequence[str], marker: str = "marker", ceilings: Mapping[str, float] = MARKER_MAX_SHARE) -> DataFrame:
     """Thresholds raised to the noise floor, and to a percentile where more cells than the ceiling would be positive.
 
@@ -219,13 +230,10 @@ def guard_threshold(df: DataFrame, thresholds: DataFrame, value: str, keys: Sequ
     """
     keys = [*keys]
     raised = with_params(thresholds.withColumn("_t", F.greatest("threshold", "floor")), ceilings, marker, "_max", OTHER_MAX_SHARE)
-    levels = sorted({*ceilings.values(), OTHER_MAX_SHARE})
     shares = df.join(raised.select(*keys, "_t"), keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_t")).cast("double")).alias("_share"))
-    joined = raised.join(shares, keys).join(percentiles(df, value, keys, [1 - c for c in levels]), keys)
-    cap = F.lit(None).cast("double")
-    for i, level in enumerate(levels):
-        cap = F.when(F.col("_max") == level, F.get("_p", F.lit(i))).otherwise(cap)
-    over = F.col("_share") > F.col("_max")
+    joined = cut(raised.join(shares, keys))
+    joined = joined.join(_caps(df, value, keys, joined, ceilings), keys, "left")
+    over, cap = F.col("_share") > F.col("_max"), F.col("_cap")
     fixed = F.when(over, cap).otherwise(F.col("_t"))
     kind = F.when(over, F.concat("thresh_type", F.lit("_ceiling_corrected"))).otherwise(F.col("thresh_type"))
     return joined.select(*keys, fixed.alias("threshold"), kind.alias("thresh_type"), "floor")
@@ -242,18 +250,15 @@ def consensus_threshold(cells: DataFrame, value: str = "mean", keys: Sequence[st
     if per_slice:
         reliable = reliable.select(*dict.fromkeys([*keys, *per_slice]), "threshold").distinct()
     agreed = reliable.groupBy(*keys).agg(F.median("threshold").alias("_agreed"))
-    joined = with_params(cells.join(agreed, keys, "left"), ceilings, marker, "_max", OTHER_MAX_SHARE)
-    levels = sorted({*ceilings.values(), OTHER_MAX_SHARE})
-    shares = joined.filter("_agreed IS NOT NULL").groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_agreed")).cast("double")).alias("_share"))
-    joined = joined.join(shares.join(percentiles(cells, value, keys, [1 - c for c in levels]), keys), keys, "left")
-    cap = F.lit(None).cast("double")
-    for i, level in enumerate(levels):
-        cap = F.when(F.col("_max") == level, F.get("_p", F.lit(i))).otherwise(cap)
-    over = F.coalesce(F.col("_share") > F.col("_max"), F.lit(False))
+    shares = cells.join(agreed, keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_agreed")).cast("double")).alias("_share"), F.first("_agreed").alias("_agreed"))
+    limits = cut(with_params(shares, ceilings, marker, "_max", OTHER_MAX_SHARE))
+    limits = limits.join(_caps(cells, value, keys, limits, ceilings), keys, "left")
+    joined = cells.join(limits, keys, "left")
+    over, cap = F.coalesce(F.col("_share") > F.col("_max"), F.lit(False)), F.col("_cap")
     new = F.when(F.col("_agreed").isNull(), F.col("threshold")).when(over, cap).otherwise(F.col("_agreed"))
     kind = F.when(over & ~F.contains(F.col("thresh_type"), F.lit("ceiling")), F.concat("thresh_type", F.lit("_consensus_ceiling"))).otherwise(F.col("thresh_type"))
     out = joined.withColumns({"thresh_raw": F.col("threshold"), "_new": new, "_kind": kind})
-    return out.withColumns({"threshold": F.col("_new"), "thresh_type": F.col("_kind"), "pos": (F.col(value) >= F.col("_new")).cast("int")}).drop("_new", "_kind", "_agreed", "_max", "_share", "_p")
+    return out.withColumns({"threshold": F.col("_new"), "thresh_type": F.col("_kind"), "pos": (F.col(value) >= F.col("_new")).cast("int")}).drop("_new", "_kind", "_agreed", "_max", "_share", "_cap")
 
 
 def percentile_stretch(df: DataFrame, value: str, keys: Sequence[str], low: float = 0.01, high: float = 0.99, scale: float = 255.0, among: Column | None = None, out: str = "stretched") -> DataFrame:

@@ -304,3 +304,14 @@ def test_descriptors_without_keys_and_in_small_blocks(spark):
     assert J.match_descriptors(frame(a), frame(b).limit(0)).count() == 0 and J.match_descriptors(frame(a).limit(0), frame(b)).count() == 0
     one = J.match_descriptors(frame(a), frame(b[:1])).collect()
     assert len(one) == 70 and all(r.d2 is None and not r.good for r in one)
+
+
+def test_percentiles_of_chosen_groups(spark):
+    rng = random.Random(12)
+    rows = [(g, rng.choice([rng.gauss(0, 1), 0.5])) for g in range(4) for _ in range(300 + g)] + [(9, None), (9, 2.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    levels = [0.02, 0.1, 0.5, 0.98]
+    every = {r.g: r["_p"] for r in T.percentiles(df, "v", ["g"], levels).collect()}
+    chosen = spark.createDataFrame([(0, 3), (2, 0), (9, 2), (77, 1)], "g int, j int")
+    some = {r.g: r["_p"] for r in T.percentiles(df, "v", ["g"], levels, chosen=chosen).collect()}
+    assert some == {0: [every[0][3]], 2: [every[2][0]], 9: [every[9][2]]}
