@@ -87,11 +87,17 @@ def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int | Mapping
 def assign_cell_ids(labels: DataFrame, keys: Sequence[str] = ("core",)) -> DataFrame:
     """Dense 3-D ids from 1 within each group, in the order of the smallest member; ``labels(keys, node, component)``.
 
-    Ranks run over the components of one group, a core's 3-D cells, not over all cells.
+    Components are dealt over tasks by ranges of (keys, smallest member) and numbered within their share; the shares before
+    are counted and added, so no task sorts a group. The shares are written down first: a second deal may differ.
     """
+    keys = [*keys]
     firsts = labels.groupBy(*keys, "component").agg(F.min("node").alias("_first"))
-    ranked = firsts.withColumn("cell_id_3d", F.row_number().over(Window.partitionBy(*keys).orderBy("_first")).cast("long"))
-    return labels.join(ranked.drop("_first"), [*keys, "component"]).select(*keys, "node", "component", "cell_id_3d")
+    dealt = cut(firsts.repartitionByRange(*keys, "_first").withColumn("_share", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_share").agg(F.count("*").alias("_n")).select(*keys, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_share").orderBy("_first")))
+    ranked = own.join(starts, [*keys, "_share"]).select(*keys, "component", (F.col("_before") + F.col("_r")).cast("long").alias("cell_id_3d"))
+    return labels.join(ranked, [*keys, "component"]).select(*keys, "node", "component", "cell_id_3d")
 
 
 def link_overlap_qc(links: DataFrame, areas: DataFrame, keys: Sequence[str] = ("core",), weak: float = 0.10) -> DataFrame:

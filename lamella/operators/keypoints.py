@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,19 +125,49 @@ def match_quality(matches: DataFrame, keys: Sequence[str] = ("image_id",), least
 def greedy_spatial_topk(points: DataFrame, k: int, min_dist: float, score: str, keys: Sequence[str] = ("image_id",), item: str = "kp_id") -> DataFrame:
     """Per image, the best point, then the next best at least ``min_dist`` from all accepted, up to ``k``; column pick from 1.
 
-    A round accepts one point in every image, a grouped minimum, and drops the points too near to it: ``k`` rounds in all,
-    and no image is gathered. Ties go to the smaller item; points without a score take no part.
+    A round accepts every open point that has no better open point within ``min_dist``, which are just those that the picks
+    one by one would come to, and drops the points too near to them. Tiles are so small that two points of a tile are too
+    near, so only a tile's best can be accepted: a round is an equi-join of the points with the bests of the 25 tiles
+    around them, however dense they lie. Rounds follow the longest chain of points that wait for each other and are never
+    more than ``k``, as the best open point of an image is always accepted and points worse than its ``k``-th are dropped.
+    Ties go to the smaller item, which is unique in its image; points without a finite score or place, an item or an image take
+    no part.
     """
-    rest, chosen = cut(points.filter(F.col(score).isNotNull())), None
-    for pick in range(1, k + 1):
-        best = rest.groupBy(*keys).agg(F.min_by(F.struct(*points.columns), F.struct(-F.col(score), F.col(item))).alias("_best"))
-        best = cut(best.select("_best.*").withColumn("pick", F.lit(pick)))
-        chosen = best if chosen is None else chosen.unionByName(best)
-        taken = best.select(*keys, F.col("x").alias("_u"), F.col("y").alias("_v"))
-        rest = cut(rest.join(taken, [*keys]).filter(F.hypot(F.col("x") - F.col("_u"), F.col("y") - F.col("_v")) >= min_dist).drop("_u", "_v"))
-        if pick == k or rest.isEmpty():
-            break
-    return chosen
+    if k < 1:
+        return points.limit(0).withColumn("pick", F.lit(1))
+    keys = [*keys]
+    given = reduce(and_, [F.col(c).isNotNull() for c in (*keys, item)] + [F.abs(F.col(c).cast("double")) < float("inf") for c in ("x", "y", score)])
+    usable = points.filter(given)
+    order = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
+    ranks = Window.partitionBy(*keys).orderBy(F.desc(score), item)
+    if min_dist <= 0:
+        return usable.withColumn("pick", F.row_number().over(ranks)).filter(F.col("pick") <= k)
+    # Half the distance: a tile's diagonal is below min_dist, and what is within min_dist lies two tiles away at most.
+    tile = [F.floor(F.col(c) / F.lit(min_dist / 2)).cast("long") for c in ("x", "y")]
+    placed = usable.select(F.struct(*points.columns).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"), order.alias("_o"), tile[0].alias("_u"), tile[1].alias("_v"))
+    group = [f"_k{i}" for i in range(len(keys))]
+    near = F.hypot(F.col("_x") - F.col("_bx"), F.col("_y") - F.col("_by")) < min_dist
+    steps = F.array(*[F.struct((F.col("_u") + i).alias("u"), (F.col("_v") + j).alias("v")) for i in range(-2, 3) for j in range(-2, 3)])
+
+    def around(bests: DataFrame) -> DataFrame:
+        spread = bests.select(*group, F.col("_x").alias("_bx"), F.col("_y").alias("_by"), F.col("_o").alias("_bo"), F.explode(steps).alias("_t"))
+        return spread.select(*group, F.col("_t.u").alias("_u"), F.col("_t.v").alias("_v"), "_bx", "_by", "_bo")
+
+    best_k = Window.partitionBy(*group).orderBy("_o")
+    rest, chosen = cut(placed), None
+    while not rest.isEmpty():
+        bests = cut(rest.groupBy(*group, "_u", "_v").agg(F.min_by(F.struct("_row", "_x", "_y", "_o"), "_o").alias("_b")).select(*group, "_u", "_v", "_b.*"))
+        waits = rest.join(around(bests), [*group, "_u", "_v"]).filter(near & (F.col("_o") < F.col("_bo")))
+        free = cut(bests.join(waits.select(*group, F.col("_bo").alias("_o")).distinct(), [*group, "_o"], "left_anti").select(*bests.columns))
+        found = free if chosen is None else chosen.unionByName(free)
+        chosen = cut(found.withColumn("_r", F.row_number().over(best_k)).filter(F.col("_r") <= k).drop("_r"))
+        full = chosen.groupBy(*group).agg(F.count("*").alias("_n"), F.max("_o").alias("_last")).filter(F.col("_n") == k).select(*group, "_last")
+        gone = rest.join(around(free), [*group, "_u", "_v"]).filter(near).select(*group, "_o").distinct()
+        open_ = rest.join(gone, [*group, "_o"], "left_anti").join(full, group, "left").filter("_last IS NULL OR _o < _last")
+        rest = cut(open_.select(*rest.columns))
+    if chosen is None:
+        return usable.limit(0).withColumn("pick", F.lit(1))
+    return chosen.select("_row.*").withColumn("pick", F.row_number().over(ranks))
 
 
 def uniqueness(vectors: DataFrame, keys: Sequence[str] = ("image_id",), item: str = "kp_id", vector: str = "embedding") -> DataFrame:

@@ -248,18 +248,90 @@ def interaction_scores(null: DataFrame) -> DataFrame:
     return null.select(*[c for c in null.columns if c not in ("sum", "sum_sq", "n_ge", "n_perm")], F.bround(mean, 4).alias("null_mean"), F.bround(std, 4).alias("null_std"), F.bround(z, 4).alias("z_score"), F.bround(p, 4).alias("p_value"))
 
 
-def interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, n_perm: int = 1000, min_cells: int = 10, keys: Sequence[str] = ("core",), seed: int = 42, item: str = "cell_id") -> DataFrame:
-    """Scores of every ordered pair of types with enough cells, in groups with two such types or more."""
+def _falling(count: Column, k: int) -> Column:
+    """count * (count - 1) * ... over ``k`` factors, in doubles; 0 where there are fewer than ``k``."""
+    out = F.lit(1.0)
+    for i in range(k):
+        out = out * F.greatest(count - i, F.lit(0)).cast("double")
+    return out
+
+
+def _chance(n: Column, *asked: tuple[Column, int]) -> Column:
+    """Probability that ``sum(k)`` given places, dealt from ``n`` cells, bear types of the given counts, ``k`` places each."""
+    top, places = F.lit(1.0), sum(k for _, k in asked)
+    for count, k in asked:
+        top = top * _falling(count, k)
+    bottom = _falling(n, places)
+    return F.when(bottom > 0, top / bottom).otherwise(0.0)
+
+
+def exact_null(cells: DataFrame, graph: DataFrame, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
+    """Exact mean and deviation of interactions over all permutations of types on a fixed graph; no permutation is drawn.
+
+    ``graph(keys, src, dst)`` has distinct directed edges without loops. The square of a pair's count is a sum over ordered
+    pairs of edges, and the chance of such a pair hangs on what its edges share: both ends in order, both ends reversed, a
+    source, a target, a chain through one cell, or nothing. How many there are of each follows from the degrees, so the
+    work is one count per cell. Each chance is taken less the squared mean chance, which keeps the variance of large
+    graphs from cancelling out.
+    """
+    seen = observed_interactions(cells, graph, keys, item)
+    two = graph.select(*keys, F.col("src").alias("_c"), F.lit(1).alias("_o"), F.lit(0).alias("_i")).unionByName(graph.select(*keys, F.col("dst").alias("_c"), F.lit(0).alias("_o"), F.lit(1).alias("_i")))
+    degrees = two.groupBy(*keys, "_c").agg(F.sum("_o").cast("double").alias("_o"), F.sum("_i").cast("double").alias("_i"))
+    shared = degrees.groupBy(*keys).agg(F.sum("_o").alias("_m"), F.sum(F.col("_o") * (F.col("_o") - 1)).alias("_fan_out"), F.sum(F.col("_i") * (F.col("_i") - 1)).alias("_fan_in"), F.sum(F.col("_o") * F.col("_i")).alias("_through"))
+    ends = graph.groupBy(*keys, F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(F.count("*").alias("_k"))
+    back = ends.filter("_k = 2").groupBy(*keys).agg((F.count("*") * 2).cast("double").alias("_back"))
+    sizes = cells.groupBy(*keys).agg(F.count("*").alias("_n"))
+    kinds = cells.groupBy(*keys, F.col("cell_type").alias("tgt_type")).agg(F.count("*").alias("_nt"))
+    joined = seen.join(kinds, [*keys, "tgt_type"]).join(sizes, [*keys]).join(shared, [*keys], "left").join(back, [*keys], "left")
+    joined = joined.fillna(0.0, ["_m", "_fan_out", "_fan_in", "_through", "_back"])
+    n, s, t, m = F.col("_n"), F.col("n_src"), F.col("_nt"), F.col("_m")
+    same = F.col("src_type") == F.col("tgt_type")
+    pick = lambda alike, apart: F.when(same, alike).otherwise(apart)
+    one = pick(_chance(n, (s, 2)), _chance(n, (s, 1), (t, 1)))
+    three = _chance(n, (s, 3))
+    chain = F.col("_through") - F.col("_back")
+    apart = m * m - m - F.col("_back") - F.col("_fan_out") - F.col("_fan_in") - chain * 2
+    terms = [
+        (m, one),
+        (F.col("_back"), pick(one, F.lit(0.0))),
+        (F.col("_fan_out"), pick(three, _chance(n, (s, 1), (t, 2)))),
+        (F.col("_fan_in"), pick(three, _chance(n, (s, 2), (t, 1)))),
+        (chain * 2, pick(three, F.lit(0.0))),
+        (apart, pick(_chance(n, (s, 4)), _chance(n, (s, 2), (t, 2)))),
+    ]
+    variance = sum((count * (chance - one * one) for count, chance in terms), F.lit(0.0))
+    out = joined.withColumn("null_mean", m * one / s).withColumn("null_std", F.sqrt(F.greatest(variance, F.lit(0.0))) / s)
+    z = F.when(F.col("null_std") > 1e-6, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).otherwise(0.0)
+    return out.select(*keys, "src_type", "tgt_type", "observed", "null_mean", "null_std", z.alias("z_score"))
+
+
+def _usable(cells: DataFrame, dims: Sequence[str], min_cells: int, keys: Sequence[str], item: str) -> DataFrame:
+    """Cells of types with enough cells, in groups with two such types or more."""
     counts = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_cells)
     groups = counts.groupBy(*keys).agg(F.count("*").alias("_k")).filter("_k >= 2").select(*keys)
-    usable = cut(cells.join(counts.drop("_n"), [*keys, "cell_type"], "left_semi").join(groups, [*keys], "left_semi").select(*keys, item, "cell_type", *dims))
+    return cut(cells.join(counts.drop("_n"), [*keys, "cell_type"], "left_semi").join(groups, [*keys], "left_semi").select(*keys, item, "cell_type", *dims))
+
+
+def exact_interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, min_cells: int = 10, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
+    """As ``interactions``, with the exact mean and deviation in place of drawn permutations, and no p-value."""
+    usable = _usable(cells, dims, min_cells, keys, item)
+    return exact_null(usable, cut(radius_graph(usable, radius, dims, keys, item)), keys, item)
+
+
+def interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, n_perm: int = 1000, min_cells: int = 10, keys: Sequence[str] = ("core",), seed: int = 42, item: str = "cell_id") -> DataFrame:
+    """Scores of every ordered pair of types with enough cells, in groups with two such types or more."""
+    usable = _usable(cells, dims, min_cells, keys, item)
     graph = cut(radius_graph(usable, radius, dims, keys, item))
     return interaction_scores(permutation_null(usable, graph, n_perm, seed, keys, item, dims))
 
 
 def interactions_2d(cells: DataFrame, dims: Sequence[str] = ("x_um", "y_um"), keys: Sequence[str] = ("core",), slice_key: str = "slice_id", **options) -> DataFrame:
     """Scores in each slice, then over slices: mean and deviation of z, mean observed, slices."""
-    per = interactions(cells, dims, keys=[*keys, slice_key], **options)
+    return over_slices(interactions(cells, dims, keys=[*keys, slice_key], **options), keys, slice_key)
+
+
+def over_slices(per: DataFrame, keys: Sequence[str] = ("core",), slice_key: str = "slice_id") -> DataFrame:
+    """Mean and deviation of z over slices, mean observed and the number of slices, for scores of one slice each."""
     return per.groupBy(*keys, "src_type", "tgt_type").agg(F.avg("z_score").alias("mean_z"), F.stddev_samp("z_score").alias("std_z"), F.avg("observed").alias("mean_observed"), F.countDistinct(slice_key).alias("n_slices"))
 
 

@@ -75,6 +75,55 @@ def x6_proximity_to(d):
     return S.proximity_to(S.interactions(d.fx_cells, ["cx", "cy"]), "error")
 
 
+def _exact(keys: str, far: str) -> str:
+    """Mean and deviation over all permutations of types on a symmetric graph within 50 um, from the sums of degrees."""
+    alike, pair, three, four = "ta = tb", "{} / (n * (n - 1))", "{} / (n * (n - 1) * (n - 2))", "{} / (n * (n - 1) * (n - 2) * (n - 3))"
+    case = lambda a, b: f"CASE WHEN {alike} THEN {a} ELSE {b} END"
+    return f"""enough AS (SELECT {keys}, cell_type FROM fx_cells GROUP BY ALL HAVING count(*) >= 10), several AS (SELECT {keys} FROM enough GROUP BY ALL HAVING count(*) >= 2),
+us AS (SELECT {keys}, cell_id, cell_type, cx, cy, slice_id * 4.5::DOUBLE AS cz FROM fx_cells JOIN enough USING ({keys}, cell_type) JOIN several USING ({keys})),
+near AS (SELECT {", ".join(f"a.{k.strip()} AS {k.strip()}" for k in keys.split(","))}, a.cell_id AS src, a.cell_type AS ta, b.cell_type AS tb FROM us a JOIN us b ON {" AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))} AND a.cell_id <> b.cell_id WHERE (a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2{far} <= 2500),
+deg AS (SELECT {keys}, src, count(*)::DOUBLE AS d FROM near GROUP BY ALL), tot AS (SELECT {keys}, sum(d) AS m, sum(d * (d - 1)) AS fan FROM deg GROUP BY ALL),
+kinds AS (SELECT {keys}, cell_type, count(*)::DOUBLE AS k FROM us GROUP BY ALL), size AS (SELECT {keys}, count(*)::DOUBLE AS n FROM us GROUP BY ALL), hits AS (SELECT {keys}, ta, tb, count(*) AS c FROM near GROUP BY ALL),
+grid AS (SELECT {", ".join(f"a.{k.strip()} AS {k.strip()}" for k in keys.split(","))}, a.cell_type AS ta, b.cell_type AS tb, a.k AS s, b.k AS t FROM kinds a JOIN kinds b ON {" AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))}),
+raw AS (SELECT {keys}, ta, tb, s, coalesce(c, 0) / s AS observed, coalesce(m, 0) AS m,
+  {case(pair.format("s * (s - 1)"), pair.format("s * t"))} AS p2,
+  coalesce({case(f"2 * m * {pair.format('s * (s - 1)')}", f"m * {pair.format('s * t')}")}
+    + {case(f"4 * fan * {three.format('s * (s - 1) * (s - 2)')}", f"fan * ({three.format('s * t * (t - 1)')} + {three.format('s * (s - 1) * t')})")}
+    + (m * m - 2 * m - 4 * fan) * {case(four.format("s * (s - 1) * (s - 2) * (s - 3)"), four.format("s * (s - 1) * t * (t - 1)"))}, 0) AS second
+  FROM grid JOIN size USING ({keys}) LEFT JOIN tot USING ({keys}) LEFT JOIN hits USING ({keys}, ta, tb)),
+moments AS (SELECT {keys}, ta AS src_type, tb AS tgt_type, observed, m * p2 / s AS null_mean, sqrt(greatest(second - (m * p2) ** 2, 0)) / s AS sd FROM raw),
+scores AS (SELECT {keys}, src_type, tgt_type, observed, null_mean, sd AS null_std, CASE WHEN sd > 1e-6 THEN (observed - null_mean) / sd ELSE 0 END AS z FROM moments)"""
+
+
+ROUNDED = "round(observed, 6) AS observed, round(null_mean, 5) AS null_mean, round(null_std, 4) AS null_std, round(z, 4) AS z_score"
+
+
+def rounded(out):
+    return out.withColumns({c: F.round(c, n) for c, n in (("observed", 6), ("null_mean", 5), ("null_std", 4), ("z_score", 4))})
+
+
+@query(f"WITH {_exact('core', '')} SELECT core, src_type, tgt_type, {ROUNDED} FROM scores")
+def x2_exact_null(d):
+    """Scores per core from the exact mean and deviation of the permutations."""
+    return rounded(S.exact_interactions(d.fx_cells, ["cx", "cy"]))
+
+
+@query(f"WITH {_exact('core, slice_id', '')} SELECT core, src_type, tgt_type, round(avg(z), 4) AS mean_z, round(stddev_samp(z), 4) AS std_z, round(avg(observed), 6) AS mean_observed, count(DISTINCT slice_id) AS n_slices FROM scores GROUP BY ALL")
+def x4_exact_2d(d):
+    out = S.over_slices(S.exact_interactions(d.fx_cells, ["cx", "cy"], keys=SLICE))
+    return out.withColumns({c: F.round(c, n) for c, n in (("mean_z", 4), ("std_z", 4), ("mean_observed", 6))})
+
+
+@query(f"WITH {_exact('core', ' + (a.cz - b.cz) ** 2')} SELECT core, src_type, tgt_type, {ROUNDED} FROM scores")
+def x5_exact_3d(d):
+    return rounded(S.exact_interactions(d.fx_cells.withColumn("cz", F.col("slice_id") * 4.5), ["cx", "cy", "cz"]))
+
+
+@query(f"WITH {_exact('core', '')} SELECT core, src_type, {ROUNDED} FROM scores WHERE tgt_type = 'error'")
+def x6_exact_proximity(d):
+    return rounded(S.proximity_to(S.exact_interactions(d.fx_cells, ["cx", "cy"]), "error"))
+
+
 def hulls(d):
     return A.hull_measure(d.fx_cells, ["cx", "cy"], SLICE, "area")
 
