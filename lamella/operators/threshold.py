@@ -116,11 +116,11 @@ STARTS = (0.5, 0.25, 0.75, 0.1, 0.9)
 
 
 def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6, starts: Sequence[float] = STARTS) -> DataFrame:
-    """One- and two-component normal mixtures per group by EM: w1, mu1, v1, w2, mu2, v2, bic1, bic2, n, rounds.
+    """One- and two-component normal mixtures per group by EM: w1, mu1, v1, w2, mu2, v2, bic1, bic2, n, rounds, converged.
 
     All groups are fitted together: a step is column arithmetic on the rows joined with their group's parameters and one
     grouped sum; rows never leave their group's partition as the parameters come to them. Groups whose mean
-    log-likelihood gains less than ``tolerance`` drop out. Each of ``starts`` splits the rows at that share of them; of
+    log-likelihood gains less than ``tolerance`` drop out; ``converged`` is false for those that ``rounds`` end before. Each of ``starts`` splits the rows at that share of them; of
     the mixtures that they lead to, the likeliest is kept.
     """
     groups = [*keys]
@@ -164,7 +164,8 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
             F.col("_ll").alias("ll"), (F.col("rounds") + 1).alias("rounds"), done.alias("done"),
         )
         params = cut(params.filter("done").unionByName(moved))
-    named = [c for c in params.columns if c not in (*keys, "done")]
+    params = params.withColumnRenamed("done", "converged")
+    named = [c for c in params.columns if c not in keys]
     best = params.groupBy(*groups).agg(F.max_by(F.struct(*named), F.struct(F.round("ll", 9), -F.col("_start"))).alias("_best")).select(*groups, "_best.*")
     return best.withColumn("bic2", -2 * F.col("ll") * F.col("n") + 5 * F.log("n"))
 

@@ -56,11 +56,33 @@ def t3_mad_floor(d):
     return T.mad_floor(d.fx_markers, "mean", KEYS).select(*KEYS, F.round("floor", 6).alias("floor"))
 
 
-@query()
+def _density(weight: str, mu: str, var: str) -> str:
+    return f"(ln(greatest({weight}, 1e-300::DOUBLE)) - 0.5::DOUBLE * (ln(2 * pi() * {var}) + (x - {mu}) ** 2 / {var}))"
+
+
+#: Expectation and maximisation of all groups and starts as a recursion: a row of the recursion is a group's mixture after a round.
+MIXTURES = f"""RECURSIVE xs AS MATERIALIZED (SELECT core, marker, mean::DOUBLE AS x FROM fx_markers WHERE mean IS NOT NULL),
+whole AS (SELECT core, marker, count(*) AS n, avg(x) AS m, greatest(var_pop(x), 1e-6::DOUBLE) AS v, quantile_cont(x, [0.5::DOUBLE, 0.25::DOUBLE, 0.75::DOUBLE, 0.1::DOUBLE, 0.9::DOUBLE]) AS h FROM xs GROUP BY 1, 2),
+starts AS (SELECT *, h[i] AS half FROM (SELECT *, unnest(range(1, 6)) AS i FROM whole)),
+halves AS (SELECT core, marker, i, any_value(n) AS n, any_value(m) AS m, any_value(v) AS v, avg(x) FILTER (x <= half) AS low, avg(x) FILTER (x > half) AS high, avg((x <= half)::INTEGER::DOUBLE) AS w FROM xs JOIN starts USING (core, marker) GROUP BY 1, 2, 3),
+em AS (SELECT core, marker, i, n, w AS w1, coalesce(low, m) AS mu1, v AS v1, 1 - w AS w2, coalesce(high, m) AS mu2, v AS v2, NULL::DOUBLE AS ll, 0 AS rounds, false AS done FROM halves
+  UNION ALL SELECT core, marker, i, n, s1 / n, mu1 + a1 / s1, greatest(q1 / s1 - (a1 / s1) ** 2, 1e-6::DOUBLE), s2 / n, mu2 + a2 / s2, greatest(q2 / s2 - (a2 / s2) ** 2, 1e-6::DOUBLE), new, rounds + 1, coalesce(abs(new - old) < 1e-3::DOUBLE, false)
+  FROM (SELECT core, marker, i, n, mu1, mu2, rounds, ll AS old, avg(mix) AS new, greatest(sum(r), 1e-12::DOUBLE) AS s1, greatest(sum(1 - r), 1e-12::DOUBLE) AS s2, sum(r * (x - mu1)) AS a1, sum((1 - r) * (x - mu2)) AS a2,
+      sum(r * (x - mu1) ** 2) AS q1, sum((1 - r) * (x - mu2) ** 2) AS q2
+    FROM (SELECT *, exp(l1 - mix) AS r FROM (SELECT *, greatest(l1, l2) + ln(exp(l1 - greatest(l1, l2)) + exp(l2 - greatest(l1, l2))) AS mix
+      FROM (SELECT e.*, x, {_density("w1", "mu1", "v1")} AS l1, {_density("w2", "mu2", "v2")} AS l2 FROM em e JOIN xs USING (core, marker) WHERE NOT done AND rounds < 100)))
+    GROUP BY core, marker, i, n, mu1, mu2, rounds, ll)),
+ended AS (SELECT *, row_number() OVER (PARTITION BY core, marker, i ORDER BY rounds DESC) AS last FROM em),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY core, marker ORDER BY round(ll, 9) DESC, i) AS place FROM ended WHERE last = 1),
+gmm AS (SELECT core, marker, r.n AS n, rounds, done AS converged, w1, mu1, v1, w2, mu2, v2, w.n * (ln(2 * pi() * v) + 1) + 2 * ln(w.n) AS bic1, -2 * ll * r.n + 5 * ln(r.n) AS bic2 FROM ranked r JOIN whole w USING (core, marker) WHERE place = 1)"""
+NAMES = ("w1", "mu1", "v1", "w2", "mu2", "v2", "bic1", "bic2")
+
+
+@query(f"WITH {MIXTURES} SELECT core, marker, n, rounds, converged, {', '.join(f'round({c}, 4) AS {c}' for c in NAMES)} FROM gmm")
 def t4_gmm_1d(d):
-    """Mixtures of all cores and markers; an iterative fit has no SQL form."""
+    """Mixtures of all cores and markers."""
     out = T.gmm_1d(d.fx_markers, "mean", ["core", "marker"])
-    return out.select("core", "marker", "n", "rounds", *[F.round(c, 4).alias(c) for c in ("w1", "mu1", "v1", "w2", "mu2", "v2", "bic1", "bic2")])
+    return out.select("core", "marker", "n", "rounds", "converged", *[F.round(c, 4).alias(c) for c in NAMES])
 
 
 MIXES = "mixes AS (SELECT core, slice_z, 0.3::DOUBLE + (slice_z % 5) / 20.0::DOUBLE AS w1, 1.0::DOUBLE AS mu1, 0.5::DOUBLE AS v1, 0.7::DOUBLE - (slice_z % 5) / 20.0::DOUBLE AS w2, 3.0::DOUBLE + core / 10.0::DOUBLE AS mu2, 0.5::DOUBLE AS v2 FROM (SELECT DISTINCT core, slice_z FROM fx_regstats))"
@@ -75,9 +97,19 @@ def t5_gmm_cut(d):
     return T.gmm_cut(mixes).select("core", "slice_z", F.round("cut", 6).alias("cut"))
 
 
-@query()
+#: The same texts for a core's markers, all sections together.
+OTSU_CORE = OTSU.replace("core, slice_id, marker", "core, marker").replace("GROUP BY 1, 2, 3, 4", "GROUP BY ALL").replace("GROUP BY 1, 2, 3", "GROUP BY ALL")
+CHOSEN = f"""{MIXTURES}, {OTSU_CORE}, sides AS (SELECT *, least(mu1, mu2) AS m, greatest(mu1, mu2) AS p, CASE WHEN mu1 <= mu2 THEN v1 ELSE v2 END AS vm, CASE WHEN mu1 <= mu2 THEN v2 ELSE v1 END AS vp, CASE WHEN mu1 <= mu2 THEN w1 ELSE w2 END AS wm, CASE WHEN mu1 <= mu2 THEN w2 ELSE w1 END AS wp FROM gmm),
+curve AS (SELECT *, 0.5::DOUBLE / vp - 0.5::DOUBLE / vm AS qa, m / vm - p / vp AS qb, p * p / (2 * vp) - m * m / (2 * vm) + ln(wm * sqrt(vp) / (wp * sqrt(vm))) AS qc FROM sides),
+root AS (SELECT *, CASE WHEN abs(qa) >= 1e-12 AND qb * qb >= 4 * qa * qc THEN (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) END AS r1, CASE WHEN abs(qa) >= 1e-12 AND qb * qb >= 4 * qa * qc THEN (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) END AS r2, CASE WHEN abs(qa) < 1e-12 THEN -qc / qb END AS r3 FROM curve),
+cuts AS (SELECT core, marker, bic1 - bic2 AS gain, coalesce(CASE WHEN r1 BETWEEN m AND p THEN r1 END, CASE WHEN r2 BETWEEN m AND p THEN r2 END, CASE WHEN r3 BETWEEN m AND p THEN r3 END, (m + p) / 2) AS cut FROM root),
+basics AS (SELECT core, marker, count(mean) AS n, min(mean) AS least, max(mean) AS most, median(mean) AS med, quantile_cont(mean, 0.9::DOUBLE) AS p90, avg((mean >= threshold)::INTEGER) AS share, any_value(threshold) AS otsu, {CEIL} AS ceil FROM fx_markers JOIN otsu USING (core, marker) GROUP BY core, marker),
+kinds AS (SELECT *, CASE WHEN n < 4 THEN 'sparse' WHEN most - least <= 1e-8 + 1e-5 * abs(most) THEN 'uniform' WHEN gain IS NULL OR isnan(gain) THEN 'otsu_fallback' WHEN gain > 6 THEN 'gmm_bimodal' WHEN share > ceil THEN 'high_pct_fallback' ELSE 'otsu_unimodal' END AS thresh_type FROM basics LEFT JOIN cuts USING (core, marker))"""
+
+
+@query(f"WITH {CHOSEN} SELECT core, marker, n, round(CASE thresh_type WHEN 'sparse' THEN med WHEN 'uniform' THEN most WHEN 'gmm_bimodal' THEN cut WHEN 'high_pct_fallback' THEN p90 ELSE otsu END, 4) AS threshold, thresh_type FROM kinds")
 def t6_choose_threshold(d):
-    """Thresholds and their types per core and marker; rests on the iterative mixture."""
+    """Thresholds and their types per core and marker."""
     out = T.choose_threshold(d.fx_markers, "mean", ["core", "marker"])
     return out.select("core", "marker", "n", F.round("threshold", 4).alias("threshold"), "thresh_type")
 

@@ -1,5 +1,6 @@
 """Behaviour that derived tables do not reach: micro tables and properties of iterative operators."""
 
+import itertools
 import math
 import random
 
@@ -233,6 +234,78 @@ def test_greedy_spacing_and_anms(spark):
     assert len(kept) == 20 and any(r.radius_sq is None for r in kept)
 
 
+def one_by_one(points, k, least):
+    """Greedy picks of one image, one after the other."""
+    taken = []
+    for p in sorted(points, key=lambda p: (-p[4], p[1])):
+        if len(taken) < k and all(math.hypot(p[2] - q[2], p[3] - q[3]) >= least for q in taken):
+            taken.append(p)
+    return [(p[0], p[1], i + 1) for i, p in enumerate(taken)]
+
+
+def test_greedy_picks_equal_picks_one_by_one(spark):
+    rng = random.Random(11)
+    spread = [(0, i, rng.random() * 2000, rng.random() * 2000, float(rng.randrange(40))) for i in range(1500)]
+    heap = [(1, i, 5 + rng.random(), 5 + rng.random(), rng.random()) for i in range(900)] + [(1, 900 + i, 10.0 * i, 5.0, 2.0) for i in range(30)]
+    line = [(2, i, 6.0 * i, -3.0 * i, 100.0 - i) for i in range(60)]
+    df = spark.createDataFrame(spread + heap + line, "image_id int, kp_id int, x double, y double, response double")
+    for k, least in ((1000, 10.0), (7, 150.0), (25, 0.0)):
+        got = sorted((r.image_id, r.kp_id, r.pick) for r in K.greedy_spatial_topk(df, k, least, "response").collect())
+        assert got == sorted(one_by_one(spread, k, least) + one_by_one(heap, k, least) + one_by_one(line, k, least))
+
+
+def test_greedy_picks_of_odd_rows(spark):
+    rows = [(0, 1, 1.0, 1.0, None), (0, 2, None, 1.0, 5.0), (None, 3, 1.0, 1.0, 5.0), (0, 4, float("nan"), 1.0, 9.0), (0, 5, float("inf"), 1.0, 9.0), (0, 6, 1.0, 1.0, 3.0), (0, 7, 1.0, 1.0, 3.0), (0, 8, -400.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "image_id int, kp_id int, x double, y double, response double")
+    assert sorted((r.kp_id, r.pick) for r in K.greedy_spatial_topk(df, 5, 10.0, "response").collect()) == [(6, 1), (8, 2)]
+    empty = K.greedy_spatial_topk(df.limit(0), 5, 10.0, "response")
+    assert empty.columns == [*df.columns, "pick"] and not empty.collect()
+
+
+def test_dense_ids_run_through_a_group(spark):
+    rng = random.Random(3)
+    rows = [(c, n, n // 3) for c in range(3) for n in range(700 if c else 2000)]
+    rng.shuffle(rows)
+    labels = spark.createDataFrame(rows, "core int, node long, component long").repartition(7)
+    got = G.assign_cell_ids(labels).collect()
+    assert len(got) == len(rows) and all(r.cell_id_3d == r.component + 1 for r in got)
+
+
+def test_exact_moments_equal_all_permutations(spark):
+    kinds, lines = "AABBC", [(0, 1), (1, 0), (1, 2), (3, 1), (4, 2), (2, 4), (0, 4)]
+    cells = spark.createDataFrame([(0, i, k) for i, k in enumerate(kinds)] + [(1, 0, "A"), (1, 1, "B")], "core int, cell_id long, cell_type string")
+    graph = spark.createDataFrame([(0, a, b) for a, b in lines], "core int, src long, dst long")
+    got = {(r.core, r.src_type, r.tgt_type): r for r in S.exact_null(cells, graph).collect()}
+    drawn = list(itertools.permutations(kinds))
+    for s in "ABC":
+        for t in "ABC":
+            values = [sum(p[a] == s and p[b] == t for a, b in lines) / kinds.count(s) for p in drawn]
+            assert got[0, s, t].null_mean == pytest.approx(np.mean(values)) and got[0, s, t].null_std == pytest.approx(np.std(values), abs=1e-7)
+    assert len(got) == 13 and all(got[1, s, t].null_std == 0 and got[1, s, t].z_score == 0 for s in "AB" for t in "AB")
+
+
+def test_drawn_scores_agree_with_exact_ones(spark):
+    """The library's path from cells to scores in two and three dimensions, within four standard errors and the rounding."""
+    rng = random.Random(9)
+    rows = [(c, i % 3, i, rng.choice("ABCD"), rng.random() * 200, rng.random() * 200) for c in range(2) for i in range(260)]
+    cells = spark.createDataFrame(rows, "core int, slice_id int, cell_id long, cell_type string, x double, y double").withColumn("z", F.col("slice_id") * 4.5)
+    for dims in (["x", "y"], ["x", "y", "z"]):
+        want = {(r.core, r.src_type, r.tgt_type): r for r in S.exact_interactions(cells, dims, 20.0).collect()}
+        got = S.interactions(cells, dims, 20.0, 400).collect()
+        assert len(got) == len(want) == 32
+        for r in got:
+            w = want[r.core, r.src_type, r.tgt_type]
+            assert abs(r.null_mean - w.null_mean) < 4.5 * w.null_std / 20 + 1e-4 and abs(r.null_std / w.null_std - 1) < 0.2 and r.observed == w.observed
+
+
+def test_mixtures_say_whether_they_converged(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([("m", rng.gauss(0, 1) if i % 2 else rng.gauss(6, 1)) for i in range(400)], "marker string, v double")
+    assert [r.converged for r in T.gmm_1d(df, "v", ["marker"], rounds=1).collect()] == [False]
+    assert [r.converged for r in T.gmm_1d(df, "v", ["marker"]).collect()] == [True]
+
+
+
 def test_slice_filters_and_keeping(spark):
     df = spark.createDataFrame([("a", "1-3"), ("b", "0-1, 7"), ("c", "5"), ("d", " ")], "core string, ranges string")
     got = sorted(tuple(r) for r in catalog.expand_slice_filter(df).collect())
