@@ -216,16 +216,17 @@ def without_repeated_lines(docs: DataFrame, least_words: int = 1, edit_words: in
     spacing do not count. "Earlier" looks at all lines, those that go included, so the outcome does not depend on any
     order of work. Other lines stay as they are, and a document stays even if no line does. Null texts stay null, with 0
     lines. Null ids come first in order. Rows that share a doc_id are judged by their own texts; repeated rows, equal in
-    id and text, are one occurrence and stay alike. Other columns pass through; an empty table gives an empty result.
+    id and text, are one occurrence and stay alike. Other columns pass through, but columns n_lines and n_removed of
+    ``docs`` are replaced; an empty table gives an empty result.
     """
     gone = repeated_lines(docs, least_words, edit_words, edit_chars)
     gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     match = F.col("own.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
-    joined = docs.select(F.struct(*names).alias("own"), "text").join(gone.hint("shuffle_hash"), match, "left")
+    joined = docs.select(F.struct(*[f"`{c}`" for c in names if c != "text"]).alias("own"), "text").join(gone.hint("shuffle_hash"), match, "left")
     lines = F.split("text", "\n", -1)
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
     absent = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter(numbered, lambda x: ~F.array_contains(absent, x["i"]))
     out = joined.select("own", F.when(F.size(absent) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size(absent).alias("n_removed"))
-    return out.select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_lines", "n_removed")
+    return out.select(*[f"own.`{c}`" if c != "text" else "text" for c in names], "n_lines", "n_removed")

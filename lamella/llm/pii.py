@@ -307,11 +307,13 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     its spelling, different values get different ones, and none is a value that the corpus has. Digits, letters, case,
     script, punctuation, check digits, the first digit of a card, country codes, a trunk 0, private networks, top-level
     domains, titles and gender are kept. The text between entities is untouched. Null texts stay null; repeated rows stay
-    alike; ids may be null or repeat; other columns pass through; an empty table gives an empty result.
+    alike; ids may be null or repeat; other columns pass through, but a column n_entities of ``docs`` is replaced; an empty
+    table gives an empty result.
     """
     if not key:
         raise ValueError("a secret key is needed")
-    names = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c.lower() != "n_entities"]
+    names = [f"`{c}`" for c in kept if c != "text"]
     whole = docs.select(F.struct(*names).alias("own") if names else F.struct(F.lit(0)).alias("own"), "text")
     key_of = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text"))
     suspect = whole.where(hinted(F.col("text"))).select("own", "text", key_of.alias("k"))
@@ -331,4 +333,4 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     bare = F.when(named, F.aggregate(F.transform(pieces, lambda p: F.size(mentions(p))), F.lit(0), lambda a, n: a + n)).otherwise(0)
     count = F.when(F.col("s").isNull(), 0).otherwise(F.size(F.filter("s", lambda e: e["swapped"])) + bare)
     clean = whole.where(~hinted(F.col("text"))).select("own", "text", F.lit(0).alias("n_entities"))
-    return clean.unionByName(dirty.select("own", text.alias("text"), count.alias("n_entities"))).select(*[f"own.{c}" if c != "text" else "text" for c in docs.columns], "n_entities")
+    return clean.unionByName(dirty.select("own", text.alias("text"), count.alias("n_entities"))).select(*[f"own.`{c}`" if c != "text" else "text" for c in kept], "n_entities")

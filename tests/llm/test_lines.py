@@ -114,3 +114,12 @@ def test_very_long_lines(spark):
     docs = [(1, word), (2, word[:-1] + "c"), (3, "w " * 30000), (4, "w " * 29999 + "v")]
     got = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_own_columns_of_the_results_names_are_replaced(spark):
+    docs = [(1, "one two three\nfour five", 9, 8, "x", 1), (2, "One  two three\nsix", 9, 8, "y", 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_removed long, N_Lines long, `a.b` string, gone int")
+    out = lines.without_repeated_lines(df)
+    assert out.columns == ["doc_id", "text", "a.b", "gone", "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, docs[0][1], "x", 1, 2, 0), (2, "six", "y", 2, 2, 1)]
+    assert {r.doc_id: r.n_removed for r in lines.without_repeated_lines(out.drop("a.b")).select("doc_id", "n_removed").collect()} == {1: 0, 2: 0}

@@ -175,3 +175,11 @@ def test_planted_entities_of_every_type(spark):
         assert all(r.text.startswith("some words stand before ") and r.text.endswith(" and others after it") for r in own)
     other = pii.with_surrogates(df, "another key").orderBy("doc_id").collect()
     assert sum(a.text == b.text for a, b in zip(rows, other)) < 0.02 * len(rows)
+
+
+def test_an_own_column_n_entities_is_replaced(spark):
+    df = spark.createDataFrame([(1, "write to ann@example.com", 7, 3), (2, "nothing here", 7, 4)], "doc_id long, text string, n_entities long, `a.b` int")
+    out = pii.with_surrogates(df, "k")
+    assert out.columns == ["doc_id", "text", "a.b", "n_entities"]
+    rows = sorted(map(tuple, out.collect()))
+    assert [(r[0], r[2], r[3]) for r in rows] == [(1, 3, 1), (2, 4, 0)] and "ann@example.com" not in rows[0][1] and rows[1][1] == "nothing here"
