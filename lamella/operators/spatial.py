@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +35,166 @@ def _around(dims: Sequence[str], size: Column | float) -> Column:
     return F.array(*steps)
 
 
+#: Cells of a block; blocks of neighbouring tiles meet as arrays, two at a time.
+BLOCK = 2048
+#: Tiles are widened while they hold fewer cells than this on average, so that sparse cells do not meet one by one.
+FILLED = 64
+
+
+def _farthest(radius: float) -> float:
+    """The largest square of a distance that is within ``radius``: its root, rounded, is at most ``radius``."""
+    most = float(radius) ** 2
+    while math.sqrt(most) > radius:
+        most = math.nextafter(most, 0.0)
+    while most < math.inf and math.sqrt(math.nextafter(most, math.inf)) <= radius:
+        most = math.nextafter(most, math.inf)
+    return most
+
+
+def _meetings(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], item: str, extra: Sequence[str] = (), half: bool = False, told: DataFrame | None = None) -> DataFrame:
+    """Blocks of cells, each followed by the blocks that may hold cells within ``radius`` of its own.
+
+    Columns: keys, the block's tile and number (``_m*``), those of the block met (``_b*``, ``_k``), ``_own`` if it is the same, the
+    columns of ``told(keys, ...)``, and arrays ``_item``, ``_x*`` and ``extra`` of the block met. A tile is at least ``radius``
+    wide and is dealt into blocks of about ``BLOCK`` cells; partitions are sorted, a block's own row first. ``half``
+    leaves out meetings of a block with one before it. Cells without an id or a place meet nobody.
+    """
+    xs, tile = [f"_x{i}" for i in range(len(dims))], [f"_b{i}" for i in range(len(dims))]
+    known = points.filter(reduce(lambda p, q: p & q, [F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double")) for d in dims], F.col(item).isNotNull()))
+    width = float(radius)
+    filled = known.groupBy(*keys, *[_bucket(d, width) for d in dims]).agg(F.count("*").alias("_n")).agg(F.avg("_n")).first()[0]
+    while filled is not None and filled < FILLED and width < radius * 64:
+        width, filled = width * 2, filled * 4
+    placed = known.select(*keys, F.col(item).alias("_item"), *extra, *[F.col(d).cast("double").alias(x) for d, x in zip(dims, xs)], *[_bucket(d, width).alias(c) for d, c in zip(dims, tile)])
+    counts = placed.groupBy(*keys, *tile).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    dealt = placed.join(counts, [*keys, *tile]).withColumn("_k", F.pmod(F.xxhash64("_item", *xs), F.col("_n")).cast("int"))
+    lists = ["_item", *extra, *xs]
+    blocks = cut(dealt.groupBy(*keys, *tile, "_k").agg(F.collect_list(F.struct(*lists)).alias("_c")).select(*keys, *tile, "_k", *[F.col("_c").getField(c).alias(c) for c in lists]))
+    steps = [o for o in product((-1, 0, 1), repeat=len(dims)) if not half or o >= (0,) * len(dims)]
+    names = blocks.select(*keys, *tile, "_k")
+    mine = names.select(*keys, *[F.col(c).alias(f"_m{c}") for c in [*tile, "_k"]], F.explode(F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(tile, o)]) for o in steps])).alias("_to"))
+    pairs = mine.select(*keys, *[f"_m{c}" for c in [*tile, "_k"]], "_to.*").join(names, [*keys, *tile])
+    same = reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_m{c}") for c in tile])
+    if half:
+        pairs = pairs.filter(~same | (F.col("_k") >= F.col("_m_k")))
+    pairs = pairs.withColumn("_own", same & (F.col("_k") == F.col("_m_k")))
+    if told is not None:
+        pairs = pairs.join(told, [*keys])
+    met = pairs.join(blocks, [*keys, *tile, "_k"])
+    order = [*keys, *[f"_m{c}" for c in [*tile, "_k"]]]
+    return met.repartitionByRange(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, F.desc("_own"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], heads: Sequence[str], lists: Sequence[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Rows of ``_meetings``: the values of ``heads`` and the arrays of ``lists``."""
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in heads]
+        arrays = [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in lists]
+        for i, head in enumerate(zip(*values)):
+            yield head, [v[at[i] : at[i + 1]] for at, v in arrays]
+
+
+def _squares(mine: Sequence[np.ndarray], theirs: Sequence[np.ndarray], ids: np.ndarray, their_ids: np.ndarray, most: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, squared distances and nearness, for some rows of ``mine`` at a time; an id is never near itself."""
+    shared = len(np.intersect1d(ids, their_ids)) > 0
+    step = max(1, 131_072 // max(1, len(their_ids)))
+    for first in range(0, len(ids), step):
+        total = np.zeros((min(step, len(ids) - first), len(their_ids)))
+        for p, q in zip(mine, theirs):
+            d = p[first : first + step, None] - q
+            d *= d
+            total += d
+        near = total <= most
+        if shared:
+            near &= ids[first : first + step, None] != their_ids
+        yield first, total, near
+
+
 def radius_graph(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
     """Ordered pairs of different points within ``radius``, inclusive: (keys, src, dst, dist).
 
-    Buckets are ``radius`` wide, so a partner is in one of the 3^d buckets around a point and the join is an equi-join.
+    Blocks of neighbouring tiles meet as arrays (see ``_meetings``), so what is shuffled follows the points and not the pairs.
+    """
+    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
+    met = _meetings(points, radius, dims, keys, item)
+    kind = met.schema["_item"].dataType.elementType.simpleString()
+    schema = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in keys) + f"src {kind}, dst {kind}, dist double"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine: list[np.ndarray] = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            item_kind = batch.schema.field("_item").type.value_type
+            for (own, *key), met_ in _unpacked([batch], ["_own", *keys], ["_item", *xs]):
+                mine = met_ if own else mine
+                for first, square, near in _squares(mine[1:], met_[1:], mine[0], met_[0], most):
+                    a, b = np.nonzero(near)
+                    if len(a):
+                        columns = [pa.repeat(pa.scalar(v, t), len(a)) for v, t in zip(key, kinds)]
+                        columns += [pa.array(mine[0][a + first], item_kind), pa.array(met_[0][b], item_kind), pa.array(np.sqrt(square[a, b]))]
+                        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "src", "dst", "dist"])
+
+    return met.mapInArrow(pairs, schema)
+
+
+def _listed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Types of each group, sorted, and how many cells bear them: (keys, _types, _counts)."""
+    kinds = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("_n"))
+    listed = kinds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_type", "_n"))).alias("_k"))
+    return listed.select(*keys, F.transform("_k", lambda k: k["cell_type"]).alias("_types"), F.transform("_k", lambda k: k["_n"]).alias("_counts"))
+
+
+def neighbour_totals(cells: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str] = ("core",), item: str = "cell_id") -> tuple[DataFrame, DataFrame]:
+    """Neighbours within ``radius`` counted without ever being rows: (keys, src_type, tgt_type, n_pairs) and (keys, n, fan).
+
+    ``n`` counts a group's ordered pairs, ``fan`` is the sum of d * (d - 1) over the numbers d of a cell's neighbours.
     """
-    size = F.lit(float(radius))
-    left = points.select(*keys, F.col(item).alias("src"), *[F.col(d).alias(f"_s{d}") for d in dims], F.explode(_around(dims, size)).alias("_b"))
-    right = points.select(*keys, F.col(item).alias("dst"), *[F.col(d).alias(f"_t{d}") for d in dims], F.struct(*[_bucket(d, size).alias(f"_b{i}") for i, d in enumerate(dims)]).alias("_b"))
-    dist = _distance(dims, "_s", "_t")
-    return left.join(right, [*keys, "_b"]).filter((F.col("src") != F.col("dst")) & (dist <= radius)).select(*keys, "src", "dst", dist.alias("dist"))
+    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
+    listed = _listed(cells.filter("cell_type IS NOT NULL"), keys)
+    typed = cells.join(listed, [*keys]).filter("cell_type IS NOT NULL").withColumn("_type", (F.array_position("_types", F.col("cell_type")) - 1).cast("int"))
+    met = _meetings(typed, radius, dims, keys, item, ["_type"])
+    schema = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in keys) + "_s int, _d int, n_pairs bigint, _fan bigint"
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, dict[tuple[int, int], list[int]]] = {}
+        mine, degree, group, kinds = [], np.zeros(0, dtype=np.int64), (), []
+
+        def closed() -> None:
+            total = sums.setdefault(group, {}).setdefault((-1, -1), [0, 0])
+            total[0] += int(degree.sum())
+            total[1] += int((degree * (degree - 1)).sum())
+
+        def rows() -> pa.RecordBatch:
+            out = [(*key, s, d, n, fan) for key, total in sums.items() for (s, d), (n, fan) in total.items()]
+            types = [*kinds, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*keys, "_s", "_d", "n_pairs", "_fan"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for (own, *key), met_ in _unpacked([batch], ["_own", *keys], ["_item", "_type", *xs]):
+                if own:
+                    if len(mine):
+                        closed()
+                    if len(sums) > 1000:
+                        yield rows()
+                        sums.clear()
+                    mine, degree, group = met_, np.zeros(len(met_[0]), dtype=np.int64), tuple(key)
+                theirs = np.unique(met_[1])
+                bears = (met_[1][:, None] == theirs).astype(np.float32)
+                found = np.concatenate([near.astype(np.float32) @ bears for _, _, near in _squares(mine[2:], met_[2:], mine[0], met_[0], most)]).astype(np.int64)
+                degree += found.sum(axis=1)
+                for s in np.unique(mine[1]):
+                    for d, n in zip(theirs, found[mine[1] == s].sum(axis=0)):
+                        if n:
+                            sums.setdefault(group, {}).setdefault((int(s), int(d)), [0, 0])[0] += int(n)
+        if len(mine):
+            closed()
+        if sums:
+            yield rows()
+
+    counted = cut(met.mapInArrow(tally, schema).groupBy(*keys, "_s", "_d").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("_fan").alias("_fan")))
+    named = counted.filter("_s >= 0").join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
+    return named, counted.filter("_s < 0").select(*keys, F.col("n_pairs").alias("n"), F.col("_fan").alias("fan"))
 
 
 def _paired(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str, width: float) -> DataFrame:
@@ -138,11 +292,20 @@ def colocalise(a: DataFrame, b: DataFrame, dims: Sequence[str], radius: float |
 
 def observed_interactions(cells: DataFrame, graph: DataFrame, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
     """Mean number of neighbours of each type around a cell of each type, pairs without any included."""
-    kinds = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("n"))
-    grid = kinds.select(*keys, F.col("cell_type").alias("src_type"), F.col("n").alias("n_src")).join(kinds.select(*keys, F.col("cell_type").alias("tgt_type")), [*keys])
     src = cells.select(*keys, F.col(item).alias("src"), F.col("cell_type").alias("src_type"))
     dst = cells.select(*keys, F.col(item).alias("dst"), F.col("cell_type").alias("tgt_type"))
-    counts = graph.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).groupBy(*keys, "src_type", "tgt_type").agg(F.count("*").alias("n_pairs"))
+    return _over_grid(cells, graph.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).groupBy(*keys, "src_type", "tgt_type").agg(F.count("*").alias("n_pairs")), keys)
+
+
+def observed_within(cells: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
+    """As ``observed_interactions`` on the graph of cells within ``radius``, whose pairs are never rows."""
+    return _over_grid(cells, neighbour_totals(cells, radius, dims, keys, item)[0], keys)
+
+
+def _over_grid(cells: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``counts(keys, src_type, tgt_type, n_pairs)`` for all pairs of a group's types, and per source cell."""
+    kinds = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("n"))
+    grid = kinds.select(*keys, F.col("cell_type").alias("src_type"), F.col("n").alias("n_src")).join(kinds.select(*keys, F.col("cell_type").alias("tgt_type")), [*keys])
     joined = grid.join(counts, [*keys, "src_type", "tgt_type"], "left").fillna({"n_pairs": 0})
     return joined.withColumn("observed", F.col("n_pairs") / F.col("n_src"))
 
@@ -194,9 +357,7 @@ def permutation_null(cells: DataFrame, graph: DataFrame, n: int = 1000, seed: in
     send on one row per group and pair of types. ``dims`` only serves to keep edges of one place together.
     """
     seen = observed_interactions(cells, graph, keys, item)
-    kinds = cells.groupBy(*keys, "cell_type").agg(F.count("*").alias("_n"))
-    listed = kinds.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_type", "_n"))).alias("_k"))
-    listed = listed.select(*keys, F.transform("_k", lambda k: k["cell_type"]).alias("_types"), F.transform("_k", lambda k: k["_n"]).alias("_counts"))
+    listed = _listed(cells, keys)
     numbers = cut(numbered(cells, keys, item, dims))
     ends = graph.select(*keys, "src", "dst").join(numbers.withColumnsRenamed({item: "src", "_i": "_a"}), [*keys, "src"]).join(numbers.withColumnsRenamed({item: "dst", "_i": "_b"}), [*keys, "dst"])
     dealt = ends.join(listed.select(*keys, "_counts"), [*keys]).select(*keys, "_a", "_b", "_counts").repartitionByRange(*keys, "_a").sortWithinPartitions(*keys, "_a")
@@ -229,6 +390,82 @@ def permutation_null(cells: DataFrame, graph: DataFrame, n: int = 1000, seed: in
             yield rows()
 
     part = dealt.mapInPandas(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>")
+    return _exceeded(part, listed, seen, n, keys)
+
+
+def permutation_null_within(cells: DataFrame, radius: float, dims: Sequence[str], n: int = 1000, seed: int = 42, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
+    """As ``permutation_null`` on the graph of cells within ``radius``, whose pairs are never rows; the same permutations.
+
+    Blocks of cells meet as matrices: nearness times the types borne under some permutations gives each cell's neighbours of
+    every type under each of them. A block's types are worked out once while it stays among the last 64 MB of a task.
+    """
+    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
+    listed = _listed(cells, keys)
+    sited = cells.join(numbered(cells, keys, item, dims), [*keys, item])
+    met = _meetings(sited, radius, dims, keys, item, ["_i"], half=True, told=listed.select(*keys, "_counts"))
+    kind = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
+    places = [*[f"_b{i}" for i in range(len(dims))], "_k"]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kept: OrderedDict[tuple, np.ndarray] = OrderedDict()
+        mine, own_types, kinds = [], np.zeros((0, 0)), []
+
+        def types_of(at: tuple, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            if at in kept:
+                kept.move_to_end(at)
+                return kept[at]
+            out = np.empty((len(numbers), n), dtype=np.uint8 if len(bounds) < 256 else np.int32)
+            step = max(1, 500_000 // len(numbers))
+            for first in range(0, n, step):
+                perms = np.arange(first, min(n, first + step))
+                out[:, perms] = np.searchsorted(bounds, permuted(numbers, int(bounds[-1]), perms, seed), side="right")
+            kept[at] = out
+            while len(kept) > 1 and sum(v.nbytes for v in kept.values()) > 64_000_000:
+                kept.popitem(last=False)
+            return out
+
+        def rows() -> pa.RecordBatch:
+            out = [(*key, s, d, total[:, s, d]) for key, total in sums.items() for s in range(total.shape[1]) for d in range(total.shape[1])]
+            types = [*kinds, pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*keys, "_s", "_d", "n_pairs"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for (own, counts, *at), met_ in _unpacked([batch], ["_own", "_counts", *keys, *places], ["_item", "_i", *xs]):
+                key, bounds = tuple(at[: len(keys)]), np.cumsum(counts)
+                width = len(bounds)
+                types = types_of(tuple(at), met_[1], bounds)
+                if own:
+                    mine, own_types = met_, types
+                if key not in sums and len(sums) >= 32:
+                    yield rows()
+                    sums.clear()
+                total = sums.setdefault(key, np.zeros((n, width, width), dtype=np.int64))
+                near = np.concatenate([close for _, _, close in _squares(mine[2:], met_[2:], mine[0], met_[0], most)])
+                a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(a):
+                    continue
+                near = near[np.ix_(a, b)].astype(np.float32)
+                step = max(1, 1_000_000 // (max(len(a), len(b)) * width))
+                for first in range(0, n, step):
+                    perms = slice(first, min(n, first + step))
+                    bears = (types[b, perms][:, :, None] == np.arange(width)).astype(np.float32)
+                    found = (near @ bears.reshape(len(b), -1)).reshape(len(a), -1, width)
+                    for s in range(width):
+                        counted = np.einsum("ip,ipt->pt", (own_types[a, perms] == s).astype(np.float32), found).astype(np.int64)
+                        total[perms, s] += counted
+                        if not own:
+                            total[perms, :, s] += counted
+        if sums:
+            yield rows()
+
+    part = met.mapInArrow(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>")
+    return _exceeded(cut(part), listed, observed_within(cells, radius, dims, keys, item), n, keys)
+
+
+def _exceeded(part: DataFrame, listed: DataFrame, seen: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """Sums over permutations of the tasks' tallies ``part(keys, _s, _d, n_pairs)``, an entry a permutation."""
     each = part.select(*keys, "_s", "_d", F.posexplode("n_pairs").alias("_p", "n_pairs")).groupBy(*keys, "_s", "_d", "_p").agg(F.sum("n_pairs").alias("n_pairs"))
     named = each.join(listed.select(*keys, "_types"), [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
     scored = named.join(seen.select(*keys, "src_type", "tgt_type", "n_src", "observed"), [*keys, "src_type", "tgt_type"])
@@ -280,9 +517,14 @@ def exact_null(cells: DataFrame, graph: DataFrame, keys: Sequence[str] = ("core"
     shared = degrees.groupBy(*keys).agg(F.sum("_o").alias("_m"), F.sum(F.col("_o") * (F.col("_o") - 1)).alias("_fan_out"), F.sum(F.col("_i") * (F.col("_i") - 1)).alias("_fan_in"), F.sum(F.col("_o") * F.col("_i")).alias("_through"))
     ends = graph.groupBy(*keys, F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b")).agg(F.count("*").alias("_k"))
     back = ends.filter("_k = 2").groupBy(*keys).agg((F.count("*") * 2).cast("double").alias("_back"))
+    return _moments(cells, seen, shared.join(back, [*keys], "left"), keys)
+
+
+def _moments(cells: DataFrame, seen: DataFrame, shared: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores from the observed means and ``shared(keys, _m, _fan_out, _fan_in, _through, _back)``, as in ``exact_null``."""
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("_n"))
     kinds = cells.groupBy(*keys, F.col("cell_type").alias("tgt_type")).agg(F.count("*").alias("_nt"))
-    joined = seen.join(kinds, [*keys, "tgt_type"]).join(sizes, [*keys]).join(shared, [*keys], "left").join(back, [*keys], "left")
+    joined = seen.join(kinds, [*keys, "tgt_type"]).join(sizes, [*keys]).join(shared, [*keys], "left")
     joined = joined.fillna(0.0, ["_m", "_fan_out", "_fan_in", "_through", "_back"])
     n, s, t, m = F.col("_n"), F.col("n_src"), F.col("_nt"), F.col("_m")
     same = F.col("src_type") == F.col("tgt_type")
@@ -315,14 +557,17 @@ def _usable(cells: DataFrame, dims: Sequence[str], min_cells: int, keys: Sequenc
 def exact_interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, min_cells: int = 10, keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
     """As ``interactions``, with the exact mean and deviation in place of drawn permutations, and no p-value."""
     usable = _usable(cells, dims, min_cells, keys, item)
-    return exact_null(usable, cut(radius_graph(usable, radius, dims, keys, item)), keys, item)
+    counts, degrees = neighbour_totals(usable, radius, dims, keys, item)
+    m, fan = F.col("n").cast("double"), F.col("fan").cast("double")
+    # Every edge of such a graph has its reverse.
+    shared = degrees.select(*keys, m.alias("_m"), fan.alias("_fan_out"), fan.alias("_fan_in"), (m + fan).alias("_through"), m.alias("_back"))
+    return _moments(usable, _over_grid(usable, counts, keys), shared, keys)
 
 
 def interactions(cells: DataFrame, dims: Sequence[str], radius: float = 50.0, n_perm: int = 1000, min_cells: int = 10, keys: Sequence[str] = ("core",), seed: int = 42, item: str = "cell_id") -> DataFrame:
     """Scores of every ordered pair of types with enough cells, in groups with two such types or more."""
     usable = _usable(cells, dims, min_cells, keys, item)
-    graph = cut(radius_graph(usable, radius, dims, keys, item))
-    return interaction_scores(permutation_null(usable, graph, n_perm, seed, keys, item, dims))
+    return interaction_scores(permutation_null_within(usable, radius, dims, n_perm, seed, keys, item))
 
 
 def interactions_2d(cells: DataFrame, dims: Sequence[str] = ("x_um", "y_um"), keys: Sequence[str] = ("core",), slice_key: str = "slice_id", **options) -> DataFrame:

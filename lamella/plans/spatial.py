@@ -50,8 +50,7 @@ def j9_radius_graph(d):
 SELECT a.core AS core, a.slice_id AS slice_id, a.cell_type AS src_type, b.cell_type AS tgt_type, a.n AS n_src, coalesce(k, 0) AS n_pairs, round(coalesce(k, 0)::DOUBLE / a.n, 6) AS observed
 FROM n a JOIN n b ON a.core = b.core AND a.slice_id = b.slice_id LEFT JOIN g ON g.core = a.core AND g.slice_id = a.slice_id AND ta = a.cell_type AND tb = b.cell_type""")
 def x1_observed_interactions(d):
-    graph = S.radius_graph(d.fx_cells, 50, ["cx", "cy"], SLICE)
-    return S.observed_interactions(d.fx_cells, graph, SLICE).withColumn("observed", F.round("observed", 6))
+    return S.observed_within(d.fx_cells, 50, ["cx", "cy"], SLICE).withColumn("observed", F.round("observed", 6))
 
 
 @query()
