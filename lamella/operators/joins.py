@@ -169,14 +169,28 @@ def row_tilt(df: DataFrame, keys: Sequence[str] = ("slide",), reach: float = 300
     """Median angle, in degrees, of pairs of neighbours in a row per group; 0 without a pair or beyond ``limit``.
 
     Pairs lie within ``reach``, the second to the right, no steeper than 45 degrees. Blocks of ``reach`` make the band join
-    an equi-join: a partner is in the same block or in the next one.
+    an equi-join: a partner is in the same block or in the next one. Places meet, not candidates: a pair of places counts
+    as often as their candidates make pairs of different ids, and the median is read off the counts by angle.
     """
-    block = F.floor(F.col("cx") / reach)
-    left = df.select(*keys, F.col(item).alias("_i"), F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.explode(F.array(block, block + 1)).alias("_b"))
-    right = df.select(*keys, F.col(item).alias("_j"), F.col("cx").alias("_u"), F.col("cy").alias("_v"), block.alias("_b"))
+    keys = [*keys]
+    each = df.groupBy(*keys, F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col(item).alias("_i")).agg(F.count("*").alias("_c")).filter("_i IS NOT NULL")
+    places = each.groupBy(*keys, "_x", "_y").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_sq"))
+    block = F.floor(F.col("_x") / reach)
     dx, dy = F.col("_u") - F.col("_x"), F.col("_v") - F.col("_y")
-    near = (dx >= 0) & (F.abs(dy) <= F.abs(dx)) & (F.hypot(dx, dy) < reach) & (F.col("_i") != F.col("_j")) & ((dx > 0) | (F.col("_i") < F.col("_j")))
-    angles = left.join(right, [*keys, "_b"]).filter(near).groupBy(*keys).agg(F.median(F.degrees(F.atan2(dy, dx))).alias("_angle"))
+    near = (dx > 0) & (F.abs(dy) <= F.abs(dx)) & (F.hypot(dx, dy) < reach)
+    angle = F.degrees(F.atan2(dy, dx)).alias("_angle")
+    left = places.select(*keys, "_x", "_y", F.col("_n").alias("_m"), F.explode(F.array(block, block + 1)).alias("_b"))
+    right = places.select(*keys, F.col("_x").alias("_u"), F.col("_y").alias("_v"), "_n", block.alias("_b"))
+    apart = left.join(right, [*keys, "_b"]).filter(near).select(*keys, angle, (F.col("_m") * F.col("_n")).alias("_w"))
+    repeated = each.join(each.groupBy(*keys, "_i").agg(F.count("*").alias("_k")).filter("_k > 1").drop("_k"), [*keys, "_i"])
+    again = repeated.join(repeated.select(*keys, "_i", F.col("_x").alias("_u"), F.col("_y").alias("_v"), F.col("_c").alias("_e")), [*keys, "_i"]).filter(near)
+    together = places.filter("_n * _n > _sq AND _x IS NOT NULL AND _y IS NOT NULL").select(*keys, F.lit(0.0).alias("_angle"), F.expr("(_n * _n - _sq) div 2").alias("_w"))
+    pairs = apart.unionByName(together).unionByName(again.select(*keys, angle, (-F.col("_c") * F.col("_e")).alias("_w")))
+    counted = pairs.groupBy(*keys, "_angle").agg(F.sum("_w").alias("_w")).filter("_w > 0")
+    total, upto = F.sum("_w").over(Window.partitionBy(*keys)), F.sum("_w").over(Window.partitionBy(*keys).orderBy("_angle"))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_angle")))
+    middle = counted.withColumns({"_upto": upto, "_all": total}).groupBy(*keys).agg(at(F.expr("(_all - 1) div 2")).alias("_low"), at(F.expr("_all div 2")).alias("_high"))
+    angles = middle.select(*keys, (F.col("_low") + (F.col("_high") - F.col("_low")) * 0.5).alias("_angle"))
     angle = F.coalesce("_angle", F.lit(0.0))
     out = df.select(*keys).distinct().join(angles, [*keys], "left")
     return out.select(*keys, F.when(F.abs(angle) > limit, 0.0).otherwise(angle).alias("tilt_deg"))
