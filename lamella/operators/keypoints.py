@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -222,12 +223,39 @@ def top_artifacts(blobs: DataFrame, n: int = 3, keys: Sequence[str] = ("slice_id
 def nearest_region(points: DataFrame, regions: DataFrame, keys: Sequence[str], point: str = "point_id", region: str = "region_id", passed: str | None = None) -> DataFrame:
     """The region nearest to each point by rows plus columns, in the same group; ties by id.
 
-    ``points(keys, point, y, x)`` is a handful of picked places per group; ``regions(keys, region, row, col[, passed])``.
+    ``points(keys, point, y, x)``, ``regions(keys, region, row, col[, passed])``. A place counts with its first region. Points
+    meet the regions in the tiles around them; a distance of at most a tile's width is final, and the others look on in
+    tiles of twice the width. What is left after 30 doublings, such as points without a place, meets all regions of its group.
     """
+    keys, found = [*keys], None
+    flags = [passed] if passed else []
+    first = regions.groupBy(*keys, "row", "col").agg(F.min(F.struct(region, *flags)).alias("_r"))
+    places = cut(first.select(*keys, "row", "col", "_r.*"))
+    open_ = cut(points.select(*keys, point, "y", "x").join(places.select(*keys).distinct(), [*keys], "left_semi"))
+    width = 16.0
+    while (shared := _crowd(places, keys, width)) > 8.0 and width > 1e-6:
+        width /= 2.0 ** max(1, int(math.log2(shared / 8.0) / 2))
     off = F.abs(F.col("row") - F.col("y")) + F.abs(F.col("col") - F.col("x"))
-    got = F.struct(region, *([passed] if passed else []), off.alias("l1"))
-    best = points.join(regions, [*keys]).groupBy(*keys, point).agg(F.min_by(got, F.struct(off, region)).alias("_b"))
-    return best.select(*keys, point, "_b.*")
+    got = F.struct(region, *flags, off.alias("l1"))
+    nearest = lambda pairs: pairs.groupBy(*keys, point, "y", "x").agg(F.min_by(got, F.struct(off, region)).alias("_b"))
+    tile = lambda d, s=0: (F.floor(F.col(d) / F.lit(width)).cast("long") + s)
+    for _ in range(30):
+        around = F.array(*[F.struct(tile("y", i).alias("i"), tile("x", j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        placed = places.withColumn("_t", F.struct(tile("row").alias("i"), tile("col").alias("j")))
+        final = cut(nearest(open_.withColumn("_t", F.explode(around)).join(placed, [*keys, "_t"])).filter(F.col("_b.l1") <= width))
+        found = final if found is None else found.unionByName(final)
+        open_ = cut(open_.join(final.select(*keys, point, "y", "x").distinct(), [*keys, point, "y", "x"], "left_anti"))
+        if open_.isEmpty():
+            break
+        width *= 2
+    best = found.unionByName(nearest(open_.join(places, [*keys])))
+    return best.groupBy(*keys, point).agg(F.min_by("_b", F.struct("_b.l1", f"_b.{region}")).alias("_b")).select(*keys, point, "_b.*")
+
+
+def _crowd(places: DataFrame, keys: Sequence[str], width: float) -> float:
+    """With how many places a place shares a tile of ``width``, on average."""
+    tiles = places.groupBy(*keys, F.floor(F.col("row") / width), F.floor(F.col("col") / width)).agg(F.count("*").cast("double").alias("_n"))
+    return tiles.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).first()[0] or 0.0
 
 
 def candidate_filter(df: DataFrame, least_area: float = 2000, aspect: tuple[float, float] = (0.3, 3.0)) -> DataFrame:
