@@ -220,8 +220,7 @@ def _descend(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Seque
     of its targets; their quarters come next. So far clusters cost a few rows a source and level, never a product. In the
     last, narrowest tiles all targets are compared; equal points count once.
     """
-    unique = goal.groupBy(*keys, *dims).agg(F.min(item).alias("_a"), F.max(item).alias("_z"))
-    goal = cut(unique.select(*keys, *dims, F.explode(F.array_distinct(F.array("_a", "_z"))).alias(item)))
+    goal = _two_a_place(goal, dims, keys, item)
     source = open_.select(*keys, item, *dims)
     held = None
     for level in range(levels):
@@ -239,17 +238,36 @@ def _descend(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Seque
     return pairs.groupBy(*keys, item).agg(F.min(_distance(dims, "_s", "_t")).alias("dist"))
 
 
+def _width(places: DataFrame, dims: Sequence[str], keys: Sequence[str], size: float, most: float = 8.0) -> float:
+    """``size`` or a part of it by a power of two, where a place shares its tile with about ``most`` places on average."""
+    for _ in range(20):
+        tiles = places.groupBy(*keys, *[_bucket(d, size).alias(f"_b{i}") for i, d in enumerate(dims)]).agg(F.count("*").cast("double").alias("_n"))
+        shared = tiles.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).first()[0]
+        if shared is None or shared <= most:
+            break
+        size /= 2.0 ** max(1, int(math.log2(shared / most) / len(dims)))
+    return size
+
+
+def _two_a_place(goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str) -> DataFrame:
+    """The first and last target of each place: more of them are no nearer to anybody."""
+    unique = goal.groupBy(*keys, *dims).agg(F.min(item).alias("_a"), F.max(item).alias("_z"))
+    return cut(unique.select(*keys, *dims, F.explode(F.array_distinct(F.array("_a", "_z"))).alias(item)))
+
+
 def nearest_neighbour(src: DataFrame, tgt: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("core",), size: float = 50.0, item: str = "cell_id", rounds: int = 2, levels: int = 20) -> DataFrame:
     """Distance from every source to its nearest target in the same group, not counting itself: (keys, item, dist).
 
     ``keys`` may hold pairs of types. A distance found in the 3^d buckets around a source is final if it is at most the
-    bucket's size, for then no nearer target can lie beyond. After ``rounds`` of doubled buckets the few that are left
+    bucket's size, for then no nearer target can lie beyond. Buckets start at ``size`` or, among crowded targets, at the part
+    of it that holds a few (see ``_width``). After ``rounds`` of doubled buckets the few that are left
     descend a hierarchy of tiles, from ``size`` * 2^(``levels`` - 4) down to an eighth of ``size``. A source whose group
     has no other target is dropped beforehand. Coincident points of another id count, with distance 0.
     """
     others = tgt.groupBy(*keys).agg(F.min(item).alias("_only"), F.max(item).alias("_last"))
     usable = src.join(others, [*keys]).filter((F.col("_last") != F.col("_only")) | (F.col("_only") != F.col(item))).select(*keys, item, *dims)
-    open_, goal, found = cut(usable), cut(tgt.select(*keys, item, *dims)), None
+    open_, goal, found = cut(usable), _two_a_place(tgt, dims, keys, item), None
+    top, size = float(size) * 2 ** (levels - 4), _width(goal.select(*keys, *dims).distinct(), dims, keys, float(size))
     for i in range(rounds):
         width = float(size * 2**i)
         least = _paired(open_, goal, dims, keys, item, width).groupBy(*keys, item).agg(F.min("_d").alias("dist"))
@@ -258,7 +276,7 @@ def nearest_neighbour(src: DataFrame, tgt: DataFrame, dims: Sequence[str], keys:
         open_ = cut(open_.join(final, [*keys, item], "left_anti"))
         if open_.isEmpty():
             return found
-    last = _descend(open_, goal, dims, keys, item, float(size) * 2 ** (levels - 4), levels)
+    last = _descend(open_, goal, dims, keys, item, top, 4 + round(math.log2(top / size)))
     return last if found is None else found.unionByName(last)
 
 
@@ -268,7 +286,8 @@ def type_distances(cells: DataFrame, dims: Sequence[str], keys: Sequence[str] =
     A cell meets the cells of all types around it in one join; only pairs of a cell and a type that this leaves open are
     searched for one by one.
     """
-    goal = cells.select(*keys, F.col("cell_type").alias("tgt_type"), item, *dims)
+    goal = _two_a_place(cells.select(*keys, F.col("cell_type").alias("tgt_type"), item, *dims), dims, [*keys, "tgt_type"], item)
+    size = _width(goal.select(*keys, *dims).distinct(), dims, keys, float(size))
     near = _paired(cells.select(*keys, item, *dims), goal, dims, keys, item, float(size))
     final = cut(near.groupBy(*keys, item, "tgt_type").agg(F.min("_d").alias("dist")).filter(F.col("dist") <= size))
     types = cells.select(*keys, F.col("cell_type").alias("tgt_type")).distinct()
