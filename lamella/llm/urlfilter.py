@@ -132,18 +132,20 @@ def alias_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     return links.where("source IS NOT NULL AND target IS NOT NULL").distinct()
 
 
-def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, spellings: bool = False) -> DataFrame:
+def verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, spellings: bool = False, exact: bool = False) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url, html)``.
 
     The longest fitting rule decides. A page without one is blocked if a url in its connected component of redirects and
     canonical links is blocked by a rule, else allowed. An explicit allow always stands: it is never overruled by an
     alias, and it covers only the pages that it fits. Ways to write one url (case of the host, fragments) are one node;
-    with ``spellings`` so are its usual variants (see ``canonical_form``), for which there is no evidence in the pages. Null
+    with ``spellings`` so are its usual variants (see ``canonical_form``), for which there is no evidence in the pages, and with
+    ``exact`` every way to write a url is a node of its own, for logs that name urls as the pages do. Null
     urls and urls without ``://`` have an empty host and path, no aliases and no rule, and are allowed. Null html has no
     links. Repeated rows come back as often as they came in; other columns are ignored; an empty table gives an empty
     result.
     """
-    node = canonical_form if spellings else same_url
+    plain = lambda url: F.when(host_of(url) != "", url)
+    node = plain if exact else canonical_form if spellings else same_url
     links = cut(alias_links(pages.select("url", "html"), redirects))
     urls = pages.select("url").union(links.select("source")).union(links.select("target")).where("url IS NOT NULL")
     ruled = with_rule(urls, rules).withColumn("node", node(F.col("url")))

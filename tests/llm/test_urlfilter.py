@@ -99,3 +99,13 @@ def test_repeats_hot_url_and_empty(spark):
     got, out = run(spark, rows)
     assert len(out) == 401 and {v[3] for v in got.values()} == {"block"}
     assert run(spark, [])[1] == []
+
+
+def test_exact_urls_are_nodes_of_their_own(spark):
+    """A redirect to a url with a fragment says nothing of the url without it if urls are taken as written."""
+    rows = [(1, "http://a.net/x#top", ""), (2, "http://a.net/x", ""), (3, "http://example.org/es/1", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    moved = spark.createDataFrame([("http://example.org/es/1", "http://a.net/x#top")], "source string, target string")
+    got = lambda **how: {r.page_id: r.verdict for r in urlfilter.verdicts(pages, urlfilter.rules_frame(spark), moved, **how).collect()}
+    assert got() == {1: "block", 2: "block", 3: "block"}
+    assert got(exact=True) == {1: "block", 2: "allow", 3: "block"}
