@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many rows of groups are broadcast to the groups' cells; more meet them by shuffle.
+BROADCAST_GROUPS = 50_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and written to the folder of ``spark.checkpoint.dir``, so that lost executors cost no rounds.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamella.operators.aggregate import histogram
-from lamella.operators.lineage import cut
+from lamella.operators.lineage import BROADCAST_GROUPS, broadcast_if_small, cut
 from lamella.operators.project import with_params
 
 #: The largest share of positive cells by marker, and for any other marker.
@@ -19,6 +19,11 @@ OTHER_MAX_SHARE = 0.90
 BIC_THRESHOLD = 6.0
 
 
+def told(groups: DataFrame) -> DataFrame:
+    """A row for each group, computed once and sent to the cells: cells neither move nor are sorted for it."""
+    return broadcast_if_small(cut(groups), BROADCAST_GROUPS)
+
+
 def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence[float], out: str = "_p", accuracy: int = 2000, chosen: DataFrame | None = None) -> DataFrame:
     """Exact percentiles per group, between two values in proportion: (keys, ``out``), an array in the order of ``levels``.
 
@@ -31,16 +36,26 @@ def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: Sequence
     rows = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
     margin = 2.0 / accuracy
     ends = [p for level in levels for p in (max(0.0, level - margin), min(1.0, level + margin))]
-    rough = rows.groupBy(*keys).agg(F.percentile_approx("_x", ends, accuracy).alias("_q"), F.count("*").alias("_n"))
+    asked = [F.lit(j) for j in range(len(levels))]
+    if chosen is not None:
+        asked, rows = [F.col("j")], rows.join(told(chosen.select(*keys, "j")), keys)
+    rough = told(rows.groupBy(*keys, *(["j"] if chosen is not None else [])).agg(F.percentile_approx("_x", ends, accuracy).alias("_q"), F.count("*").alias("_n")))
     x, none = F.col("_x"), F.lit(None).cast("double")
     end = lambda j: F.get("_q", j)
-    if chosen is not None:
-        rough = rough.join(chosen.select(*keys, "j"), keys)
-    zone = lambda j: F.when(x < end(2 * j), 0).when(x <= end(2 * j + 1), 1).otherwise(2)
-    asked = [F.lit(j) for j in range(len(levels))] if chosen is None else [F.col("j")]
-    place = [F.struct(j.alias("j"), zone(j).alias("zone"), F.when(zone(j) == 1, x).otherwise(none).alias("v")) for j in asked]
-    placed = rows.join(rough, keys).select(*keys, "_n", "_x", (F.explode(F.array(*place)) if len(place) > 1 else place[0]).alias("_at"))
-    counts = placed.groupBy(*keys, "_n", "_at.j", "_at.zone", "_at.v").agg(F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    inside = reduce(lambda p, q: p | q, [x.between(end(2 * j), end(2 * j + 1)) for j in asked])
+    # Values outside of all brackets are counted in one row a group, before any level has rows of its own.
+    outside = [f(j).alias(f"_{c}{i}") for i, j in enumerate(asked) for c, f in (("c", lambda j: F.count_if(x < end(2 * j))), ("lo", lambda j: F.max(F.when(x < end(2 * j), x))), ("hi", lambda j: F.min(F.when(x > end(2 * j + 1), x))))]
+    values = rows.drop("j").join(rough, keys).withColumn("_v", F.when(inside, x)).groupBy(*keys, "_v").agg(F.count("*").alias("_all"), *outside).join(rough, keys)
+    zone = lambda j: F.when(F.col("_v") < end(2 * j), 0).when(F.col("_v") <= end(2 * j + 1), 1).otherwise(2)
+    part = lambda j, where, v, least, most, c: F.struct(j.alias("j"), where.alias("zone"), v.alias("v"), least.alias("least"), most.alias("most"), c.alias("c"))
+    v, whole = F.col("_v"), F.col("_all")
+    places = [part(j, zone(j), F.when(zone(j) == 1, v), v, v, F.when(v.isNotNull(), whole).otherwise(0)) for j in asked]
+    for i, j in enumerate(asked):
+        below = F.when(v.isNull(), F.col(f"_c{i}")).otherwise(0)
+        places.append(part(j, F.lit(0), none, F.col(f"_lo{i}"), F.col(f"_lo{i}"), below))
+        places.append(part(j, F.lit(2), none, F.col(f"_hi{i}"), F.col(f"_hi{i}"), F.when(v.isNull(), whole - F.col(f"_c{i}")).otherwise(0)))
+    placed = values.select(*keys, "_n", F.explode(F.array(*places)).alias("_at")).filter("_at.c > 0")
+    counts = placed.groupBy(*keys, "_n", "_at.j", "_at.zone", "_at.v").agg(F.sum("_at.c").alias("_c"), F.min("_at.least").alias("_least"), F.max("_at.most").alias("_most"))
     counts = counts.withColumn("v", F.when(F.col("zone") == 0, F.col("_most")).otherwise(F.col("_least")))
     upto = Window.partitionBy(*keys, "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.get(F.array(*map(F.lit, map(float, levels))), F.col("j")) * (F.col("_n") - 1)
@@ -97,20 +112,15 @@ def mad_floor(df: DataFrame, value: str, keys: Sequence[str], k: float = 3.0, ou
     """Noise floor from the rows below the median: their median plus k median deviations; 0 for fewer than two rows."""
     keys = [*keys]
     counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    half = counts.join(median_of(df, value, keys, "_half"), keys, "left")
-    low = df.join(half, keys).filter(F.col(value) < F.col("_half")).select(*keys, F.col(value).alias("_x"))
-    centre = median_of(low, "_x", keys, "_med")
+    half = told(counts.join(median_of(df, value, keys, "_half"), keys, "left"))
+    low = df.select(*keys, value).join(half, keys).filter(F.col(value) < F.col("_half")).select(*keys, F.col(value).alias("_x"))
+    centre = told(median_of(low, "_x", keys, "_med"))
     off = low.join(centre, keys).select(*keys, F.abs(F.col("_x") - F.col("_med")).alias("_off"))
     spread = centre.join(median_of(off, "_off", keys, "_mad"), keys)
     floor = F.when((F.col("_n") < 2) | F.col("_med").isNull(), 0.0).otherwise(F.col("_med") + F.lit(k) * F.col("_mad"))
     return half.join(spread, keys, "left").select(*keys, floor.alias(out))
 
 
-def _normal(value: Column, mu: str, var: str) -> Column:
-    """Logarithm of a normal density."""
-    return -0.5 * (F.log(2 * F.pi() * F.col(var)) + (value - F.col(mu)) * (value - F.col(mu)) / F.col(var))
-
-
 #: Shares of the rows that the lower component starts from.
 STARTS = (0.5, 0.25, 0.75, 0.1, 0.9)
 
@@ -126,8 +136,9 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
     groups = [*keys]
     base = df.select(*groups, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
     x = F.col("_x")
+    base = cut(base)
     whole = base.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_x").alias("_m"), F.greatest(F.var_pop("_x"), F.lit(floor)).alias("_v"))
-    splits = percentiles(base, "_x", groups, starts, "_h").select(*groups, F.posexplode("_h").alias("_start", "_half"))
+    splits = told(percentiles(base, "_x", groups, starts, "_h")).select(*groups, F.posexplode("_h").alias("_start", "_half"))
     start = whole.join(splits, groups)
     keys = [*groups, "_start"]
     split = base.join(splits, groups)
@@ -138,22 +149,22 @@ def gmm_1d(df: DataFrame, value: str, keys: Sequence[str], rounds: int = 100, to
         *keys, "n", "bic1", F.col("w1"), F.coalesce("mu1", "_m").alias("mu1"), F.col("_v").alias("v1"), (1 - F.col("w1")).alias("w2"), F.coalesce("mu2", "_m").alias("mu2"), F.col("_v").alias("v2"),
         F.lit(None).cast("double").alias("ll"), F.lit(0).alias("rounds"), F.lit(False).alias("done"),
     )
-    params, base = cut(params), cut(base)
+    params = cut(params)
     for _ in range(rounds):
         open_ = params.filter("NOT done")
         if open_.isEmpty():
             break
-        l1, l2 = F.log(F.greatest("w1", F.lit(1e-300))) + _normal(x, "mu1", "v1"), F.log(F.greatest("w2", F.lit(1e-300))) + _normal(x, "mu2", "v2")
-        rows = base.join(open_.select(*keys, "w1", "mu1", "v1", "w2", "mu2", "v2"), groups).select(*keys, "_x", l1.alias("_l1"), l2.alias("_l2"), "mu1", "mu2")
-        top = F.greatest("_l1", "_l2")
-        both = top + F.log(F.exp(F.col("_l1") - top) + F.exp(F.col("_l2") - top))
-        r1 = F.exp(F.col("_l1") - both)
+        # What is the same for all cells of a group is worked out once a group; a cell needs one exponential and one logarithm.
+        known = open_.select(*keys, "mu1", "mu2", *[c for i in "12" for c in ((F.log(F.greatest(f"w{i}", F.lit(1e-300))) - 0.5 * F.log(2 * F.pi() * F.col(f"v{i}"))).alias(f"_k{i}"), (0.5 / F.col(f"v{i}")).alias(f"_h{i}"))])
         # Squares about the old means: large values do not cancel.
-        a, b = x - F.col("mu1"), x - F.col("mu2")
-        sums = rows.withColumns({"_r": r1, "_ll": both}).groupBy(*keys).agg(
-            F.avg("_ll").alias("_ll"), F.sum("_r").alias("_s1"), F.sum(1 - F.col("_r")).alias("_s2"),
-            F.sum(F.col("_r") * a).alias("_a1"), F.sum((1 - F.col("_r")) * b).alias("_a2"),
-            F.sum(F.col("_r") * a * a).alias("_q1"), F.sum((1 - F.col("_r")) * b * b).alias("_q2"),
+        rows = base.join(told(known), groups).select(*keys, (x - F.col("mu1")).alias("_d1"), (x - F.col("mu2")).alias("_d2"), "_k1", "_h1", "_k2", "_h2")
+        rows = rows.select(*keys, "_d1", "_d2", *[(F.col(f"_k{i}") - F.col(f"_d{i}") * F.col(f"_d{i}") * F.col(f"_h{i}")).alias(f"_l{i}") for i in "12"])
+        rows = rows.withColumn("_e", F.exp(-F.abs(F.col("_l1") - F.col("_l2"))))
+        rows = rows.select(*keys, "_d1", "_d2", (F.greatest("_l1", "_l2") + F.log1p("_e")).alias("_ll"), (F.when(F.col("_l1") >= F.col("_l2"), 1.0).otherwise(F.col("_e")) / (1 + F.col("_e"))).alias("_r"))
+        a, b, r = F.col("_d1"), F.col("_d2"), F.col("_r")
+        sums = rows.groupBy(*keys).agg(
+            F.avg("_ll").alias("_ll"), F.sum("_r").alias("_s1"), F.sum(1 - r).alias("_s2"),
+            F.sum(r * a).alias("_a1"), F.sum((1 - r) * b).alias("_a2"), F.sum(r * a * a).alias("_q1"), F.sum((1 - r) * b * b).alias("_q2"),
         )
         s1, s2 = F.greatest("_s1", F.lit(1e-12)), F.greatest("_s2", F.lit(1e-12))
         d1, d2 = F.col("_a1") / s1, F.col("_a2") / s2
@@ -197,7 +208,7 @@ def choose_threshold(df: DataFrame, value: str, keys: Sequence[str], marker: str
     basics = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")).join(places, keys)
     flat = F.abs(F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs("_hi")
     fitted = gmm_cut(gmm_1d(df, value, keys)).select(*keys, "cut", (F.col("bic1") - F.col("bic2")).alias("_gain"))
-    otsus = otsu(df, value, keys, out="_otsu")
+    otsus = told(otsu(df, value, keys, out="_otsu"))
     share = df.join(otsus, keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_otsu")).cast("double")).alias("_share"))
     joined = basics.join(otsus, keys).join(share, keys).join(fitted, keys, "left")
     limited = with_params(joined, ceilings, marker, "_max", OTHER_MAX_SHARE)
@@ -231,7 +242,8 @@ def guard_threshold(df: DataFrame, thresholds: DataFrame, value: str, keys: Sequ
     """
     keys = [*keys]
     raised = with_params(thresholds.withColumn("_t", F.greatest("threshold", "floor")), ceilings, marker, "_max", OTHER_MAX_SHARE)
-    shares = df.join(raised.select(*keys, "_t"), keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_t")).cast("double")).alias("_share"))
+    raised = cut(raised)
+    shares = df.join(broadcast_if_small(raised.select(*keys, "_t"), BROADCAST_GROUPS), keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_t")).cast("double")).alias("_share"))
     joined = cut(raised.join(shares, keys))
     joined = joined.join(_caps(df, value, keys, joined, ceilings), keys, "left")
     over, cap = F.col("_share") > F.col("_max"), F.col("_cap")
@@ -250,10 +262,10 @@ def consensus_threshold(cells: DataFrame, value: str = "mean", keys: Sequence[st
     reliable = cells.filter(~F.col("thresh_type").rlike("ceiling_corrected|singular_fallback|sparse|uniform"))
     if per_slice:
         reliable = reliable.select(*dict.fromkeys([*keys, *per_slice]), "threshold").distinct()
-    agreed = reliable.groupBy(*keys).agg(F.median("threshold").alias("_agreed"))
+    agreed = told(reliable.groupBy(*keys).agg(F.median("threshold").alias("_agreed")))
     shares = cells.join(agreed, keys).groupBy(*keys).agg(F.avg((F.col(value) >= F.col("_agreed")).cast("double")).alias("_share"), F.first("_agreed").alias("_agreed"))
     limits = cut(with_params(shares, ceilings, marker, "_max", OTHER_MAX_SHARE))
-    limits = limits.join(_caps(cells, value, keys, limits, ceilings), keys, "left")
+    limits = told(limits.join(_caps(cells, value, keys, limits, ceilings), keys, "left"))
     joined = cells.join(limits, keys, "left")
     over, cap = F.coalesce(F.col("_share") > F.col("_max"), F.lit(False)), F.col("_cap")
     new = F.when(F.col("_agreed").isNull(), F.col("threshold")).when(over, cap).otherwise(F.col("_agreed"))
@@ -266,7 +278,7 @@ def percentile_stretch(df: DataFrame, value: str, keys: Sequence[str], low: floa
     """Values clipped to two percentiles of their group (of the rows ``among``) and rescaled to 0..``scale``; truncated at 255."""
     keys = [*keys]
     seen = df if among is None else df.filter(among)
-    ends = percentiles(seen, value, keys, [low, high])
+    ends = told(percentiles(seen, value, keys, [low, high]))
     lo, hi = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     part = F.try_divide(F.least(F.greatest(F.col(value), lo), hi) - lo, hi - lo)
     made = F.coalesce(part, F.lit(0.0)) * F.lit(scale)

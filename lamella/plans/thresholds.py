@@ -137,7 +137,7 @@ SELECT m.cell_id AS cell_id, m.marker AS marker, round(coalesce(CASE WHEN share
   (mean >= coalesce(CASE WHEN share > ceil THEN p[CASE ceil WHEN 0.98 THEN 1 WHEN 0.9 THEN 2 WHEN 0.85 THEN 3 ELSE 4 END] ELSE a END, threshold))::INTEGER AS pos
 FROM fx_markers m JOIN guarded USING (core, slice_id, marker) LEFT JOIN sh USING (core, marker)""")
 def t8_consensus_threshold(d):
-    cells = d.fx_markers.join(cut(_guarded(d)), KEYS)
+    cells = d.fx_markers.join(T.told(_guarded(d)), KEYS)
     return T.consensus_threshold(cells).select("cell_id", "marker", F.round("threshold", 6).alias("threshold"), "pos")
 
 

@@ -388,3 +388,12 @@ def test_percentiles_of_chosen_groups(spark):
     chosen = spark.createDataFrame([(0, 3), (2, 0), (9, 2), (77, 1)], "g int, j int")
     some = {r.g: r["_p"] for r in T.percentiles(df, "v", ["g"], levels, chosen=chosen).collect()}
     assert some == {0: [every[0][3]], 2: [every[2][0]], 9: [every[9][2]]}
+
+
+def test_group_parameters_do_not_move_cells(spark):
+    """Cells meet their group's row by broadcast: no sort and no exchange by group comes between the scan and the counts."""
+    from lamella.operators import threshold as T
+
+    df = spark.range(4000).selectExpr("id % 3 AS core", "CAST(id % 1000 AS DOUBLE) AS v")
+    plan = T.percentiles(df, "v", ["core"], [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
