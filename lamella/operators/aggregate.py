@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lamella.functions.scalars import PIXEL_UM, SECTION_UM, ratio
+from lamella.operators.lineage import BROADCAST_GROUPS, broadcast_if_small, cut
 
 
 def label_stats(mask: DataFrame, keys: Sequence[str] = ("core", "slice_z"), label: str = "label") -> DataFrame:
@@ -138,7 +140,26 @@ def polygon_area(corners: np.ndarray) -> float:
 
 
 def hull_faces(points: np.ndarray) -> np.ndarray:
-    """Triangles (rows of three point numbers, outward) of the convex hull of 3-D points; none if they are coplanar."""
+    """Triangles (rows of three point numbers, outward) of the convex hull of 3-D points; none if they are coplanar.
+
+    The hull of the points farthest out in 26 directions comes first; points within it are no corners, and only the others are
+    looked at one by one.
+    """
+    if len(points) > 64:
+        ways = np.array([w for w in product((-1.0, 0.0, 1.0), repeat=3) if any(w)])
+        far = np.unique((points @ ways.T).argmax(axis=0))
+        inner = _faces(points[far])
+        if len(inner):
+            p, q, r = (points[far][inner[:, k]] for k in range(3))
+            normals = np.cross(q - p, r - p)
+            normals /= np.linalg.norm(normals, axis=1)[:, None]
+            apart = points @ normals.T - np.einsum("ij,ij->i", normals, p)
+            left = np.union1d(far, np.flatnonzero(apart.max(axis=1) > 1e-9 * float(np.ptp(points, axis=0).max())))
+            return left[_faces(points[left])]
+    return _faces(points)
+
+
+def _faces(points: np.ndarray) -> np.ndarray:
     n = len(points)
     if n < 4:
         return np.zeros((0, 3), dtype=int)
@@ -160,16 +181,38 @@ def hull_faces(points: np.ndarray) -> np.ndarray:
         return face if np.dot(np.cross(q - p, r - p), p - centre) > 0 else (face[0], face[2], face[1])
 
     faces = np.array([outward(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))])
-    for i in range(n):
-        corners = points[faces]
-        normals = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
-        seen = np.einsum("ij,ij->i", normals, points[i] - corners[:, 0]) > eps * np.linalg.norm(normals, axis=1)
-        if not seen.any():
-            continue
+    def distances(of: np.ndarray, faces: np.ndarray) -> np.ndarray:
+        p, q, r = (points[faces[:, k]] for k in range(3))
+        normals = np.cross(q - p, r - p)
+        normals /= np.maximum(np.linalg.norm(normals, axis=1), 1e-300)[:, None]
+        return points[of] @ normals.T - np.einsum("ij,ij->i", normals, p)
+
+    # The farthest point outside comes next, so that few points become corners only to be covered later.
+    left = np.arange(n)
+    apart = distances(left, faces)
+    while True:
+        most = apart.max(axis=1)
+        out = most > eps
+        if not out.any():
+            return faces
+        left, apart, most = left[out], apart[out], most[out]
+        i = int(most.argmax())
+        seen = apart[i] > eps
         edges = {(int(f[k]), int(f[(k + 1) % 3])) for f in faces[seen] for k in range(3)}
-        rim = [(p, q) for p, q in edges if (q, p) not in edges]
-        faces = np.vstack([faces[~seen], np.array([(p, q, i) for p, q in rim])])
-    return faces
+        rim = np.array([(p, q, left[i]) for p, q in edges if (q, p) not in edges])
+        faces = np.vstack([faces[~seen], rim])
+        apart = np.hstack([apart[:, ~seen], distances(left, rim)])
+        apart[i] = -1.0
+
+
+def line_ends(points: np.ndarray) -> np.ndarray:
+    """Points without those between two others on a line along an axis: these are no corners of a hull."""
+    for axis in range(points.shape[1]):
+        rest = [c for c in range(points.shape[1]) if c != axis]
+        points = points[np.lexsort([points[:, axis], *[points[:, c] for c in rest]])]
+        turn = np.flatnonzero((np.diff(points[:, rest], axis=0) != 0).any(axis=1))
+        points = points[np.unique(np.concatenate([[0], turn, turn + 1, [len(points) - 1]]))] if len(points) else points
+    return points
 
 
 def hull_volume(points: np.ndarray) -> float:
@@ -181,31 +224,50 @@ def hull_volume(points: np.ndarray) -> float:
     return float(np.einsum("ij,ij->i", np.cross(p - centre, q - centre), r - centre).sum() / 6)
 
 
+#: A task looks for corners among so many points at once.
+HULL_ROWS = 200_000
+
+
 def hull_measure(points: DataFrame, dims: Sequence[str], keys: Sequence[str] = ("core",), out: str = "measure") -> DataFrame:
     """Area (two ``dims``) or volume (three) of the convex hull per group; NULL for degenerate sets.
 
     Every partition first keeps the corners of its own points, as the hull of all is the hull of the parts' corners. So what
-    a group sends to one task is a few points from each partition, not its cells.
+    a group sends to one task is a few points from each partition, not its cells. Corners are carried from batch to batch.
     """
     dims, keys = [*dims], [*keys]
     needed = points.select(*keys, *[F.col(d).cast("double").alias(d) for d in dims]).dropna(subset=dims)
 
-    def corners(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(frame[dims].to_numpy(), axis=0)
+    def corners(parts: list[np.ndarray]) -> np.ndarray:
+        values = np.unique(np.concatenate(parts), axis=0)
         if len(dims) == 2:
-            kept = hull_points(values)
-        else:
-            faces = hull_faces(values)
-            kept = values[np.unique(faces)] if len(faces) else values
-        return pd.DataFrame(kept, columns=dims)
+            return hull_points(values)
+        values = line_ends(values)
+        faces = hull_faces(values)
+        return values[np.unique(faces)] if len(faces) else values
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        waiting = 0
+
+        def rows() -> pd.DataFrame:
+            found = [(key, corners(parts)) for key, parts in held.items()]
+            return pd.concat([pd.DataFrame(kept, columns=dims).assign(**dict(zip(keys, key)))[[*keys, *dims]] for key, kept in found])
+
         for frame in frames:
             for key, part in frame.groupby(keys, dropna=False, sort=False):
-                yield corners(part).assign(**dict(zip(keys, key)))[[*keys, *dims]]
+                held.setdefault(key, []).append(part[dims].to_numpy())
+            waiting += len(frame)
+            if waiting > HULL_ROWS and len(held) > 1000:
+                yield rows()
+                held.clear()
+            if waiting > HULL_ROWS:
+                held = {key: [corners(parts)] for key, parts in held.items()}
+                waiting = 0
+        if held:
+            yield rows()
 
     def final(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(frame[dims].to_numpy(), axis=0)
+        values = line_ends(np.unique(frame[dims].to_numpy(), axis=0))
         size = polygon_area(hull_points(values)) if len(dims) == 2 else hull_volume(values)
         return pd.DataFrame([[*key, None if np.isnan(size) else size]], columns=[*keys, out])
 
@@ -354,7 +416,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = (), lo
     """Counts of equal-width bins between a group's extremes (or given bounds); the last bin is closed. Empty bins are absent."""
     if low is None or high is None:
         ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-        df = df.join(ends, [*keys]) if keys else df.crossJoin(F.broadcast(ends))  # one row
+        df = df.join(broadcast_if_small(cut(ends), BROADCAST_GROUPS), [*keys]) if keys else df.crossJoin(F.broadcast(ends))  # one row
     else:
         df = df.withColumns({"lo": F.lit(float(low)), "hi": F.lit(float(high))}).filter(F.col(value).between(low, high))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)

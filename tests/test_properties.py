@@ -397,3 +397,24 @@ def test_group_parameters_do_not_move_cells(spark):
     df = spark.range(4000).selectExpr("id % 3 AS core", "CAST(id % 1000 AS DOUBLE) AS v")
     plan = T.percentiles(df, "v", ["core"], [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_hull_of_crowded_planes_keeps_few_corners():
+    """Points on the planes of a box are no corners, in whatever order they come; the volume is the box's."""
+    import numpy as np
+    from lamella.operators import aggregate as A
+
+    rng = np.random.default_rng(5)
+    box = np.array([[x, y, z * 4.5] for x in range(30) for y in range(30) for z in range(7)], dtype=float)[rng.permutation(6300)]
+    ends = A.line_ends(box)
+    assert len(ends) == 8 and abs(A.hull_volume(ends) - 29 * 29 * 27) < 1e-6 and abs(A.hull_volume(box) - 29 * 29 * 27) < 1e-6
+    assert len(np.unique(A.hull_faces(box))) < 100
+
+
+def test_pages_are_parsed_in_many_tasks(spark):
+    from lamella.sources import catalog as C
+
+    xml = spark.createDataFrame([(i, f"<P><Name>n{i}</Name><Fluor></Fluor></P>") for i in range(40)] + [(98, "<P><ImageType>Thumbnail</ImageType><Name>x</Name></P>"), (99, None)], "file_id long, xml string")
+    out = C.channel_metadata(xml)
+    assert sorted((r.file_id, r.Name, r.Fluor, r.Color) for r in out.collect()) == [(i, f"n{i}", None, None) for i in range(40)]
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
