@@ -29,17 +29,24 @@ def channel_metadata(xml: DataFrame, column: str = "xml", key: str = "file_id")
     """Channel rows of image descriptions: OME ``Channel`` elements, else one vendor document per page.
 
     Vendor pages count if ``ImageType`` is FullResolution or absent; channel_index is the order of pages (column ``page``,
-    if there is one). All values are text; absent ones are NULL.
+    if there is one). All values are text; absent ones are NULL. A text is parsed only for elements whose names stand in it,
+    and for ``Name`` always, so broken texts fail.
     """
     fields = ("Name", "ExposureTime", "ExposureTimeUnit", "IsUnmixedComponent", "Fluor", "Color")
     attributes = [F.xpath(column, F.lit(f"//*[local-name()='Channel']/@{f}")) for f in fields]
-    count = F.size(F.xpath(column, F.lit("//*[local-name()='Channel']/@Name")))
+    named = lambda name: F.contains(F.col(column), F.lit(name))
+    count = F.when(named("Channel"), F.size(F.xpath(column, F.lit("//*[local-name()='Channel']/@Name")))).when(F.col(column).isNotNull(), 0)
     ome = xml.withColumn("_n", count).filter("_n > 0").select(key, F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("channel_index", "_i"), column)
     of_ome = ome.select(key, "channel_index", *[F.get(a, F.col("_i")).alias(f) for a, f in zip(attributes, fields)])
-    text = lambda f: F.xpath_string(column, F.lit(f"//{f}"))
+    parsed = lambda f: F.xpath_string(column, F.lit(f"//{f}"))
+    text = lambda f: parsed(f) if f == "Name" else F.when(named(f), parsed(f)).otherwise("")
     pages = xml.withColumn("_n", count).filter("_n = 0").withColumn("_type", text("ImageType")).filter("_type IN ('', 'FullResolution')")
     order = Window.partitionBy(key).orderBy("page" if "page" in xml.columns else F.lit(0))
-    of_pages = pages.select(key, (F.row_number().over(order) - 1).alias("channel_index"), *[F.nullif(text(f), F.lit("")).alias(f) for f in fields])
+    # Few bytes need long parsing: dealt by a given number, which Spark does not merge by size. The parsing comes after the deal.
+    pages = pages.repartition(int(xml.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # Values have a step of their own: a text is parsed once for each, not again where an empty one becomes NULL.
+    values = pages.select(key, (F.row_number().over(order) - 1).alias("channel_index"), *[text(f).alias(f) for f in fields])
+    of_pages = values.select(key, "channel_index", *[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields])
     return of_ome.unionByName(of_pages)
 
 
