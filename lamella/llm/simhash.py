@@ -170,11 +170,12 @@ def segment_prints(hashes: np.ndarray, similarity: float = 0.8, classes: int = C
     return np.concatenate(keys) if keys else np.zeros(0, dtype="<u8")
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, segments: int = 32) -> DataFrame:
     """Edges ``(a, b)`` between nodes of ``docs(node, text)`` whose sets of shingles have at least that Jaccard similarity.
 
-    Rows of one node have one text. Candidates share a fingerprint of a class of shingles (see ``segment_prints``): the
-    embedding has a segment for each class, and candidates are those at distance 0 in one of them. Of a shared fingerprint
+    Rows of one node have one text. Whole-text fingerprints meet on the grid of segment popcounts, within 2 bits (see
+    ``links``); texts of 0.8 mostly lie farther apart, so candidates also share a fingerprint of a class of shingles (see
+    ``segment_prints``). Of a shared fingerprint
     every member is held against the smallest one, and so it is within the members whose whole-text fingerprints begin
     alike: work is linear in a group's size. All candidates are verified on their whole texts.
     """
@@ -184,19 +185,26 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             at, keys, places = [], [], []
             for i, text in enumerate(batch.column(1)):
                 hashes = shingle_hashes(text.as_py(), shingle)
-                place = majority(hashes) >> 48
+                place = np.array([majority(hashes)], dtype="<u8").view("<i8")[0]
                 own = segment_prints(np.unique(hashes), similarity)
                 at.append(np.full(len(own), i)), keys.append(own), places.append(np.full(len(own), place))
             columns = [np.concatenate(c) if c else np.zeros(0) for c in (at, keys, places)]
             nodes = batch.column(0).take(pa.array(columns[0].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(columns[1].astype("<u8").view("<i8")), pa.array(columns[2].astype(np.int32))], names=["node", "cell", "place"])
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(columns[1].astype("<u8").view("<i8")), pa.array(columns[2].astype("<i8"))], names=["node", "cell", "fp"])
 
     kind = docs.schema["node"].dataType.simpleString()
-    cells = stored(docs.select("node", "text").mapInArrow(emit, f"node {kind}, cell bigint, place int").distinct(), "simhash-classes")
+    cells = stored(docs.select("node", "text").mapInArrow(emit, f"node {kind}, cell bigint, fp bigint").distinct(), "simhash-classes")
     # Aggregates are stored before they are joined, so that both sides are dealt anew and a hot group can be split.
     shared = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
-    split = F.array(F.xxhash64("cell"), F.xxhash64("cell", F.shiftright("place", 8)), F.xxhash64("cell", F.col("place").bitwiseAND(F.lit(255)), F.lit(1)))
-    keyed = stored(cells.join(broadcast_if_small(shared, BROADCAST_CELLS), "cell", "left_semi").select("node", F.explode(split).alias("key")), "simhash-shared")
+    high = F.shiftrightunsigned("fp", 56)
+    split = F.array(F.xxhash64("cell"), F.xxhash64("cell", high), F.xxhash64("cell", F.shiftrightunsigned("fp", 48).bitwiseAND(F.lit(255)), F.lit(1)))
+    by_class = cells.join(broadcast_if_small(shared, BROADCAST_CELLS), "cell", "left_semi").select("node", F.explode(split).alias("key"))
+    whole = cut(cells.select("node", "fp").distinct())
+    near = cut(links(whole, segments))
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64("a", "b").alias("key"))
+    alike = whole.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.xxhash64("fp", F.lit("alike")).alias("key"))
+    by_grid = whole.join(ends.unionByName(alike), "fp").select("node", "key")
+    keyed = stored(by_class.unionByName(by_grid), "simhash-shared")
     least = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-least")
     pairs = stored(keyed.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "simhash-candidates")
 

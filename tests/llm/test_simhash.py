@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 from lamella.llm import simhash
 
@@ -141,3 +142,18 @@ def test_the_grid_is_dealt_over_all_tasks(spark):
     prints = spark.range(100).select(simhash.F.xxhash64("id").alias("fp"))
     plan = simhash.in_cells(prints, 32)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_links_that_only_the_grid_finds(spark):
+    """Two texts of a similarity of 5 in 6 whose classes share no fingerprint, but whose whole fingerprints are equal."""
+    def keys(text):
+        return set(simhash.segment_prints(np.unique(simhash.shingle_hashes(text, 5))).tolist())
+
+    for i in range(20000):
+        one = " ".join([f"w{i} x{i} y{i} z{i} v{i}"] * 20)
+        if not keys(one) & keys(one + " end"):
+            break
+    assert not keys(one) & keys(one + " end")
+    assert simhash.fingerprint(one, 5) == simhash.fingerprint(one + " end", 5)
+    docs = spark.createDataFrame([("1", one), ("2", one + " end"), ("3", "nothing like these two at all, not in one word")], "node string, text string")
+    assert [tuple(sorted(r)) for r in simhash.similar_links(docs).collect()] == [("1", "2")]
