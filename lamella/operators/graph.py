@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lamella.functions.scalars import ratio
@@ -13,6 +16,8 @@ from lamella.operators.lineage import cut
 from lamella.operators.project import with_params
 
 
+#: Components of so many nodes and edges at most are severed as a whole in a task.
+WHOLE = 32_768
 #: Copies of a node's minimum in the joins of a round. They keep an exchange on both sides, so that a hub's edges are dealt
 #: over several tasks and can be split further at run time.
 SALTS = 2
@@ -60,28 +65,109 @@ def sever_components(nodes: DataFrame, edges: DataFrame, max_span: int | Mapping
     """Components of at most ``max_span`` sections: ``(node, component)`` for ``nodes(node, z)``, ``edges(a, b, weight)``.
 
     While a component is longer all its edges of smallest weight are cut at once and it is searched again. Components that
-    fit leave the loop with their nodes, each round's in a part of its own, so rounds get smaller; a component without
-    edges stays as it is. ``max_span`` may map the nodes' ``key`` (such as a channel, ``other_span`` for any other) to its
-    own limit; the largest limit of a component's nodes holds.
+    fit leave the loop with their nodes, and so do those of at most ``WHOLE`` nodes and edges, which a task cuts to the end;
+    only larger ones are cut by rounds of joins. A component without edges stays as it is. ``max_span`` may map the nodes'
+    ``key`` (such as a channel, ``other_span`` for any other) to its own limit; the largest limit of a component's nodes holds.
     """
     given = isinstance(max_span, Mapping)
     limited = nodes.select("node", "z", *([key] if given else []))
     limited = with_params(limited, max_span, key, "most", other_span).drop(key) if given else limited.withColumn("most", F.lit(max_span))
-    rest_nodes, rest_edges = cut(limited), edges.select("a", "b", "weight")
-    labels = cut(connected_components(nodes, edges))
+    rest_nodes, rest_edges = cut(limited), cut(edges.select("a", "b", "weight"))
+    labels = connected_components(rest_nodes, rest_edges)
+    whole = WHOLE if isinstance(rest_nodes.schema["node"].dataType, T.AtomicType) else 0
     done = None
     while True:
         placed = cut(rest_nodes.join(labels, "node"))
-        long = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"), F.max("most").alias("most")).filter("span > most").select("component")
-        inner = cut(rest_edges.join(placed.select(F.col("node").alias("a"), "component"), "a").join(long, "component", "left_semi"))
-        open_ = cut(inner.groupBy("component").agg(F.min("weight").alias("_least")))
+        long = placed.groupBy("component").agg((F.max("z") - F.min("z") + 1).alias("span"), F.max("most").alias("most"), F.count("*").alias("_n")).filter("span > most").select("component", "_n")
+        inner = cut(rest_edges.join(placed.select(F.col("node").alias("a"), "component"), "a").join(long, "component"))
+        open_ = cut(inner.groupBy("component").agg(F.min("weight").alias("_least"), F.greatest(F.count("*"), F.max("_n")).alias("_size")))
         fits = placed.join(open_.select("component"), "component", "left_anti").select("node", "component")
         done = fits if done is None else done.unionByName(fits)
-        if open_.isEmpty():
+        sizes = open_.agg(F.min("_size").alias("least"), F.max("_size").alias("most")).first()
+        if sizes["most"] is None:
             return done
-        rest_edges = cut(inner.join(open_, "component").filter("weight > _least").select("a", "b", "weight"))
-        rest_nodes = placed.join(open_.select("component"), "component", "left_semi").select("node", "z", "most")
-        labels = cut(connected_components(rest_nodes, rest_edges))
+        if sizes["least"] <= whole:
+            done = done.unionByName(_severed_whole(placed, inner, open_.filter(F.col("_size") <= whole).select("component")))
+        if sizes["most"] <= whole:
+            return done
+        large = open_.filter(F.col("_size") > whole)
+        rest_edges = cut(inner.join(large, "component").filter("weight > _least").select("a", "b", "weight"))
+        rest_nodes = placed.join(large.select("component"), "component", "left_semi").select("node", "z", "most")
+        labels = connected_components(rest_nodes, rest_edges)
+
+
+def _severed_whole(placed: DataFrame, inner: DataFrame, small: DataFrame) -> DataFrame:
+    """``(node, component)`` of the components in ``small``, a row of lists each, after all their cuts."""
+    members = placed.join(small, "component", "left_semi").groupBy("component").agg(F.collect_list(F.struct("node", "z", "most")).alias("_nodes"))
+    lines = inner.join(small, "component", "left_semi").groupBy("component").agg(F.collect_list(F.struct("a", "b", "weight")).alias("_edges"))
+    kind = placed.schema["node"].dataType.simpleString()
+
+    def severed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, edges in zip(batch.column("_nodes"), batch.column("_edges")):
+                ids, z, most = (nodes.values.field(c) for c in ("node", "z", "most"))
+                a, b, weight = (edges.values.field(c) for c in ("a", "b", "weight"))
+                named = _pieces(*(c.to_pylist() for c in (ids, z, most, a, b, weight)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(named, ids.type)], names=["node", "component"])
+
+    return members.join(lines, "component").select("_nodes", "_edges").mapInArrow(severed, f"node {kind}, component {kind}")
+
+
+def _pieces(ids: list, z: list, most: list, a: list, b: list, weight: list) -> list:
+    """The smallest id of each node's piece of one component, after all cuts.
+
+    The edges are joined from the heaviest weight down, so a component of the edges above a weight is a branch of a tree.
+    Cuts go down that tree from its root, so a node's piece is the highest branch around it that fits, or itself.
+    """
+    known = {v: i for i, v in enumerate(sorted({*ids, *a, *b}))}
+    names = list(known)
+    # Of each branch: first and last section, limit, smallest member; what it is part of. Nodes without a section count for none.
+    first, last, limit = ([v] * len(names) for v in (math.inf, -math.inf, -math.inf))
+    for i, at, most_ in zip(map(known.get, ids), z, most):
+        if at is not None:
+            first[i], last[i] = (first[i], math.inf) if at != at else (min(first[i], at), max(last[i], at))
+        if most_ is not None:
+            limit[i] = max(limit[i], most_)
+    least, above = [*range(len(names))], [*range(len(names))]
+    root, parts = [*range(len(names))], set()  # from a node to a branch, shortened on the way; what is no branch of its own
+    # Edges without a weight go at the first cut; NaN is the largest weight.
+    given = [w for w in weight if w is not None and w == w]
+    lowest = min(given) if given else math.nan
+    order: dict[object, list[tuple[int, int]]] = {}
+    for u, v, w in zip(a, b, weight):
+        w = lowest if w is None else w
+        order.setdefault("nan" if w != w else w, []).append((known[u], known[v]))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for w in sorted(order, key=lambda w: (w == "nan", 0 if w == "nan" else w), reverse=True):
+        fresh = len(root)
+        for u, v in order[w]:
+            u, v = top(u), top(v)
+            if u == v:
+                continue
+            u, v = max(u, v), min(u, v)
+            if v >= fresh:  # both are parts of one branch, whose edges weigh the same
+                parts.add(v)
+            if u < fresh:  # two branches of heavier edges: a new one holds both
+                u, v = len(root), (u, v)
+                for column, value in ((first, math.inf), (last, -math.inf), (limit, -math.inf), (least, len(names)), (above, u), (root, u)):
+                    column.append(value)
+            else:
+                v = (v,)
+            for part in v:
+                first[u], last[u], limit[u], least[u] = min(first[u], first[part]), max(last[u], last[part]), max(limit[u], limit[part]), min(least[u], least[part])
+                above[part] = root[part] = u
+    piece: list[int | None] = [None] * len(root)
+    for i in reversed(range(len(root))):
+        over = above[i]
+        fits = i not in parts and (limit[i] == -math.inf or last[i] - first[i] + 1 <= limit[i])
+        piece[i] = piece[over] if over != i and piece[over] is not None else i if fits or i < len(names) else None
+    return [names[least[piece[known[v]]]] for v in ids]
 
 
 def assign_cell_ids(labels: DataFrame, keys: Sequence[str] = ("core",)) -> DataFrame:
