@@ -352,19 +352,87 @@ def permuted(index: np.ndarray, n: int, perms: np.ndarray, seed: int, rounds: in
     half = max(4, (max(int(n) - 1, 1).bit_length() + 1) // 2)
     mask, mixed = np.uint64((1 << half) - 1), np.uint64(0x9E3779B97F4A7C15)
     salts = [(perms.astype(np.uint64) * np.uint64(rounds) + np.uint64(r + 1)) * mixed + np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64)) for r in range(rounds)]
-    out = np.repeat(index.astype(np.uint64)[:, None], len(perms), axis=1)
-    todo = np.ones(out.shape, dtype=bool)
-    salts = [np.broadcast_to(s, out.shape) for s in salts]
-    while todo.any():
-        x = out[todo]
-        left, right = x >> np.uint64(half), x & mask
+
+    def once(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        left, right, z, shifted = x >> np.uint64(half), x & mask, np.empty_like(x), np.empty_like(x)
         for salt in salts:
-            z = (right + salt[todo]) * np.uint64(0xFF51AFD7ED558CCD)
-            z = (z ^ z >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
-            left, right = right, left ^ (z >> np.uint64(40) & mask)
-        out[todo] = left << np.uint64(half) | right
-        todo &= out >= np.uint64(n)
-    return out.astype(np.int64)
+            np.add(right, salt[at], out=z)
+            z *= np.uint64(0xFF51AFD7ED558CCD)
+            z ^= np.right_shift(z, np.uint64(29), out=shifted)
+            z *= np.uint64(0xC4CEB9FE1A85EC53)
+            z >>= np.uint64(40)
+            z &= mask
+            z ^= left
+            left, right, z = right, z, left
+        left <<= np.uint64(half)
+        left |= right
+        return left
+
+    out = np.empty((len(index), len(perms)), dtype=np.uint64)
+    step = max(1, 32_768 // max(1, len(perms)))  # so few that they stay in a core's own memory
+    for first in range(0, len(index), step):
+        some = np.ascontiguousarray(np.broadcast_to(index[first : first + step].astype(np.uint64)[:, None], out[first : first + step].shape))
+        some = once(some, slice(None)).reshape(-1)
+        beyond = np.flatnonzero(some >= np.uint64(n))
+        while len(beyond):
+            again = once(some[beyond], beyond % len(perms))
+            some[beyond] = again
+            beyond = beyond[again >= np.uint64(n)]
+        out[first : first + step] = some.reshape(-1, len(perms))
+    return out.view(np.int64)
+
+
+def _dealt_types(numbers: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Types of the cells of these numbers under ``n`` permutations, a row for each cell; ``bounds`` are running counts of types."""
+    out = np.empty((len(numbers), n), dtype=np.uint8 if len(bounds) < 256 else np.int32)
+    step = max(1, 500_000 // max(1, len(numbers)))
+    for first in range(0, n, step):
+        places = permuted(numbers, int(bounds[-1]), np.arange(first, min(n, first + step)), seed)
+        if len(bounds) > 32:
+            out[:, first : first + step] = np.searchsorted(bounds, places, side="right")
+        else:
+            out[:, first : first + step] = sum((places >= b for b in bounds[:-1]), np.zeros(places.shape, dtype=np.uint8))
+    return out
+
+
+def _counted(near: np.ndarray, mine: np.ndarray, theirs: np.ndarray, width: int) -> np.ndarray:
+    """Near pairs by type of each end under every permutation: (permutations, width, width).
+
+    ``near`` holds 0 and 1, ``mine`` and ``theirs`` the types of its rows and columns, a column for each permutation. Counts of
+    several types share a column of the product while their digits fit a single precision number, which keeps them exact;
+    the last type's counts are what the others leave.
+    """
+    degree = near.sum(axis=1, dtype=np.float64).astype(np.float32)
+    bits = max(1, int(degree.max(initial=0)).bit_length())
+    if bits > 24:
+        raise ValueError("a block meets too many cells at once")
+    shared = max(1, 24 // bits)
+    columns = [range(t, min(t + shared, width - 1)) for t in range(0, width - 1, shared)]
+    worth = np.zeros((len(columns), width), dtype=np.float32)
+    for c, held in enumerate(columns):
+        for k, t in enumerate(held):
+            worth[c, t] = 2.0 ** (bits * k)
+    total = np.zeros((mine.shape[1], width, width), dtype=np.int64)
+    step = max(1, 400_000 // max(1, len(mine), len(theirs)))
+    for first in range(0, mine.shape[1], step):
+        own, other = mine[:, first : first + step], theirs[:, first : first + step]
+        bears = [own == s for s in range(width)]
+        rest = np.repeat(degree[:, None], own.shape[1], axis=1)
+
+        def add(t: int, found: np.ndarray) -> None:
+            for s, is_s in enumerate(bears):
+                total[first : first + step, s, t] = np.einsum("ip,ip->p", found, is_s, dtype=np.float64)  # noqa: B023
+
+        for c, held in enumerate(columns):
+            found = near @ worth[c][other]
+            for k in reversed(range(len(held))):
+                digit = np.floor(found * np.float32(2.0 ** (-bits * k))) if k else found
+                if k:
+                    found = found - digit * np.float32(2.0 ** (bits * k))
+                rest -= digit
+                add(held[k], digit)
+        add(width - 1, rest)
+    return total
 
 
 def permutation_null(cells: DataFrame, graph: DataFrame, n: int = 1000, seed: int = 42, keys: Sequence[str] = ("core",), item: str = "cell_id", dims: Sequence[str] = ()) -> DataFrame:
@@ -416,12 +484,14 @@ def permutation_null_within(cells: DataFrame, radius: float, dims: Sequence[str]
     """As ``permutation_null`` on the graph of cells within ``radius``, whose pairs are never rows; the same permutations.
 
     Blocks of cells meet as matrices: nearness times the types borne under some permutations gives each cell's neighbours of
-    every type under each of them. A block's types are worked out once while it stays among the last 64 MB of a task.
+    every type under each of them (see ``_counted``). Nearness to some of the blocks met is laid side by side first. The types
+    observed are counted on the way. A block's types are worked out once while it stays among the last 128 MB of a task.
     """
     keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
-    listed = _listed(cells, keys)
-    sited = cells.join(numbered(cells, keys, item, dims), [*keys, item])
-    met = _meetings(sited, radius, dims, keys, item, ["_i"], half=True, told=listed.select(*keys, "_counts"))
+    listed = cut(_listed(cells, keys))
+    named = cells.join(listed, [*keys]).withColumn("_type", F.coalesce(F.array_position("_types", F.col("cell_type")) - 1, F.lit(-1)).cast("int"))
+    sited = named.select(*cells.columns, "_type").join(numbered(cells, keys, item, dims), [*keys, item])
+    met = _meetings(sited, radius, dims, keys, item, ["_i", "_type"], half=True, told=listed.select(*keys, "_counts"))
     kind = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
     places = [*[f"_b{i}" for i in range(len(dims))], "_k"]
 
@@ -429,58 +499,61 @@ def permutation_null_within(cells: DataFrame, radius: float, dims: Sequence[str]
         sums: dict[tuple, np.ndarray] = {}
         kept: OrderedDict[tuple, np.ndarray] = OrderedDict()
         mine, own_types, kinds = [], np.zeros((0, 0)), []
+        # Nearness of the block's cells to those of other blocks, those cells' types and types observed, not counted yet.
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def types_of(at: tuple, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             if at in kept:
                 kept.move_to_end(at)
                 return kept[at]
-            out = np.empty((len(numbers), n), dtype=np.uint8 if len(bounds) < 256 else np.int32)
-            step = max(1, 500_000 // len(numbers))
-            for first in range(0, n, step):
-                perms = np.arange(first, min(n, first + step))
-                out[:, perms] = np.searchsorted(bounds, permuted(numbers, int(bounds[-1]), perms, seed), side="right")
-            kept[at] = out
-            while len(kept) > 1 and sum(v.nbytes for v in kept.values()) > 64_000_000:
+            kept[at] = _dealt_types(numbers, bounds, n, seed)
+            while len(kept) > 1 and sum(v.nbytes for v in kept.values()) > 128_000_000:
                 kept.popitem(last=False)
-            return out
+            return kept[at]
+
+        def add(total: np.ndarray, own: bool) -> None:
+            near, types, seen = (np.concatenate(x, axis=i) for x, i in zip(zip(*waiting), (1, 0, 0)))
+            waiting.clear()
+            width = total.shape[1]
+            found = np.concatenate([_counted(near, own_types, types, width), np.zeros((1, width, width), dtype=np.int64)])
+            around = near @ (seen[:, None] == np.arange(width)).astype(np.float32)
+            for s in range(width):
+                found[n, s] = around[mine[2] == s].sum(axis=0, dtype=np.float64)
+            total += found if own else found + found.transpose(0, 2, 1)
 
         def rows() -> pa.RecordBatch:
             out = [(*key, s, d, total[:, s, d]) for key, total in sums.items() for s in range(total.shape[1]) for d in range(total.shape[1])]
             types = [*kinds, pa.int32(), pa.int32(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*keys, "_s", "_d", "n_pairs"])
 
+        total = np.zeros((0, 0, 0), dtype=np.int64)
         for batch in batches:
             kinds = [batch.schema.field(k).type for k in keys]
-            for (own, counts, *at), met_ in _unpacked([batch], ["_own", "_counts", *keys, *places], ["_item", "_i", *xs]):
+            for (own, counts, *at), met_ in _unpacked([batch], ["_own", "_counts", *keys, *places], ["_item", "_i", "_type", *xs]):
                 key, bounds = tuple(at[: len(keys)]), np.cumsum(counts)
-                width = len(bounds)
-                types = types_of(tuple(at), met_[1], bounds)
-                if own:
-                    mine, own_types = met_, types
+                if waiting and (own or sum(w[0].shape[1] for w in waiting) + len(met_[0]) > 2 * BLOCK):
+                    add(total, False)
                 if key not in sums and len(sums) >= 32:
                     yield rows()
                     sums.clear()
-                total = sums.setdefault(key, np.zeros((n, width, width), dtype=np.int64))
-                near = np.concatenate([close for _, _, close in _squares(mine[2:], met_[2:], mine[0], met_[0], most)])
-                a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                if not len(a):
-                    continue
-                near = near[np.ix_(a, b)].astype(np.float32)
-                step = max(1, 1_000_000 // (max(len(a), len(b)) * width))
-                for first in range(0, n, step):
-                    perms = slice(first, min(n, first + step))
-                    bears = (types[b, perms][:, :, None] == np.arange(width)).astype(np.float32)
-                    found = (near @ bears.reshape(len(b), -1)).reshape(len(a), -1, width)
-                    for s in range(width):
-                        counted = np.einsum("ip,ipt->pt", (own_types[a, perms] == s).astype(np.float32), found).astype(np.int64)
-                        total[perms, s] += counted
-                        if not own:
-                            total[perms, :, s] += counted
+                total = sums.setdefault(key, np.zeros((n + 1, len(bounds), len(bounds)), dtype=np.int64))
+                if own:
+                    mine, own_types = met_, types_of(tuple(at), met_[1], bounds)
+                near = np.concatenate([close for _, _, close in _squares(mine[3:], met_[3:], mine[0], met_[0], most)])
+                some = np.flatnonzero(near.any(axis=0))
+                if len(some):
+                    waiting.append((near[:, some].astype(np.float32), types_of(tuple(at), met_[1], bounds)[some], met_[2][some]))
+                if own and waiting:
+                    add(total, True)
+        if waiting:
+            add(total, False)
         if sums:
             yield rows()
 
-    part = met.mapInArrow(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>")
-    return _exceeded(cut(part), listed, observed_within(cells, radius, dims, keys, item), n, keys)
+    part = cut(met.mapInArrow(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>"))
+    counted = part.groupBy(*keys, "_s", "_d").agg(F.sum(F.element_at("n_pairs", n + 1)).alias("n_pairs"))
+    counts = counted.join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
+    return _exceeded(part.withColumn("n_pairs", F.slice("n_pairs", 1, n)), listed, _over_grid(cells, counts, keys), n, keys)
 
 
 def _exceeded(part: DataFrame, listed: DataFrame, seen: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:

@@ -39,3 +39,26 @@ def test_permutations_agree_with_those_of_a_graph(spark, cells, monkeypatch):
     rounded = lambda df: sorted((*r[:3], *[round(v, 6) for v in r[3:]]) for r in df.collect())
     assert rounded(S.permutation_null_within(placed, 15, DIMS, 50)) == rounded(S.permutation_null(placed, graph, 50, dims=DIMS))
     assert rounded(S.exact_interactions(placed, DIMS, 15, 1).drop("z_score")) == rounded(S.exact_null(placed, graph).drop("z_score"))
+
+
+def test_permutations_and_observed_types_share_one_meeting(spark, cells, monkeypatch):
+    """Pairs are met once; counts that share a number are told apart, in blocks of any size and for any number of types."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    met, meetings = [], S._meetings
+    monkeypatch.setattr(S, "_meetings", lambda *a, **k: met.append(1) or meetings(*a, **k))
+    got = {(r.core, r.src_type, r.tgt_type): r.observed for r in S.permutation_null_within(cells, 15, DIMS, 20).collect()}
+    assert len(met) == 1
+    types = {r.cell_id: r.cell_type for r in cells.collect()}
+    sources = {(r.core, r.cell_type): r.n for r in cells.groupBy("core", "cell_type").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    pairs = [(core, types[a], types[b]) for core, a, b in near(cells, DIMS, 15)]
+    assert {k: pytest.approx(pairs.count(k) / sources[k[:2]]) for k in got} == got
+
+
+@pytest.mark.parametrize("rows,columns,width,dense", [(50, 60, 1, 0.5), (40, 70, 5, 0.4), (7, 3000, 5, 1.0), (30, 9000, 3, 1.0), (20, 40, 40, 0.5), (5, 6, 3, 0.0)])
+def test_counts_that_share_a_number_are_exact(rows, columns, width, dense):
+    rng = np.random.default_rng(5)
+    nearby = (rng.random((rows, columns)) < dense).astype(np.float32)
+    mine, theirs = rng.integers(0, width, (rows, 9)), rng.integers(0, width, (columns, 9))
+    got = S._counted(nearby, mine, theirs, width)
+    want = [[[nearby[mine[:, p] == s][:, theirs[:, p] == t].sum(dtype=np.int64) for t in range(width)] for s in range(width)] for p in range(9)]
+    assert (got == np.array(want)).all()
