@@ -174,9 +174,10 @@ def assign_cell_ids(labels: DataFrame, keys: Sequence[str] = ("core",)) -> DataF
     """Dense 3-D ids from 1 within each group, in the order of the smallest member; ``labels(keys, node, component)``.
 
     Components are dealt over tasks by ranges of (keys, smallest member) and numbered within their share; the shares before
-    are counted and added, so no task sorts a group. The shares are written down first: a second deal may differ.
+    are counted and added, so no task sorts a group. The shares are written down first: a second deal may differ. So are
+    the labels, which would be worked out for the sample of ranges, for the shares and for the result.
     """
-    keys = [*keys]
+    keys, labels = [*keys], cut(labels)
     firsts = labels.groupBy(*keys, "component").agg(F.min("node").alias("_first"))
     dealt = cut(firsts.repartitionByRange(*keys, "_first").withColumn("_share", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)

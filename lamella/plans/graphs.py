@@ -37,6 +37,8 @@ def j4_overlap_runs(d):
 
 #: A label's place as one number, without collisions below 2^17 cores, 2^14 sections and 2^32 labels.
 NODE = "(({core} * 16384 + {z}) * 4294967296 + {label})"
+#: The core of a node, read off its number.
+CORE = "shiftright(node, 46)"
 
 
 def node_id(core: str, z: str, label: str):
@@ -86,7 +88,7 @@ def g3_sever_components(d):
 @query(f"WITH {SEVERED}, f AS (SELECT core, component, min(node) AS first FROM c{CUTS} JOIN nodes USING (node) GROUP BY 1, 2), k AS (SELECT core, component, row_number() OVER (PARTITION BY core ORDER BY first) AS cell_id_3d FROM f) SELECT core, node, component, cell_id_3d FROM c{CUTS} JOIN nodes USING (node) JOIN k USING (core, component)")
 def g4_assign_cell_ids(d):
     nodes, lines = graph(d)
-    labels = G.sever_components(nodes, lines, 5).join(nodes.select("node", "core"), "node")
+    labels = G.sever_components(nodes, lines, 5).withColumn("core", F.expr(CORE))
     return G.assign_cell_ids(labels)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 
@@ -74,3 +75,15 @@ def test_many_cuts_take_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {v: min(v, 37) for v in range(40)}
     assert jobs < 150, jobs
+
+
+def test_dense_ids_work_labels_out_once(spark):
+    """Labels that differ each time they are worked out still meet their own ids."""
+
+    def named(frames):
+        for frame in frames:
+            yield frame.assign(component=[uuid.uuid4().int >> 65 for _ in range(len(frame))])
+
+    labels = spark.range(40).selectExpr("id % 2 AS core", "id AS node").mapInPandas(named, "core long, node long, component long")
+    got = sorted((r.core, r.cell_id_3d, r.node) for r in G.assign_cell_ids(labels).collect())
+    assert got == [(core, i + 1, 2 * i + core) for core in (0, 1) for i in range(20)]
