@@ -13,8 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from lamella.operators import places as crowd
 from lamella.operators.lineage import cut
 
 
@@ -51,6 +54,12 @@ def _farthest(radius: float) -> float:
     return most
 
 
+def _sited(points: DataFrame, dims: Sequence[str], item: str) -> DataFrame:
+    """Points with an id and a finite place: only they can be near others."""
+    finite = [(F.col(d).cast("double") > -math.inf) & (F.col(d).cast("double") < math.inf) for d in dims]
+    return points.filter(reduce(lambda p, q: p & q, finite, F.col(item).isNotNull()))
+
+
 def _meetings(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], item: str, extra: Sequence[str] = (), half: bool = False, told: DataFrame | None = None) -> DataFrame:
     """Blocks of cells, each followed by the blocks that may hold cells within ``radius`` of its own.
 
@@ -60,7 +69,7 @@ def _meetings(points: DataFrame, radius: float, dims: Sequence[str], keys: Seque
     leaves out meetings of a block with one before it. Cells without an id or a place meet nobody.
     """
     xs, tile = [f"_x{i}" for i in range(len(dims))], [f"_b{i}" for i in range(len(dims))]
-    known = points.filter(reduce(lambda p, q: p & q, [F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double")) for d in dims], F.col(item).isNotNull()))
+    known = _sited(points, dims, item)
     width = float(radius)
     filled = known.groupBy(*keys, *[_bucket(d, width) for d in dims]).agg(F.count("*").alias("_n")).agg(F.avg("_n")).first()[0]
     while filled is not None and filled < FILLED and width < radius * 64:
@@ -85,6 +94,64 @@ def _meetings(points: DataFrame, radius: float, dims: Sequence[str], keys: Seque
     return met.repartitionByRange(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, F.desc("_own"))
 
 
+#: Crowded cells are worked off in tiles of so many radii, each with the cells around it.
+SPAN = 3
+#: A tile with more cells or places than this, those around it left out, is not worked off at once.
+MOST_CELLS, MOST_PLACES = 2_000_000, 1_000_000
+
+
+def _crowded(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], item: str, pair: float, run: float, place: float) -> int:
+    """The number of tiles if rows of places (see ``places``) are less work than pairs of cells, else 0.
+
+    ``pair`` is the work of a pair of cells in blocks, ``run`` that of a place and a row near it, ``place`` that of a place. Ids
+    that stand at several cells of a group are told apart in pairs of cells only.
+    """
+    if not radius > 0:
+        return 0
+    width = float(radius) * SPAN
+    rows = F.struct(*[F.col(d).cast("double") for d in dims[1:]]) if len(dims) > 1 else F.lit(0)
+    known = _sited(points, dims, item)
+    tiles = known.groupBy(*keys, *[_bucket(d, width).alias(f"_b{i}") for i, d in enumerate(dims)]).agg(F.count("*").cast("double").alias("_n"), F.approx_count_distinct(F.col(dims[0]).cast("double")).alias("_x"), F.approx_count_distinct(rows).alias("_r"))
+    grid = F.col("_x") * F.col("_r")
+    found = tiles.agg(F.count("*").alias("tiles"), F.sum(F.col("_n") * F.col("_n")).alias("pairs"), F.sum(grid * (F.col("_r") * run + place)).alias("runs"), F.max("_n").alias("cells"), F.max(grid).alias("places")).first()
+    if not found["tiles"] or found["pairs"] * (3 / SPAN) ** len(dims) * pair <= found["runs"] or found["cells"] > MOST_CELLS or found["places"] > MOST_PLACES:
+        return 0
+    repeated = known.groupBy(*keys, item).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return found["tiles"] if repeated.isEmpty() else 0
+
+
+def _tiled(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], extra: Sequence[str], told: DataFrame, tiles: int, half: bool = False) -> DataFrame:
+    """Rows of each tile one after the other: its group's ``_counts`` of ``told``, its own blocks of points, those next to it.
+
+    Columns: keys, the tile ``_t*``, ``_part`` (0, 1 or 2 for the three), ``_counts``, and arrays ``_x*`` and ``extra`` of a block, which
+    is a little over ``radius`` wide; a tile has ``SPAN`` blocks a dimension. With ``half`` blocks below the tile in the last
+    dimension are left out.
+    """
+    width, names, lists = float(radius) * 1.001, [f"_t{i}" for i in range(len(dims))], [*[f"_x{i}" for i in range(len(dims))], *extra]
+    blocked = points.groupBy(*keys, *[_bucket(d, width).alias(f"_b{i}") for i, d in enumerate(dims)]).agg(F.collect_list(F.struct(*[F.col(d).cast("double").alias(f"_x{i}") for i, d in enumerate(dims)], *extra)).alias("_c"))
+    placed = blocks = cut(blocked.select(*keys, *[f"_b{i}" for i in range(len(dims))], *[F.col("_c").getField(c).alias(c) for c in lists]))
+    of = lambda i, step: F.floor((F.col(f"_b{i}") + step) / SPAN).cast("long")
+    for i, t in enumerate(names):
+        placed = placed.withColumn(t, F.explode(F.sequence(of(i, -1), of(i, 0 if half and i == len(dims) - 1 else 1))))
+    own = reduce(lambda p, q: p & q, [F.col(t) == of(i, 0) for i, t in enumerate(names)])
+    around = placed.select(*keys, *names, F.when(own, 1).otherwise(2).alias("_part"), F.lit(None).cast(told.schema["_counts"].dataType).alias("_counts"), *lists)
+    mine = blocks.select(*keys, *[of(i, 0).alias(t) for i, t in enumerate(names)]).distinct().join(told, [*keys])
+    heads = mine.select(*keys, *names, F.lit(0).alias("_part"), "_counts", *[F.lit(None).cast(around.schema[c].dataType).alias(c) for c in lists])
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tiles, 1024))
+    return heads.unionByName(around).repartitionByRange(parts, *keys, *names).sortWithinPartitions(*keys, *names, "_part")
+
+
+def _each_tile(batches: Iterator[pa.RecordBatch], keys: Sequence[str], dims: int, extra: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """Keys, counts, own or not, places and ``extra`` of each tile of ``_tiled`` that has cells of its own."""
+    for rows in crowd.gathered(batches, [*keys, *[f"_t{i}" for i in range(dims)]]):
+        if rows.column("_part")[0].as_py() == 0 and rows.num_rows > 1:
+            held = rows.slice(1)
+            get = lambda c: np.concatenate([a.flatten().to_numpy() for a in held.column(c).chunks])  # noqa: E731, B023
+            sizes = np.concatenate([a.value_lengths().to_numpy() for a in held.column("_x0").chunks])
+            own = np.repeat(held.column("_part").to_numpy() == 1, sizes)
+            yield tuple(rows.column(k)[0].as_py() for k in keys), np.asarray(rows.column("_counts")[0].as_py()), own, [get(f"_x{i}") for i in range(dims)], [get(c) for c in extra]
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], heads: Sequence[str], lists: Sequence[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """Rows of ``_meetings``: the values of ``heads`` and the arrays of ``lists``."""
     for batch in batches:
@@ -149,9 +216,36 @@ def neighbour_totals(cells: DataFrame, radius: float, dims: Sequence[str], keys:
 
     ``n`` counts a group's ordered pairs, ``fan`` is the sum of d * (d - 1) over the numbers d of a cell's neighbours.
     """
-    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
+    keys = [*keys]
     listed = _listed(cells.filter("cell_type IS NOT NULL"), keys)
     typed = cells.join(listed, [*keys]).filter("cell_type IS NOT NULL").withColumn("_type", (F.array_position("_types", F.col("cell_type")) - 1).cast("int"))
+    tiles = _crowded(typed, radius, dims, keys, item, 6.0, 3.0, 100.0)
+    counted = cut((_totals_by_places(typed, radius, dims, keys, item, listed, tiles) if tiles else _totals_by_cells(typed, radius, dims, keys, item)).groupBy(*keys, "_s", "_d").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("_fan").alias("_fan")))
+    named = counted.filter("_s >= 0").join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
+    return named, counted.filter("_s < 0").select(*keys, F.col("n_pairs").alias("n"), F.col("_fan").alias("fan"))
+
+
+def _totals_by_places(typed: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], item: str, listed: DataFrame, tiles: int) -> DataFrame:
+    """Tallies of tasks, (keys, _s, _d, n_pairs, _fan), from the numbers of cells of each type at each place."""
+    keys, most = [*keys], _farthest(radius)
+    places = _sited(typed, dims, item).groupBy(*keys, *dims, "_type").agg(F.count("*").alias("_n"))
+    met = _tiled(places, radius, dims, keys, ["_type", "_n"], listed.select(*keys, "_counts"), tiles)
+    schema = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in keys) + "_s int, _d int, n_pairs bigint, _fan bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, counts, own, coords, (kinds, many) in _each_tile(batches, keys, len(dims), ["_type", "_n"]):
+            width = len(counts)
+            pairs, total, fan = crowd.tallied(own, coords, kinds, many, width, most)
+            out = [(*key, s, d, int(pairs[s, d]), 0) for s in range(width) for d in range(width) if pairs[s, d]] + [(*key, -1, -1, total, fan)]
+            yield pa.RecordBatch.from_pylist([dict(zip([*keys, "_s", "_d", "n_pairs", "_fan"], r)) for r in out], schema=arrow)
+
+    return met.mapInArrow(tally, schema)
+
+
+def _totals_by_cells(typed: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str], item: str) -> DataFrame:
+    """As ``_totals_by_places``, from pairs of blocks of cells."""
+    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
     met = _meetings(typed, radius, dims, keys, item, ["_type"])
     schema = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in keys) + "_s int, _d int, n_pairs bigint, _fan bigint"
 
@@ -192,9 +286,7 @@ def neighbour_totals(cells: DataFrame, radius: float, dims: Sequence[str], keys:
         if sums:
             yield rows()
 
-    counted = cut(met.mapInArrow(tally, schema).groupBy(*keys, "_s", "_d").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("_fan").alias("_fan")))
-    named = counted.filter("_s >= 0").join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
-    return named, counted.filter("_s < 0").select(*keys, F.col("n_pairs").alias("n"), F.col("_fan").alias("fan"))
+    return met.mapInArrow(tally, schema)
 
 
 def _paired(open_: DataFrame, goal: DataFrame, dims: Sequence[str], keys: Sequence[str], item: str, width: float) -> DataFrame:
@@ -346,40 +438,47 @@ def numbered(cells: DataFrame, keys: Sequence[str], item: str, dims: Sequence[st
 def permuted(index: np.ndarray, n: int, perms: np.ndarray, seed: int, rounds: int = 8) -> np.ndarray:
     """Places of ``index`` (below ``n``) under the keyed permutations ``perms`` of 0..n-1: a row for each index.
 
-    A Feistel network over the next power of four, 256 at least; results beyond ``n`` go through it again, which keeps it
-    one to one. A place needs nothing but its own index, so no permutation is ever laid out as a whole.
+    A Feistel network over the next power of two, 256 at least, whose halves change in turn; results beyond ``n`` go through
+    it again, which keeps it one to one. A place needs nothing but its own index, so no permutation is ever laid out as a
+    whole. Numbers have 32 bits unless ``n`` needs more.
     """
-    half = max(4, (max(int(n) - 1, 1).bit_length() + 1) // 2)
-    mask, mixed = np.uint64((1 << half) - 1), np.uint64(0x9E3779B97F4A7C15)
-    salts = [(perms.astype(np.uint64) * np.uint64(rounds) + np.uint64(r + 1)) * mixed + np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64)) for r in range(rounds)]
+    bits = max(8, max(int(n) - 1, 1).bit_length())
+    low, high, kind, width = bits // 2, bits - bits // 2, *((np.uint32, 32) if bits <= 32 else (np.uint64, 64))
+    mask, odd, more = kind((1 << low) - 1), *((kind(0x85EBCA6B), kind(0xC2B2AE35)) if width == 32 else (kind(0xFF51AFD7ED558CCD), kind(0xC4CEB9FE1A85EC53)))
+    salts = []
+    for r in range(rounds):
+        z = (perms.astype(np.uint64) * np.uint64(rounds) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        salts.append(((z ^ (z >> np.uint64(31))) >> np.uint64(64 - width)).astype(kind))
 
     def once(x: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
-        left, right, z, shifted = x >> np.uint64(half), x & mask, np.empty_like(x), np.empty_like(x)
-        for salt in salts:
-            np.add(right, salt[at], out=z)
-            z *= np.uint64(0xFF51AFD7ED558CCD)
-            z ^= np.right_shift(z, np.uint64(29), out=shifted)
-            z *= np.uint64(0xC4CEB9FE1A85EC53)
-            z >>= np.uint64(40)
-            z &= mask
-            z ^= left
-            left, right, z = right, z, left
-        left <<= np.uint64(half)
+        right, left, z, shifted = x & mask, x >> kind(low), np.empty_like(x), np.empty_like(x)
+        for r, salt in enumerate(salts):
+            read, changed, kept = (left, right, low) if r % 2 else (right, left, high)
+            np.add(read, salt[at], out=z)
+            z *= odd
+            z ^= np.right_shift(z, kind(width // 2 - 1), out=shifted)
+            z *= more
+            z >>= kind(width - kept)
+            changed ^= z
+        left <<= kind(low)
         left |= right
         return left
 
-    out = np.empty((len(index), len(perms)), dtype=np.uint64)
-    step = max(1, 32_768 // max(1, len(perms)))  # so few that they stay in a core's own memory
-    for first in range(0, len(index), step):
-        some = np.ascontiguousarray(np.broadcast_to(index[first : first + step].astype(np.uint64)[:, None], out[first : first + step].shape))
-        some = once(some, slice(None)).reshape(-1)
-        beyond = np.flatnonzero(some >= np.uint64(n))
+    out = np.empty((len(index), len(perms)), dtype=kind)
+    step = min(len(index), max(1, 16_384 // max(1, len(perms))))  # so few that they stay in a core's own memory
+    salts = [np.tile(salt, step) for salt in salts]
+    for first in range(0, len(index), max(1, step)):
+        some = np.repeat(index[first : first + step].astype(kind), len(perms))
+        some = once(some, slice(0, len(some)))
+        beyond = np.flatnonzero(some >= kind(n)) if int(n) < 1 << bits else np.zeros(0, dtype=np.int64)
         while len(beyond):
-            again = once(some[beyond], beyond % len(perms))
+            again = once(some[beyond], beyond)
             some[beyond] = again
-            beyond = beyond[again >= np.uint64(n)]
+            beyond = beyond[again >= kind(n)]
         out[first : first + step] = some.reshape(-1, len(perms))
-    return out.view(np.int64)
+    return out
 
 
 def _dealt_types(numbers: np.ndarray, bounds: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -391,7 +490,7 @@ def _dealt_types(numbers: np.ndarray, bounds: np.ndarray, n: int, seed: int) ->
         if len(bounds) > 32:
             out[:, first : first + step] = np.searchsorted(bounds, places, side="right")
         else:
-            out[:, first : first + step] = sum((places >= b for b in bounds[:-1]), np.zeros(places.shape, dtype=np.uint8))
+            out[:, first : first + step] = sum((places >= places.dtype.type(b) for b in bounds[:-1]), np.zeros(places.shape, dtype=np.uint8))
     return out
 
 
@@ -486,11 +585,55 @@ def permutation_null_within(cells: DataFrame, radius: float, dims: Sequence[str]
     Blocks of cells meet as matrices: nearness times the types borne under some permutations gives each cell's neighbours of
     every type under each of them (see ``_counted``). Nearness to some of the blocks met is laid side by side first. The types
     observed are counted on the way. A block's types are worked out once while it stays among the last 128 MB of a task.
+    Crowded cells are counted by rows of places instead (see ``places``).
     """
-    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
+    keys = [*keys]
     listed = cut(_listed(cells, keys))
     named = cells.join(listed, [*keys]).withColumn("_type", F.coalesce(F.array_position("_types", F.col("cell_type")) - 1, F.lit(-1)).cast("int"))
     sited = named.select(*cells.columns, "_type").join(numbered(cells, keys, item, dims), [*keys, item])
+    untyped = not cells.filter("cell_type IS NULL").isEmpty()
+    tiles = 0 if untyped else _crowded(cells, radius, dims, keys, item, 0.025, 0.125, 40.0)
+    part = cut(_drawn_by_places(sited, radius, dims, n, seed, keys, item, listed, tiles) if tiles else _drawn_by_cells(sited, radius, dims, n, seed, keys, item, listed))
+    counted = part.groupBy(*keys, "_s", "_d").agg(F.sum(F.element_at("n_pairs", n + 1)).alias("n_pairs"))
+    counts = counted.join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
+    return _exceeded(part.withColumn("n_pairs", F.slice("n_pairs", 1, n)), listed, _over_grid(cells, counts, keys), n, keys)
+
+
+def _drawn_by_places(sited: DataFrame, radius: float, dims: Sequence[str], n: int, seed: int, keys: Sequence[str], item: str, listed: DataFrame, tiles: int) -> DataFrame:
+    """Tallies of tasks, (keys, _s, _d, n_pairs), an entry for each permutation and one for the types observed, by rows of places."""
+    keys, most = [*keys], _farthest(radius)
+    met = _tiled(_sited(sited, dims, item), radius, dims, keys, ["_i", "_type"], listed.select(*keys, "_counts"), tiles, half=True)
+    schema = "".join(f"`{k}` {met.schema[k].dataType.simpleString()}, " for k in keys) + "_s int, _d int, n_pairs array<bigint>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [(*key, s, d, total[:, s, d]) for key, total in sums.items() for s in range(total.shape[1]) for d in range(total.shape[1])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+        for key, counts, own, coords, (index, kinds) in _each_tile(batches, keys, len(dims), ["_i", "_type"]):
+            bounds = np.cumsum(counts)
+            if key not in sums and len(sums) >= 32:
+                yield rows()
+                sums.clear()
+            total = sums.setdefault(key, np.zeros((n + 1, len(bounds), len(bounds)), dtype=np.int64))
+            drawn = crowd.Drawn(own, coords, bounds, most)
+            index, step = index[drawn.order], drawn.at_once()
+            for first in range(0, n, step):
+                perms = np.arange(first, min(n, first + step))
+                total[perms] += drawn.pairs(permuted(index, int(bounds[-1]), perms, seed))
+            total[n] += drawn.pairs((bounds - counts)[kinds[drawn.order]][:, None])[0]
+        if sums:
+            yield rows()
+
+    return met.mapInArrow(tally, schema)
+
+
+def _drawn_by_cells(sited: DataFrame, radius: float, dims: Sequence[str], n: int, seed: int, keys: Sequence[str], item: str, listed: DataFrame) -> DataFrame:
+    """As ``_drawn_by_places``, from pairs of blocks of cells."""
+    keys, xs, most = [*keys], [f"_x{i}" for i in range(len(dims))], _farthest(radius)
     met = _meetings(sited, radius, dims, keys, item, ["_i", "_type"], half=True, told=listed.select(*keys, "_counts"))
     kind = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
     places = [*[f"_b{i}" for i in range(len(dims))], "_k"]
@@ -550,10 +693,7 @@ def permutation_null_within(cells: DataFrame, radius: float, dims: Sequence[str]
         if sums:
             yield rows()
 
-    part = cut(met.mapInArrow(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>"))
-    counted = part.groupBy(*keys, "_s", "_d").agg(F.sum(F.element_at("n_pairs", n + 1)).alias("n_pairs"))
-    counts = counted.join(listed, [*keys]).select(*keys, F.get("_types", F.col("_s")).alias("src_type"), F.get("_types", F.col("_d")).alias("tgt_type"), "n_pairs")
-    return _exceeded(part.withColumn("n_pairs", F.slice("n_pairs", 1, n)), listed, _over_grid(cells, counts, keys), n, keys)
+    return met.mapInArrow(tally, f"{kind}, _s int, _d int, n_pairs array<bigint>")
 
 
 def _exceeded(part: DataFrame, listed: DataFrame, seen: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
