@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
@@ -177,8 +178,24 @@ def _squares(mine: Sequence[np.ndarray], theirs: Sequence[np.ndarray], ids: np.n
         yield first, total, near
 
 
-def radius_graph(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str] = ("core",), item: str = "cell_id") -> DataFrame:
-    """Ordered pairs of different points within ``radius``, inclusive: (keys, src, dst, dist).
+def _rounded(values: np.ndarray, digits: int) -> np.ndarray:
+    """``values``, 0 or more, to ``digits`` decimals as Spark rounds them: halves of their shortest decimal form go up."""
+    scaled = values * 10.0**digits
+    out = np.rint(scaled)
+    # Beyond doubt unless next to a half or too large to tell; the quotient is the double nearest to the decimal.
+    unsure = np.flatnonzero((np.abs(np.abs(scaled - out) - 0.5) < 1e-3) | ~(scaled < 2.0**40))
+    out /= 10.0**digits
+    for i in unsure:
+        if math.isfinite(values[i]):
+            with decimal.localcontext(prec=800):
+                out[i] = float(decimal.Decimal(repr(float(values[i]))).quantize(decimal.Decimal(1).scaleb(-digits), decimal.ROUND_HALF_UP))
+        else:
+            out[i] = values[i]
+    return out
+
+
+def radius_graph(points: DataFrame, radius: float, dims: Sequence[str], keys: Sequence[str] = ("core",), item: str = "cell_id", digits: int | None = None) -> DataFrame:
+    """Ordered pairs of different points within ``radius``, inclusive: (keys, src, dst, dist), ``dist`` to ``digits`` decimals if given.
 
     Blocks of neighbouring tiles meet as arrays (see ``_meetings``), so what is shuffled follows the points and not the pairs.
     """
@@ -197,8 +214,9 @@ def radius_graph(points: DataFrame, radius: float, dims: Sequence[str], keys: Se
                 for first, square, near in _squares(mine[1:], met_[1:], mine[0], met_[0], most):
                     a, b = np.nonzero(near)
                     if len(a):
+                        dist = np.sqrt(square[near])
                         columns = [pa.repeat(pa.scalar(v, t), len(a)) for v, t in zip(key, kinds)]
-                        columns += [pa.array(mine[0][a + first], item_kind), pa.array(met_[0][b], item_kind), pa.array(np.sqrt(square[a, b]))]
+                        columns += [pa.array(mine[0][a + first], item_kind), pa.array(met_[0][b], item_kind), pa.array(_rounded(dist, digits) if digits is not None else dist)]
                         yield pa.RecordBatch.from_arrays(columns, names=[*keys, "src", "dst", "dist"])
 
     return met.mapInArrow(pairs, schema)

@@ -43,7 +43,7 @@ GRAPH = "graph AS (SELECT a.core AS core, a.slice_id AS slice_id, a.cell_id AS s
 
 @query(f"WITH {GRAPH} SELECT core, slice_id, src, dst, round(dist, 6) AS dist FROM graph")
 def j9_radius_graph(d):
-    return S.radius_graph(d.fx_cells, 50, ["cx", "cy"], SLICE).withColumn("dist", F.round("dist", 6))
+    return S.radius_graph(d.fx_cells, 50, ["cx", "cy"], SLICE, digits=6)
 
 
 @query(f"""WITH {GRAPH}, n AS (SELECT core, slice_id, cell_type, count(*) AS n FROM fx_cells GROUP BY 1, 2, 3), g AS (SELECT core, slice_id, ta, tb, count(*) AS k FROM graph GROUP BY 1, 2, 3, 4)

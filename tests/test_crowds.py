@@ -77,3 +77,13 @@ def test_sums_of_any_size_are_exact(most):
     assert (drawn.kind == np.uint16) == (most == 9)
     numbers = rng.permutation(n)[:, None].astype(np.uint32)
     assert drawn.pairs(numbers)[0].tolist() == [[int(ones[s]) * (int(ones[t]) - (s == t)) for t in range(2)] for s in range(2)]
+
+
+def test_distances_are_rounded_in_the_tasks_as_spark_rounds(spark):
+    rng = np.random.default_rng(10)
+    values = [0.0, 0.5e-6, 1.5e-6, 2.5e-6, 0.1234565, 1.0000005, 49.9999995, 1e9 + 0.1234565, 1e300, 5e-324, *rng.uniform(0, 50, 500).tolist(), *(rng.integers(0, 10**7, 500) / 1e7).tolist()]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").selectExpr("v", "round(v, 6) AS r").collect()
+    assert S._rounded(np.array([r.v for r in frame]), 6).tolist() == [r.r for r in frame]
+    cells = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 1.0, 1.0)], "core int, cell_id long, x double, y double")
+    graph = S.radius_graph(cells, 2.0, ["x", "y"], digits=6)
+    assert {r.dist for r in graph.collect()} == {1.414214} and "round" not in graph._jdf.queryExecution().optimizedPlan().toString()
