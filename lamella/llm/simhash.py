@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,6 +174,61 @@ def segment_prints(hashes: np.ndarray, similarity: float = 0.8, classes: int = C
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, segments: int = 32) -> DataFrame:
     """Edges ``(a, b)`` between nodes of ``docs(node, text)`` whose sets of shingles have at least that Jaccard similarity.
 
+    The edges connect exactly the groups that all such pairs connect: those that fingerprints find (see ``fingerprint_links``),
+    and the pairs left between the components of these (see ``rest_links``).
+    """
+    close = stored(fingerprint_links(docs, shingle, similarity, segments), "simhash-links")
+    return close.unionByName(rest_links(docs, components(close), shingle, similarity))
+
+
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least of some distinct hashes, so many that two sets of that similarity share one of them.
+
+    Of n hashes a set of that similarity holds at least ``similarity`` * n; if the least of all shared ones were beyond the first
+    n - ceil(similarity * n) + 1 of either set, there would be fewer.
+    """
+    return np.sort(hashes)[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else hashes
+
+
+def rest_links(docs: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` between all nodes of that similarity that stand in different components of ``found(node, component)``.
+
+    Nodes share a hash of their prefixes (see ``prefix``). The hashes alone are counted first, by the numbers of components; those of
+    several components, of which there are few, are taken again with nodes, sizes and places. Pairs go on if the hashes from
+    there on can be as many as the similarity asks for, and are verified on their whole texts.
+    """
+    kind = docs.schema["node"].dataType.simpleString()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 200):
+            hashes = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            own = [prefix(h, similarity) for h in hashes]
+            many = np.array([len(o) for o in own], dtype=np.int64)
+            nodes = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
+            cells = np.concatenate([np.zeros(0, dtype="<u8"), *own]).view("<i8")
+            sizes = np.repeat(np.array([len(h) for h in hashes], dtype=np.int32), many)
+            places = np.concatenate([np.zeros(0, dtype=np.int32), *[np.arange(m, dtype=np.int32) for m in many]])
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(cells), pa.array(sizes), pa.array(places)], names=["node", "cell", "n", "at"])
+
+    component = found.select(F.col("node"), F.xxhash64("component").alias("class")).distinct()
+    component = broadcast_if_small(cut(component), BROADCAST_CELLS)
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return rows.join(component, "node", "left").withColumn("class", F.coalesce("class", F.xxhash64("node")))
+
+    emitted = docs.select("node", "text").mapInArrow(emit, f"node {kind}, cell bigint, n int, at int")
+    shared = classed(emitted.select("node", "cell")).groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("cell")
+    kept = stored(classed(emitted.join(broadcast_if_small(cut(shared), BROADCAST_CELLS), "cell", "left_semi")).distinct(), "simhash-prefixes")
+    one, two = (kept.withColumnsRenamed({"node": x, "class": f"{x}_class", "n": f"{x}_n", "at": f"{x}_at"}) for x in "ab")
+    least = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    asked = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    pairs = one.join(two, "cell").where((F.col("a_class") < F.col("b_class")) & (least >= asked)).select("a", "b").distinct()
+    return verified(docs, stored(pairs, "simhash-rest"), shingle, similarity)
+
+
+def fingerprint_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, segments: int = 32) -> DataFrame:
+    """Edges ``(a, b)`` of ``similar_links`` that fingerprints find.
+
     Rows of one node have one text. Whole-text fingerprints meet on the grid of segment popcounts, within 2 bits (see
     ``links``); texts of 0.8 mostly lie farther apart, so candidates also share a fingerprint of a class of shingles (see
     ``segment_prints``). Of a shared fingerprint
@@ -208,6 +264,13 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, se
     least = stored(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-least")
     pairs = stored(keyed.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "simhash-candidates")
 
+    return verified(docs, pairs, shingle, similarity)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes of ``docs(node, text)`` whose whole texts have that similarity."""
+    kind = docs.schema["node"].dataType.simpleString()
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 200):
             sets: dict[str, np.ndarray] = {}
@@ -235,10 +298,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     """
     text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    node = F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+    node = F.unhex(F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")))
     rank = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0))
     place = F.struct("doc_id", rank.alias("rank"))
-    found = cut(components(similar_links(docs.select(node.alias("node"), text.alias("text")), shingle, similarity)))
+    nodes = docs.select(node.alias("node"), text.alias("text"))
+    found = cut(components(fingerprint_links(nodes, shingle, similarity)))
+    rest = cut(rest_links(nodes, found, shingle, similarity))
+    if not rest.isEmpty():
+        found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
     firsts = docs.select(node.alias("node"), place.alias("first")).groupBy("node").agg(F.min("first").alias("first"))
     placed = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed.groupBy("component").agg(F.min(F.struct("first", "node")).alias("best"))

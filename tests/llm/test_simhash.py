@@ -157,3 +157,46 @@ def test_links_that_only_the_grid_finds(spark):
     assert simhash.fingerprint(one, 5) == simhash.fingerprint(one + " end", 5)
     docs = spark.createDataFrame([("1", one), ("2", one + " end"), ("3", "nothing like these two at all, not in one word")], "node string, text string")
     assert [tuple(sorted(r)) for r in simhash.similar_links(docs).collect()] == [("1", "2")]
+
+
+def hidden_pair():
+    """Two alike texts after texts unlike them and each other, one of which shares every group that the two share."""
+    def groups(text):
+        own = simhash.segment_prints(np.unique(simhash.shingle_hashes(text, 5))).tolist()
+        f = simhash.fingerprint(text, 5)
+        return {(c, *s) for c in own for s in ((), (f >> 56,), (f >> 48 & 255, 1))}
+
+    rng = random.Random(13)
+    base = [f"u{i}" for i in range(240)]
+    edited = lambda n: " ".join(w if i not in at else f"e{rng.random()}" for at in [set(rng.sample(range(240), n))] for i, w in enumerate(base))
+    while True:
+        one, two = edited(2), edited(2)
+        if jaccard(one, two) >= 0.8 and (simhash.fingerprint(one, 5) ^ simhash.fingerprint(two, 5)).bit_count() > 2:
+            break
+    hidden, others = groups(one) & groups(two), []
+    while hidden:
+        text = edited(6)
+        if groups(text) & hidden and max(jaccard(text, t) for t in (one, two, *others)) < 0.8:
+            others.append(text)
+            hidden -= groups(text)
+    return [*others, one, two]
+
+
+def test_no_link_is_missed(spark):
+    """Members of a group were held against its smallest one only."""
+    texts = hidden_pair()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    nodes = docs.selectExpr("lpad(doc_id, 4, '0') AS node", "text")
+    assert simhash.fingerprint_links(nodes).count() == 0
+    assert [(int(r.a), int(r.b)) for r in simhash.rest_links(nodes, spark.createDataFrame([], "node string, component string"), 5, 0.8).selectExpr("least(a, b) a", "greatest(a, b) b").collect()] == [(len(texts) - 2, len(texts) - 1)]
+
+
+def test_members_unlike_the_first_are_linked(spark):
+    """Two texts alike that share their fingerprints' groups with smaller, unlike ones."""
+    words = [f"k{i}" for i in range(60)]
+    docs = spark.createDataFrame([("0", " ".join(words)), ("1", " ".join(words[:52] + ["x"] * 8)), ("2", " ".join(words[4:] + ["y"] * 4))], "node string, text string")
+    rows = {r.node: r.text for r in docs.collect()}
+    want = {(a, b) for a in rows for b in rows if a < b and jaccard(rows[a], rows[b]) >= 0.8}
+    none = spark.createDataFrame([], "node string, component string")
+    assert {tuple(sorted(r)) for r in simhash.rest_links(docs, none, 5, 0.8).collect()} == want
+    assert simhash.rest_links(docs.limit(0), none, 5, 0.8).count() == 0
