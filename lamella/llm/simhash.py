@@ -194,8 +194,9 @@ def rest_links(docs: DataFrame, found: DataFrame, shingle: int, similarity: floa
     """Edges ``(a, b)`` between all nodes of that similarity that stand in different components of ``found(node, component)``.
 
     Nodes share a hash of their prefixes (see ``prefix``). The hashes alone are counted first, by the numbers of components; those of
-    several components, of which there are few, are taken again with nodes, sizes and places. Pairs go on if the hashes from
-    there on can be as many as the similarity asks for, and are verified on their whole texts.
+    several components, of which there are few, are taken again with nodes, sizes and places. Two sets share the hashes that their
+    prefixes share and at most all that stand beyond the prefix that ends first; pairs go on if these are as many as the similarity asks
+    for, and so if those from the first shared one on are. They are verified on their whole texts.
     """
     kind = docs.schema["node"].dataType.simpleString()
 
@@ -220,9 +221,13 @@ def rest_links(docs: DataFrame, found: DataFrame, shingle: int, similarity: floa
     shared = classed(emitted.select("node", "cell")).groupBy("cell").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("cell")
     kept = stored(classed(emitted.join(broadcast_if_small(cut(shared), BROADCAST_CELLS), "cell", "left_semi")).distinct(), "simhash-prefixes")
     one, two = (kept.withColumnsRenamed({"node": x, "class": f"{x}_class", "n": f"{x}_n", "at": f"{x}_at"}) for x in "ab")
-    least = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    near = (F.col("a_n") >= F.col("b_n") * similarity - 1e-6) & (F.col("b_n") >= F.col("a_n") * similarity - 1e-6)
+    met = one.join(two, "cell").where((F.col("a_class") < F.col("b_class")) & near)
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    each = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("c"), F.max(left).alias("left"))
     asked = F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6
-    pairs = one.join(two, "cell").where((F.col("a_class") < F.col("b_class")) & (least >= asked)).select("a", "b").distinct()
+    beyond = F.ceil(F.greatest("a_n", "b_n") * similarity - 1e-9) - 1
+    pairs = each.where((F.col("left") >= asked) & (F.col("c") + beyond >= asked)).select("a", "b")
     return verified(docs, stored(pairs, "simhash-rest"), shingle, similarity)
 
 
